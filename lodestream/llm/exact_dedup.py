@@ -97,12 +97,12 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, bucket_keys: int = BUCKET_
 
 
 def keep_one(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay, with the columns they came with."""
-    text = normalised(doc_text(docs))
-    kept = exact_dedup(spark, docs).where("kept").select(
-        F.col("doc_id").alias("_id"), F.unhex("text_sha256").alias("_digest"))
-    marked = docs.withColumn("_digest", F.unhex(F.sha2(text, 256))).withColumn("_id", doc_column(docs, "doc_id", "long"))
-    same = F.col("d._id").eqNullSafe(F.col("k._id")) & (F.col("d._digest") == F.col("k._digest"))
-    out = marked.alias("d").join(kept.alias("k"), same, "left_semi")
-    # Rows equal in id and text are one document here.
-    return out.dropDuplicates(["_id", "_digest"]).select(*docs.columns)
+    """The rows of ``docs`` that stay, with the columns they came with; of rows equal in doc_id and text, one."""
+    judged = materialise(exact_dedup(spark, docs).select("doc_id", "keep_id", "kept", F.unhex("text_sha256").alias("digest")), "exact-judged")
+    gone = judged.where("not kept").select(F.col("doc_id").alias("_gone"), F.col("digest").alias("_gone_digest"), F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("_twin"))
+    marked = docs.withColumn("_digest", F.unhex(F.sha2(normalised(doc_text(docs)), 256))).withColumn("_id", doc_column(docs, "doc_id", "long"))
+    same = F.col("_id").eqNullSafe(F.col("_gone")) & (F.col("_digest") == F.col("_gone_digest"))
+    kept = marked.join(gone.where("not _twin").distinct(), same, "left_anti")
+    if not gone.where("_twin").isEmpty():
+        kept = kept.dropDuplicates(["_id", "_digest"])
+    return kept.select(*docs.columns)

@@ -223,3 +223,23 @@ def identify(spark: SparkSession, docs: DataFrame, fit_rows: int = FIT_ROWS, spa
 
     rows = docs.select(doc_column(docs, "doc_id", "long").alias("doc_id"), held_out(docs).alias("held_out"), doc_column(docs, "text", "string").alias("text"))
     return rows.mapInArrow(labelled, kinds)
+
+
+def keep_known(spark: SparkSession, docs: DataFrame, least: float = 0.3, fit_rows: int = FIT_ROWS) -> DataFrame:
+    """The rows of ``docs`` whose language is known with a score of ``least`` or more, with the columns they came with.
+
+    Without any labelled row nothing is known of languages, and texts with a letter stay.
+    """
+    held = spark.sparkContext.broadcast(fit(spark, docs, fit_rows))
+
+    def known(batches):
+        m = held.value
+        for batch in batches:
+            texts = batch.column("text").to_pylist()
+            if m is None:
+                keep = [bool(t and WORD.search(t)) for t in texts]
+            else:
+                keep = [lang != "und" and score >= least for lang, score, _ in m.label(texts, False)]
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(known, docs.schema)

@@ -127,53 +127,61 @@ def learn(spark: SparkSession, found: DataFrame, rounds: int = ROUNDS, support:
     return good.orderBy("pattern")
 
 
-def extract(spark: SparkSession, docs: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, confident: float = CONFIDENT) -> DataFrame:
-    """Personal data of every whole text, one row per row of ``docs``.
+def patterns(spark: SparkSession, docs: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, confident: float = CONFIDENT) -> dict[str, str]:
+    """The confident patterns of ``docs`` and the kind each marks.
 
-    Base spans always stay. Candidates (runs with four digits or more that no base span
-    touches) become spans of a pattern's kind where the pattern around them is confident.
-    A null or empty text has no span. Repeated rows are searched each; an empty table
-    gives an empty result; extra columns are ignored. Returns doc_id, base and added:
-    arrays of (kind, start, end) in code points, by start, then kind as listed.
+    They come to the driver and go to every task: only patterns with ``support`` seeds
+    or more and high confidence, some 60 bytes each, and not their instances.
     """
-    rows = docs.select(doc_column(docs, "doc_id", "long").alias("doc_id"), doc_text(docs).alias("text"))
+    rows = docs.select(doc_text(docs).alias("text"))
 
     def seeds(batches):
         for batch in batches:
             out = []
             for text in batch.column("text").to_pylist():
                 for kind, a, b in occurrences(text, base_spans(text)):
-                    instance = int.from_bytes(hashlib.blake2b(text[a:b].encode(), digest_size=8).digest(), "little", signed=True)
+                    instance = int.from_bytes(hashlib.blake2b(text[a:b].encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
                     out += [(p, instance, shape(text[a:b]), kind) for p in contexts(text, a, b)]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.string(), pa.int64(), pa.string(), pa.string()), strict=True)], ["pattern", "instance", "shape", "kind"])
 
-    telling = (F.col("text").contains("@") | F.col("text").rlike("[0-9]"))
-    found = rows.where(telling).select("text").mapInArrow(seeds, "pattern string, instance long, shape string, kind string")
-    good = learn(spark, found, rounds, support, confident)
-    # The patterns that pass are few, but grow with the corpus's variety: they are read as a set
-    # only while they fit, and the most confident of a larger number would need a join by pattern.
-    patterns = {r["pattern"]: r["kind"] for r in good.toLocalIterator()}
-    held = spark.sparkContext.broadcast(patterns)
+    telling = F.col("text").contains("@") | F.col("text").rlike("[0-9]")
+    found = rows.where(telling).mapInArrow(seeds, "pattern string, instance long, shape string, kind string")
+    return {r["pattern"]: r["kind"] for r in learn(spark, found, rounds, support, confident).toLocalIterator()}
+
+
+def spans_of(text: str, known: dict[str, str]) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
+    """(base spans, added spans) of a text."""
+    base = base_spans(text)
+    added = []
+    if known:
+        for kind, a, b in occurrences(text, base):
+            if kind is None and (k := next((known[p] for p in contexts(text, a, b) if p in known), None)):
+                added.append((k, a, b))
+    return base, added
+
+
+def extract(spark: SparkSession, docs: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, confident: float = CONFIDENT) -> DataFrame:
+    """Personal data of every whole text, one row per row of ``docs``.
+
+    Base spans always stay. Candidates (runs with four digits or more that no base span
+    touches) become spans of a pattern's kind where the pattern around them is confident.
+    A null or empty text has no span. Repeated rows are searched each; an empty table
+    gives an empty result; extra columns are ignored. Returns doc_id, base and added:
+    arrays of (kind, start, end) in code points, by start, then kind as listed.
+    """
+    held = spark.sparkContext.broadcast(patterns(spark, docs, rounds, support, confident))
     span = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
+    as_structs = lambda spans: [{"kind": k, "start": a, "end": b} for k, a, b in spans]
 
-    def spans(batches):
-        known = held.value
+    def found(batches):
         for batch in batches:
-            base, added = [], []
-            for text in batch.column("text").to_pylist():
-                own = base_spans(text) if "@" in text or DIGIT.search(text) else []
-                more = []
-                if known:
-                    for kind, a, b in occurrences(text, own):
-                        if kind is None and (k := next((known[p] for p in contexts(text, a, b) if p in known), None)):
-                            more.append((k, a, b))
-                base.append([{"kind": k, "start": a, "end": b} for k, a, b in own])
-                added.append([{"kind": k, "start": a, "end": b} for k, a, b in more])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(base, span), pa.array(added, span)], ["doc_id", "base", "added"])
+            both = [spans_of(t, held.value) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([as_structs(b) for b, _ in both], span), pa.array([as_structs(a) for _, a in both], span)], ["doc_id", "base", "added"])
 
     spans_type = "array<struct<kind:string,start:int,end:int>>"
-    return rows.mapInArrow(spans, f"doc_id long, base {spans_type}, added {spans_type}")
+    rows = docs.select(doc_column(docs, "doc_id", "long").alias("doc_id"), doc_text(docs).alias("text"))
+    return rows.mapInArrow(found, f"doc_id long, base {spans_type}, added {spans_type}")
 
 
 def joined(spans):
@@ -188,26 +196,31 @@ def digests(found: DataFrame) -> DataFrame:
     return found.select("doc_id", *[count(k) for k in KINDS], F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.concat("base", "added")).alias("spans"))
 
 
+def redact(text: str, spans: list[tuple[str, int, int]]) -> str:
+    """``text`` with each span's text replaced by its kind in brackets; of spans that overlap, the first to begin, the longest of those."""
+    out, at = [], 0
+    for kind, a, b in sorted(spans, key=lambda s: (s[1], -s[2])):
+        if a >= at:
+            out += [text[at:a], f"[{kind.upper()}]"]
+        at = max(at, b)
+    return "".join(out) + text[at:]
+
+
 def redacted(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """``docs`` with every span's text replaced by its kind in brackets; n_chars follows."""
-    keyed = materialise(docs.withColumn("_row", F.monotonically_increasing_id()), "pii-rows")
-    found = extract(spark, keyed.withColumn("doc_id", F.col("_row"))).select(F.col("doc_id").alias("_row"), F.concat("base", "added").alias("_spans")).where(F.size("_spans") > 0)
+    """``docs`` with its texts redacted; n_chars, where there is one, follows; a null text stays null."""
+    held = spark.sparkContext.broadcast(patterns(spark, docs))
 
     def replaced(batches):
         for batch in batches:
             texts = []
-            for text, spans in zip(batch.column("text").to_pylist(), batch.column("_spans").to_pylist(), strict=True):
-                if spans:
-                    out, at = [], 0
-                    for s in sorted(spans, key=lambda s: (s["start"], -s["end"])):
-                        if s["end"] > at:
-                            out += [text[at:max(at, s["start"])], f"[{s['kind'].upper()}]"] if s["start"] >= at else []
-                            at = s["end"]
-                    text = "".join(out) + text[at:]
-                texts.append(text)
-            yield batch.drop_columns(["text", "_spans", "_row"]).append_column("text", pa.array(texts, pa.string()))
-
-    rest = [f for f in docs.schema.fields if f.name != "text"]
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rest] + ["text string"])
-    out = keyed.join(found, "_row", "left").select(*[f.name for f in rest], "text", "_spans", "_row").mapInArrow(replaced, schema)
-    return out.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.lit(0))).select(*docs.columns) if "n_chars" in docs.columns else out.select(*docs.columns)
+            for text in batch.column("text").to_pylist():
+                base, added = spans_of(text, held.value) if text else ([], [])
+                texts.append(redact(text, base + added) if base or added else text)
+            i = batch.schema.get_field_index("text")
+            batch = batch.set_column(i, batch.schema.field(i), pa.array(texts, batch.schema.field(i).type))
+            if (i := batch.schema.get_field_index("n_chars")) >= 0:
+                field = batch.schema.field(i)
+                batch = batch.set_column(i, field, pa.array([None if t is None else len(t) for t in texts]).cast(field.type))
+            yield batch
+
+    return docs.mapInArrow(replaced, docs.schema)
