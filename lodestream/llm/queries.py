@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bottomk, bpe_codec, exact_dedup, hilbert_packing, language_id, minhash_forest, pii_bootstrap, token_files, url_trust
+from . import bottomk, bpe_codec, bwt_dedup, exact_dedup, hilbert_packing, language_id, minhash_forest, pii_bootstrap, token_files, url_trust
 
 
 def tokenizer_file(name: str) -> str:
@@ -52,13 +52,17 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.digests(token_files.token_files(spark, _table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), end_id=2))
 
 
+def op9_bwt_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bwt_dedup.digests(bwt_dedup.without_repeats(spark, _table(spark, sf_dir, "documents")))
+
+
 def op10_hilbert_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hilbert_packing.digests(hilbert_packing.pack(spark, _table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), end_id=1))
 
 
 QUERIES = {f.__name__: f for f in (
     op1_minhash_forest, op2_bpe_codec, op3_language_id, op4_url_trust, op5_bottomk, op6_exact_dedup,
-    op7_pii_bootstrap, op8_token_files, op10_hilbert_packing)}
+    op7_pii_bootstrap, op8_token_files, op9_bwt_dedup, op10_hilbert_packing)}
 
 _NORM = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 SQL = {
