@@ -422,10 +422,10 @@ def interest_walls(spark, sf_dir):
 _PAIRS = f"SELECT underlying, month, strike, max(CASE WHEN option_type = 'CE' THEN premium END) AS call, max(CASE WHEN option_type = 'PE' THEN premium END) AS put, max(spot) AS spot FROM {CHAIN} GROUP BY 1, 2, 3"
 
 
-@query(f"SELECT underlying, month, strike, round(straddle, 6) AS straddle, round(straddle / spot, 6) AS move FROM (SELECT *, call + put AS straddle, row_number() OVER (PARTITION BY underlying, month ORDER BY abs(strike - spot), strike) AS n FROM ({_PAIRS}) WHERE call IS NOT NULL AND put IS NOT NULL) WHERE n = 1")
+@query(f"SELECT underlying, month, strike, round(straddle, 5) AS straddle, round(straddle / spot, 5) AS move FROM (SELECT *, call + put AS straddle, row_number() OVER (PARTITION BY underlying, month ORDER BY abs(strike - spot), strike) AS n FROM ({_PAIRS}) WHERE call IS NOT NULL AND put IS NOT NULL) WHERE n = 1")
 def atm_straddle(spark, sf_dir):
     p = O.paired(T.chain(spark, sf_dir), ["underlying", "month"])
-    return O.at_the_money(p, ["underlying", "month"]).select("underlying", "month", "strike", F.round("straddle", 6).alias("straddle"), F.round("move", 6).alias("move"))
+    return O.at_the_money(p, ["underlying", "month"]).select("underlying", "month", "strike", F.round("straddle", 5).alias("straddle"), F.round("move", 5).alias("move"))
 
 
 def _priced(spark, sf_dir) -> DataFrame:
@@ -469,15 +469,15 @@ def fifo_slices(spark, sf_dir):
     return books.fifo(T.fills(spark, sf_dir))
 
 
-@query(f"SELECT day, round(sum(quantity * (sold_at - bought_at)), 2) AS realised, count(*) AS trades, count(*) FILTER (WHERE sold_at > bought_at) AS wins FROM ({_FIFO}) GROUP BY 1")
+@query(f"SELECT day, round(sum(quantity * (sold_at - bought_at)), 7) AS realised, count(*) AS trades, count(*) FILTER (WHERE sold_at > bought_at) AS wins FROM ({_FIFO}) GROUP BY 1")
 def daily_book(spark, sf_dir):
-    return books.daily(books.fifo(T.fills(spark, sf_dir))).withColumn("realised", F.round("realised", 2))
+    return books.daily(books.fifo(T.fills(spark, sf_dir))).withColumn("realised", F.round("realised", 7))
 
 
-@query(f"SELECT year(day) AS year, month(day) AS month, round(sum(realised), 2) AS realised, sum(trades)::BIGINT AS trades, sum(wins)::BIGINT AS wins FROM (SELECT day, sum(quantity * (sold_at - bought_at)) AS realised, count(*) AS trades, count(*) FILTER (WHERE sold_at > bought_at) AS wins FROM ({_FIFO}) GROUP BY 1) GROUP BY ROLLUP (1, 2)".replace("ROLLUP (1, 2)", "ROLLUP (year(day), month(day))"))
+@query(f"SELECT year(day) AS year, month(day) AS month, round(sum(realised), 7) AS realised, sum(trades)::BIGINT AS trades, sum(wins)::BIGINT AS wins FROM (SELECT day, sum(quantity * (sold_at - bought_at)) AS realised, count(*) AS trades, count(*) FILTER (WHERE sold_at > bought_at) AS wins FROM ({_FIFO}) GROUP BY 1) GROUP BY ROLLUP (1, 2)".replace("ROLLUP (1, 2)", "ROLLUP (year(day), month(day))"))
 def calendar_roll_up(spark, sf_dir):
     out = books.roll_up(books.daily(books.fifo(T.fills(spark, sf_dir))))
-    return out.select("year", "month", F.round("realised", 2).alias("realised"), "trades", "wins")
+    return out.select("year", "month", F.round("realised", 7).alias("realised"), "trades", "wins")
 
 
 @query("SELECT CASE WHEN l_returnflag = 'A' THEN 'BUY' ELSE 'SELL' END AS side, count(*) AS fills, round(sum(l_extendedprice * (CASE WHEN l_returnflag = 'A' THEN 0.0 ELSE 0.001 END + 0.00059)), 2) AS charges FROM lineitem GROUP BY 1")
