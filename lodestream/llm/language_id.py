@@ -9,7 +9,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .shared import doc_column
+from .shared import doc_column, small_batches
+from .tokens import batched_texts
 
 #: Labelled rows that the model is fitted on at most, per language: those with the smallest hashes of text.
 FIT_ROWS = 600
@@ -18,7 +19,7 @@ SLOTS = 1 << 16
 GRAMS = (1, 2, 3, 4)
 #: Natural-log cost of a change of language between two words, and the most that one word may say.
 SWITCH, MOST = 12.0, 6.0
-REMEMBERED = 400_000
+REMEMBERED = 250_000
 #: First and last code point of the scripts told apart.
 SCRIPTS = {
     "latin": [(0x41, 0x5A), (0x61, 0x7A), (0xAA, 0xAA), (0xBA, 0xBA), (0xC0, 0x24F), (0x1E00, 0x1EFF)],
@@ -148,6 +149,7 @@ def held_out(docs: DataFrame):
 
 def fit(spark: SparkSession, docs: DataFrame, fit_rows: int = FIT_ROWS) -> Model | None:
     """Naive Bayes over hashed character n-grams, from at most ``fit_rows`` labelled rows of each language."""
+    small_batches(spark)
     rows = docs.where(~held_out(docs)).select(doc_column(docs, "lang", "string").alias("lang"), doc_column(docs, "text", "string").alias("text"))
     rows = rows.where("lang is not null and text is not null")
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy("lang").collect()}
@@ -210,8 +212,7 @@ def identify(spark: SparkSession, docs: DataFrame, fit_rows: int = FIT_ROWS, spa
 
     def labelled(batches):
         m = held.value
-        for batch in batches:
-            texts = batch.column("text").to_pylist()
+        for batch, texts in batched_texts(batches):
             if m is None:
                 found = [("und", 0.0, [])] * len(texts)
             else:
@@ -234,8 +235,7 @@ def keep_known(spark: SparkSession, docs: DataFrame, least: float = 0.3, fit_row
 
     def known(batches):
         m = held.value
-        for batch in batches:
-            texts = batch.column("text").to_pylist()
+        for batch, texts in batched_texts(batches):
             if m is None:
                 keep = [bool(t and WORD.search(t)) for t in texts]
             else:

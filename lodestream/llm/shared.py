@@ -32,6 +32,12 @@ def materialise(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession, rows: int = 1_000, size: str = "8m") -> None:
+    """Bounds what a Python worker holds of its input at once, by rows and by bytes."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+
+
 def doc_column(docs: DataFrame, name: str, kind: str) -> Column:
     """A column of ``docs`` cast to ``kind``, or null where the table lacks it."""
     return (F.col(name) if name in docs.columns else F.lit(None)).cast(kind)
