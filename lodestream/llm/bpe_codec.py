@@ -13,7 +13,7 @@ import regex
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
-from .shared import doc_column, doc_text
+from .shared import doc_column, doc_text, small_batches
 from .tokens import JOINED_SPACE, REMEMBERED, batched_texts
 
 
@@ -183,6 +183,7 @@ def encode_and_decode(spark: SparkSession, docs: DataFrame, rank_path: str, patt
             ids = [np.fromstring(j, np.int64, sep=",") if j else np.zeros(0, np.int64) for j in joined]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(joined, pa.string()), pa.array([len(i) for i in ids]), pa.array([codec.decode(i) for i in ids], pa.binary())], schema=fields)
 
+    small_batches(spark)
     rows = docs.select(doc_column(docs, "doc_id", "long").alias("doc_id"), doc_text(docs).alias("text"))
     return rows.mapInArrow(coded, "doc_id long, ids string, n_tokens long, decoded binary")
 
@@ -201,5 +202,6 @@ def digests(spark: SparkSession, docs: DataFrame, rank_path: str, pattern: str)
                 pa.array([hashlib.sha256(j.encode()).hexdigest() for j in joined]),
                 pa.array([hashlib.sha256(codec.decode(i)).hexdigest() for i in ids])], schema=fields)
 
+    small_batches(spark)
     rows = docs.select(doc_column(docs, "doc_id", "long").alias("doc_id"), doc_text(docs).alias("text"))
     return rows.mapInArrow(coded, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

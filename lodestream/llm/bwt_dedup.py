@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
-from .shared import doc_column, doc_text, materialise
+from .shared import doc_column, doc_text, materialise, small_batches
 from .shingles import _powers, mix
 
 LENGTH = 100
@@ -113,7 +113,8 @@ def repeated_strings(first, last, place, group, rank, data, length: int):
     """(item, string) pairs of those strings of the items that an item of lower rank has, too.
 
     ``data`` holds each item's bytes, from its first string's to its last string's end; items
-    come sorted by ``group``; ``rank`` orders equal strings in the corpus.
+    come sorted by ``group``; ``rank`` orders places in the corpus, and is the
+    same for one place of a row that is there twice.
     """
     n = len(first)
     off_low, off_high = place - last, place - first
@@ -141,7 +142,9 @@ def repeated_strings(first, last, place, group, rank, data, length: int):
         key = name[0] * (n + 1) + name[1]
         by = np.lexsort((rank[has], key))
         key = key[by]
-        again = by[1:][key[1:] == key[:-1]]
+        start = np.concatenate([[True], key[1:] != key[:-1]])
+        least = rank[has[by]][np.flatnonzero(start)][np.cumsum(start) - 1]
+        again = by[rank[has[by]] > least]
         out_item.append(has[again])
         out_string.append(place[has[again]] - o)
     if not out_item:
@@ -197,14 +200,16 @@ def repeated_runs(spark: SparkSession, rows: DataFrame, length: int = LENGTH, gr
                 found += [(whole[q] ^ np.uint64(0x5555), place[i], q, q, text[i]) for q in range(first[i], last[i] + 1)]
             # Of equal items the first goes to its owner; the others repeat it whole.
             order = sorted(range(len(found)), key=lambda j: (d[found[j][4]], th[found[j][4]], found[j][2]))
-            seen, out = set(), []
+            seen, shipped, out = {}, set(), []
             for j in order:
                 key, p, a, b, t = found[j]
                 data = blob[a:b + length]
                 name = (int(key), int(p - a), data)
-                begins = int(begin[t])
-                out.append((int(np.uint64(key).view(np.int64)), int(d[t]), int(th[t]), int(p) - begins, int(a) - begins, int(b) - begins, None if name in seen else data))
-                seen.add(name)
+                begins, own = int(begin[t]), (d[t], th[t], p - begin[t])
+                if seen.setdefault(name, own) == own and name in shipped:
+                    continue  # the same place of a row that is there twice
+                out.append((int(np.uint64(key).view(np.int64)), int(d[t]), int(th[t]), int(p) - begins, int(a) - begins, int(b) - begins, None if name in shipped else data))
+                shipped.add(name)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), [pa.int64()] * 6 + [pa.binary()], strict=True)], ["key", "d", "th", "at", "first", "last", "data"])
 
     def merged(batches):
@@ -216,8 +221,10 @@ def repeated_runs(spark: SparkSession, rows: DataFrame, length: int = LENGTH, gr
                 return None
             key, d, th, at, first, last = (part.column(c).to_numpy() for c in ("key", "d", "th", "at", "first", "last"))
             data = [np.frombuffer(b, np.uint8) for b in part.column("data").to_pylist()]
+            by = np.lexsort((at, th, d))
+            new = np.concatenate([[False], (np.diff(d[by]) != 0) | (np.diff(th[by]) != 0) | (np.diff(at[by]) != 0)])
             rank = np.empty(len(d), np.int64)
-            rank[np.lexsort((first, th, d))] = np.arange(len(d))
+            rank[by] = np.cumsum(new)
             item, string = repeated_strings(first, last, at, key, rank, data, length)
             if not len(item):
                 return None
@@ -258,6 +265,7 @@ def without_repeats(spark: SparkSession, docs: DataFrame, length: int = LENGTH,
     text of fewer than ``length`` bytes stays whole; an empty table gives an empty result;
     extra columns are ignored. Returns doc_id, n_bytes, n_removed, n_spans, kept (binary).
     """
+    small_batches(spark)
     text = doc_text(docs)
     doc_id = doc_column(docs, "doc_id", "long")
     rows = docs.select(doc_id.alias("doc_id"), F.coalesce(doc_id, F.lit(-(2**63))).alias("d"), F.xxhash64(text).alias("th"), text.alias("text"))

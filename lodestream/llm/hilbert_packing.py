@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .shared import doc_column, doc_text, materialise
+from .shared import doc_column, doc_text, materialise, small_batches
 from .tokens import ChunkEncoder, batched_texts
 
 DIMS = 4
@@ -70,6 +70,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(row, row + len(n))), batch.column("doc_id"), pa.array(n), pa.array(coded, pa.binary()), *[pa.array(vectors[:, d].astype(np.float32)) for d in range(DIMS)]], schema=fields)
             row += len(n)
 
+    small_batches(docs.sparkSession)
     rows = docs.select(doc_column(docs, "doc_id", "long").alias("doc_id"), doc_text(docs).alias("text"))
     return materialise(rows.mapInArrow(encoded, "row long, doc_id long, n long, ids binary, " + ", ".join(f"v{d} float" for d in range(DIMS))), "packing-tokens")
 

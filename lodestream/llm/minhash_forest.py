@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from .components import components
-from .shared import doc_column, doc_text, materialise
+from .shared import doc_column, doc_text, materialise, small_batches
 from .shingles import mix, shingle_sets
 from .tokens import batched_texts
 
@@ -47,6 +47,7 @@ def signatures(docs: DataFrame, words: int = 5, trees: int = TREES, depth: int =
             offsets = pa.array(np.arange(0, (len(sets) + 1) * k, k, dtype=np.int32))
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(n), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.ListArray.from_arrays(offsets, pa.array(rows.view(np.int64).ravel()))], schema=fields)
 
+    small_batches(docs.sparkSession)
     rows = docs.select(doc_column(docs, "doc_id", "long").alias("id"), doc_text(docs).alias("text"))
     return materialise(rows.mapInArrow(signed, "id long, n long, set_a long, set_b long, sig array<long>"), "signatures")
 

@@ -8,7 +8,7 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .shared import doc_column, doc_text, materialise
+from .shared import doc_column, doc_text, materialise, small_batches
 
 KINDS = ("email", "ip", "card", "phone")
 #: The base expressions.
@@ -133,6 +133,7 @@ def patterns(spark: SparkSession, docs: DataFrame, rounds: int = ROUNDS, support
     They come to the driver and go to every task: only patterns with ``support`` seeds
     or more and high confidence, some 60 bytes each, and not their instances.
     """
+    small_batches(spark)
     rows = docs.select(doc_text(docs).alias("text"))
 
     def seeds(batches):

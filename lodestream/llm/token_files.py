@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import simple8b
-from .shared import doc_column, doc_text, materialise
+from .shared import doc_column, doc_text, materialise, small_batches
 from .tokens import ChunkEncoder, batched_texts
 
 BLOCK_IDS = 65_536
@@ -52,6 +52,7 @@ def write_token_file(docs: DataFrame, tokenizer_path: str, end_id: int | None) -
         if doc_ids:
             yield row()
 
+    small_batches(docs.sparkSession)
     rows = docs.select(doc_column(docs, "doc_id", "long").alias("doc_id"), doc_text(docs).alias("text"))
     rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     return materialise(rows.mapInArrow(blocks, BLOCKS), "token-file")
