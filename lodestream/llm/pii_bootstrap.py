@@ -120,10 +120,12 @@ def learn(spark: SparkSession, found: DataFrame, rounds: int = ROUNDS, support:
             trust.groupBy("pattern").agg(
                 (F.sum("trust") / (F.count(F.lit(1)) + 1)).alias("confidence"),
                 F.count_if(F.col("kind").isNotNull()).alias("seeds"),
+                F.count_if(F.col("kind").isNull()).alias("unknown"),
                 F.max_by("kind", F.when(F.col("kind").isNotNull(), F.col("trust"))).alias("of_kind")), "pii-patterns")
         spread = graph.join(score, "pattern").groupBy("instance").agg(F.avg("confidence").alias("inferred"))
         trust = graph.join(spread, "instance").select("pattern", "instance", "shape", "kind", F.when(F.col("kind").isNotNull(), F.lit(1.0)).otherwise(F.col("inferred")).alias("trust"))
-    good = score.where((F.col("seeds") >= support) & (F.col("confidence") >= confident)).select("pattern", F.col("of_kind").alias("kind"))
+    # A pattern that stands around seeds only has nothing to find.
+    good = score.where((F.col("seeds") >= support) & (F.col("confidence") >= confident) & (F.col("unknown") > 0)).select("pattern", F.col("of_kind").alias("kind"))
     return good.orderBy("pattern")
 
 
@@ -131,7 +133,8 @@ def patterns(spark: SparkSession, docs: DataFrame, rounds: int = ROUNDS, support
     """The confident patterns of ``docs`` and the kind each marks.
 
     They come to the driver and go to every task: only patterns with ``support`` seeds
-    or more and high confidence, some 60 bytes each, and not their instances.
+    or more, high confidence and an unknown instance, some 60 bytes each, and not their
+    instances.
     """
     small_batches(spark)
     rows = docs.select(doc_text(docs).alias("text"))
