@@ -422,10 +422,10 @@ def interest_walls(spark, sf_dir):
 _PAIRS = f"SELECT underlying, month, strike, max(CASE WHEN option_type = 'CE' THEN premium END) AS call, max(CASE WHEN option_type = 'PE' THEN premium END) AS put, max(spot) AS spot FROM {CHAIN} GROUP BY 1, 2, 3"
 
 
-@query(f"SELECT underlying, month, strike, round(straddle, 5) AS straddle, round(straddle / spot, 5) AS move FROM (SELECT *, call + put AS straddle, row_number() OVER (PARTITION BY underlying, month ORDER BY abs(strike - spot), strike) AS n FROM ({_PAIRS}) WHERE call IS NOT NULL AND put IS NOT NULL) WHERE n = 1")
+@query(f"SELECT underlying, month, strike, round(straddle, 8) AS straddle, round(straddle / spot, 8) AS move FROM (SELECT *, call + put AS straddle, row_number() OVER (PARTITION BY underlying, month ORDER BY abs(strike - spot), strike) AS n FROM ({_PAIRS}) WHERE call IS NOT NULL AND put IS NOT NULL) WHERE n = 1")
 def atm_straddle(spark, sf_dir):
     p = O.paired(T.chain(spark, sf_dir), ["underlying", "month"])
-    return O.at_the_money(p, ["underlying", "month"]).select("underlying", "month", "strike", F.round("straddle", 5).alias("straddle"), F.round("move", 5).alias("move"))
+    return O.at_the_money(p, ["underlying", "month"]).select("underlying", "month", "strike", F.round("straddle", 8).alias("straddle"), F.round("move", 8).alias("move"))
 
 
 def _priced(spark, sf_dir) -> DataFrame:

@@ -69,7 +69,7 @@ class BarState(StatefulProcessor):
         self.means.update((f, s, g, late))
         return dict(zip(("symbol", "bar_s", "open", "high", "low", "close", "volume"), (symbol, *bar), strict=True)) | {"macd": f - s, "signal": g}
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         ticks = pd.concat(rows).sort_values(["ts", "seq"])
         bar = tuple(self.bar.get()) if self.bar.exists() else None
         out = []
@@ -90,7 +90,7 @@ class BarState(StatefulProcessor):
             self.handle.registerTimer((bar[0] + self.seconds) * 1000)
         yield pd.DataFrame(out, columns=[c.split()[0] for c in BARS.split(", ")])
 
-    def handleExpiredTimer(self, key, timers, expired) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         if self.bar.exists():
             out = [self._closed(key[0], tuple(self.bar.get()))]
             self.bar.clear()
