@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from lodestream.functions import pricing
 from lodestream.operators import books, indicators, joins, orderflow
-from lodestream.plans import catalog, more  # noqa: F401  more registers its queries
+from lodestream.plans import catalog, more, studies  # noqa: F401  they register their queries
 
 DIR = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events".split()
