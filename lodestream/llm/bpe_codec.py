@@ -13,7 +13,7 @@ import regex
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
-from .shared import doc_column, doc_text, small_batches
+from .shared import doc_column, doc_text, small_batches, tidily
 from .tokens import JOINED_SPACE, REMEMBERED, batched_texts
 
 
@@ -185,7 +185,7 @@ def encode_and_decode(spark: SparkSession, docs: DataFrame, rank_path: str, patt
 
     small_batches(spark)
     rows = docs.select(doc_column(docs, "doc_id", "long").alias("doc_id"), doc_text(docs).alias("text"))
-    return rows.mapInArrow(coded, "doc_id long, ids string, n_tokens long, decoded binary")
+    return rows.mapInArrow(tidily(coded), "doc_id long, ids string, n_tokens long, decoded binary")
 
 
 def digests(spark: SparkSession, docs: DataFrame, rank_path: str, pattern: str) -> DataFrame:
@@ -204,4 +204,4 @@ def digests(spark: SparkSession, docs: DataFrame, rank_path: str, pattern: str)
 
     small_batches(spark)
     rows = docs.select(doc_column(docs, "doc_id", "long").alias("doc_id"), doc_text(docs).alias("text"))
-    return rows.mapInArrow(coded, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return rows.mapInArrow(tidily(coded), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
-from .shared import doc_column, doc_text, materialise, small_batches
+from .shared import doc_column, doc_text, materialise, small_batches, tidily
 from .shingles import _powers, mix
 
 LENGTH = 100
@@ -161,7 +161,7 @@ def _gram_filter(spark: SparkSession, rows: DataFrame, length: int, gram: int) -
             value, n = np.unique(h, return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), pa.array(n)], ["gram", "n"])
 
-    met = rows.select("text").mapInArrow(grams, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).where("n > 1")
+    met = rows.select("text").mapInArrow(tidily(grams), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).where("n > 1")
     met = materialise(met, "repeated-grams")
     shift = 64 - FILTER_BITS
     slot = F.shiftrightunsigned("gram", shift)
@@ -250,10 +250,10 @@ def repeated_runs(spark: SparkSession, rows: DataFrame, length: int = LENGTH, gr
         if rows_kept and (found := settle(pa.Table.from_batches(kept))) is not None:
             yield found
 
-    found = materialise(rows.mapInArrow(items, _ITEM), "sampled-suffixes")
+    found = materialise(rows.mapInArrow(tidily(items), _ITEM), "sampled-suffixes")
     whole = found.where("data is null").select("d", "th", "first", "last")
     owned = found.where("data is not null").repartition("key").sortWithinPartitions("key")
-    return whole.unionByName(owned.mapInArrow(merged, "d long, th long, first long, last long"))
+    return whole.unionByName(owned.mapInArrow(tidily(merged), "d long, th long, first long, last long"))
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
@@ -293,7 +293,7 @@ def without_repeats(spark: SparkSession, docs: DataFrame, length: int = LENGTH,
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), fields, strict=True)], schema=fields)
 
-    return all_.select("doc_id", "text", "runs", "copy").mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    return all_.select("doc_id", "text", "runs", "copy").mapInArrow(tidily(cut), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
 def digests(cut: DataFrame) -> DataFrame:

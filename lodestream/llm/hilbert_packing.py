@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .shared import doc_column, doc_text, materialise, small_batches
+from .shared import doc_column, doc_text, materialise, small_batches, tidily
 from .tokens import ChunkEncoder, batched_texts
 
 DIMS = 4
@@ -72,7 +72,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame
 
     small_batches(docs.sparkSession)
     rows = docs.select(doc_column(docs, "doc_id", "long").alias("doc_id"), doc_text(docs).alias("text"))
-    return materialise(rows.mapInArrow(encoded, "row long, doc_id long, n long, ids binary, " + ", ".join(f"v{d} float" for d in range(DIMS))), "packing-tokens")
+    return materialise(rows.mapInArrow(tidily(encoded), "row long, doc_id long, n long, ids binary, " + ", ".join(f"v{d} float" for d in range(DIMS))), "packing-tokens")
 
 
 def along_curve(tokens: DataFrame) -> DataFrame:
@@ -101,8 +101,8 @@ def along_curve(tokens: DataFrame) -> DataFrame:
                 before = int(ends[-1])
 
     # The key file is written, so that range bounds are drawn from the rows that are then dealt.
-    keys = materialise(tokens.select("row", "n", *[f"v{d}" for d in range(DIMS)]).mapInArrow(keyed, "row long, n long, key long"), "packing-keys")
-    order = materialise(keys.repartitionByRange("key", "row").sortWithinPartitions("key", "row").mapInArrow(summed, "row long, shard int, before long, n long"), "packing-order")
+    keys = materialise(tokens.select("row", "n", *[f"v{d}" for d in range(DIMS)]).mapInArrow(tidily(keyed), "row long, n long, key long"), "packing-keys")
+    order = materialise(keys.repartitionByRange("key", "row").sortWithinPartitions("key", "row").mapInArrow(tidily(summed), "row long, shard int, before long, n long"), "packing-order")
     bases, base = [], 0
     for r in order.groupBy("shard").agg(F.sum("n").alias("n")).orderBy("shard").collect():  # a row for each part of the curve
         bases.append((r["shard"], base))
@@ -137,7 +137,7 @@ def pack(spark: SparkSession, docs: DataFrame, tokenizer_path: str, end_id: int
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), fields, strict=True)], schema=fields)
 
-    return placed.mapInArrow(pieces, "doc_id long, row long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
+    return placed.mapInArrow(tidily(pieces), "doc_id long, row long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
 
 
 def padding(n_tokens: int, length: int = LENGTH) -> int:

@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .shared import doc_column, small_batches
+from .shared import doc_column, small_batches, tidily
 from .tokens import batched_texts
 
 #: Labelled rows that the model is fitted on at most, per language: those with the smallest hashes of text.
@@ -19,7 +19,9 @@ SLOTS = 1 << 16
 GRAMS = (1, 2, 3, 4)
 #: Natural-log cost of a change of language between two words, and the most that one word may say.
 SWITCH, MOST = 12.0, 6.0
-REMEMBERED = 250_000
+REMEMBERED = 100_000
+#: Characters labelled at once.
+MOST_CHARS = 500_000
 #: First and last code point of the scripts told apart.
 SCRIPTS = {
     "latin": [(0x41, 0x5A), (0x61, 0x7A), (0xAA, 0xAA), (0xBA, 0xBA), (0xC0, 0x24F), (0x1E00, 0x1EFF)],
@@ -83,8 +85,8 @@ class Model:
         self.scores = np.concatenate([self.scores[:at], s.astype(np.float32)])
         self.known.update(zip(new, range(at, at + len(new)), strict=True))
 
-    def forget(self) -> None:
-        if len(self.known) > REMEMBERED:
+    def forget(self, most: int = REMEMBERED) -> None:
+        if len(self.known) > most:
             self.known, self.scores = {}, self.scores[:0]
 
     def path(self, words: list[str]) -> np.ndarray:
@@ -212,7 +214,7 @@ def identify(spark: SparkSession, docs: DataFrame, fit_rows: int = FIT_ROWS, spa
 
     def labelled(batches):
         m = held.value
-        for batch, texts in batched_texts(batches):
+        for batch, texts in batched_texts(batches, MOST_CHARS):
             if m is None:
                 found = [("und", 0.0, [])] * len(texts)
             else:
@@ -221,9 +223,11 @@ def identify(spark: SparkSession, docs: DataFrame, fit_rows: int = FIT_ROWS, spa
             if spans:
                 columns.append(pa.array([[{"start": a, "end": b, "lang": c} for a, b, c in f[2]] for f in found], span))
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "held_out", "lang_pred", "score", "spans"][:len(columns)])
+        if m is not None:
+            m.forget(0)
 
     rows = docs.select(doc_column(docs, "doc_id", "long").alias("doc_id"), held_out(docs).alias("held_out"), doc_column(docs, "text", "string").alias("text"))
-    return rows.mapInArrow(labelled, kinds)
+    return rows.mapInArrow(tidily(labelled), kinds)
 
 
 def keep_known(spark: SparkSession, docs: DataFrame, least: float = 0.3, fit_rows: int = FIT_ROWS) -> DataFrame:
@@ -235,11 +239,13 @@ def keep_known(spark: SparkSession, docs: DataFrame, least: float = 0.3, fit_row
 
     def known(batches):
         m = held.value
-        for batch, texts in batched_texts(batches):
+        for batch, texts in batched_texts(batches, MOST_CHARS):
             if m is None:
                 keep = [bool(t and WORD.search(t)) for t in texts]
             else:
                 keep = [lang != "und" and score >= least for lang, score, _ in m.label(texts, False)]
             yield batch.filter(pa.array(keep, pa.bool_()))
+        if m is not None:
+            m.forget(0)
 
-    return docs.mapInArrow(known, docs.schema)
+    return docs.mapInArrow(tidily(known), docs.schema)

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from .components import components
-from .shared import doc_column, doc_text, materialise, small_batches
+from .shared import doc_column, doc_text, materialise, small_batches, tidily
 from .shingles import mix, shingle_sets
 from .tokens import batched_texts
 
@@ -49,7 +49,7 @@ def signatures(docs: DataFrame, words: int = 5, trees: int = TREES, depth: int =
 
     small_batches(docs.sparkSession)
     rows = docs.select(doc_column(docs, "doc_id", "long").alias("id"), doc_text(docs).alias("text"))
-    return materialise(rows.mapInArrow(signed, "id long, n long, set_a long, set_b long, sig array<long>"), "signatures")
+    return materialise(rows.mapInArrow(tidily(signed), "id long, n long, set_a long, set_b long, sig array<long>"), "signatures")
 
 
 def candidates(reps: DataFrame, trees: int = TREES, depth: int = DEPTH, from_depth: int = FROM_DEPTH, region: int = REGION) -> DataFrame:
@@ -123,7 +123,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, words: int = 5, threshold: int
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["a", "b"])
 
-    return rows.mapInArrow(compared, "a long, b long").distinct()
+    return rows.mapInArrow(tidily(compared), "a long, b long").distinct()
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, words: int = 5, threshold: int = THRESHOLD) -> DataFrame:

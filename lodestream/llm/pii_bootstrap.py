@@ -8,7 +8,7 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .shared import doc_column, doc_text, materialise, small_batches
+from .shared import doc_column, doc_text, materialise, small_batches, tidily
 
 KINDS = ("email", "ip", "card", "phone")
 #: The base expressions.
@@ -150,7 +150,7 @@ def patterns(spark: SparkSession, docs: DataFrame, rounds: int = ROUNDS, support
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.string(), pa.int64(), pa.string(), pa.string()), strict=True)], ["pattern", "instance", "shape", "kind"])
 
     telling = F.col("text").contains("@") | F.col("text").rlike("[0-9]")
-    found = rows.where(telling).mapInArrow(seeds, "pattern string, instance long, shape string, kind string")
+    found = rows.where(telling).mapInArrow(tidily(seeds), "pattern string, instance long, shape string, kind string")
     return {r["pattern"]: r["kind"] for r in learn(spark, found, rounds, support, confident).toLocalIterator()}
 
 
@@ -185,7 +185,7 @@ def extract(spark: SparkSession, docs: DataFrame, rounds: int = ROUNDS, support:
 
     spans_type = "array<struct<kind:string,start:int,end:int>>"
     rows = docs.select(doc_column(docs, "doc_id", "long").alias("doc_id"), doc_text(docs).alias("text"))
-    return rows.mapInArrow(found, f"doc_id long, base {spans_type}, added {spans_type}")
+    return rows.mapInArrow(tidily(found), f"doc_id long, base {spans_type}, added {spans_type}")
 
 
 def joined(spans):
@@ -227,4 +227,4 @@ def redacted(spark: SparkSession, docs: DataFrame) -> DataFrame:
                 batch = batch.set_column(i, field, pa.array([None if t is None else len(t) for t in texts]).cast(field.type))
             yield batch
 
-    return docs.mapInArrow(replaced, docs.schema)
+    return docs.mapInArrow(tidily(replaced), docs.schema)

@@ -71,4 +71,14 @@ SQL = {
              g AS (SELECT norm, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY norm)
         SELECT d.doc_id, g.keep_id, g.group_size, d.doc_id = g.keep_id AS kept, sha256(d.norm) AS text_sha256
         FROM d JOIN g ON d.norm = g.norm""",
+    "op1_minhash_forest": rf"""
+        WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array({_NORM}, '[\x20\x09-\x0D]+'), lambda x: x != '') AS ws FROM documents),
+             s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) >= 5 THEN list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS sh FROM w),
+             n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+             k AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id < b.doc_id GROUP BY 1, 2),
+             l AS (SELECT a, b FROM k JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 75 * (x.n + y.n - k)),
+             e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+             r AS (SELECT doc_id AS node, doc_id AS reached FROM documents UNION SELECT r.node, e.b FROM r JOIN e ON e.a = r.reached)
+        SELECT r.node AS doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(r.reached) AS component_id, r.node = min(r.reached) AS kept
+        FROM r LEFT JOIN n ON n.doc_id = r.node GROUP BY r.node""",
 }

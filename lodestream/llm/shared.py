@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 
@@ -38,6 +41,23 @@ def small_batches(spark: SparkSession, rows: int = 1_000, size: str = "8m") -> N
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 
+def tidily(f):
+    """``f`` over batches, after which the worker gives back the memory it has freed: workers live on from stage to stage."""
+
+    def run(batches):
+        try:
+            yield from f(batches)
+        finally:
+            import pyarrow as pa
+
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return run
+
+
 def doc_column(docs: DataFrame, name: str, kind: str) -> Column:
     """A column of ``docs`` cast to ``kind``, or null where the table lacks it."""
     return (F.col(name) if name in docs.columns else F.lit(None)).cast(kind)

@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import simple8b
-from .shared import doc_column, doc_text, materialise, small_batches
+from .shared import doc_column, doc_text, materialise, small_batches, tidily
 from .tokens import ChunkEncoder, batched_texts
 
 BLOCK_IDS = 65_536
@@ -55,7 +55,7 @@ def write_token_file(docs: DataFrame, tokenizer_path: str, end_id: int | None) -
     small_batches(docs.sparkSession)
     rows = docs.select(doc_column(docs, "doc_id", "long").alias("doc_id"), doc_text(docs).alias("text"))
     rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    return materialise(rows.mapInArrow(blocks, BLOCKS), "token-file")
+    return materialise(rows.mapInArrow(tidily(blocks), BLOCKS), "token-file")
 
 
 def read_token_file(spark: SparkSession, file: DataFrame) -> DataFrame:
@@ -78,7 +78,7 @@ def read_token_file(spark: SparkSession, file: DataFrame) -> DataFrame:
                 first = batch.column("base")[i].as_py() + batch.column("before")[i].as_py()
                 yield pa.RecordBatch.from_arrays([pa.array(r["doc_ids"], pa.int64()), pa.array(starts + first), pa.array(ends - starts), pa.array([ids[a:b].tobytes() for a, b in zip(starts, ends, strict=True)], pa.binary())], schema=fields)
 
-    return placed.select("doc_ids", "lengths", "words", "escapes", "n_ids", "before", "base").mapInArrow(documents, "doc_id long, start long, n_tokens long, ids binary")
+    return placed.select("doc_ids", "lengths", "words", "escapes", "n_ids", "before", "base").mapInArrow(tidily(documents), "doc_id long, start long, n_tokens long, ids binary")
 
 
 def token_files(spark: SparkSession, docs: DataFrame, tokenizer_path: str, end_id: int | None = 2) -> DataFrame:
