@@ -14,7 +14,10 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
 from .shared import doc_column, doc_text, small_batches, tidily
-from .tokens import JOINED_SPACE, REMEMBERED, batched_texts
+from .tokens import JOINED_SPACE, batched_texts
+
+#: Chunks in each of a worker's two tables.
+REMEMBERED = 250_000
 
 
 class PerfectHash:

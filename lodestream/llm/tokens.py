@@ -12,7 +12,9 @@ import re
 from array import array
 
 #: Chunks in each of a worker's two tables; when the younger is full, it becomes the older, and the older goes.
-REMEMBERED = 250_000
+REMEMBERED = 550_000
+#: A mark after a word of letters only is a token of its own for either pre-tokenizer.
+MARKS = frozenset(".,;:!?")
 #: A space between white spaces, or after one at the end: the pre-tokenizer joins these.
 JOINED_SPACE = re.compile(r"\s (?:\s|\Z)")
 #: Python splits at these, the tokenizer doesn't.
@@ -33,6 +35,8 @@ class ChunkEncoder:
         self.drops_space = bool(self.tokenizer.model.end_of_word_suffix)
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
+        marks = sorted(MARKS)
+        self.marks = dict(zip(marks, self._whole(marks), strict=True))
 
     @classmethod
     def open(cls, path: str) -> ChunkEncoder:
@@ -62,7 +66,13 @@ class ChunkEncoder:
             known.update(zip(met, map(older.__getitem__, met), strict=True))
             new = [c for c in new if c not in older]
         if new:
+            marked = [c for c in new if c[-1:] in MARKS and c[:-1].isalpha()]
+            if marked:
+                stems = {c[:-1] for c in marked}.union(new).difference(marked, known)
+                new = [c for c in stems if c not in older]
+                known.update({c: older[c] for c in stems if c in older})
             known.update(zip(new, self._whole(new if self.drops_space else [" " + c for c in new]), strict=True))
+            known.update({c: known[c[:-1]] + self.marks[c[-1]] for c in marked})
         odd = [t for t, c in zip(texts, split, strict=True) if c is None]
         whole = iter(self._whole(odd) if odd else [])
         heads = iter([])
