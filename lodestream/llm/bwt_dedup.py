@@ -5,7 +5,7 @@ The suffixes that take part begin at minimizers: in every string of ``LENGTH`` b
 equal strings meet at their sampled suffix: they agree on the bytes before it and on those
 behind it. A shard (a batch of a task) sorts nothing but names: it ships, per sampled suffix,
 its bytes and the block that precedes it, which is the transform's column widened from one
-byte to a block, and of equal ones the first only.
+byte to a block, and of equal ones the first only; the others repeat it whole.
 
 An owner task gets all suffixes of a range of first symbols (a symbol is a gram) and merges
 the shards' runs by refining their interleave, eight bytes a round: only suffixes still tied
@@ -21,6 +21,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from .shared import doc_column, doc_text, materialise, small_batches, tidily
@@ -183,6 +184,7 @@ def repeated_runs(spark: SparkSession, rows: DataFrame, length: int = LENGTH, gr
 
     def items(batches):
         bits, crowded = held.value
+        seen: dict[bytes, tuple] = {}  # of what the shard has shipped, the first place
         for batch, raw, ends in _batches(batches):
             h, place, first, last, text, whole = anchors(raw, ends, length, gram)
             slot = h >> np.uint64(64 - FILTER_BITS)
@@ -200,20 +202,33 @@ def repeated_runs(spark: SparkSession, rows: DataFrame, length: int = LENGTH, gr
                 found += [(whole[q] ^ np.uint64(0x5555), place[i], q, q, text[i]) for q in range(first[i], last[i] + 1)]
             # Of equal items the first goes to its owner; the others repeat it whole.
             order = sorted(range(len(found)), key=lambda j: (d[found[j][4]], th[found[j][4]], found[j][2]))
-            seen, shipped, out = {}, set(), []
+            out, again = [], []
             for j in order:
                 key, p, a, b, t = found[j]
                 data = blob[a:b + length]
-                name = (int(key), int(p - a), data)
+                name = hashlib.blake2b(data + int(p - a).to_bytes(4, "little"), digest_size=16).digest()
                 begins, own = int(begin[t]), (d[t], th[t], p - begin[t])
-                if seen.setdefault(name, own) == own and name in shipped:
-                    continue  # the same place of a row that is there twice
-                out.append((int(np.uint64(key).view(np.int64)), int(d[t]), int(th[t]), int(p) - begins, int(a) - begins, int(b) - begins, None if name in shipped else data))
-                shipped.add(name)
+                before = seen.get(name)
+                if before is None or own < before:
+                    seen[name] = own
+                    out.append((int(np.uint64(key).view(np.int64)), int(d[t]), int(th[t]), int(p) - begins, int(a) - begins, int(b) - begins, data))
+                elif own > before:  # if equal, it is the same place of a row that is there twice
+                    again.append((int(d[t]), int(th[t]), int(a) - begins, int(b) - begins))
+            whole_d = whole_th = whole_a = whole_b = None
+            for one in [*sorted(again), (None, None, 0, 0)]:  # neighbours become one run
+                if (one[0], one[1]) == (whole_d, whole_th) and whole_d is not None and one[2] <= whole_b + 1:
+                    whole_b = max(whole_b, one[3])
+                    continue
+                if whole_d is not None:
+                    out.append((whole_th, whole_d, whole_th, whole_a, whole_a, whole_b, None))
+                whole_d, whole_th, whole_a, whole_b = one
+            if not out:
+                continue
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), [pa.int64()] * 6 + [pa.binary()], strict=True)], ["key", "d", "th", "at", "first", "last", "data"])
 
     def merged(batches):
         def settle(part: pa.Table):
+            part = part.filter(pc.is_valid(part.column("data")))
             key = part.column("key").to_numpy()
             _, which, n = np.unique(key, return_inverse=True, return_counts=True)
             part = part.filter(pa.array(n[which] > 1))
@@ -237,6 +252,9 @@ def repeated_runs(spark: SparkSession, rows: DataFrame, length: int = LENGTH, gr
         kept: list[pa.RecordBatch] = []
         rows_kept = 0
         for batch in batches:
+            known = pc.is_null(batch.column("data"))
+            if pc.any(known).as_py():
+                yield batch.filter(known).select(["d", "th", "first", "last"])
             kept.append(batch)
             rows_kept += batch.num_rows
             if rows_kept >= OWNED:
@@ -250,10 +268,8 @@ def repeated_runs(spark: SparkSession, rows: DataFrame, length: int = LENGTH, gr
         if rows_kept and (found := settle(pa.Table.from_batches(kept))) is not None:
             yield found
 
-    found = materialise(rows.mapInArrow(tidily(items), _ITEM), "sampled-suffixes")
-    whole = found.where("data is null").select("d", "th", "first", "last")
-    owned = found.where("data is not null").repartition("key").sortWithinPartitions("key")
-    return whole.unionByName(owned.mapInArrow(tidily(merged), "d long, th long, first long, last long"))
+    owned = rows.mapInArrow(tidily(items), _ITEM).repartition("key").sortWithinPartitions("key")
+    return owned.mapInArrow(tidily(merged), "d long, th long, first long, last long")
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
