@@ -103,7 +103,8 @@ def interleave(blocks: np.ndarray, order: np.ndarray, group: np.ndarray) -> tupl
         differ = np.zeros(len(word), np.uint64)
         differ[1:] = word[1:] ^ word[:-1]
         lead = np.zeros(len(word), np.int64)
-        lead[parted] = 7 - (np.log2(differ[parted].astype(np.float64) * (1 - 1e-15)).astype(np.int64) >> 3)
+        for k in range(1, 8):  # in integers: a logarithm rounds where one bit differs
+            lead[parted] += differ[parted] < np.uint64(1 << 8 * k)
         common[at[parted]] = 8 * r + lead[parted]
         tied[at] = same
     common[tied] = 8 * rounds

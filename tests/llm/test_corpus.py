@@ -390,6 +390,27 @@ def test_repeats_that_overlap_and_crowd(spark, monkeypatch, crowded):
     check_repeats(spark, spark.createDataFrame(rows, "doc_id long, text string"))
 
 
+def test_common_prefixes_in_every_bit():
+    """Two words that part in one bit agree in the bytes before it, wherever it is."""
+    for bit in range(64):
+        for rest in (0, 0x6262626262626262):
+            words = np.array([[rest], [rest ^ (1 << bit)]], np.uint64)
+            _, common = bwt_dedup.interleave(words, np.arange(2), np.zeros(2, np.int64))
+            assert common.tolist() == [0, 7 - bit // 8]
+
+
+def test_repeats_of_almost_a_string(spark):
+    """Letters that differ in their last bit, and passages of 99 and 100 bytes with the same letters behind the one that differs."""
+    rng = np.random.default_rng(17)
+    word = lambda n: "".join(rng.choice(list("bc"), n))
+    rows = []
+    for i in range(80):
+        passage, size = word(100), 99 + i % 2
+        head, end = passage[:size], word(2)
+        rows += [(2 * i, word(20) + head + "b" + end), (2 * i + 1, word(30) + head + "c" + end)]
+    check_repeats(spark, spark.createDataFrame(rows, "doc_id long, text string"))
+
+
 def test_repeats_odd_rows(spark, odd, empty):
     twin = spark.createDataFrame([(5, LONG, "x"), (5, LONG, "x"), (None, LONG[:5000], "x")], "doc_id long, text string, data string")
     got = sorted(((r["doc_id"] or -1), r["n_removed"]) for r in bwt_dedup.without_repeats(spark, twin).collect())
