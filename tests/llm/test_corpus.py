@@ -96,6 +96,22 @@ def test_forest_in_a_crowd_of_near_copies(spark, monkeypatch):
     check_forest(spark, spark.createDataFrame(rows, "doc_id long, text string"))
 
 
+def test_forest_in_a_crowd_below_the_threshold(spark, monkeypatch):
+    """All of a templated crowd are alike at 0.70, planted pairs at 0.76 or so; no two neighbours need be a pair."""
+    rows, pairs = [], {}
+    for d in range(400):
+        own = [f"o{d}_{i}" for i in range(42)]
+        if d % 10 == 1:
+            own = [f"o{d - 1}_{i}" for i in range(10)] + own[10:]
+            pairs[d] = d - 1
+        rows.append((d * 7919 % 10_007, " ".join([*(f"w{i}" for i in range(200)), *own])))
+    monkeypatch.setattr(minhash_forest, "BLOCK", 64, raising=False)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    at = {r["doc_id"]: r["component_id"] for r in minhash_forest.near_duplicates(spark, df).collect()}
+    sets = {i: shingle_set(t) for i, t in texts(df).items()}
+    assert at == linked(sets) and len(set(at.values())) == 400 - len(pairs)
+
+
 def test_forest_odd_rows(spark, odd, empty):
     got = {(r["doc_id"], r["n_shingles"]): (r["component_id"], r["kept"]) for r in minhash_forest.near_duplicates(spark, odd).collect()}
     assert got[(7, 2)] == (2, False) and got[(2, 2)] == (2, True)
