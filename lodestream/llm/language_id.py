@@ -9,10 +9,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .shared import doc_column, small_batches, tidily
+from .shared import doc_column, materialise, small_batches, tidily
 from .tokens import batched_texts
 
-#: Labelled rows that the model is fitted on at most, per language: those with the smallest hashes of text.
+#: Labelled rows that the model is fitted on at most, per language: distinct texts, those with the smallest hashes.
 FIT_ROWS = 600
 #: Hash table of character n-grams; the model's size is SLOTS x languages, whatever the corpus.
 SLOTS = 1 << 16
@@ -150,20 +150,33 @@ def held_out(docs: DataFrame):
 
 
 def fit(spark: SparkSession, docs: DataFrame, fit_rows: int = FIT_ROWS) -> Model | None:
-    """Naive Bayes over hashed character n-grams, from at most ``fit_rows`` labelled rows of each language."""
+    """Naive Bayes over hashed character n-grams, from at most ``fit_rows`` distinct labelled texts of each language."""
     small_batches(spark)
     rows = docs.where(~held_out(docs)).select(doc_column(docs, "lang", "string").alias("lang"), doc_column(docs, "text", "string").alias("text"))
     rows = rows.where("lang is not null and text is not null")
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy("lang").collect()}
+    rows = rows.withColumn("h", F.xxhash64("text"))
+    # Copies count once: the sample is of distinct texts, whatever the number of rows.
+    distinct = materialise(rows.select("lang", "h").distinct(), "labelled-texts")
+    counts = {r["lang"]: r["n"] for r in distinct.groupBy("lang").agg(F.count("*").alias("n")).orderBy("lang").collect()}
     if not counts:
         return None
-    # About half as many again as are needed, by hash; the limit then holds exactly.
-    part = F.pmod(F.xxhash64("text"), F.lit(1 << 40)) / float(1 << 40)
-    share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, 1.5 * fit_rows / n))])
-    taken = None
+    # About half as many again as are needed, by hash; where too few come out, a larger share. The limit then holds exactly.
+    part = F.pmod("h", F.lit(1 << 40)) / float(1 << 40)
+    shares = {lang: min(1.0, 1.5 * fit_rows / n) for lang, n in counts.items()}
+    while True:
+        share = F.create_map(*[F.lit(x) for pair in shares.items() for x in pair])
+        some = distinct.where(part < F.element_at(share, F.col("lang")))
+        got = {r["lang"]: r["n"] for r in some.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+        short = [lang for lang, n in counts.items() if got.get(lang, 0) < min(fit_rows, n)]
+        if not short:
+            break
+        shares |= {lang: min(1.0, 4 * shares[lang]) for lang in short}
+    chosen = None
     for lang in counts:
-        some = rows.where((F.col("lang") == lang) & (part < F.element_at(share, F.col("lang")))).orderBy(F.xxhash64("text")).limit(fit_rows)
-        taken = some if taken is None else taken.unionByName(some)
+        one = some.where(F.col("lang") == lang).orderBy(part, "h").limit(fit_rows)
+        chosen = one if chosen is None else chosen.unionByName(one)
+    chosen = materialise(chosen, "fit-texts")
+    taken = rows.join(F.broadcast(chosen), ["lang", "h"], "left_semi").groupBy("lang", "h").agg(F.min("text").alias("text"))
 
     def grams(batches):
         for batch in batches:

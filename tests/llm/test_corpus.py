@@ -174,6 +174,16 @@ def test_language_spans_of_mixed_text(spark):
     assert [s[2] for s in spans] == ["en", "de"] and abs(spans[1][0] - 1500) < 120
 
 
+def test_language_of_few_texts_copied_often(spark):
+    """Copies change nothing: the model is that of the distinct texts, and no language goes without."""
+    rng = np.random.default_rng(2)
+    word = lambda letters: "".join(rng.choice(list(letters), 5))
+    once = [(lang, " ".join(word(letters) for _ in range(12))) for lang, letters in (("aa", "abcdef"), ("bb", "uvwxyz")) for _ in range(5)]
+    rows = [(4 * i, text, lang) for i, (lang, text) in enumerate(once * 4_000)]
+    models = [language_id.fit(spark, spark.createDataFrame(r, "doc_id long, text string, lang string")) for r in (rows, rows[:400])]
+    assert (models[0].weights == models[1].weights).all() and len(np.unique(models[0].weights[:, 0])) > 1 < len(np.unique(models[0].weights[:, 1]))
+
+
 def slow_path(scores):
     best, back = scores[0].copy(), []
     for s in scores[1:]:
