@@ -8,9 +8,11 @@ from .shared import doc_column, materialise
 
 #: (host, path, verdict) of the registered query. A rule fits its host and all subdomains.
 RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
+#: Rounds between two looks at how far ranks still move, and the share of any host's rank at which they have settled.
 ROUNDS = 8
+SETTLED = 1e-9
 DAMPING = 0.85
-LINK = r"(?i)(?:href|src)\s*=\s*[\"']?([a-z][a-z0-9+.-]*://[^\"'\s<>]+)"
+LINK = r"(?i)(?:href|src)\s*=\s*[\"']?((?:[a-z][a-z0-9+.-]*:)?//[^\"'\s<>]+)"
 _LOWER = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
@@ -41,14 +43,16 @@ def rule_columns(host: Column, path: Column, rules: list[tuple[str, str, str]])
 def host_edges(pages: DataFrame) -> DataFrame:
     """(src, dst, weight): links from pages of one host to another host, counted before they are shuffled."""
     url, html = doc_column(pages, "url", "string"), doc_column(pages, "html", "string")
-    linking = pages.where(html.contains("://")).select(host_of(url).alias("src"), F.explode(F.regexp_extract_all(html, F.lit(LINK), 1)).alias("link"))
-    edges = linking.select("src", host_of(F.col("link")).alias("dst")).where("src != '' and dst != '' and src != dst")
+    linking = pages.where(html.contains("//")).select(host_of(url).alias("src"), F.explode(F.regexp_extract_all(html, F.lit(LINK), 1)).alias("link"))
+    edges = linking.select("src", host_of(F.when(F.col("link").startswith("//"), F.concat(F.lit("http:"), "link")).otherwise(F.col("link"))).alias("dst")).where("src != '' and dst != '' and src != dst")
     return edges.groupBy("src", "dst").agg(F.count(F.lit(1)).cast("double").alias("weight"))
 
 
 def personalised_rank(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING, cut_every: int = 4) -> DataFrame:
     """(host, rank) by power iteration from ``seeds`` (host, seed): mass jumps back to the seeds in proportion.
 
+    Every ``rounds`` rounds it ends if no host's rank has moved by more than the share
+    ``SETTLED``; a host just reached has moved by all of it, so no chain is cut short.
     Mass at hosts without links is lost, as if it left the table. The edges are laid
     out once by source; each round joins, and sums by target, with partial sums first,
     so that a host with very many links into it is no hot key. Lineage is cut by
@@ -57,12 +61,21 @@ def personalised_rank(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS,
     total = seeds.agg(F.sum("seed")).first()[0] or 0.0
     start = seeds.select("host", (F.col("seed") / F.lit(total or 1.0)).alias("jump"))
     rank = start.select("host", F.col("jump").alias("rank"))
-    for i in range(rounds):
+    seen = rank
+    i = 0
+    while True:
         sent = edges.join(rank, edges.src == rank.host).groupBy("dst").agg(F.sum(F.col("share") * F.col("rank")).alias("got"))
         rank = sent.select(F.col("dst").alias("host"), (F.col("got") * damping).alias("rank")).unionByName(
             start.select("host", (F.col("jump") * (1 - damping)).alias("rank"))).groupBy("host").agg(F.sum("rank").alias("rank"))
-        if i % cut_every == cut_every - 1 or i == rounds - 1:
+        i += 1
+        if i % cut_every == 0 or i % rounds == 0:
             rank = materialise(rank, "host-rank")
+        if i % rounds == 0:
+            both = rank.join(seen.select("host", F.col("rank").alias("was")), "host", "left")
+            moved = both.agg(F.max(F.abs(F.col("rank") - F.coalesce("was", F.lit(0.0))) - SETTLED * F.col("rank"))).first()[0]
+            if moved is None or moved <= 0:
+                break
+            seen = rank
     return rank
 
 

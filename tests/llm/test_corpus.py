@@ -233,6 +233,13 @@ def test_url_rules_and_ranks(spark, empty):
     assert url_trust.judge(spark, pages.limit(0)).count() == 0
 
 
+def test_url_links_without_scheme_and_long_chains(spark):
+    """Twelve links, each without a scheme, lead to a blocked host; its distrust goes all the way back."""
+    pages = [(i, f"http://h{i}.net/", f"<a href='//h{i + 1}.net/x'>n</a>") for i in range(12)] + [(12, "http://h12.net/", '<a href="http://bad.com/de/1">b</a>'), (13, "http://bad.com/de/1", "")]
+    rows = {r["page_id"]: r for r in url_trust.judge(spark, spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert all(rows[i]["verdict"] == "block" and abs(rows[i]["distrust"] - 0.15 * 0.85 ** (13 - i)) < 1e-12 for i in range(14))
+
+
 def test_fingerprints(spark, docs, odd, empty):
     want = sorted(texts(docs).items())
     got = {r["doc_id"]: r for r in bottomk.fingerprints(spark, docs).collect()}
