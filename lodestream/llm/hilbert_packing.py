@@ -10,7 +10,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .shared import doc_column, doc_text, materialise, small_batches, tidily
-from .tokens import ChunkEncoder, batched_texts
+from .tokens import ChunkEncoder, as_binary, slices
 
 DIMS = 4
 BITS = 10
@@ -61,13 +61,10 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame
     def encoded(batches):
         encoder, row = ChunkEncoder.open(tokenizer_path), TaskContext.get().partitionId() << 36
         table = directions(max(encoder.tokenizer.get_vocab_size(), end_id + 1))
-        end = np.array([end_id], "<u4").tobytes()
-        for batch, texts in batched_texts(batches):
-            coded = [c + end for c in encoder.encode(texts)]
-            n = np.array([len(c) // 4 for c in coded])
-            ids = np.frombuffer(b"".join(coded), "<u4")
+        for batch in slices(batches):
+            ids, n = encoder.encode_with_end(batch.column("text"), end_id)
             vectors = np.add.reduceat(table[ids], np.cumsum(n) - n, axis=0) / np.sqrt(n)[:, None]
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(row, row + len(n))), batch.column("doc_id"), pa.array(n), pa.array(coded, pa.binary()), *[pa.array(vectors[:, d].astype(np.float32)) for d in range(DIMS)]], schema=fields)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(row, row + len(n))), batch.column("doc_id"), pa.array(n), as_binary(ids, n), *[pa.array(vectors[:, d].astype(np.float32)) for d in range(DIMS)]], schema=fields)
             row += len(n)
 
     small_batches(docs.sparkSession)

@@ -79,3 +79,22 @@ def decode(words: bytes, escapes: bytes, n: int, first_word: int = 0, first_id:
         here = (at >= 0) & (at < len(out))
         out[at[here]] = where[here, 1]
     return out
+
+
+def decode_range(words: bytes, offsets: bytes, escapes: bytes, n: int, start: int, stop: int) -> np.ndarray:
+    """Ids ``start`` to ``stop`` of the ``n`` of a block; the offsets tell which strides of words hold them."""
+    begins = np.frombuffer(offsets, "<u4").astype(np.int64)
+    start, stop = max(0, start), min(stop, n)
+    if start >= stop:
+        return np.zeros(0, np.uint64)
+    a, b = int(np.searchsorted(begins, start, side="right")) - 1, int(np.searchsorted(begins, stop, side="left"))
+    first, last = int(begins[a]), n if b == len(begins) else int(begins[b])
+    part = words[8 * STRIDE * a:] if b == len(begins) else words[8 * STRIDE * a:8 * STRIDE * b]
+    return decode(part, escapes, last - first, first_id=first)[start - first:stop - first]
+
+
+def decode_by_offsets(words: bytes, offsets: bytes, escapes: bytes, n: int, strides: int = 64) -> np.ndarray:
+    """All ``n`` ids of a block, so many strides of words at a time, which bounds the arrays that decoding needs."""
+    begins = np.frombuffer(offsets, "<u4").astype(np.int64)
+    cuts = [*begins[::strides].tolist(), n]
+    return np.concatenate([decode_range(words, offsets, escapes, n, a, b) for a, b in zip(cuts[:-1], cuts[1:], strict=True)] or [np.zeros(0, np.uint64)])

@@ -8,8 +8,6 @@ So a block is decoded without its neighbours, and a lost task is written again w
 
 from __future__ import annotations
 
-import zlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
@@ -17,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import simple8b
 from .shared import doc_column, doc_text, materialise, small_batches, tidily
-from .tokens import ChunkEncoder, batched_texts
+from .tokens import ChunkEncoder, as_binary, slices
 
 BLOCK_IDS = 65_536
 BLOCKS = "shard int, block int, before long, n_ids long, doc_ids array<long>, lengths array<int>, words binary, offsets binary, escapes binary"
@@ -29,26 +27,27 @@ def write_token_file(docs: DataFrame, tokenizer_path: str, end_id: int | None) -
 
     def blocks(batches):
         encoder, shard = ChunkEncoder.open(tokenizer_path), TaskContext.get().partitionId()
-        end = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
         block = before = held = 0
-        ids, doc_ids, lengths = [], [], []
+        parts, doc_ids, lengths = [], [], []
 
         def row():
-            joined = np.frombuffer(b"".join(ids), "<u4")
+            joined = np.concatenate(parts)
             words, offsets, escapes = simple8b.encode(joined)
             return pa.RecordBatch.from_pylist([{"shard": shard, "block": block, "before": before, "n_ids": len(joined), "doc_ids": doc_ids, "lengths": lengths, "words": words, "offsets": offsets, "escapes": escapes}], _BLOCKS)
 
-        for batch, texts in batched_texts(batches):
-            for doc, coded in zip(batch.column("doc_id").to_pylist(), encoder.encode(texts), strict=True):
-                coded += end
-                if held and held + len(coded) // 4 > BLOCK_IDS:
+        for batch in slices(batches):
+            ids, counts = encoder.encode_with_end(batch.column("text"), end_id)
+            done = at = 0
+            for doc, n in zip(batch.column("doc_id").to_pylist(), counts.tolist(), strict=True):
+                if held and held + n > BLOCK_IDS:
+                    parts.append(ids[done:at])
                     yield row()
-                    block, before, held = block + 1, before + held, 0
-                    ids, doc_ids, lengths = [], [], []
-                ids.append(coded)
+                    block, before, held, done = block + 1, before + held, 0, at
+                    parts, doc_ids, lengths = [], [], []
                 doc_ids.append(doc)
-                lengths.append(len(coded) // 4)
-                held += len(coded) // 4
+                lengths.append(n)
+                held, at = held + n, at + n
+            parts.append(ids[done:at])
         if doc_ids:
             yield row()
 
@@ -71,14 +70,18 @@ def read_token_file(spark: SparkSession, file: DataFrame) -> DataFrame:
     def documents(batches):
         for batch in batches:
             for i in range(batch.num_rows):
-                r = {k: batch.column(k)[i].as_py() for k in ("doc_ids", "lengths", "words", "escapes", "n_ids")}
-                ids = simple8b.decode(r["words"], r["escapes"], r["n_ids"]).astype("<u4")
-                ends = np.cumsum(np.array(r["lengths"], np.int64))
-                starts = ends - np.array(r["lengths"], np.int64)
+                r = {k: batch.column(k)[i].as_py() for k in ("doc_ids", "lengths", "words", "offsets", "escapes", "n_ids")}
+                ids = simple8b.decode_by_offsets(r["words"], r["offsets"], r["escapes"], r["n_ids"]).astype(np.uint32)
+                lengths = np.array(r["lengths"], np.int64)
                 first = batch.column("base")[i].as_py() + batch.column("before")[i].as_py()
-                yield pa.RecordBatch.from_arrays([pa.array(r["doc_ids"], pa.int64()), pa.array(starts + first), pa.array(ends - starts), pa.array([ids[a:b].tobytes() for a, b in zip(starts, ends, strict=True)], pa.binary())], schema=fields)
+                yield pa.RecordBatch.from_arrays([pa.array(r["doc_ids"], pa.int64()), pa.array(np.cumsum(lengths) - lengths + first), pa.array(lengths), as_binary(ids, lengths)], schema=fields)
+
+    return placed.select("doc_ids", "lengths", "words", "offsets", "escapes", "n_ids", "before", "base").mapInArrow(tidily(documents), "doc_id long, start long, n_tokens long, ids binary")
+
 
-    return placed.select("doc_ids", "lengths", "words", "escapes", "n_ids", "before", "base").mapInArrow(tidily(documents), "doc_id long, start long, n_tokens long, ids binary")
+def ids_between(row, start: int, stop: int) -> np.ndarray:
+    """Ids ``start`` to ``stop`` of one block, decoding only the strides of words that hold them."""
+    return simple8b.decode_range(row["words"], row["offsets"], row["escapes"], row["n_ids"], start, stop)
 
 
 def token_files(spark: SparkSession, docs: DataFrame, tokenizer_path: str, end_id: int | None = 2) -> DataFrame:

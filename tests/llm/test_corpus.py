@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -340,6 +341,30 @@ def test_simple8b_round_trip():
             assert (simple8b.decode(words, escapes, len(v) - int(at[1]), simple8b.STRIDE, int(at[1])) == v[at[1]:]).all()
 
 
+def test_simple8b_offsets_reach_any_range():
+    rng = np.random.default_rng(1)
+    v = rng.integers(0, 1 << 17, 40_000).astype(np.uint64)
+    v[rng.integers(0, len(v), 50)] = 1 << 30
+    words, offsets, escapes = simple8b.encode(v)
+    assert (simple8b.decode_by_offsets(words, offsets, escapes, len(v), 3) == v).all()
+    for a, b in [(0, 1), (39_999, 40_000), (0, 40_000), (7, 7), *np.sort(rng.integers(0, 40_000, (60, 2)), 1).tolist()]:
+        assert (simple8b.decode_range(words, offsets, escapes, len(v), a, b) == v[a:b]).all()
+    assert len(simple8b.decode_by_offsets(b"", b"", b"", 0)) == 0
+
+
+def test_registered_queries_of_tokens_match_the_libraries(spark, docs):
+    """The digests that op2 and op10 return."""
+    known = texts(docs)
+    own = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks(), special_tokens={})
+    for r in queries.op2_bpe_codec(spark, DIR).collect():
+        ids = own.encode_ordinary(known[r["doc_id"]])
+        assert (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(known[r["doc_id"]].encode()).hexdigest())
+    tokenizer = Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    for r in queries.op10_hilbert_packing(spark, DIR).collect():
+        ids = np.array(tokenizer.encode(known[r["doc_id"]], add_special_tokens=False).ids + [1], "<u4")
+        assert r["doc_tokens"] == len(ids) and r["ids_crc32"] == zlib.crc32(ids[r["start"]:r["start"] + r["length"]].tobytes())
+
+
 def test_token_files(spark, docs, odd, empty):
     path = P.path("byte_bpe_50k.json")
     tokenizer = Tokenizer.from_file(path)
@@ -358,11 +383,14 @@ def test_token_files(spark, docs, odd, empty):
 def test_chunks_encode_as_texts_do():
     from lodestream.llm.tokens import ChunkEncoder
 
-    sample = ["a  b", "a   b", " a", "  a ", "a \n b", "a \n\n  b\t c", "x<|endoftext|>y z", "end  ", "", "it's I'll don't", "日本   x", "a\x1cb c", "Été ΣΑΣ", "<|startoftext|> q"]
+    sample = ["a  b", "a   b", " a", "  a ", "a \n b", "a \n\n  b\t c", "x<|endoftext|>y z", "end  ", "", "it's I'll don't", "日本   x", "a\x1cb c", "Été ΣΑΣ", "<|startoftext|> q",
+              "\n \n", "x\n y", "x \ny", "İstanbul ſ ǅ ª º", "one, two; 5.5 x@y.z a~b ~ ~~", "　x　 y", "cafe\u0301 \u0301 x", "𝐀𝐁 𝟘.", ". , ;", None]
     for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
         encoder = ChunkEncoder(P.path(name))
-        got = [np.frombuffer(b, "<u4").tolist() for b in encoder.encode(sample)]
-        assert got == [encoder.tokenizer.encode(s, add_special_tokens=False).ids for s in sample]
+        for _ in range(2):  # the second time from the table
+            ids, counts = encoder.encode(pa.array(sample, pa.string()))
+            got = [one.tolist() for one in np.split(ids, np.cumsum(counts)[:-1])]
+            assert got == [encoder.tokenizer.encode(s or "", add_special_tokens=False).ids for s in sample]
 
 
 def test_hilbert_curve_is_connected():
