@@ -1,24 +1,30 @@
-"""Repeated byte strings across documents, by merging shard runs of sampled suffixes.
+"""Repeated byte strings across documents, by merging the transforms of shards.
 
 The suffixes that take part begin at minimizers: in every string of ``LENGTH`` bytes the
 ``GRAM`` bytes of least hash. Equal strings have the same one at the same offset, so two
 equal strings meet at their sampled suffix: they agree on the bytes before it and on those
-behind it. A shard (a batch of a task) sorts nothing but names: it ships, per sampled suffix,
-its bytes and the block that precedes it, which is the transform's column widened from one
-byte to a block, and of equal ones the first only; the others repeat it whole.
-
-An owner task gets all suffixes of a range of first symbols (a symbol is a gram) and merges
-the shards' runs by refining their interleave, eight bytes a round: only suffixes still tied
-move, and the round in which two part gives their common prefix. The same on the preceding
-blocks gives the common endings. Runs of common prefix >= d are the repeated intervals of
-depth d; a string at offset o is repeated where an interval of depth LENGTH - o and one of
-preceding depth o share two suffixes. No suffix is sorted against all others.
+behind it.
+
+A shard (some MB of texts within a task) sorts its sampled suffixes and keeps, in that
+order, the block of bytes before each: that is its Burrows-Wheeler transform with the
+column widened from one byte to a block, since a sampled suffix is followed by the next
+sampled one only a block later. Of equal entries it ships the first; the others repeat it
+whole. Entries go out in runs, one for each range of first symbols (a symbol is a gram).
+
+An owner task gets the runs of all shards for a range of symbols and merges them by
+refining their interleave: it begins with the runs one after another within each symbol,
+and each round looks eight bytes further, moves only suffixes that are still tied and
+notes, where two part, their common prefix. The same on the column gives the common
+endings of what precedes. Runs of common prefix >= d are the repeated intervals of depth d;
+a string at offset o is repeated where an interval of depth LENGTH - o and one of preceding
+depth o share two entries. No suffix is sorted against all others.
+
+A symbol with very many entries is not one task's: the strings around it are compared as
+wholes, in lots first (``first_of_each``).
 """
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -28,25 +34,30 @@ from .shared import doc_column, doc_text, materialise, small_batches, tidily
 from .shingles import _powers, mix
 
 LENGTH = 100
-GRAM = 32
+GRAM = 48
 #: Bits of the filter of grams met more than once: 16 MB, whatever the corpus; a false hit costs time only.
 FILTER_BITS = 27
-#: A gram with more occurrences is dealt out by whole strings, not by itself.
+#: Leading bits of a gram's hash that are counted; two grams with the same ones count as one, which costs time only.
+COUNTED_BITS = 40
+#: A gram with more entries is dealt out by whole strings, not by itself.
 CROWDED = 4_000
-OWNED = 60_000
+#: Texts of a shard; entries that an owner merges at once; entries it holds at most before it deals out its crowded symbols.
+SHARD_BYTES, OWNED, HELD = 12_000_000, 100_000, 400_000
+#: Lots in which equal whole strings are told apart before they meet.
+LOTS = 64
 
 
 def anchors(raw: np.ndarray, ends: np.ndarray, length: int, gram: int):
-    """Of concatenated texts: (gram hash, place, first string, last string, text) of each sampled suffix, and the hash of every string."""
+    """Of concatenated texts: (gram hash, place, first string, last string, text) of each sampled suffix."""
     n = len(raw)
     none = np.zeros(0, np.int64)
+    nothing = none.astype(np.uint64), none, none, none, none
     if n < length:
-        return none.astype(np.uint64), none, none, none, none, none.astype(np.uint64)
+        return nothing
     power, inverse = _powers(n + 1)
     total = np.zeros(n + 1, np.uint64)
     np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * power[:n], out=total[1:])
     h = mix((total[gram:] - total[:-gram]) * inverse[:n - gram + 1])
-    whole = mix((total[length:] - total[:-length]) * inverse[:n - length + 1])
     least = (h & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(h), dtype=np.uint64)
     span, wide = length - gram + 1, 1
     while wide * 2 <= span:
@@ -58,11 +69,11 @@ def anchors(raw: np.ndarray, ends: np.ndarray, length: int, gram: int):
     text = np.searchsorted(ends, np.arange(len(place)), side="right")
     inside = np.flatnonzero(np.arange(len(place)) + length <= ends[np.minimum(text, len(ends) - 1)])
     if not len(inside):
-        return none.astype(np.uint64), none, none, none, none, whole
+        return nothing
     p = place[inside]
     cut = np.flatnonzero(np.concatenate([[True], (p[1:] != p[:-1]) | (inside[1:] != inside[:-1] + 1)]))
     last = np.concatenate([cut[1:], [len(p)]]) - 1
-    return h[p[cut]], p[cut], inside[cut], inside[last], text[inside[cut]], whole
+    return h[p[cut]], p[cut], inside[cut], inside[last], text[inside[cut]]
 
 
 def _batches(batches, most: int = 1_500_000):
@@ -111,34 +122,125 @@ def interleave(blocks: np.ndarray, order: np.ndarray, group: np.ndarray) -> tupl
     return order, common
 
 
-def repeated_strings(first, last, place, group, rank, data, length: int):
-    """(item, string) pairs of those strings of the items that an item of lower rank has, too.
-
-    ``data`` holds each item's bytes, from its first string's to its last string's end; items
-    come sorted by ``group``; ``rank`` orders places in the corpus, and is the
-    same for one place of a row that is there twice.
-    """
-    n = len(first)
-    off_low, off_high = place - last, place - first
-    words = -(-length // 8)
-    right, left = np.zeros((n, 8 * words), np.uint8), np.zeros((n, 8 * words), np.uint8)
-    for i in range(n):
-        b, o = data[i], int(off_high[i])
-        right[i, :len(b) - o] = b[o:]
-        left[i, :o] = b[:o][::-1]
-    orders = []
-    for side in (right, left):
-        order, common = interleave(side.view(">u8").astype(np.uint64), np.arange(n), group)
+def words_of(rows: np.ndarray) -> np.ndarray:
+    return rows.view(">u8").astype(np.uint64)
+
+
+class Entries:
+    """Sampled suffixes with the blocks before them, as columns; ``left`` is reversed, both sides are padded with zeros."""
+
+    NAMES = ("key", "d", "th", "at", "lefts", "rights", "left", "right")
+
+    def __init__(self, *columns: np.ndarray):
+        for name, column in zip(self.NAMES, columns, strict=True):
+            setattr(self, name, column)
+
+    def __len__(self) -> int:
+        return len(self.key)
+
+    def take(self, which: np.ndarray) -> Entries:
+        return Entries(*(getattr(self, n)[which] for n in self.NAMES))
+
+    @classmethod
+    def joined(cls, parts: list[Entries]) -> Entries:
+        return cls(*(np.concatenate([getattr(p, n) for p in parts]) for n in cls.NAMES))
+
+    def rank(self) -> np.ndarray:
+        """Their order in the corpus; the same for one place of a row that is there twice."""
+        by = np.lexsort((self.at, self.th, self.d))
+        new = np.concatenate([[False], (np.diff(self.d[by]) != 0) | (np.diff(self.th[by]) != 0) | (np.diff(self.at[by]) != 0)])
+        rank = np.empty(len(by), np.int64)
+        rank[by] = np.cumsum(new)
+        return rank
+
+    def strings(self, length: int) -> tuple[np.ndarray, np.ndarray]:
+        """(first, last) place of the strings of each entry."""
+        return self.at - self.lefts, self.at + self.rights - length
+
+    def packed(self) -> bytes:
+        """All columns in one compressed piece; of the blocks, the bytes that are there."""
+        parts = [self.key, self.d, self.th, self.at, self.lefts.astype(np.uint16), self.rights.astype(np.uint16),
+                 self.left[np.arange(self.left.shape[1]) < self.lefts[:, None]], self.right[np.arange(self.right.shape[1]) < self.rights[:, None]]]
+        raw = b"".join(p.tobytes() for p in parts)
+        return len(raw).to_bytes(8, "little") + pa.Codec("zstd", compression_level=1).compress(raw, asbytes=True)
+
+    @classmethod
+    def unpacked(cls, piece: bytes, n: int, left_width: int, right_width: int) -> Entries:
+        raw = memoryview(pa.Codec("zstd").decompress(piece[8:], int.from_bytes(piece[:8], "little"), asbytes=True))
+        columns, at = [], 0
+        for kind in (np.uint64, np.int64, np.int64, np.int64, np.uint16, np.uint16):
+            size = n * np.dtype(kind).itemsize
+            columns.append(np.frombuffer(raw[at:at + size], kind))
+            at += size
+        columns[4:] = [c.astype(np.int64) for c in columns[4:]]
+        for sizes, width in ((columns[4], left_width), (columns[5], right_width)):
+            block = np.zeros((n, width), np.uint8)
+            total = int(sizes.sum())
+            block[np.arange(width) < sizes[:, None]] = np.frombuffer(raw[at:at + total], np.uint8)
+            columns.append(block)
+            at += total
+        return cls(*columns)
+
+
+def widths(length: int, gram: int) -> tuple[int, int]:
+    """Bytes of the blocks before and behind, in whole words."""
+    return -(-(length - gram) // 8) * 8 or 8, -(-length // 8) * 8
+
+
+def entries_at(raw: np.ndarray, begins: np.ndarray, found, which: np.ndarray, d: np.ndarray, th: np.ndarray, length: int, gram: int) -> Entries:
+    """The entries of the sampled suffixes ``which`` of ``found`` (as ``anchors`` gives them)."""
+    h, place, first, last, text = (c[which] for c in found)
+    left_width, right_width = widths(length, gram)
+    padded = np.concatenate([raw, np.zeros(right_width, np.uint8)])
+    lefts, rights = place - first, last + length - place
+    right = padded[place[:, None] + np.arange(right_width)]
+    right[np.arange(right_width) >= rights[:, None]] = 0
+    left = padded[np.maximum(place[:, None] - 1 - np.arange(left_width), 0)]
+    left[np.arange(left_width) >= lefts[:, None]] = 0
+    return Entries(h, d[text], th[text], place - begins[text], lefts, rights, left, right)
+
+
+def transform(entries: Entries) -> tuple[Entries, Entries]:
+    """(the shard's transform: entries by key and suffix, equal ones once; those that repeat an earlier entry of the shard whole)."""
+    e = entries.take(np.argsort(entries.key, kind="stable"))
+    order, common = interleave(words_of(e.right), np.arange(len(e)), e.key)
+    e = e.take(order)
+    group = np.cumsum((common < e.right.shape[1]) | np.concatenate([[True], np.diff(e.rights) != 0]))
+    order, common = interleave(words_of(e.left), np.arange(len(e)), group)
+    e, group = e.take(order), group[order]
+    new = (common < e.left.shape[1]) | np.concatenate([[True], (np.diff(e.lefts) != 0) | (np.diff(group) != 0)])
+    run, rank = np.cumsum(new), e.rank()
+    by = np.lexsort((rank, run))
+    heads = np.flatnonzero(np.concatenate([[True], np.diff(run[by]) != 0]))
+    least = rank[by[heads]][run - 1]
+    again = rank > least
+    return e.take(by[heads]), e.take(np.flatnonzero(again))
+
+
+def repeated_strings(e: Entries, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """(entry, string) pairs of those strings of the entries, which come sorted by key, that an entry of lower rank has, too."""
+    n = len(e)
+    rank = e.rank()
+    off_high, off_low = e.lefts, length - e.rights
+    orders, most = [], []
+    for side in (e.right, e.left):
+        order, common = interleave(words_of(side), np.arange(n), e.key)
         orders.append((order, common))
-    out_item, out_string = [], []
+        nearest = np.empty(n, np.int64)
+        nearest[order] = np.maximum(common, np.append(common[1:], 0))
+        most.append(nearest)
+    out_entry, out_string = [], []
     for o in range(int(off_low.min()), int(off_high.max()) + 1):
-        has = np.flatnonzero((off_low <= o) & (o <= off_high))
+        has = np.flatnonzero((off_low <= o) & (o <= off_high) & (most[0] >= length - o) & (most[1] >= o))
         if len(has) < 2:
             continue
         name = []
         for (order, common), depth in zip(orders, (length - o, o), strict=True):
             interval = np.empty(n, np.int64)
-            new = np.concatenate([[True], (group[order][1:] != group[order][:-1]) | (common[1:] < depth)])
+            new = common < depth
+            if not depth:  # of nothing all agree, but within a key
+                new[1:] = e.key[order][1:] != e.key[order][:-1]
+            new[0] = True
             interval[order] = np.cumsum(new)
             name.append(interval[has])
         key = name[0] * (n + 1) + name[1]
@@ -147,130 +249,240 @@ def repeated_strings(first, last, place, group, rank, data, length: int):
         start = np.concatenate([[True], key[1:] != key[:-1]])
         least = rank[has[by]][np.flatnonzero(start)][np.cumsum(start) - 1]
         again = by[rank[has[by]] > least]
-        out_item.append(has[again])
-        out_string.append(place[has[again]] - o)
-    if not out_item:
+        out_entry.append(has[again])
+        out_string.append(e.at[has[again]] - o)
+    if not out_entry:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return np.concatenate(out_item), np.concatenate(out_string)
-
-
-def _gram_filter(spark: SparkSession, rows: DataFrame, length: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
-    """(bits of the grams met more than once, hashes of the crowded ones)."""
+    return np.concatenate(out_entry), np.concatenate(out_string)
+
+
+_ROW = pa.schema([("bucket", pa.int64()), ("n", pa.int32()), ("piece", pa.binary()), ("d", pa.int64()), ("th", pa.int64()), ("first", pa.int64()), ("last", pa.int64()), ("name_a", pa.int64()), ("name_b", pa.int64())])
+_ROWS = "bucket long, n int, piece binary, d long, th long, first long, last long, name_a long, name_b long"
+
+
+def _rows(**columns) -> pa.RecordBatch:
+    n = len(next(iter(columns.values())))
+    return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(n, f.type) for f in _ROW], schema=_ROW)
+
+
+def runs_of(d: np.ndarray, th: np.ndarray, first: np.ndarray, last: np.ndarray) -> pa.RecordBatch | None:
+    """Rows of runs of places; runs of one text that touch become one."""
+    if not len(d):
+        return None
+    by = np.lexsort((first, th, d))
+    d, th, first, last = d[by], th[by], first[by], last[by]
+    text = np.cumsum(np.concatenate([[True], (np.diff(d) != 0) | (np.diff(th) != 0)]))
+    wide = int(last.max()) + 2
+    reach = np.maximum.accumulate(last + text * wide) - text * wide
+    cut = np.flatnonzero(np.concatenate([[True], (text[1:] != text[:-1]) | (first[1:] > reach[:-1] + 1)]))
+    end = np.append(cut[1:], len(d)) - 1
+    return _rows(d=d[cut], th=th[cut], first=first[cut], last=reach[end])
+
+
+def whole_strings(e: Entries, length: int) -> pa.RecordBatch | None:
+    """Rows of the single strings of crowded entries, by 128 bits of each string's bytes."""
+    if not len(e):
+        return None
+    n = e.lefts + e.rights - length + 1
+    of = np.repeat(np.arange(len(e)), n)
+    o = e.lefts[of] - (np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n))
+    out = []
+    for lo in range(0, len(of), 100_000):
+        i, back = of[lo:lo + 100_000], o[lo:lo + 100_000]
+        both = np.concatenate([e.left[i][:, ::-1], e.right[i]], 1)
+        at = e.left.shape[1] - back
+        rows = np.zeros((len(i), -(-length // 8) * 8), np.uint8)
+        rows[:, :length] = both[np.arange(len(i))[:, None], at[:, None] + np.arange(length)]
+        a, b = np.zeros(len(i), np.uint64), np.full(len(i), 0x5555, np.uint64)
+        for k, word in enumerate(words_of(rows).T):
+            a = mix(a ^ mix(word + np.uint64(k + 1)))
+            b = mix(b + mix(word * np.uint64(0x9E3779B97F4A7C15) ^ np.uint64(k + 7)))
+        q = e.at[i] - back
+        out.append((a.view(np.int64), b.view(np.int64), e.d[i], e.th[i], q))
+    a, b, d, th, q = (np.concatenate(c) for c in zip(*out, strict=True))
+    by = np.lexsort((q, th, d, b, a))  # of equal strings of a shard, each place once
+    a, b, d, th, q = a[by], b[by], d[by], th[by], q[by]
+    return _rows(bucket=a, d=d, th=th, first=q, last=q, name_a=a, name_b=b)
+
+
+def _gram_filter(spark: SparkSession, rows: DataFrame, length: int, gram: int, size: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """(bits of the grams met more than once, leading bits of the crowded ones in order, entries of repeated grams)."""
+    power = max(4, (size // 4_000_000).bit_length())
+    drop = np.uint64(64 - COUNTED_BITS)
 
     def grams(batches):
+        held, n = [], 0
+
+        def flush():
+            value, times = np.unique(np.concatenate(held), return_counts=True)
+            bucket = (value >> np.uint64(COUNTED_BITS - power)).astype(np.int64)
+            cut = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+            end = np.append(cut[1:], len(value))
+            pieces = []
+            for a, b in zip(cut.tolist(), end.tolist(), strict=True):
+                raw = np.diff(value[a:b], prepend=np.uint64(0)).tobytes() + np.minimum(times[a:b], 65_535).astype(np.uint16).tobytes()
+                # Byte planes: of small numbers the upper ones are empty.
+                planes = np.frombuffer(raw[:8 * (b - a)], np.uint8).reshape(-1, 8).T.tobytes() + raw[8 * (b - a):]
+                pieces.append(pa.Codec("zstd", compression_level=1).compress(planes, asbytes=True))
+            return pa.RecordBatch.from_arrays([pa.array(bucket[cut]), pa.array((end - cut).astype(np.int32)), pa.array(pieces, pa.binary())], ["bucket", "n", "piece"])
+
         for _, raw, ends in _batches(batches):
             h, *_ = anchors(raw, ends, length, gram)
-            value, n = np.unique(h, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), pa.array(n)], ["gram", "n"])
-
-    met = rows.select("text").mapInArrow(tidily(grams), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).where("n > 1")
-    met = materialise(met, "repeated-grams")
-    shift = 64 - FILTER_BITS
-    slot = F.shiftrightunsigned("gram", shift)
-    words = met.groupBy(F.shiftrightunsigned(slot, 6).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(gram, {shift}) & 63 as int))")).alias("bits")).toPandas()
-    bits = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
-    bits[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64).view(np.uint64)
-    # At most a ten-thousandth of all occurrences, divided by CROWDED, and never more than 50,000 hashes.
-    total = met.agg(F.sum("n")).first()[0] or 0
-    crowded = met.where(F.col("n") > max(CROWDED, total // 50_000)).select("gram").toPandas()
-    return bits, np.sort(crowded["gram"].to_numpy(np.int64).view(np.uint64))
-
-
-_ITEM = "key long, d long, th long, at long, first long, last long, data binary"
+            if len(h):
+                held.append(h >> drop)
+            n += len(raw)
+            if n >= SHARD_BYTES and held:
+                yield flush()
+                held, n = [], 0
+        if held:
+            yield flush()
+
+    def counted(batches):
+        def settle(bucket, parts):
+            value, times = (np.concatenate(c) for c in zip(*parts, strict=True))
+            value, place = np.unique(value, return_inverse=True)
+            times = np.bincount(place, weights=times).astype(np.int64)
+            value, times = value[times > 1], times[times > 1]
+            slot = np.unique(value >> np.uint64(COUNTED_BITS - FILTER_BITS)).astype(np.int64)
+            word = slot >> 6
+            cut = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]])) if len(word) else np.zeros(0, np.int64)
+            bits = np.bitwise_or.reduceat(np.uint64(1) << (slot & 63).astype(np.uint64), cut) if len(cut) else np.zeros(0, np.uint64)
+            many = times > CROWDED
+            return (bucket, word[cut].astype(np.int32).tobytes(), bits.tobytes(), int(times.sum()), value[many].astype(np.int64).tolist(), times[many].tolist())
+
+        now, parts, out = None, [], []
+        for batch in batches:
+            for bucket, n, piece in zip(*(batch.column(c).to_pylist() for c in ("bucket", "n", "piece")), strict=True):
+                if bucket != now and parts:
+                    out.append(settle(now, parts))
+                    parts = []
+                now = bucket
+                raw = pa.Codec("zstd").decompress(piece, 10 * n, asbytes=True)
+                value = np.cumsum(np.ascontiguousarray(np.frombuffer(raw[:8 * n], np.uint8).reshape(8, n).T).view(np.uint64).ravel(), dtype=np.uint64)
+                parts.append((value, np.frombuffer(raw[8 * n:], np.uint16)))
+        if parts:
+            out.append(settle(now, parts))
+        if out:
+            kinds = (pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], ["bucket", "words", "bits", "total", "crowded", "times"])
+
+    met = rows.select("text").mapInArrow(tidily(grams), "bucket long, n int, piece binary").repartition("bucket").sortWithinPartitions("bucket")
+    met = materialise(met.mapInArrow(tidily(counted), "bucket long, words binary, bits binary, total long, crowded array<long>, times array<long>"), "repeated-grams")
+    filter_ = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
+    total = met.agg(F.sum("total")).first()[0] or 0
+    # Together at most the filter's 16 MB, and its words' places.
+    for r in met.select("words", "bits").toLocalIterator():
+        filter_[np.frombuffer(r["words"], np.int32)] |= np.frombuffer(r["bits"], np.uint64)
+    # At most 50,000 grams can have more than a 50,000th of all entries each; what is crowded below that, owners deal out.
+    most = met.select(F.explode(F.arrays_zip("crowded", "times")).alias("c")).where(F.col("c.times") > max(CROWDED, total // 50_000))
+    crowded = np.sort(np.array([r[0] for r in most.select("c.crowded").collect()], np.uint64))
+    return filter_, crowded, total
 
 
 def repeated_runs(spark: SparkSession, rows: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """(d, th, first, last): runs of positions, in the text of (d, th), at which a string begins that begins earlier, too."""
-    held = spark.sparkContext.broadcast(_gram_filter(spark, rows, length, gram))
-
-    def items(batches):
+    """(d, th, first, last): runs of places, in the text of (d, th), at which a string begins that begins earlier, too."""
+    size = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    bits, crowded, total = _gram_filter(spark, rows, length, gram, size)
+    held = spark.sparkContext.broadcast((bits, crowded))
+    power = max(3, (total // OWNED).bit_length())
+    shard_bytes, most_held, most_entries = SHARD_BYTES, HELD, CROWDED
+    left_width, right_width = widths(length, gram)
+
+    def shards(batches):
         bits, crowded = held.value
-        seen: dict[bytes, tuple] = {}  # of what the shard has shipped, the first place
+
+        def flush(parts):
+            run, again = transform(Entries.joined(parts))
+            first, last = again.strings(length)
+            if (repeats := runs_of(again.d, again.th, first, last)) is not None:
+                yield repeats
+            many = np.isin(run.key >> np.uint64(64 - COUNTED_BITS), crowded)
+            if (wholes := whole_strings(run.take(np.flatnonzero(many)), length)) is not None:
+                yield wholes
+            run = run.take(np.flatnonzero(~many))
+            bucket = (run.key >> np.uint64(64 - power)).astype(np.int64)
+            cut = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(run) else np.zeros(0, np.int64)
+            end = np.append(cut[1:], len(run)) if len(run) else cut
+            if len(cut):
+                pieces = [run.take(np.arange(a, b)).packed() for a, b in zip(cut.tolist(), end.tolist(), strict=True)]
+                yield _rows(bucket=bucket[cut], n=(end - cut).astype(np.int32), piece=pieces)
+
+        parts, n = [], 0
         for batch, raw, ends in _batches(batches):
-            h, place, first, last, text, whole = anchors(raw, ends, length, gram)
-            slot = h >> np.uint64(64 - FILTER_BITS)
-            met = np.flatnonzero((bits[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1))
-            if not len(met):
-                continue
-            d, th = batch.column("d").to_numpy(), batch.column("th").to_numpy()
-            begin = np.concatenate([[0], ends[:-1]])
-            blob = raw.tobytes()
-            found = []
-            many = np.isin(h[met], crowded)
-            for i in met[~many].tolist():
-                found.append((h[i], place[i], first[i], last[i], text[i]))
-            for i in met[many].tolist():
-                found += [(whole[q] ^ np.uint64(0x5555), place[i], q, q, text[i]) for q in range(first[i], last[i] + 1)]
-            # Of equal items the first goes to its owner; the others repeat it whole.
-            order = sorted(range(len(found)), key=lambda j: (d[found[j][4]], th[found[j][4]], found[j][2]))
-            out, again = [], []
-            for j in order:
-                key, p, a, b, t = found[j]
-                data = blob[a:b + length]
-                name = hashlib.blake2b(data + int(p - a).to_bytes(4, "little"), digest_size=16).digest()
-                begins, own = int(begin[t]), (d[t], th[t], p - begin[t])
-                before = seen.get(name)
-                if before is None or own < before:
-                    seen[name] = own
-                    out.append((int(np.uint64(key).view(np.int64)), int(d[t]), int(th[t]), int(p) - begins, int(a) - begins, int(b) - begins, data))
-                elif own > before:  # if equal, it is the same place of a row that is there twice
-                    again.append((int(d[t]), int(th[t]), int(a) - begins, int(b) - begins))
-            whole_d = whole_th = whole_a = whole_b = None
-            for one in [*sorted(again), (None, None, 0, 0)]:  # neighbours become one run
-                if (one[0], one[1]) == (whole_d, whole_th) and whole_d is not None and one[2] <= whole_b + 1:
-                    whole_b = max(whole_b, one[3])
-                    continue
-                if whole_d is not None:
-                    out.append((whole_th, whole_d, whole_th, whole_a, whole_a, whole_b, None))
-                whole_d, whole_th, whole_a, whole_b = one
-            if not out:
-                continue
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), [pa.int64()] * 6 + [pa.binary()], strict=True)], ["key", "d", "th", "at", "first", "last", "data"])
+            found = anchors(raw, ends, length, gram)
+            slot = found[0] >> np.uint64(64 - FILTER_BITS)
+            which = np.flatnonzero((bits[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1))
+            if len(which):
+                begins = np.concatenate([[0], ends[:-1]])
+                parts.append(entries_at(raw, begins, found, which, batch.column("d").to_numpy(), batch.column("th").to_numpy(), length, gram))
+            n += len(raw)
+            if n >= shard_bytes and parts:
+                yield from flush(parts)
+                parts, n = [], 0
+        if parts:
+            yield from flush(parts)
 
     def merged(batches):
-        def settle(part: pa.Table):
-            part = part.filter(pc.is_valid(part.column("data")))
-            key = part.column("key").to_numpy()
-            _, which, n = np.unique(key, return_inverse=True, return_counts=True)
-            part = part.filter(pa.array(n[which] > 1))
-            if not part.num_rows:
-                return None
-            key, d, th, at, first, last = (part.column(c).to_numpy() for c in ("key", "d", "th", "at", "first", "last"))
-            data = [np.frombuffer(b, np.uint8) for b in part.column("data").to_pylist()]
-            by = np.lexsort((at, th, d))
-            new = np.concatenate([[False], (np.diff(d[by]) != 0) | (np.diff(th[by]) != 0) | (np.diff(at[by]) != 0)])
-            rank = np.empty(len(d), np.int64)
-            rank[by] = np.cumsum(new)
-            item, string = repeated_strings(first, last, at, key, rank, data, length)
-            if not len(item):
-                return None
-            by = np.lexsort((string, item))
-            item, string = item[by], string[by]
-            cut = np.flatnonzero(np.concatenate([[True], (item[1:] != item[:-1]) | (string[1:] != string[:-1] + 1)]))
-            end = np.concatenate([cut[1:], [len(item)]]) - 1
-            return pa.RecordBatch.from_arrays([pa.array(d[item[cut]]), pa.array(th[item[cut]]), pa.array(string[cut]), pa.array(string[end])], ["d", "th", "first", "last"])
-
-        kept: list[pa.RecordBatch] = []
-        rows_kept = 0
+        def settle(parts):
+            e = Entries.joined(parts)
+            e = e.take(np.argsort(e.key, kind="stable"))
+            _, which, n = np.unique(e.key, return_inverse=True, return_counts=True)
+            e = e.take(np.flatnonzero(n[which] > 1))
+            if len(e):
+                entry, string = repeated_strings(e, length)
+                if (out := runs_of(e.d[entry], e.th[entry], string, string)) is not None:
+                    yield out
+
+        now, parts, size, apart = None, [], 0, np.zeros(0, np.uint64)
         for batch in batches:
-            known = pc.is_null(batch.column("data"))
-            if pc.any(known).as_py():
-                yield batch.filter(known).select(["d", "th", "first", "last"])
-            kept.append(batch)
-            rows_kept += batch.num_rows
-            if rows_kept >= OWNED:
-                table = pa.Table.from_batches(kept)
-                key = table.column("key").to_numpy()
-                cut = int(np.flatnonzero(key != key[-1])[-1]) + 1 if key[0] != key[-1] else 0
-                if cut:
-                    if (found := settle(table.slice(0, cut))) is not None:
-                        yield found
-                    kept, rows_kept = table.slice(cut).to_batches(), table.num_rows - cut
-        if rows_kept and (found := settle(pa.Table.from_batches(kept))) is not None:
-            yield found
-
-    owned = rows.mapInArrow(tidily(items), _ITEM).repartition("key").sortWithinPartitions("key")
-    return owned.mapInArrow(tidily(merged), "d long, th long, first long, last long")
+            through = batch.filter(pc.is_null(batch.column("piece")))
+            if through.num_rows:
+                yield through
+            batch = batch.filter(pc.is_valid(batch.column("piece")))
+            for bucket, n, piece in zip(*(batch.column(c).to_pylist() for c in ("bucket", "n", "piece")), strict=True):
+                if bucket != now:
+                    if parts:
+                        yield from settle(parts)
+                    now, parts, size, apart = bucket, [], 0, np.zeros(0, np.uint64)
+                e = Entries.unpacked(piece, n, left_width, right_width)
+                if len(apart):
+                    many = np.isin(e.key, apart)
+                    if (wholes := whole_strings(e.take(np.flatnonzero(many)), length)) is not None:
+                        yield wholes
+                    e = e.take(np.flatnonzero(~many))
+                parts.append(e)
+                size += len(e)
+                if size > most_held:  # symbols with too many entries for one task are dealt out by whole strings
+                    e = Entries.joined(parts)
+                    key, times = np.unique(e.key, return_counts=True)
+                    apart = np.union1d(apart, key[times > most_entries])
+                    many = np.isin(e.key, apart)
+                    if (wholes := whole_strings(e.take(np.flatnonzero(many)), length)) is not None:
+                        yield wholes
+                    parts = [e.take(np.flatnonzero(~many))]
+                    size = 0  # looked at again after so many more
+        if parts:
+            yield from settle(parts)
+
+    owned = rows.mapInArrow(tidily(shards), _ROWS).repartition("bucket").sortWithinPartitions("bucket")
+    found = materialise(owned.mapInArrow(tidily(merged), _ROWS), "repeated-runs")
+    runs = found.where("name_a is null").select("d", "th", "first", "last")
+    wholes = found.where("name_a is not null").select("name_a", "name_b", "d", "th", "first")
+    return runs.unionByName(first_of_each(wholes).select("d", "th", "first", F.col("first").alias("last")))
+
+
+def first_of_each(strings: DataFrame, lots: int = LOTS) -> DataFrame:
+    """The places of ``strings`` (name_a, name_b, d, th, first) whose string begins earlier, too.
+
+    Equal strings are ordered within ``lots`` lots first; only the first of each lot go on,
+    so no task holds all places of a string.
+    """
+    place = ["d", "th", "first"]
+    lot = F.pmod(F.xxhash64(*place), F.lit(lots))
+    rank = lambda by: F.dense_rank().over(W.partitionBy(*by).orderBy(*place))
+    dealt = strings.withColumn("lot", lot).withColumn("nth", rank(["name_a", "name_b", "lot"]))
+    heads = dealt.where("nth = 1").drop("nth").withColumn("nth", rank(["name_a", "name_b"]))
+    return dealt.where("nth > 1").unionByName(heads.where("nth > 1")).select(*place)
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
@@ -315,21 +527,3 @@ def without_repeats(spark: SparkSession, docs: DataFrame, length: int = LENGTH,
 
 def digests(cut: DataFrame) -> DataFrame:
     return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
-
-
-def brute_force(texts: list[tuple[int, str]], length: int = LENGTH) -> dict[int, tuple[int, int, int, str]]:
-    """The same by a table of all strings, for tests."""
-    seen: set[bytes] = set()
-    out = {}
-    for doc, text in sorted(texts):
-        b = text.encode()
-        gone = bytearray(len(b))
-        for q in range(len(b) - length + 1):
-            s = b[q:q + length]
-            if s in seen:
-                gone[q:q + length] = b"\1" * length
-            seen.add(s)
-        kept = bytes(x for x, g in zip(b, gone, strict=True) if not g)
-        spans = sum(g and (not i or not gone[i - 1]) for i, g in enumerate(gone))
-        out[doc] = (len(b), sum(gone), spans, hashlib.sha256(kept).hexdigest())
-    return out

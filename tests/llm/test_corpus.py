@@ -430,8 +430,26 @@ def test_packing(spark, docs, odd, empty):
     assert hilbert_packing.pack(spark, empty, P.path("word_bpe_49k.json")).count() == 0
 
 
+def repeats_by_table(rows, length=100):
+    """Repeats by a table of all strings."""
+    seen: set[bytes] = set()
+    out = {}
+    for doc, text in sorted(rows):
+        b = text.encode()
+        gone = bytearray(len(b))
+        for q in range(len(b) - length + 1):
+            s = b[q:q + length]
+            if s in seen:
+                gone[q:q + length] = b"\1" * length
+            seen.add(s)
+        kept = bytes(x for x, g in zip(b, gone, strict=True) if not g)
+        spans = sum(g and (not i or not gone[i - 1]) for i, g in enumerate(gone))
+        out[doc] = (len(b), sum(gone), spans, hashlib.sha256(kept).hexdigest())
+    return out
+
+
 def check_repeats(spark, df, **more):
-    want = bwt_dedup.brute_force(list(texts(df).items()), **{k: v for k, v in more.items() if k == "length"})
+    want = repeats_by_table(list(texts(df).items()), **{k: v for k, v in more.items() if k == "length"})
     got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in bwt_dedup.digests(bwt_dedup.without_repeats(spark, df, **more)).collect()}
     assert got == want
 
@@ -440,9 +458,11 @@ def test_repeats(spark, docs):
     check_repeats(spark, docs)
 
 
-@pytest.mark.parametrize("crowded", [4_000, 3])
-def test_repeats_that_overlap_and_crowd(spark, monkeypatch, crowded):
-    monkeypatch.setattr(bwt_dedup, "CROWDED", crowded)
+@pytest.mark.parametrize("sizes", [{}, {"CROWDED": 3}, {"SHARD_BYTES": 300}, {"CROWDED": 3, "HELD": 5, "SHARD_BYTES": 200}, {"HELD": 4, "SHARD_BYTES": 200, "OWNED": 10}])
+def test_repeats_that_overlap_and_crowd(spark, monkeypatch, sizes):
+    """One shard and many, symbols with many entries dealt out by shards or by owners."""
+    for name, value in sizes.items():
+        monkeypatch.setattr(bwt_dedup, name, value)
     rng = np.random.default_rng(11)
     word = lambda n: "".join(rng.choice(list("abé"), n))
     line = word(130)
