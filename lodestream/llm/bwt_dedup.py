@@ -16,8 +16,8 @@ refining their interleave: it begins with the runs one after another within each
 and each round looks eight bytes further, moves only suffixes that are still tied and
 notes, where two part, their common prefix. The same on the column gives the common
 endings of what precedes. Runs of common prefix >= d are the repeated intervals of depth d;
-a string at offset o is repeated where an interval of depth LENGTH - o and one of preceding
-depth o share two entries. No suffix is sorted against all others.
+a string at offset o is repeated where an interval of depth LENGTH - o (counted with the
+gram) and one of preceding depth o share two entries. No suffix is sorted against all others.
 
 A symbol with very many entries is not one task's: the strings around it are compared as
 wholes, in lots first (``first_of_each``).
@@ -42,7 +42,7 @@ COUNTED_BITS = 40
 #: A gram with more entries is dealt out by whole strings, not by itself.
 CROWDED = 4_000
 #: Texts of a shard; entries that an owner merges at once; entries it holds at most before it deals out its crowded symbols.
-SHARD_BYTES, OWNED, HELD = 12_000_000, 100_000, 400_000
+SHARD_BYTES, OWNED, HELD = 8_000_000, 60_000, 200_000
 #: Lots in which equal whole strings are told apart before they meet.
 LOTS = 64
 
@@ -127,9 +127,13 @@ def words_of(rows: np.ndarray) -> np.ndarray:
 
 
 class Entries:
-    """Sampled suffixes with the blocks before them, as columns; ``left`` is reversed, both sides are padded with zeros."""
+    """Sampled suffixes with the blocks before them, as columns.
 
-    NAMES = ("key", "d", "th", "at", "lefts", "rights", "left", "right")
+    A suffix is its symbol, 96 bits of the gram's bytes (``key`` and ``check``), and the
+    bytes behind the gram (``right``). ``left`` is reversed, both sides are padded with zeros.
+    """
+
+    NAMES = ("key", "check", "d", "th", "at", "lefts", "rights", "left", "right")
 
     def __init__(self, *columns: np.ndarray):
         for name, column in zip(self.NAMES, columns, strict=True):
@@ -153,27 +157,32 @@ class Entries:
         rank[by] = np.cumsum(new)
         return rank
 
-    def strings(self, length: int) -> tuple[np.ndarray, np.ndarray]:
-        """(first, last) place of the strings of each entry."""
-        return self.at - self.lefts, self.at + self.rights - length
+    def by_symbol(self) -> tuple[Entries, np.ndarray]:
+        """The entries by symbol, otherwise as they come, and the number of each one's symbol."""
+        e = self.take(np.lexsort((self.check, self.key)))
+        return e, np.cumsum(np.concatenate([[True], (e.key[1:] != e.key[:-1]) | (e.check[1:] != e.check[:-1])]))
+
+    def strings(self, around: int) -> tuple[np.ndarray, np.ndarray]:
+        """(first, last) place of the strings of each entry; ``around`` bytes of a string aren't its gram's."""
+        return self.at - self.lefts, self.at + self.rights - around
 
     def packed(self) -> bytes:
         """All columns in one compressed piece; of the blocks, the bytes that are there."""
-        parts = [self.key, self.d, self.th, self.at, self.lefts.astype(np.uint16), self.rights.astype(np.uint16),
+        parts = [self.key, self.check, self.d, self.th, self.at, self.lefts.astype(np.uint16), self.rights.astype(np.uint16),
                  self.left[np.arange(self.left.shape[1]) < self.lefts[:, None]], self.right[np.arange(self.right.shape[1]) < self.rights[:, None]]]
         raw = b"".join(p.tobytes() for p in parts)
         return len(raw).to_bytes(8, "little") + pa.Codec("zstd", compression_level=1).compress(raw, asbytes=True)
 
     @classmethod
-    def unpacked(cls, piece: bytes, n: int, left_width: int, right_width: int) -> Entries:
+    def unpacked(cls, piece: bytes, n: int, width: int) -> Entries:
         raw = memoryview(pa.Codec("zstd").decompress(piece[8:], int.from_bytes(piece[:8], "little"), asbytes=True))
         columns, at = [], 0
-        for kind in (np.uint64, np.int64, np.int64, np.int64, np.uint16, np.uint16):
+        for kind in (np.uint64, np.uint32, np.int64, np.int64, np.int64, np.uint16, np.uint16):
             size = n * np.dtype(kind).itemsize
             columns.append(np.frombuffer(raw[at:at + size], kind))
             at += size
-        columns[4:] = [c.astype(np.int64) for c in columns[4:]]
-        for sizes, width in ((columns[4], left_width), (columns[5], right_width)):
+        columns[5:] = [c.astype(np.int64) for c in columns[5:]]
+        for sizes in columns[5:7]:
             block = np.zeros((n, width), np.uint8)
             total = int(sizes.sum())
             block[np.arange(width) < sizes[:, None]] = np.frombuffer(raw[at:at + total], np.uint8)
@@ -182,30 +191,34 @@ class Entries:
         return cls(*columns)
 
 
-def widths(length: int, gram: int) -> tuple[int, int]:
-    """Bytes of the blocks before and behind, in whole words."""
-    return -(-(length - gram) // 8) * 8 or 8, -(-length // 8) * 8
+def width_of(around: int) -> int:
+    """Bytes of the blocks before and behind a gram, in whole words."""
+    return -(-around // 8) * 8 or 8
 
 
 def entries_at(raw: np.ndarray, begins: np.ndarray, found, which: np.ndarray, d: np.ndarray, th: np.ndarray, length: int, gram: int) -> Entries:
     """The entries of the sampled suffixes ``which`` of ``found`` (as ``anchors`` gives them)."""
     h, place, first, last, text = (c[which] for c in found)
-    left_width, right_width = widths(length, gram)
-    padded = np.concatenate([raw, np.zeros(right_width, np.uint8)])
-    lefts, rights = place - first, last + length - place
-    right = padded[place[:, None] + np.arange(right_width)]
-    right[np.arange(right_width) >= rights[:, None]] = 0
-    left = padded[np.maximum(place[:, None] - 1 - np.arange(left_width), 0)]
-    left[np.arange(left_width) >= lefts[:, None]] = 0
-    return Entries(h, d[text], th[text], place - begins[text], lefts, rights, left, right)
+    width, around = width_of(length - gram), length - gram
+    padded = np.concatenate([raw, np.zeros(width + 8, np.uint8)])  # behind the last gram
+    lefts, rights = place - first, last + around - place
+    check = np.zeros(len(place), np.uint64)
+    for k in range(0, gram, 8):
+        word = words_of(np.ascontiguousarray(padded[place[:, None] + np.arange(k, k + 8)]))[:, 0]
+        check = mix(check ^ mix((word if k + 8 <= gram else word >> np.uint64(8 * (k + 8 - gram))) + np.uint64(k + 3)))
+    right = padded[place[:, None] + np.arange(gram, gram + width)]
+    right[np.arange(width) >= rights[:, None]] = 0
+    left = padded[np.maximum(place[:, None] - 1 - np.arange(width), 0)]
+    left[np.arange(width) >= lefts[:, None]] = 0
+    return Entries(h, check.astype(np.uint32), d[text], th[text], place - begins[text], lefts, rights, left, right)
 
 
 def transform(entries: Entries) -> tuple[Entries, Entries]:
     """(the shard's transform: entries by key and suffix, equal ones once; those that repeat an earlier entry of the shard whole)."""
-    e = entries.take(np.argsort(entries.key, kind="stable"))
-    order, common = interleave(words_of(e.right), np.arange(len(e)), e.key)
-    e = e.take(order)
-    group = np.cumsum((common < e.right.shape[1]) | np.concatenate([[True], np.diff(e.rights) != 0]))
+    e, group = entries.by_symbol()
+    order, common = interleave(words_of(e.right), np.arange(len(e)), group)
+    e, group = e.take(order), group[order]
+    group = np.cumsum((common < e.right.shape[1]) | np.concatenate([[True], (np.diff(e.rights) != 0) | (np.diff(group) != 0)]))
     order, common = interleave(words_of(e.left), np.arange(len(e)), group)
     e, group = e.take(order), group[order]
     new = (common < e.left.shape[1]) | np.concatenate([[True], (np.diff(e.lefts) != 0) | (np.diff(group) != 0)])
@@ -217,30 +230,31 @@ def transform(entries: Entries) -> tuple[Entries, Entries]:
     return e.take(by[heads]), e.take(np.flatnonzero(again))
 
 
-def repeated_strings(e: Entries, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """(entry, string) pairs of those strings of the entries, which come sorted by key, that an entry of lower rank has, too."""
+def repeated_strings(e: Entries, group: np.ndarray, around: int) -> tuple[np.ndarray, np.ndarray]:
+    """(entry, string) pairs of those strings of the entries, which come by symbol (``group``), that an entry of lower rank has, too."""
     n = len(e)
     rank = e.rank()
-    off_high, off_low = e.lefts, length - e.rights
+    off_high, off_low = e.lefts, around - e.rights
+    alone = np.concatenate([[True], np.diff(group) != 0])
+    alone &= np.append(alone[1:], True)
     orders, most = [], []
     for side in (e.right, e.left):
-        order, common = interleave(words_of(side), np.arange(n), e.key)
+        order, common = interleave(words_of(side), np.arange(n), group)
         orders.append((order, common))
         nearest = np.empty(n, np.int64)
         nearest[order] = np.maximum(common, np.append(common[1:], 0))
         most.append(nearest)
     out_entry, out_string = [], []
     for o in range(int(off_low.min()), int(off_high.max()) + 1):
-        has = np.flatnonzero((off_low <= o) & (o <= off_high) & (most[0] >= length - o) & (most[1] >= o))
+        has = np.flatnonzero((off_low <= o) & (o <= off_high) & ~alone & (most[0] >= around - o) & (most[1] >= o))
         if len(has) < 2:
             continue
         name = []
-        for (order, common), depth in zip(orders, (length - o, o), strict=True):
+        for (order, common), depth in zip(orders, (around - o, o), strict=True):
             interval = np.empty(n, np.int64)
             new = common < depth
-            if not depth:  # of nothing all agree, but within a key
-                new[1:] = e.key[order][1:] != e.key[order][:-1]
             new[0] = True
+            new[1:] |= group[order][1:] != group[order][:-1]
             interval[order] = np.cumsum(new)
             name.append(interval[has])
         key = name[0] * (n + 1) + name[1]
@@ -279,29 +293,25 @@ def runs_of(d: np.ndarray, th: np.ndarray, first: np.ndarray, last: np.ndarray)
     return _rows(d=d[cut], th=th[cut], first=first[cut], last=reach[end])
 
 
-def whole_strings(e: Entries, length: int) -> pa.RecordBatch | None:
-    """Rows of the single strings of crowded entries, by 128 bits of each string's bytes."""
+def whole_strings(e: Entries, around: int) -> pa.RecordBatch | None:
+    """Rows of the single strings of crowded entries, by 128 bits of each: its gram, its offset and the bytes around the gram."""
     if not len(e):
         return None
-    n = e.lefts + e.rights - length + 1
+    n = e.lefts + e.rights - around + 1
     of = np.repeat(np.arange(len(e)), n)
     o = e.lefts[of] - (np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n))
     out = []
     for lo in range(0, len(of), 100_000):
         i, back = of[lo:lo + 100_000], o[lo:lo + 100_000]
         both = np.concatenate([e.left[i][:, ::-1], e.right[i]], 1)
-        at = e.left.shape[1] - back
-        rows = np.zeros((len(i), -(-length // 8) * 8), np.uint8)
-        rows[:, :length] = both[np.arange(len(i))[:, None], at[:, None] + np.arange(length)]
-        a, b = np.zeros(len(i), np.uint64), np.full(len(i), 0x5555, np.uint64)
+        rows = np.zeros((len(i), width_of(around)), np.uint8)
+        rows[:, :around] = both[np.arange(len(i))[:, None], e.left.shape[1] - back[:, None] + np.arange(around)]
+        a, b = mix(e.key[i] + back.astype(np.uint64)), mix((e.key[i] ^ (e.check[i].astype(np.uint64) << np.uint64(20))) * np.uint64(0xA0761D6478BD642F) + back.astype(np.uint64))
         for k, word in enumerate(words_of(rows).T):
             a = mix(a ^ mix(word + np.uint64(k + 1)))
             b = mix(b + mix(word * np.uint64(0x9E3779B97F4A7C15) ^ np.uint64(k + 7)))
-        q = e.at[i] - back
-        out.append((a.view(np.int64), b.view(np.int64), e.d[i], e.th[i], q))
+        out.append((a.view(np.int64), b.view(np.int64), e.d[i], e.th[i], e.at[i] - back))
     a, b, d, th, q = (np.concatenate(c) for c in zip(*out, strict=True))
-    by = np.lexsort((q, th, d, b, a))  # of equal strings of a shard, each place once
-    a, b, d, th, q = a[by], b[by], d[by], th[by], q[by]
     return _rows(bucket=a, d=d, th=th, first=q, last=q, name_a=a, name_b=b)
 
 
@@ -386,18 +396,20 @@ def repeated_runs(spark: SparkSession, rows: DataFrame, length: int = LENGTH, gr
     held = spark.sparkContext.broadcast((bits, crowded))
     power = max(3, (total // OWNED).bit_length())
     shard_bytes, most_held, most_entries = SHARD_BYTES, HELD, CROWDED
-    left_width, right_width = widths(length, gram)
+    around, width = length - gram, width_of(length - gram)
 
     def shards(batches):
         bits, crowded = held.value
 
         def flush(parts):
-            run, again = transform(Entries.joined(parts))
-            first, last = again.strings(length)
+            entries = Entries.joined(parts)
+            parts.clear()
+            run, again = transform(entries)
+            first, last = again.strings(around)
             if (repeats := runs_of(again.d, again.th, first, last)) is not None:
                 yield repeats
             many = np.isin(run.key >> np.uint64(64 - COUNTED_BITS), crowded)
-            if (wholes := whole_strings(run.take(np.flatnonzero(many)), length)) is not None:
+            if (wholes := whole_strings(run.take(np.flatnonzero(many)), around)) is not None:
                 yield wholes
             run = run.take(np.flatnonzero(~many))
             bucket = (run.key >> np.uint64(64 - power)).astype(np.int64)
@@ -418,18 +430,19 @@ def repeated_runs(spark: SparkSession, rows: DataFrame, length: int = LENGTH, gr
             n += len(raw)
             if n >= shard_bytes and parts:
                 yield from flush(parts)
-                parts, n = [], 0
+                n = 0
         if parts:
             yield from flush(parts)
 
     def merged(batches):
         def settle(parts):
             e = Entries.joined(parts)
-            e = e.take(np.argsort(e.key, kind="stable"))
+            parts.clear()
             _, which, n = np.unique(e.key, return_inverse=True, return_counts=True)
             e = e.take(np.flatnonzero(n[which] > 1))
             if len(e):
-                entry, string = repeated_strings(e, length)
+                e, group = e.by_symbol()
+                entry, string = repeated_strings(e, group, around)
                 if (out := runs_of(e.d[entry], e.th[entry], string, string)) is not None:
                     yield out
 
@@ -444,10 +457,10 @@ def repeated_runs(spark: SparkSession, rows: DataFrame, length: int = LENGTH, gr
                     if parts:
                         yield from settle(parts)
                     now, parts, size, apart = bucket, [], 0, np.zeros(0, np.uint64)
-                e = Entries.unpacked(piece, n, left_width, right_width)
+                e = Entries.unpacked(piece, n, width)
                 if len(apart):
                     many = np.isin(e.key, apart)
-                    if (wholes := whole_strings(e.take(np.flatnonzero(many)), length)) is not None:
+                    if (wholes := whole_strings(e.take(np.flatnonzero(many)), around)) is not None:
                         yield wholes
                     e = e.take(np.flatnonzero(~many))
                 parts.append(e)
@@ -457,7 +470,7 @@ def repeated_runs(spark: SparkSession, rows: DataFrame, length: int = LENGTH, gr
                     key, times = np.unique(e.key, return_counts=True)
                     apart = np.union1d(apart, key[times > most_entries])
                     many = np.isin(e.key, apart)
-                    if (wholes := whole_strings(e.take(np.flatnonzero(many)), length)) is not None:
+                    if (wholes := whole_strings(e.take(np.flatnonzero(many)), around)) is not None:
                         yield wholes
                     parts = [e.take(np.flatnonzero(~many))]
                     size = 0  # looked at again after so many more
