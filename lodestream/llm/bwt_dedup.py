@@ -43,6 +43,8 @@ COUNTED_BITS = 40
 CROWDED = 4_000
 #: Texts of a shard; entries that an owner merges at once; entries it holds at most before it deals out its crowded symbols.
 SHARD_BYTES, OWNED, HELD = 8_000_000, 60_000, 200_000
+#: Entries whose strings an owner compares at once.
+AT_ONCE = 8_000
 #: Lots in which equal whole strings are told apart before they meet.
 LOTS = 64
 
@@ -290,29 +292,25 @@ def runs_of(d: np.ndarray, th: np.ndarray, first: np.ndarray, last: np.ndarray)
     reach = np.maximum.accumulate(last + text * wide) - text * wide
     cut = np.flatnonzero(np.concatenate([[True], (text[1:] != text[:-1]) | (first[1:] > reach[:-1] + 1)]))
     end = np.append(cut[1:], len(d)) - 1
-    return _rows(d=d[cut], th=th[cut], first=first[cut], last=reach[end])
+    return _rows(bucket=th[cut], d=d[cut], th=th[cut], first=first[cut], last=reach[end])
 
 
-def whole_strings(e: Entries, around: int) -> pa.RecordBatch | None:
+def whole_strings(e: Entries, around: int, most: int = 500):
     """Rows of the single strings of crowded entries, by 128 bits of each: its gram, its offset and the bytes around the gram."""
-    if not len(e):
-        return None
-    n = e.lefts + e.rights - around + 1
-    of = np.repeat(np.arange(len(e)), n)
-    o = e.lefts[of] - (np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n))
-    out = []
-    for lo in range(0, len(of), 100_000):
-        i, back = of[lo:lo + 100_000], o[lo:lo + 100_000]
-        both = np.concatenate([e.left[i][:, ::-1], e.right[i]], 1)
+    for lo in range(0, len(e), most):
+        part = e.take(np.arange(lo, min(lo + most, len(e))))
+        n = part.lefts + part.rights - around + 1
+        i = np.repeat(np.arange(len(part)), n)
+        back = part.lefts[i] - (np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n))
+        both = np.concatenate([part.left[:, ::-1], part.right], 1)
         rows = np.zeros((len(i), width_of(around)), np.uint8)
-        rows[:, :around] = both[np.arange(len(i))[:, None], e.left.shape[1] - back[:, None] + np.arange(around)]
-        a, b = mix(e.key[i] + back.astype(np.uint64)), mix((e.key[i] ^ (e.check[i].astype(np.uint64) << np.uint64(20))) * np.uint64(0xA0761D6478BD642F) + back.astype(np.uint64))
+        rows[:, :around] = both[i[:, None], part.left.shape[1] - back[:, None] + np.arange(around)]
+        a, b = mix(part.key[i] + back.astype(np.uint64)), mix((part.key[i] ^ (part.check[i].astype(np.uint64) << np.uint64(20))) * np.uint64(0xA0761D6478BD642F) + back.astype(np.uint64))
         for k, word in enumerate(words_of(rows).T):
             a = mix(a ^ mix(word + np.uint64(k + 1)))
             b = mix(b + mix(word * np.uint64(0x9E3779B97F4A7C15) ^ np.uint64(k + 7)))
-        out.append((a.view(np.int64), b.view(np.int64), e.d[i], e.th[i], e.at[i] - back))
-    a, b, d, th, q = (np.concatenate(c) for c in zip(*out, strict=True))
-    return _rows(bucket=a, d=d, th=th, first=q, last=q, name_a=a, name_b=b)
+        a, b, q = a.view(np.int64), b.view(np.int64), part.at[i] - back
+        yield _rows(bucket=a, d=part.d[i], th=part.th[i], first=q, last=q, name_a=a, name_b=b)
 
 
 def _gram_filter(spark: SparkSession, rows: DataFrame, length: int, gram: int, size: int) -> tuple[np.ndarray, np.ndarray, int]:
@@ -409,8 +407,7 @@ def repeated_runs(spark: SparkSession, rows: DataFrame, length: int = LENGTH, gr
             if (repeats := runs_of(again.d, again.th, first, last)) is not None:
                 yield repeats
             many = np.isin(run.key >> np.uint64(64 - COUNTED_BITS), crowded)
-            if (wholes := whole_strings(run.take(np.flatnonzero(many)), around)) is not None:
-                yield wholes
+            yield from whole_strings(run.take(np.flatnonzero(many)), around)
             run = run.take(np.flatnonzero(~many))
             bucket = (run.key >> np.uint64(64 - power)).astype(np.int64)
             cut = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(run) else np.zeros(0, np.int64)
@@ -438,12 +435,17 @@ def repeated_runs(spark: SparkSession, rows: DataFrame, length: int = LENGTH, gr
         def settle(parts):
             e = Entries.joined(parts)
             parts.clear()
-            _, which, n = np.unique(e.key, return_inverse=True, return_counts=True)
-            e = e.take(np.flatnonzero(n[which] > 1))
-            if len(e):
-                e, group = e.by_symbol()
-                entry, string = repeated_strings(e, group, around)
-                if (out := runs_of(e.d[entry], e.th[entry], string, string)) is not None:
+            e, group = e.by_symbol()
+            n = np.bincount(group)
+            yield from whole_strings(e.take(np.flatnonzero(n[group] > most_entries)), around)
+            some = np.flatnonzero((n[group] > 1) & (n[group] <= most_entries))
+            # Some symbols at a time, which bounds the pairs of entries and strings.
+            part = np.arange(len(some)) // AT_ONCE
+            part = part[np.searchsorted(group[some], group[some])]
+            for cut in np.split(some, np.flatnonzero(np.diff(part)) + 1) if len(some) else []:
+                these = e.take(cut)
+                entry, string = repeated_strings(these, group[cut], around)
+                if (out := runs_of(these.d[entry], these.th[entry], string, string)) is not None:
                     yield out
 
         now, parts, size, apart = None, [], 0, np.zeros(0, np.uint64)
@@ -460,8 +462,7 @@ def repeated_runs(spark: SparkSession, rows: DataFrame, length: int = LENGTH, gr
                 e = Entries.unpacked(piece, n, width)
                 if len(apart):
                     many = np.isin(e.key, apart)
-                    if (wholes := whole_strings(e.take(np.flatnonzero(many)), around)) is not None:
-                        yield wholes
+                    yield from whole_strings(e.take(np.flatnonzero(many)), around)
                     e = e.take(np.flatnonzero(~many))
                 parts.append(e)
                 size += len(e)
@@ -470,8 +471,7 @@ def repeated_runs(spark: SparkSession, rows: DataFrame, length: int = LENGTH, gr
                     key, times = np.unique(e.key, return_counts=True)
                     apart = np.union1d(apart, key[times > most_entries])
                     many = np.isin(e.key, apart)
-                    if (wholes := whole_strings(e.take(np.flatnonzero(many)), around)) is not None:
-                        yield wholes
+                    yield from whole_strings(e.take(np.flatnonzero(many)), around)
                     parts = [e.take(np.flatnonzero(~many))]
                     size = 0  # looked at again after so many more
         if parts:
