@@ -75,7 +75,8 @@ def anchors(raw: np.ndarray, ends: np.ndarray, length: int, gram: int):
     p = place[inside]
     cut = np.flatnonzero(np.concatenate([[True], (p[1:] != p[:-1]) | (inside[1:] != inside[:-1] + 1)]))
     last = np.concatenate([cut[1:], [len(p)]]) - 1
-    return h[p[cut]], p[cut], inside[cut], inside[last], text[inside[cut]]
+    # The least of many hashes are small; mixed once more, they spread over owners and filter alike.
+    return mix(h[p[cut]] + np.uint64(1)), p[cut], inside[cut], inside[last], text[inside[cut]]
 
 
 def _batches(batches, most: int = 1_500_000):
