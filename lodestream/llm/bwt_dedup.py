@@ -282,6 +282,11 @@ def _rows(**columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(n, f.type) for f in _ROW], schema=_ROW)
 
 
+def spread(d: np.ndarray, th: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Owners for rows that any owner may pass on: by place, so that neither copies nor common strings share one."""
+    return mix((d ^ th).astype(np.uint64) + at.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
+
+
 def runs_of(d: np.ndarray, th: np.ndarray, first: np.ndarray, last: np.ndarray) -> pa.RecordBatch | None:
     """Rows of runs of places; runs of one text that touch become one."""
     if not len(d):
@@ -293,7 +298,7 @@ def runs_of(d: np.ndarray, th: np.ndarray, first: np.ndarray, last: np.ndarray)
     reach = np.maximum.accumulate(last + text * wide) - text * wide
     cut = np.flatnonzero(np.concatenate([[True], (text[1:] != text[:-1]) | (first[1:] > reach[:-1] + 1)]))
     end = np.append(cut[1:], len(d)) - 1
-    return _rows(bucket=th[cut], d=d[cut], th=th[cut], first=first[cut], last=reach[end])
+    return _rows(bucket=spread(d[cut], th[cut], first[cut]), d=d[cut], th=th[cut], first=first[cut], last=reach[end])
 
 
 def whole_strings(e: Entries, around: int, most: int = 500):
@@ -311,7 +316,7 @@ def whole_strings(e: Entries, around: int, most: int = 500):
             a = mix(a ^ mix(word + np.uint64(k + 1)))
             b = mix(b + mix(word * np.uint64(0x9E3779B97F4A7C15) ^ np.uint64(k + 7)))
         a, b, q = a.view(np.int64), b.view(np.int64), part.at[i] - back
-        yield _rows(bucket=a, d=part.d[i], th=part.th[i], first=q, last=q, name_a=a, name_b=b)
+        yield _rows(bucket=spread(part.d[i], part.th[i], q), d=part.d[i], th=part.th[i], first=q, last=q, name_a=a, name_b=b)
 
 
 def _gram_filter(spark: SparkSession, rows: DataFrame, length: int, gram: int, size: int) -> tuple[np.ndarray, np.ndarray, int]:

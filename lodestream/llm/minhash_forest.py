@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from .components import components
-from .shared import doc_column, doc_text, materialise, small_batches, tidily
+from .shared import doc_column, doc_text, fresh_names, join_counted, materialise, small_batches, tidily
 from .shingles import mix, shingle_sets
 from .tokens import batched_texts
 
@@ -105,9 +105,10 @@ def confirmed(pairs: DataFrame, texts: DataFrame, words: int = 5, threshold: int
     holds one set and a batch of texts, and a document that very many are compared with
     is repeated, not a hot key.
     """
-    runs = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("held"))
-    dealt = pairs.select("a", "b").join(runs, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.col("held") / lot)).alias("lot"))
-    dealt = materialise(dealt, "compared-pairs")
+    pairs = materialise(pairs.select("a", "b"), "pairs")
+    runs = materialise(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("held")), "runs")
+    dealt = join_counted(pairs, runs, ["a"], "held", pairs.count())
+    dealt = materialise(dealt.select("a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.col("held") / lot)).alias("lot")), "compared-pairs")
     one = texts.select("id", "text")
     heads = dealt.select("a", "lot").distinct().join(one, F.col("a") == F.col("id")).select("a", "lot", F.lit(None).cast("long").alias("b"), "text")
     tails = dealt.join(one, F.col("b") == F.col("id")).select("a", "lot", "b", "text")
@@ -214,6 +215,21 @@ def links_across(blocks: DataFrame, pairs: DataFrame, texts: DataFrame, words: i
     return rows.mapInArrow(tidily(compared), "a long, b long").distinct()
 
 
+def one_node_each(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """(``docs`` with a doc_id of its own for each text, (node, doc) of those that shared one, or None).
+
+    Where all ids differ, which is looked up first, nothing is changed.
+    """
+    rows = docs.select(doc_column(docs, "doc_id", "long").alias("doc_id"), doc_column(docs, "text", "string").alias("text"))
+    shared = materialise(rows.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("held")).where("held > 1"), "shared-ids")
+    n = shared.count()
+    if not n:
+        return rows, None
+    named = rows.join(F.broadcast(shared) if n <= BROADCAST_IDS else shared, "doc_id", "left")
+    named = materialise(named.select("doc_id", "text", F.when(F.col("held").isNotNull(), F.xxhash64("doc_id", F.coalesce("text", F.lit("")), F.lit(1))).otherwise(F.col("doc_id")).alias("node")), "named-documents")
+    return named.select(F.col("node").alias("doc_id"), "text"), named.where("node != doc_id").select("node", F.col("doc_id").alias("doc")).distinct()
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, words: int = 5, threshold: int = THRESHOLD) -> DataFrame:
     """Groups of documents linked by shingle sets of similarity ``threshold`` / 100 or more, one row per row of ``docs``.
 
@@ -223,10 +239,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, words: int = 5, thresh
     doc_id are linked with nothing and kept. An empty table gives an empty result; extra
     columns are ignored. Returns doc_id, n_shingles, component_id, kept.
     """
+    docs, shared = one_node_each(docs)
     signed = signatures(docs, words)
     linked = signed.where("n > 0 and id is not null")
     # Equal sets are one node from here on, so copies cost nothing, however many.
-    reps = materialise(linked.groupBy("set_a", "set_b", "n").agg(F.min("id").alias("id"), F.first("sig").alias("sig")), "set-nodes")
+    reps = materialise(linked.groupBy("set_a", "set_b", "n").agg(F.min("id").alias("id"), F.first("sig").alias("sig"), F.count(F.lit(1)).alias("held")), "set-nodes")
     pairs = materialise(candidates(reps), "candidate-pairs")
     ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
     ids = materialise(ids, "candidate-ids")
@@ -242,7 +259,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, words: int = 5, thresh
     apart = apart.where(F.coalesce("a_at", "a") != F.coalesce("b_at", "b")).select("a", "b")
     # Both tables together give the classes.
     more = confirmed(apart, texts, words, threshold)
-    same_id = linked.select("set_a", "set_b", "n", "id").distinct().join(reps.select("set_a", "set_b", "n", F.col("id").alias("rep")), ["set_a", "set_b", "n"])
+    by_set = ["set_a", "set_b", "n"]
+    same_id = join_counted(linked.select(*by_set, "id"), reps.select(*by_set, F.col("id").alias("rep"), "held"), by_set, "held", signed.count()).select("id", "rep")
     star = at.where("node != component").select(F.col("component").alias("a"), F.col("node").alias("b"))
     at = materialise(components(star.unionByName(more)), "classes")
     # What crowds hold beside neighbours: documents of different classes, all with all.
@@ -252,11 +270,21 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, words: int = 5, thresh
         star = at.where("node != component").select(F.col("component").alias("a"), F.col("node").alias("b"))
         at = materialise(components(star.unionByName(across)), "classes")
     member = same_id.join(at, F.col("rep") == F.col("node"), "left").groupBy("id").agg(F.min(F.least(F.coalesce("component", "rep"), F.col("id"))).alias("component_id"))
-    out = signed.join(member, "id", "left").withColumn("component_id", F.coalesce("component_id", "id"))
+    if shared is None:
+        out = signed.join(member, "id", "left").withColumn("component_id", F.coalesce("component_id", "id"))
+    else:  # all nodes of one doc_id are one document, and a class goes by its least doc_id
+        every = signed.where("id is not null").select("id").distinct().join(member, "id", "left")
+        every = materialise(every.select("id", F.coalesce("component_id", "id").alias("class")).join(shared, F.col("id") == F.col("node"), "left").select("id", "class", F.coalesce("doc", "id").alias("doc")), "document-nodes")
+        home = every.groupBy("doc").agg(F.min("class").alias("least"))
+        joined = materialise(components(every.join(home, "doc").select(F.col("class").alias("a"), F.col("least").alias("b"))), "joined-classes")
+        every = every.join(joined, F.col("class") == F.col("node"), "left").select("id", "doc", F.coalesce("component", "class").alias("class"))
+        named = every.join(every.groupBy("class").agg(F.min("doc").alias("component_id")), "class").select("id", "doc", "component_id")
+        out = signed.join(named, "id", "left").withColumn("id", F.coalesce("doc", "id"))
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
 def keep_one(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay: of each group the document with the least doc_id."""
-    gone = near_duplicates(spark, docs).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    name, own = fresh_names(docs, "_gone", "_own")
+    gone = near_duplicates(spark, docs).where("not kept").select(F.col("doc_id").alias(name)).distinct()
+    return docs.withColumn(own, doc_column(docs, "doc_id", "long")).join(gone, F.col(own) == F.col(name), "left_anti").drop(own)

@@ -11,18 +11,58 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 _OWN: dict[str, str] = {}
+_WRITTEN: list[list[str]] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a local one of our own only where that is unset."""
+    """The folder of ``spark.checkpoint.dir``; one of our own only where that is unset and Spark runs in this one machine."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = _OWN.setdefault(spark.sparkContext.applicationId, "")
-        if not base:
-            base = _OWN[spark.sparkContext.applicationId] = "file://" + tempfile.mkdtemp(prefix="lodestream-")
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = _OWN.get(spark.sparkContext.applicationId) or "file://" + tempfile.mkdtemp(prefix="lodestream-")
+        _OWN[spark.sparkContext.applicationId] = base
     return base.rstrip("/")
 
 
+@contextlib.contextmanager
+def scratch(spark: SparkSession):
+    """Removes, at its end, the tables that ``materialise`` wrote within it; what reads them has to be written by then."""
+    _WRITTEN.append([])
+    try:
+        yield
+    finally:
+        for path in _WRITTEN.pop():
+            remove(spark, path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def join_counted(rows: DataFrame, table: DataFrame, on: list[str], held: str, total: int, most: int = 20_000) -> DataFrame:
+    """``rows`` joined with ``table``, which has each key once and, in ``held``, how many of the ``total`` rows have it.
+
+    Keys with more than a ``most``-th of all rows are fewer than ``most``: that part of the
+    table is broadcast, so that no key's rows meet in one task. The others join by shuffle.
+    """
+    hot = F.broadcast(table.where(F.col(held) > total / most))
+    cold = table.where(F.col(held) <= total / most)
+    return rows.join(hot, on).unionByName(rows.join(hot.select(*on), on, "left_anti").join(cold, on))
+
+
+def fresh_names(df: DataFrame, *names: str) -> list[str]:
+    """``names`` with underscores before them until no column of ``df`` is called so."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for n in names:
+        while n.lower() in taken:
+            n = "_" + n
+        out.append(n)
+    return out
+
+
 def materialise(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """Writes ``df`` as Parquet to the shared folder and reads it back.
 
@@ -31,6 +71,8 @@ def materialise(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/lodestream/{name}-{uuid.uuid4().hex}"
+    if _WRITTEN:
+        _WRITTEN[-1].append(path)
     df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

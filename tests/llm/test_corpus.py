@@ -121,6 +121,23 @@ def test_forest_odd_rows(spark, odd, empty):
     assert minhash_forest.near_duplicates(spark, empty).count() == 0
 
 
+def test_forest_where_texts_share_an_id(spark):
+    """Rows of one doc_id are one document with the links of each."""
+    a, b = (" ".join(f"{c}{i}" for i in range(40)) for c in "ab")
+    rows = [(1, a), (1, b), (2, a + " z"), (3, b + " z"), (4, "some thing else altogether here now"), (5, b + " z"), (5, b + " z"), (None, a)]
+    got = sorted((r["doc_id"] or 0, r["component_id"] or 0, r["kept"]) for r in minhash_forest.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(0, 0, True), (1, 1, True), (1, 1, True), (2, 1, False), (3, 1, False), (4, 4, True), (5, 1, False), (5, 1, False)]
+
+
+@pytest.mark.parametrize("few", [250_000, 0])
+def test_components_of_a_hub_and_a_long_path(spark, monkeypatch, few):
+    monkeypatch.setattr(components, "FEW_EDGES", few)
+    edges = [(7, i) for i in range(1000, 1400)] + [(i, i + 1) for i in range(2000, 2300)]
+    got = {r["node"]: r["component"] for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {i: 7 for i in range(1000, 1400)} | {7: 7} | {i: 2000 for i in range(2000, 2301)}
+    assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 103), (103, 101), (5, 5)]
     got = {r["node"]: r["component"] for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
