@@ -18,10 +18,8 @@ FROM_DEPTH = 2
 REGION = 1_000
 #: Documents compared with one other in one run.
 LOT = 64
-#: Documents of a block of a crowd; a task holds two blocks.
-BLOCK = 256
-#: Shingles counted at once over two blocks.
-COLUMNS = 8_192
+#: A shingle of a crowd with so many documents pairs all of them; one with more, those next to each other in lots of CHAIN.
+RARE, CHAIN = 48, 1_000
 #: Below so many candidates their ids are broadcast (8 bytes each), beyond it they are joined.
 BROADCAST_IDS = 500_000
 THRESHOLD = 75
@@ -131,88 +129,56 @@ def confirmed(pairs: DataFrame, texts: DataFrame, words: int = 5, threshold: int
     return rows.mapInArrow(tidily(compared), "a long, b long").distinct()
 
 
-def blocks_apart(reps: DataFrame, at: DataFrame, trees: int = TREES, depth: int = DEPTH, from_depth: int = FROM_DEPTH, block: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """(id, component, block) and (x, y): blocks of documents, and those pairs of them that may hold links that are still missing.
-
-    Documents that share ``from_depth`` values in a tree, but are not in one component yet
-    (``at``: node, component), have to be compared, whether they met or not. A document's
-    block is a part of its component, if that fills a block, or else of the largest crowd
-    that it is in, so that a crowd has few blocks and two of them are paired once,
-    not once a tree. Pairs of blocks follow from the blocks a crowd has; blocks of
-    one component are not paired.
-    """
-    block = block or BLOCK
+def crowded(reps: DataFrame, at: DataFrame, trees: int = TREES, depth: int = DEPTH, from_depth: int = FROM_DEPTH) -> DataFrame:
+    """(id, component): documents that share ``from_depth`` values in some tree with one of another component (``at``: node, component)."""
     placed = reps.select("id", "sig").join(at, F.col("id") == F.col("node"), "left").select("id", F.coalesce("component", "id").alias("component"), "sig")
     slots = F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda i: F.xxhash64(i, F.slice("sig", i * depth + 1, from_depth)))
-    t = placed.select("id", "component", F.explode(slots).alias("crowd"))
+    t = materialise(placed.select("id", "component", F.explode(slots).alias("crowd")), "tree-places")
     crowds = t.groupBy("crowd").agg(F.count(F.lit(1)).alias("held"), F.min("component").alias("low"), F.max("component").alias("high"))
     crowds = materialise(crowds.where("low != high").select("crowd", "held"), "crowds-apart")
-    t = materialise(t.join(crowds, "crowd"), "crowded-documents")
-    home = t.groupBy("id", "component").agg(F.max(F.struct("held", "crowd")).alias("home"))
-    full = at.groupBy("component").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") >= block)
-    home = home.join(full, "component", "left")
-    part = lambda size: F.pmod(F.xxhash64("id"), F.ceil(size / block))
-    name = F.when(F.col("size").isNotNull(), F.xxhash64(F.lit(1), "component", part(F.col("size")))).otherwise(F.xxhash64(F.lit(2), "home.crowd", part(F.col("home.held"))))
-    home = materialise(home.select("id", "component", name.alias("block"), F.when(F.col("size").isNotNull(), F.col("component")).alias("whole")), "blocks")
-    held = materialise(t.select("crowd", "id").join(home, "id").select("crowd", "block", "whole").distinct(), "crowd-blocks")
-    one, other = (held.select("crowd", F.col("block").alias(b), F.col("whole").alias(w)) for b, w in (("x", "w"), ("y", "v")))
-    pairs = one.join(other, "crowd").where("x <= y and not (w is not null and w <=> v)").select("x", "y").distinct()
-    return home.select("id", "component", "block"), materialise(pairs, "block-pairs")
-
-
-def _overlaps(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """Sizes of the intersections of ``sets`` at ``left`` with those at ``right``, from shingles that two sets or more have."""
-    size = np.array([len(s) for s in sets])
-    row = np.repeat(np.arange(len(sets)), size)
-    _, column, n = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    shared = n[column] > 1
-    row, column = row[shared], (np.cumsum(n > 1) - 1)[column[shared]]
-    by = np.argsort(column, kind="stable")
-    row, column = row[by], column[by]
-    out = np.zeros((len(left), len(right)), np.float32)
-    for first in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
-        a, b = np.searchsorted(column, (first, first + COLUMNS))
-        there = np.zeros((len(sets), min(COLUMNS, int(column[-1]) + 1 - first)), np.float32)
-        there[row[a:b], column[a:b] - first] = 1
-        out += there[left] @ there[right].T
-    return out.astype(np.int64)
-
-
-def links_across(blocks: DataFrame, pairs: DataFrame, texts: DataFrame, words: int = 5, threshold: int = THRESHOLD) -> DataFrame:
-    """(a, b): links between documents of different components in ``pairs`` (x, y) of ``blocks``, by comparing all with all."""
-    sides = pairs.select("x", "y", F.col("x").alias("block")).unionByName(pairs.where("x != y").select("x", "y", F.col("y").alias("block")))
-    rows = sides.join(blocks, "block").join(texts.select("id", "text"), "id").select("x", "y", "block", "id", "component", "text")
-    rows = rows.repartition("x", "y").sortWithinPartitions("x", "y")
-
-    def settled(x, y, block, ids, component, sets):
-        block, ids, component = np.array(block), np.array(ids), np.array(component)
-        left, right = np.flatnonzero(block == x), np.flatnonzero(block == y)
-        if not len(left) or not len(right):
-            return
-        n = np.array([len(s) for s in sets])
-        both = _overlaps(sets, left, right)
-        link = (both > 0) & (100 * both >= threshold * (n[left][:, None] + n[right] - both)) & (component[left][:, None] != component[right])
-        i, j = np.nonzero(link)
-        if len(i):
-            a, b = ids[left[i]], ids[right[j]]
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+    return join_counted(t, crowds, ["crowd"], "held", t.count()).select("id", "component").distinct()
 
-    def compared(batches):
-        now, held = None, ([], [], [], [])
-        for batch, texts in batched_texts(batches, 1_000_000):
-            keys = zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True)
-            columns = zip(*(batch.column(c).to_pylist() for c in ("block", "id", "component")), shingle_sets(texts, words), strict=True)
-            for key, row in zip(keys, columns, strict=True):
-                if key != now:
-                    if now:
-                        yield from settled(*now, *held)
-                    now, held = key, ([], [], [], [])
-                for kept, v in zip(held, row, strict=True):
-                    kept.append(v)
-        if now:
-            yield from settled(*now, *held)
 
-    return rows.mapInArrow(tidily(compared), "a long, b long").distinct()
+def shared_shingles(docs: DataFrame, texts: DataFrame, words: int = 5) -> DataFrame:
+    """(sh, id, component, n, held): the shingles of ``docs`` (id, component) that lie in two components or more, and in how many documents."""
+    rows = texts.select("id", "text").join(docs, "id").select("id", "component", "text")
+
+    def shingled(batches):
+        for batch, texts in batched_texts(batches, 1_000_000):
+            sets = shingle_sets(texts, words)
+            n = np.array([len(s) for s in sets], np.int64)
+            if n.sum():
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(np.concatenate(sets).view(np.int64)), pa.array(np.repeat(batch.column("id").to_numpy(), n)),
+                    pa.array(np.repeat(batch.column("component").to_numpy(), n)), pa.array(np.repeat(n, n))], ["sh", "id", "component", "n"])
+
+    all_ = materialise(rows.mapInArrow(tidily(shingled), "sh long, id long, component long, n long"), "crowd-shingles")
+    held = all_.groupBy("sh").agg(F.count(F.lit(1)).alias("held"), F.min("component").alias("low"), F.max("component").alias("high"))
+    held = materialise(held.where("low != high").select("sh", "held"), "shared-shingles")
+    return materialise(join_counted(all_, held, ["sh"], "held", all_.count()), "shingle-places")
+
+
+def crowd_pairs(places: DataFrame, threshold: int = THRESHOLD, rare: int = RARE, lot: int = CHAIN) -> DataFrame:
+    """(a, b): pairs across components, of all that ``places`` (of ``shared_shingles``) holds, that can still be linked.
+
+    What a whole crowd has in common tells nobody apart, so pairs come from shingles that
+    at most ``rare`` documents have, and go again unless those, with all common ones that
+    either has, reach the threshold. So every linked pair with one rare shingle in common
+    is there. Pairs that have none share what over ``rare`` documents have: along each
+    such shingle, in lots of ``lot``, neighbours by id are pairs.
+    """
+    few, many = places.where(F.col("held") <= rare), places.where(F.col("held") > rare)
+    common = many.groupBy("id").agg(F.count(F.lit(1)).alias("common"))
+    one, other = (few.select("sh", *[F.col(c).alias(f"{c}_{s}") for c in ("id", "component", "n")]) for s in "ab")
+    met = one.join(other, "sh").where("id_a < id_b and component_a != component_b").groupBy("id_a", "id_b").agg(F.count(F.lit(1)).alias("both"), (F.first("n_a") + F.first("n_b")).alias("n"))
+    for s in "ab":
+        met = met.join(common.select(F.col("id").alias(f"id_{s}"), F.col("common").alias(f"common_{s}")), f"id_{s}", "left")
+    most = F.col("both") + F.least(F.coalesce("common_a", F.lit(0)), F.coalesce("common_b", F.lit(0)))
+    met = met.where((100 + threshold) * most >= threshold * F.col("n")).select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
+    along = W.partitionBy("sh", "lot").orderBy("id")
+    chain = many.withColumn("lot", F.pmod(F.xxhash64("id"), F.ceil(F.col("held") / lot))).select(
+        "id", "component", F.lag("id").over(along).alias("before"), F.lag("component").over(along).alias("other"))
+    return met.unionByName(chain.where("before < id and other != component").select(F.col("before").alias("a"), F.col("id").alias("b"))).distinct()
 
 
 def one_node_each(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
@@ -263,9 +229,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, words: int = 5, thresh
     same_id = join_counted(linked.select(*by_set, "id"), reps.select(*by_set, F.col("id").alias("rep"), "held"), by_set, "held", signed.count()).select("id", "rep")
     star = at.where("node != component").select(F.col("component").alias("a"), F.col("node").alias("b"))
     at = materialise(components(star.unionByName(more)), "classes")
-    # What crowds hold beside neighbours: documents of different classes, all with all.
-    blocks, facing = blocks_apart(reps, at)
-    across = materialise(links_across(blocks, facing, texts, words, threshold), "links-across")
+    # What crowds hold beside neighbours: documents of different classes, by the shingles that tell them apart.
+    across = crowd_pairs(shared_shingles(crowded(reps, at), texts, words), threshold)
+    across = materialise(confirmed(across, texts, words, threshold), "links-across")
     if across.take(1):
         star = at.where("node != component").select(F.col("component").alias("a"), F.col("node").alias("b"))
         at = materialise(components(star.unionByName(across)), "classes")

@@ -97,7 +97,7 @@ def test_forest_in_a_crowd_of_near_copies(spark, monkeypatch):
     check_forest(spark, spark.createDataFrame(rows, "doc_id long, text string"))
 
 
-def test_forest_in_a_crowd_below_the_threshold(spark, monkeypatch):
+def test_forest_in_a_crowd_below_the_threshold(spark):
     """All of a templated crowd are alike at 0.70, planted pairs at 0.76 or so; no two neighbours need be a pair."""
     rows, pairs = [], {}
     for d in range(400):
@@ -106,13 +106,30 @@ def test_forest_in_a_crowd_below_the_threshold(spark, monkeypatch):
             own = [f"o{d - 1}_{i}" for i in range(10)] + own[10:]
             pairs[d] = d - 1
         rows.append((d * 7919 % 10_007, " ".join([*(f"w{i}" for i in range(200)), *own])))
-    monkeypatch.setattr(minhash_forest, "BLOCK", 64, raising=False)
     df = spark.createDataFrame(rows, "doc_id long, text string")
     at = {r["doc_id"]: r["component_id"] for r in minhash_forest.near_duplicates(spark, df).collect()}
     sets = {i: shingle_set(t) for i, t in texts(df).items()}
     assert at == linked(sets) and len(set(at.values())) == 400 - len(pairs)
 
 
+def test_forest_of_pairs_and_a_group_in_boilerplate(spark):
+    """2,000 pairs and a group of 150, all with one boilerplate: alike at 0.73 across, at 0.81 within."""
+    rows = []
+    boilerplate = [f"w{i}" for i in range(190)]
+    for d in range(2_000):
+        own = [f"p{d}_{i}" for i in range(36)]
+        for twin in range(2):
+            rows.append((2 * d + twin, " ".join([*boilerplate, *own[:20 - 8 * twin], *(f"q{d}_{twin}_{i}" for i in range(8 * twin)), *own[20:]])))
+    for d in range(150):
+        rows.append((10_000 + d, " ".join([*boilerplate, *(f"g{i}" for i in range(24)), *(f"h{d}_{i}" for i in range(11))])))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    at = {r["doc_id"]: r["component_id"] for r in minhash_forest.near_duplicates(spark, df).collect()}
+    sets = {i: shingle_set(t) for i, t in rows}
+    alike = lambda a, b: 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])
+    assert alike(0, 1) and not alike(0, 2) and alike(10_000, 10_001) and not alike(0, 10_000)
+    assert all(at[i] == i - i % 2 for i in range(4_000)) and all(at[i] == 10_000 for i in range(10_000, 10_150))
+
+
 def test_forest_odd_rows(spark, odd, empty):
     got = {(r["doc_id"], r["n_shingles"]): (r["component_id"], r["kept"]) for r in minhash_forest.near_duplicates(spark, odd).collect()}
     assert got[(7, 2)] == (2, False) and got[(2, 2)] == (2, True)
