@@ -85,22 +85,17 @@ def with_next(rows: DataFrame, key: str, columns: list[str], rows_each: int = 2_
         place = F.when(F.col(key).isNull(), F.lit(0)).otherwise(_place(cut_array, F.col(key), len(cuts)))
     ranged = rows.withColumn("_range", place.cast("int")).withColumn("_guest", F.lit(0))
     order = [F.col(key).asc_nulls_first(), *[F.col(c).asc_nulls_first() for c in columns]]
-    heads = {r["_range"]: r["head"] for r in ranged.groupBy("_range").agg(F.min(key).alias("head"), F.max(F.col(key).isNull()).alias("nulls")).select(
-        "_range", F.when(F.col("nulls"), F.lit(None)).otherwise(F.col("head")).alias("head")).collect()}
-    ranges = sorted(heads)
-    host = {r: ranges[i - 1] for i, r in enumerate(ranges)}
-    to = F.create_map(*[F.lit(x) for r in ranges for x in (r, host[r])]) if ranges else F.create_map(F.lit(0), F.lit(0))
-    known = [v for v in heads.values() if v is not None]
-    is_head = F.col(key).isin(known) if known else F.lit(False)
-    if None in heads.values():
-        is_head = is_head | F.col(key).isNull()
+    # One row a range: the range before it, which gets its first row.
+    ranges = ranged.groupBy("_range").agg(F.min(F.struct(F.col(key).isNotNull().alias("there"), F.col(key).alias("head"))).alias("least"))
+    ranges = ranges.select("_range", F.col("least.head").alias("_head"), F.lag("_range").over(W.orderBy("_range")).alias("_before"), F.max("_range").over(W.partitionBy(F.lit(0))).alias("_last"))
+    ranges = F.broadcast(ranges.select("_range", "_head", F.coalesce("_before", "_last").alias("_before")))
     first = (
-        ranged.where(is_head)
+        ranged.join(ranges, "_range").where(F.col(key).eqNullSafe(F.col("_head")))
         .withColumn("_nth", F.row_number().over(W.partitionBy("_range").orderBy(*order)))
         .where("_nth = 1")
-        .drop("_nth")
-        .withColumn("_range", F.element_at(to, F.col("_range")))
+        .withColumn("_range", F.col("_before"))
         .withColumn("_guest", F.lit(1))
+        .drop("_nth", "_before", "_head")
     )
     along = W.partitionBy("_range").orderBy("_guest", *order)
     return (
@@ -128,6 +123,11 @@ def edited(text: Column, following: Column) -> Column:
     return F.concat(F.left(text, F.length(text) - cut), F.left(following, cut))
 
 
+def as_text(fingerprint: Column) -> Column:
+    """A sketch as a string: its hashes in hexadecimal, 16 digits each, joined."""
+    return F.array_join(F.transform(fingerprint, lambda h: F.lpad(F.hex(h), 16, "0")), "")
+
+
 def fingerprints(spark: SparkSession, docs: DataFrame, k: int = SIZE) -> DataFrame:
     """Fingerprints of every text and of its edited text, with their likeness and that of the next document.
 

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import math
 import string
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .shared import doc_column, doc_text, materialise
+from .shared import doc_column, doc_text, fresh_names, materialise
 
-BUCKET_KEYS = 20_000
+#: Keys of a bucket before it splits, and bits by which slots are counted finer when they don't suffice.
+BUCKET_KEYS, FINER = 4_000, 4
 HOT_SHARE = 1_000
 
 
@@ -20,47 +20,53 @@ def normalised(text: Column) -> Column:
 
 
 def directory(keys: DataFrame, bucket_keys: int = BUCKET_KEYS) -> tuple[DataFrame, int]:
-    """The directory of an extendible-hash index over the distinct 64-bit ``key`` of ``keys``.
+    """The directory of an extendible-hash index over the distinct 64-bit ``key`` of ``keys``: (slot, bucket, depth), and its bits.
 
-    The directory doubles once per depth, and a bucket splits as long as it holds
-    more than ``bucket_keys`` keys. Returns (slot, bucket, depth) and the global
-    depth: a slot is the first ``global depth`` bits of a key, and its bucket the
-    first ``depth`` bits. Equal keys cannot be split and chain in one bucket, so
-    keys are counted once.
+    It begins with one bucket. As long as one holds over ``bucket_keys`` keys the directory
+    doubles: buckets that are too full split by one more leading bit, the others keep their
+    slots together. A slot is the first ``bits`` bits of a key, a bucket goes by its first
+    slot. Slots are counted from the keys once, and anew with more bits where one slot alone
+    is still too full. Equal keys cannot be split and chain in one bucket, so keys count once.
     """
-    n = keys.count()
-    top = max(1, math.ceil(math.log2(max(n, 1) / bucket_keys)) + 4 if n > bucket_keys else 1)
-    slots = keys.groupBy(F.shiftrightunsigned("key", 64 - top).alias("slot")).agg(F.count("*").alias("n"))
-    levels = slots.select("slot", "n", F.explode(F.sequence(F.lit(0), F.lit(top))).alias("depth"))
-    levels = levels.withColumn("prefix", F.expr(f"shiftrightunsigned(slot, {top} - depth)"))
-    nodes = levels.groupBy("depth", "prefix").agg(F.sum("n").alias("held"))
-    return (
-        levels.join(nodes, ["depth", "prefix"])
-        .groupBy("slot")
-        .agg(F.coalesce(F.min(F.when(F.col("held") <= bucket_keys, F.col("depth"))), F.lit(top)).alias("depth"))
-        .select("slot", F.expr(f"shiftrightunsigned(slot, {top} - depth)").alias("bucket"), "depth"),
-        top,
-    )
-
-
-def build_index(docs: DataFrame, key_file: DataFrame, bucket_keys: int = BUCKET_KEYS) -> DataFrame:
-    """Writes and reads back the index: one row per distinct normalised text.
-
-    Rows lie in the order (bucket, key), so that a task owns a range of keys.
-    Texts of one key chain; the grouping compares their whole bytes, and copies
-    are combined before the shuffle, however many they are.
+    keys = materialise(keys.select("key").distinct(), "index-keys")
+    bits = max(1, (keys.count() // bucket_keys).bit_length() + 1)
+    while True:
+        slot = F.shiftrightunsigned("key", 64 - bits)
+        slots = materialise(keys.groupBy(slot.alias("slot")).agg(F.count(F.lit(1)).alias("n"), F.lit(0).alias("depth")), "index-slots")
+        while True:
+            named = slots.withColumn("bucket", F.expr(f"shiftleft(shiftrightunsigned(slot, {bits} - depth), {bits} - depth)"))
+            full = named.groupBy("bucket", "depth").agg(F.sum("n").alias("held")).where(F.col("held") > bucket_keys)
+            splits = materialise(full.where(F.col("depth") < bits).select("bucket", "depth"), "index-splits")
+            if splits.isEmpty():
+                break
+            slots = materialise(named.join(splits.withColumn("more", F.lit(1)), ["bucket", "depth"], "left").select("slot", "n", (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth")), "index-slots")
+        if full.isEmpty() or bits + FINER > 62:
+            return named.select("slot", "bucket", "depth"), bits
+        bits += FINER
+
+
+def routed(rows: DataFrame, slots: DataFrame, bits: int) -> DataFrame:
+    """``rows`` with the bucket that the directory names for their ``key``; the directory is sent to all tasks while it is small."""
+    return rows.withColumn("slot", F.shiftrightunsigned("key", 64 - bits)).join(F.broadcast(slots.select("slot", "bucket")) if bits <= 18 else slots.select("slot", "bucket"), "slot").drop("slot")
+
+
+def build_index(docs: DataFrame, hot: DataFrame | None, slots: DataFrame, bits: int) -> DataFrame:
+    """Writes and reads back the index (bucket, key, digest, keep_id, group_size): one row per distinct normalised text.
+
+    Rows go to the owner task of their bucket, a range of keys. There texts of one key
+    chain, and those whose whole bytes are equal become one entry. Groups of very many
+    copies (``hot``, by key) are combined where they lie before anything is sent.
     """
     text = normalised(doc_text(docs))
-    slots, top = directory(key_file.select("key").distinct(), bucket_keys)
-    chained = (
-        docs.select(F.xxhash64(text).alias("key"), text.alias("norm"), doc_column(docs, "doc_id", "long").alias("doc_id"))
-        .groupBy("key", "norm")
-        .agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-        .select("key", F.unhex(F.sha2("norm", 256)).alias("digest"), "keep_id", "group_size")
-    )
-    slots = F.broadcast(slots) if top <= 18 else slots
-    owned = chained.withColumn("slot", F.shiftrightunsigned("key", 64 - top)).join(slots, "slot").drop("slot")
-    return materialise(owned.repartitionByRange("bucket", "key").sortWithinPartitions("bucket", "key", "digest"), "exact-index")
+    rows = docs.select(F.xxhash64(text).alias("key"), text.alias("norm"), doc_column(docs, "doc_id", "long").alias("doc_id"))
+    chained = lambda df: df.groupBy("bucket", "key", "norm").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    if hot is None:
+        entries = chained(routed(rows, slots, bits).repartition("bucket"))
+    else:
+        keys = F.broadcast(hot.select("key").distinct())
+        owned = chained(routed(rows.join(keys, "key", "left_anti"), slots, bits).repartition("bucket"))
+        entries = owned.unionByName(chained(routed(rows.join(keys, "key", "left_semi"), slots, bits)))
+    return materialise(entries.select("bucket", "key", F.unhex(F.sha2("norm", 256)).alias("digest"), "keep_id", "group_size"), "exact-index")
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, bucket_keys: int = BUCKET_KEYS) -> DataFrame:
@@ -74,35 +80,39 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, bucket_keys: int = BUCKET_
     """
     text = normalised(doc_text(docs))
     key_file = materialise(
-        docs.select(doc_column(docs, "doc_id", "long").alias("doc_id"), F.xxhash64(text).alias("key"), F.unhex(F.sha2(text, 256)).alias("digest")),
+        docs.select(doc_column(docs, "doc_id", "long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.xxhash64(text).alias("key"), F.unhex(F.sha2(text, 256)).alias("digest")),
         "exact-keys",
     )
-    index = build_index(docs, key_file, bucket_keys)
-    n = key_file.count()
-    # At most HOT_SHARE groups can hold more than n / HOT_SHARE rows each, so this side is bounded.
-    hot_from = max(50, n // HOT_SHARE)
-    hot, cold = index.where(F.col("group_size") > hot_from), index.where(F.col("group_size") <= hot_from)
-    once = key_file.withColumn("copy", F.row_number().over(W.partitionBy("doc_id", "key", "digest").orderBy(F.lit(0))))
-    sized = once.join(F.broadcast(hot.withColumn("is_hot", F.lit(True))), ["key", "digest"], "left")
-    found = sized.where("is_hot").drop("is_hot")
-    rest = sized.where("is_hot is null").select("doc_id", "key", "digest", "copy").join(cold, ["key", "digest"])
-    return found.unionByName(rest).select(
-        "doc_id",
-        "keep_id",
-        "group_size",
-        (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("copy") == 1)).alias("kept"),
-        F.lower(F.hex("digest")).alias("text_sha256"),
-        "bucket",
-    )
+    # At most HOT_SHARE groups can hold more than n / HOT_SHARE rows each, so this table is bounded.
+    hot_from = max(50, key_file.count() // HOT_SHARE)
+    hot = materialise(key_file.groupBy("key", "digest").agg(F.count(F.lit(1)).alias("held")).where(F.col("held") > hot_from), "hot-groups")
+    hot = None if hot.isEmpty() else hot
+    slots, bits = directory(key_file, bucket_keys)
+    index = build_index(docs, hot, slots, bits)
+    entry = ["bucket", "key", "digest"]
+    sought = routed(key_file, slots, bits)
+    if hot is None:
+        found = sought.join(index, entry)
+    else:
+        many, few = index.where(F.col("group_size") > hot_from), index.where(F.col("group_size") <= hot_from)
+        found = sought.join(F.broadcast(many), entry).unionByName(sought.join(F.broadcast(many.select(*entry)), entry, "left_anti").join(few, entry))
+    found = materialise(found.withColumn("best", F.col("doc_id").eqNullSafe(F.col("keep_id"))), "exact-found")
+    # Rows equal in doc_id and text, of which the first written stays; most tables have none.
+    twins = materialise(found.where("best").groupBy("key", "digest").agg(F.count(F.lit(1)).alias("rows"), F.min("row").alias("first")).where(F.col("rows") > 1).drop("rows"), "exact-twins")
+    n = twins.count()
+    if n:
+        found = found.join(F.broadcast(twins) if n <= 100_000 else twins, ["key", "digest"], "left").withColumn("best", F.col("best") & (F.col("first").isNull() | (F.col("first") == F.col("row"))))
+    return found.select("doc_id", "keep_id", "group_size", F.col("best").alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"), "bucket")
 
 
 def keep_one(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, with the columns they came with; of rows equal in doc_id and text, one."""
     judged = materialise(exact_dedup(spark, docs).select("doc_id", "keep_id", "kept", F.unhex("text_sha256").alias("digest")), "exact-judged")
-    gone = judged.where("not kept").select(F.col("doc_id").alias("_gone"), F.col("digest").alias("_gone_digest"), F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("_twin"))
-    marked = docs.withColumn("_digest", F.unhex(F.sha2(normalised(doc_text(docs)), 256))).withColumn("_id", doc_column(docs, "doc_id", "long"))
-    same = F.col("_id").eqNullSafe(F.col("_gone")) & (F.col("_digest") == F.col("_gone_digest"))
-    kept = marked.join(gone.where("not _twin").distinct(), same, "left_anti")
-    if not gone.where("_twin").isEmpty():
-        kept = kept.dropDuplicates(["_id", "_digest"])
+    gone, gone_digest, digest, own = fresh_names(docs, "_gone", "_gone_digest", "_digest", "_own")
+    dropped = judged.where("not kept").select(F.col("doc_id").alias(gone), F.col("digest").alias(gone_digest), F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("twin"))
+    marked = docs.withColumn(digest, F.unhex(F.sha2(normalised(doc_text(docs)), 256))).withColumn(own, doc_column(docs, "doc_id", "long"))
+    same = F.col(own).eqNullSafe(F.col(gone)) & (F.col(digest) == F.col(gone_digest))
+    kept = marked.join(dropped.where("not twin").drop("twin").distinct(), same, "left_anti")
+    if not dropped.where("twin").isEmpty():
+        kept = kept.dropDuplicates([own, digest])
     return kept.select(*docs.columns)

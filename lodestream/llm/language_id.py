@@ -7,7 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from .shared import doc_column, materialise, small_batches, tidily
 from .tokens import batched_texts
@@ -38,6 +38,16 @@ SCRIPTS = {
 WORD = re.compile(r"[^\W\d_]+")
 
 
+def words_of(text: str) -> list[tuple[int, int, str]]:
+    """(start, end, word in lower case) of each run of letters; numerals such as a half or a raised two are none."""
+    return [(m.start(), m.end(), m[0].lower()) for m in WORD.finditer(text) if m[0].isalpha() or any(map(str.isalpha, m[0]))]
+
+
+def plain_words(text: str) -> list[str]:
+    found = WORD.findall(text)
+    return [w.lower() for w in found if w.isalpha() or any(map(str.isalpha, w))]
+
+
 def script_of(word: str) -> str:
     c = ord(word[0])
     return next((s for s, ranges in SCRIPTS.items() if any(a <= c <= b for a, b in ranges)), "other")
@@ -125,7 +135,7 @@ class Model:
     def label(self, texts: list[str | None], spans: bool) -> list[tuple[str, float, list[tuple[int, int, str]]]]:
         """(language, score, spans) of each text: the language with most letters, their share of its letters, and runs of one language."""
         self.forget()
-        words = [[w.lower() for w in WORD.findall(t)] if t else [] for t in texts]
+        words = [plain_words(t) if t else [] for t in texts]
         self.learn_words(set().union(*words))
         out = []
         for text, found in zip(texts, words, strict=True):
@@ -137,7 +147,7 @@ class Model:
             best = int(letters.argmax())
             runs = []
             if spans:
-                ends = [m.span() for m in WORD.finditer(text)]
+                ends = [w[:2] for w in words_of(text)]
                 cut = [0, *(np.flatnonzero(np.diff(path)) + 1).tolist(), len(path)]
                 runs = [(ends[a][0], ends[b - 1][1], self.languages[path[a]]) for a, b in zip(cut[:-1], cut[1:], strict=True)]
             out.append((self.languages[best], float(letters[best] / letters.sum()), runs))
@@ -171,17 +181,15 @@ def fit(spark: SparkSession, docs: DataFrame, fit_rows: int = FIT_ROWS) -> Model
         if not short:
             break
         shares |= {lang: min(1.0, 4 * shares[lang]) for lang in short}
-    chosen = None
-    for lang in counts:
-        one = some.where(F.col("lang") == lang).orderBy(part, "h").limit(fit_rows)
-        chosen = one if chosen is None else chosen.unionByName(one)
-    chosen = materialise(chosen, "fit-texts")
+    # Some 900 rows a language are left here, ordered in one pass for all languages.
+    nth = F.row_number().over(W.partitionBy("lang").orderBy(part, "h"))
+    chosen = materialise(some.withColumn("nth", nth).where(F.col("nth") <= fit_rows).select("lang", "h"), "fit-texts")
     taken = rows.join(F.broadcast(chosen), ["lang", "h"], "left_semi").groupBy("lang", "h").agg(F.min("text").alias("text"))
 
     def grams(batches):
         for batch in batches:
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                words = Counter(w.lower() for w in WORD.findall(text))
+                words = Counter(plain_words(text))
                 if not words:
                     continue
                 scripts: Counter[str] = Counter()
@@ -248,13 +256,15 @@ def keep_known(spark: SparkSession, docs: DataFrame, least: float = 0.3, fit_row
 
     Without any labelled row nothing is known of languages, and texts with a letter stay.
     """
+    if "text" not in docs.columns:
+        return docs.where(F.lit(False))
     held = spark.sparkContext.broadcast(fit(spark, docs, fit_rows))
 
     def known(batches):
         m = held.value
         for batch, texts in batched_texts(batches, MOST_CHARS):
             if m is None:
-                keep = [bool(t and WORD.search(t)) for t in texts]
+                keep = [bool(t and plain_words(t)) for t in texts]
             else:
                 keep = [lang != "und" and score >= least for lang, score, _ in m.label(texts, False)]
             yield batch.filter(pa.array(keep, pa.bool_()))

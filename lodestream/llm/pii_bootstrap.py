@@ -8,7 +8,7 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .shared import doc_column, doc_text, materialise, small_batches, tidily
+from .shared import doc_column, doc_text, join_counted, materialise, small_batches, tidily
 
 KINDS = ("email", "ip", "card", "phone")
 #: The base expressions.
@@ -18,10 +18,11 @@ CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 LOCAL = re.compile(r"[A-Za-z0-9._%+-]+\Z")
 DIGIT = re.compile(r"[0-9]")
-#: An identifier that no expression knows: a run without white space with a digit, @ or # in it.
-CANDIDATE = re.compile(r"[^\s]*[0-9@#][^\s]*")
+#: An identifier that no expression knows: groups of digits that belong together, or a run without white space with a digit, @ or # in it.
+CANDIDATE = re.compile(r"\(?[0-9][0-9()-]*(?:[ .][0-9()-]+)+(?![^\s.,;:!?])|[^\s]*[0-9@#][^\s]*")
 EDGES = ".,;:!?\"'()[]{}<>"
-ROUNDS = 3
+#: Rounds end when no confidence moves by more than MOVED; each takes a third of the way at least.
+MOVED, ROUNDS = 0.005, 40
 #: A pattern counts with so many different seeds in different documents, and from this confidence.
 SUPPORT, CONFIDENT = 3, 0.8
 
@@ -66,24 +67,47 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return sorted(out, key=lambda s: (s[1], KINDS.index(s[0])))
 
 
-def shape(value: str) -> str:
-    """Letters a, digits 9, each run cut to one sign: what an identifier looks like."""
-    return re.sub(r"9+", "9", re.sub(r"[0-9]", "9", re.sub(r"[^\W\d_]+", "a", value)))[:24]
+def _words_before(text: str, line: int, start: int, n: int = 2) -> list[str]:
+    """The last ``n`` whole words before ``start``, looking back no farther than it takes."""
+    back = 64
+    while True:
+        low = max(line, start - back)
+        words = text[low:start].split()
+        if low == line or len(words) > n:  # the first may be cut, and isn't taken then
+            return words[-n:]
+        back *= 4
+
+
+def _word_after(text: str, end: int) -> str | None:
+    stop = text.find("\n", end)
+    stop = len(text) if stop < 0 else stop
+    ahead = 64
+    while True:
+        high = min(stop, end + ahead)
+        words = text[end:high].split(maxsplit=1)
+        if high == stop or len(words) > 1:
+            return words[0] if words else None
+        ahead *= 4
 
 
 def contexts(text: str, start: int, end: int) -> list[str]:
     """The patterns around a span: the word before it, the two words before, and the words on both sides, within its line."""
-    line = text.rfind("\n", 0, start) + 1
-    stop = text.find("\n", end)
-    before = text[max(line, start - 120):start].split()
-    after = text[end:(end + 60 if stop < 0 else min(stop, end + 60))].split()
-    left = [w.lower().strip(EDGES) or w for w in before[-2:]]
-    right = after[0].lower().strip(EDGES) or after[0] if after else "$"
+    bare = lambda w: w.lower().strip(EDGES) or w
+    left = [bare(w) for w in _words_before(text, text.rfind("\n", 0, start) + 1, start)]
+    after = _word_after(text, end)
+    right = bare(after) if after else "$"
     if not left:
         return [f"^ _ {right}"]
     return [f"{left[-1]} _", *([f"{' '.join(left)} _"] if len(left) > 1 else []), f"{left[-1]} _ {right}"]
 
 
+def telling(value: str) -> bool:
+    """Whether a candidate may be an identifier: four digits or more, or an @ or # with letters or digits behind it."""
+    if len(value) < 5:
+        return False
+    return sum(c.isdigit() for c in value) >= 4 or any(c in "@#" and value[i + 1:i + 2].isalnum() for i, c in enumerate(value))
+
+
 def occurrences(text: str, base: list[tuple[str, int, int]]):
     """(kind or None, start, end) of base spans and of unknown candidates that touch none."""
     yield from base
@@ -97,36 +121,48 @@ def occurrences(text: str, base: list[tuple[str, int, int]]):
             a += 1
         while b > a and text[b - 1] in EDGES:
             b -= 1
+        if m.start() < a and text[a - 1] == "(" and ")" in text[a:b]:
+            a -= 1
         while i < len(taken) and taken[i][1] <= a:
             i += 1
-        if b - a >= 5 and not (i < len(taken) and taken[i][0] < b) and sum(c.isdigit() for c in text[a:b]) >= 4:
+        if not (i < len(taken) and taken[i][0] < b) and telling(text[a:b]):
             yield None, a, b
 
 
-def learn(spark: SparkSession, found: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, confident: float = CONFIDENT) -> DataFrame:
-    """(pattern, shape, kind): patterns that mark identifiers of a kind, and the shapes met there.
+def learn(found: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, confident: float = CONFIDENT) -> DataFrame:
+    """(pattern, kind): patterns that mark identifiers of a kind.
 
-    ``found`` has a row per occurrence and pattern: pattern, shape, instance (a hash),
-    kind or null. Instances and patterns form a graph. An instance's trust is 1 if it is
-    a seed; else the mean trust of its patterns. A pattern's confidence is the trust of
-    its instances by their number plus one, so rare patterns stay low. Both are
-    re-estimated in turn, by grouped sums in Spark; a hot pattern is summed partially first.
+    ``found`` has a row per occurrence and pattern: pattern, instance (a hash), kind or
+    null. Instances and patterns form a graph. An instance's trust is 1 if it is a seed;
+    else the mean confidence of its patterns, so one that also stands where no seed ever
+    does stays low. A pattern's confidence is the trust of its instances by their number
+    plus one, so rare patterns stay low. Both are re-estimated in turn until they hold,
+    by grouped sums in Spark; patterns with very many instances are broadcast, others
+    are joined. A pattern's kind is that of most of its seeds, of equally many the first
+    as listed. Where no pattern has both seeds enough and an unknown instance there is
+    nothing to find, and no round.
     """
-    graph = materialise(found.groupBy("pattern", "instance", "shape").agg(F.max("kind").alias("kind"), F.count(F.lit(1)).alias("n")), "pii-graph")
-    trust = graph.select("pattern", "instance", "shape", "kind", F.col("kind").isNotNull().cast("double").alias("trust"))
-    score = None
+    graph = materialise(found.groupBy("pattern", "instance").agg(F.max("kind").alias("kind")), "pii-graph")
+    total = graph.count()
+    seeds = [F.count_if(F.col("kind") == k) for k in KINDS]
+    of_kind = F.array_max(F.array(*[F.struct(n.alias("n"), F.lit(-i).alias("place"), F.lit(k).alias("kind")) for i, (k, n) in enumerate(zip(KINDS, seeds, strict=True))]))["kind"]
+    sums = materialise(graph.groupBy("pattern").agg(F.count(F.lit(1)).alias("held"), F.count("kind").alias("seeds"), of_kind.alias("of_kind")), "pii-sums")
+    open_ = (F.col("seeds") >= support) & (F.col("held") > F.col("seeds"))
+    nothing = sums.where("false").select("pattern", F.col("of_kind").alias("kind"))
+    if sums.where(open_).isEmpty():
+        return nothing
+    score = sums.withColumn("confidence", F.col("seeds") / (F.col("held") + 1))
     for _ in range(rounds):
-        score = materialise(
-            trust.groupBy("pattern").agg(
-                (F.sum("trust") / (F.count(F.lit(1)) + 1)).alias("confidence"),
-                F.count_if(F.col("kind").isNotNull()).alias("seeds"),
-                F.count_if(F.col("kind").isNull()).alias("unknown"),
-                F.max_by("kind", F.when(F.col("kind").isNotNull(), F.col("trust"))).alias("of_kind")), "pii-patterns")
-        spread = graph.join(score, "pattern").groupBy("instance").agg(F.avg("confidence").alias("inferred"))
-        trust = graph.join(spread, "instance").select("pattern", "instance", "shape", "kind", F.when(F.col("kind").isNotNull(), F.lit(1.0)).otherwise(F.col("inferred")).alias("trust"))
+        rated = join_counted(graph.where("kind is null"), score.select("pattern", "confidence", "held"), ["pattern"], "held", total)
+        trust = rated.groupBy("instance").agg(F.avg("confidence").alias("trust"))
+        inferred = graph.where("kind is null").join(trust, "instance").groupBy("pattern").agg(F.sum("trust").alias("gained"))
+        after = score.select("pattern", "held", "seeds", "of_kind", F.col("confidence").alias("was")).join(inferred, "pattern", "left")
+        score = materialise(after.withColumn("confidence", (F.col("seeds") + F.coalesce("gained", F.lit(0.0))) / (F.col("held") + 1)).drop("gained"), "pii-patterns")
+        moved = score.agg(F.max(F.abs(F.col("confidence") - F.col("was")))).first()[0]
+        if moved is None or moved <= MOVED:
+            break
     # A pattern that stands around seeds only has nothing to find.
-    good = score.where((F.col("seeds") >= support) & (F.col("confidence") >= confident) & (F.col("unknown") > 0)).select("pattern", F.col("of_kind").alias("kind"))
-    return good.orderBy("pattern")
+    return score.where(open_ & (F.col("confidence") >= confident)).select("pattern", F.col("of_kind").alias("kind")).orderBy("pattern")
 
 
 def patterns(spark: SparkSession, docs: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, confident: float = CONFIDENT) -> dict[str, str]:
@@ -145,13 +181,12 @@ def patterns(spark: SparkSession, docs: DataFrame, rounds: int = ROUNDS, support
             for text in batch.column("text").to_pylist():
                 for kind, a, b in occurrences(text, base_spans(text)):
                     instance = int.from_bytes(hashlib.blake2b(text[a:b].encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
-                    out += [(p, instance, shape(text[a:b]), kind) for p in contexts(text, a, b)]
+                    out += [(p, instance, kind) for p in contexts(text, a, b)]
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.string(), pa.int64(), pa.string(), pa.string()), strict=True)], ["pattern", "instance", "shape", "kind"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.string(), pa.int64(), pa.string()), strict=True)], ["pattern", "instance", "kind"])
 
-    telling = F.col("text").contains("@") | F.col("text").rlike("[0-9]")
-    found = rows.where(telling).mapInArrow(tidily(seeds), "pattern string, instance long, shape string, kind string")
-    return {r["pattern"]: r["kind"] for r in learn(spark, found, rounds, support, confident).toLocalIterator()}
+    found = rows.where(F.col("text").rlike("[0-9@#]")).mapInArrow(tidily(seeds), "pattern string, instance long, kind string")
+    return {r["pattern"]: r["kind"] for r in learn(found, rounds, support, confident).toLocalIterator()}
 
 
 def spans_of(text: str, known: dict[str, str]) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
@@ -168,8 +203,8 @@ def spans_of(text: str, known: dict[str, str]) -> tuple[list[tuple[str, int, int
 def extract(spark: SparkSession, docs: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, confident: float = CONFIDENT) -> DataFrame:
     """Personal data of every whole text, one row per row of ``docs``.
 
-    Base spans always stay. Candidates (runs with four digits or more that no base span
-    touches) become spans of a pattern's kind where the pattern around them is confident.
+    Base spans always stay. Candidates (runs and groups with four digits or more, or an @
+    or #, that no base span touches) become spans of a pattern's kind where the pattern around them is confident.
     A null or empty text has no span. Repeated rows are searched each; an empty table
     gives an empty result; extra columns are ignored. Returns doc_id, base and added:
     arrays of (kind, start, end) in code points, by start, then kind as listed.
@@ -212,6 +247,8 @@ def redact(text: str, spans: list[tuple[str, int, int]]) -> str:
 
 def redacted(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """``docs`` with its texts redacted; n_chars, where there is one, follows; a null text stays null."""
+    if "text" not in docs.columns:
+        return docs
     held = spark.sparkContext.broadcast(patterns(spark, docs))
 
     def replaced(batches):

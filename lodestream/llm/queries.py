@@ -37,7 +37,8 @@ def op4_url_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_bottomk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bottomk.fingerprints(spark, _table(spark, sf_dir, "documents"))
+    found = bottomk.fingerprints(spark, _table(spark, sf_dir, "documents"))
+    return found.withColumns({c: bottomk.as_text(F.col(c)) for c in ("fingerprint", "edited_fingerprint")})
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -293,6 +293,21 @@ def test_fingerprints(spark, docs, odd, empty):
     assert {r["n_chars"] for r in odd_rows if r["doc_id"] in (1, 3)} == {0}
 
 
+def test_registered_fingerprints_are_strings_and_follow_texts(spark, docs):
+    """Equal texts, equal fingerprints; near_next is the share of the next document's."""
+    known = sorted(texts(docs).items())
+    got = {r["doc_id"]: r for r in queries.op5_bottomk(spark, DIR).collect()}
+    by_text: dict[str, set] = {}
+    for i, (doc, text) in enumerate(known):
+        by_text.setdefault(text, set()).add(got[doc]["fingerprint"])
+        a, b = got[doc]["fingerprint"], got[known[(i + 1) % len(known)][0]]["fingerprint"]
+        ha, hb = ({h[j:j + 16] for j in range(0, len(h), 16)} for h in (a, b))
+        signed = lambda h: int(h, 16) - (1 << 64) * (int(h, 16) >> 63)
+        least = set(sorted(ha | hb, key=signed)[:bottomk.SIZE])
+        assert got[doc]["near_next"] == pytest.approx(len(least & ha & hb) / len(least) if least else 1.0)
+    assert all(len(prints) == 1 for prints in by_text.values())
+
+
 def test_next_row_across_ranges(spark):
     rows = spark.createDataFrame([(i * 7 % 101, f"t{i * 7 % 101}") for i in range(101)], "k long, v string")
     got = {r["k"]: r["next_v"] for r in bottomk.with_next(rows, "k", ["v"], rows_each=10).collect()}
@@ -308,6 +323,35 @@ def test_sketches_merge(spark):
     assert bottomk.merge_groups(parts, ["g"], k=4).first()["fingerprint"] == row["m"]
 
 
+def test_directory_doubles_until_no_bucket_is_too_full(spark):
+    """Buckets are ranges of keys, hold few keys each, and only full ones split."""
+    keys = [(i << 50,) for i in range(900)] + [(-(i << 40),) for i in range(1, 30)]
+    df = spark.createDataFrame(keys, "key long")
+    slots, bits = exact_dedup.directory(df, 64)
+    of = {r["slot"]: (r["bucket"], r["depth"]) for r in slots.collect()}
+    held: dict[tuple, int] = {}
+    for (k,) in keys:
+        slot = (k % (1 << 64)) >> (64 - bits)
+        bucket, depth = of[slot]
+        assert bucket == slot >> (bits - depth) << (bits - depth)
+        held[(bucket, depth)] = held.get((bucket, depth), 0) + 1
+    assert max(held.values()) <= 64 and min(d for _, d in held) < max(d for _, d in held)
+
+
+@pytest.mark.parametrize("hot_share", [1_000, 1])
+def test_exact_dedup_of_a_hot_group(spark, monkeypatch, hot_share):
+    rows = [(i, "The Same" if i % 3 == 0 else f"text {i // 2}") for i in range(600)] + [(None, "the same"), (599, "text 299"), (599, "text 299")]
+    monkeypatch.setattr(exact_dedup, "HOT_SHARE", hot_share)
+    got = exact_dedup.exact_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(4), bucket_keys=16).collect()
+    groups: dict[str, list] = {}
+    for i, t in rows:
+        groups.setdefault(hashlib.sha256(t.lower().encode()).hexdigest(), []).append(-1 if i is None else i)
+    assert len(got) == len(rows) and sum(r["kept"] for r in got) == len(groups)
+    for r in got:
+        assert (r["keep_id"], r["group_size"]) == (max(groups[r["text_sha256"]]), len(groups[r["text_sha256"]]))
+        assert not r["kept"] or r["doc_id"] == r["keep_id"]
+
+
 def test_exact_dedup(spark, docs, odd, empty):
     for df in (docs, docs.unionByName(docs.where("doc_id % 3 = 0").withColumn("doc_id", F.col("doc_id") + 10_000).withColumn("text", F.upper("text")))):
         rows = df.collect()
@@ -353,6 +397,44 @@ def test_pii_base(spark, docs, odd, empty):
     assert pii_bootstrap.extract(spark, empty).count() == 0
 
 
+def test_language_of_numerals_and_scripts(spark):
+    """Numerals are no letters; a script that only some languages write narrows a word to those."""
+    rows = [(4 * i + j, t, lang) for i in range(60) for j, (lang, t) in enumerate([("en", "the house and the river of stones"), ("ru", "дом и река из камня"), ("el", "το σπίτι και το ποτάμι"), ("bg", "къща и река от камък")])]
+    rows += [(1_000, "½ ²", None), (1_001, "12 + 30", None), (1_002, "ποτάμι", None), (1_003, "река из дом", None), (1_004, "stones river house", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r for r in language_id.identify(spark, df).collect()}
+    assert [got[i]["lang_pred"] for i in range(1_000, 1_005)] == ["und", "und", "el", "ru", "en"] and got[1_000]["score"] == 0
+    model = language_id.fit(spark, df)
+    assert model.scripts["cyrillic"].sum() == 2 and model.scripts["greek"].sum() == 1 and model.scripts["latin"].sum() == 1
+
+
+def test_pii_candidates_span_words_and_handles(spark):
+    found = lambda t: [t[a:b] for k, a, b in pii_bootstrap.occurrences(t, pii_bootstrap.base_spans(t)) if k is None]
+    assert found("hotline 555 010 9999 now") == ["555 010 9999"] and found("ask bob@localhost, or @handle7.") == ["bob@localhost", "@handle7"]
+    assert found("(743) 555-3824 a ### 12 b") == ["(743) 555-3824"] and found("a b c###") == []
+    long = "x" * 5_000
+    assert pii_bootstrap.contexts(f"{long} call 12345 end", 5_006, 5_011) == ["call _", f"{long} call _", "call _ end"]
+
+
+def test_pii_confidence_matches_a_plain_scorer(spark):
+    rng = np.random.default_rng(5)
+    rows = [(f"p{rng.integers(0, 12)}", int(rng.integers(0, 90))) for _ in range(500)]
+    kind = {i: ["email", "phone", None, None][i % 4] for i in range(90)}
+    rows = sorted(set(rows))
+    pats: dict[str, list] = {}
+    for p, i in rows:
+        pats.setdefault(p, []).append(i)
+    conf = {p: sum(kind[i] is not None for i in v) / (len(v) + 1) for p, v in pats.items()}
+    for _ in range(60):
+        trust = {i: 1.0 if kind[i] else np.mean([conf[p] for p, j in rows if j == i]) for _, i in rows}
+        conf = {p: sum(trust[i] for i in v) / (len(v) + 1) for p, v in pats.items()}
+    count = lambda p, k: sum(kind[i] == k for i in pats[p])
+    cut = float(np.median(list(conf.values())))
+    want = {p: "email" if count(p, "email") >= count(p, "phone") else "phone" for p in pats if conf[p] > cut + 0.01}
+    got = pii_bootstrap.learn(spark.createDataFrame([(p, i, kind[i]) for p, i in rows], "pattern string, instance long, kind string"), support=1, confident=cut + 0.01)
+    assert {r["pattern"]: r["kind"] for r in got.collect()} == want
+
+
 def test_pii_patterns_find_unseen(spark):
     rows = [(i, f"Please dial hotline +1 555 010 {1000 + i} today") for i in range(20)] + [(99, "Please dial hotline 5550109777x today"), (100, "The year 199912 was fine")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
@@ -558,3 +640,19 @@ def test_pipeline(spark, docs):
 def test_queries_are_registered():
     assert [int(re.match(r"op(\d+)_", q)[1]) for q in queries.QUERIES] == list(range(1, 11))
     assert set(queries.SQL) <= set(queries.QUERIES)
+
+
+@pytest.mark.parametrize("stage", [name for name, _ in corpus_pipeline.STAGES])
+def test_stages_on_odd_tables(spark, odd, empty, stage):
+    """Nulls, repeated rows, a very long text, columns named as the stage's own, an empty table: all rows that should stay do."""
+    run = dict(corpus_pipeline.STAGES)[stage]
+    clash = odd.withColumns({c: F.lit("x") for c in ("_gone", "_gone_digest", "_digest", "_id", "_own", "row", "component_id", "kept")})
+    rows = run(spark, clash, DIR).collect()
+    ids = sorted(-1 if r["doc_id"] is None else r["doc_id"] for r in rows)
+    assert run(spark, empty, DIR).count() == 0
+    if stage == "packing":
+        assert set(ids) == {-1, 1, 2, 3, 7, 8, 9, 11}
+    else:
+        assert run(spark, clash, DIR).columns == clash.columns
+        want = {"language": [-1, 2, 2, 7, 9, 11], "exact": [-1, 3, 7, 8, 9, 11], "near": [-1, 1, 2, 2, 3, 8, 9, 11], "private": [-1, 1, 2, 2, 3, 7, 8, 9, 11]}
+        assert ids == want[stage]
