@@ -25,6 +25,17 @@ def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("value").alias("price"), F.get_json_object("props", "$.k").cast("long").alias("size"))
 
 
+def quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """symbol, seq, ts_s, price, size, bid, ask, bid_total, ask_total, received_s: ticks with the book that was quoted and the time of receipt."""
+    bid = F.floor(F.col("value") * 20) / 20 - 0.05 * (F.col("user_id") % 3)
+    size = F.get_json_object("props", "$.k").cast("long")
+    at = epoch(F.col("ts"))
+    return table(spark, sf_dir, "events").select(
+        F.col("event_type").alias("symbol"), F.col("event_id").alias("seq"), at.alias("ts_s"), F.col("value").alias("price"), size.alias("size"),
+        F.round(bid, 2).alias("bid"), F.round(bid + 0.05 * (1 + F.col("user_id") % 4), 2).alias("ask"),
+        (F.col("user_id") * 7 % 101 + 1).alias("bid_total"), (F.col("user_id") * 13 % 103 + 1).alias("ask_total"), (at + F.col("user_id") % 300).alias("received_s"))
+
+
 def fills(spark: SparkSession, sf_dir: str) -> DataFrame:
     """symbol, seq, day, side, quantity, price: a fill for each line item."""
     line = table(spark, sf_dir, "lineitem")
@@ -66,6 +77,7 @@ def chain(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: The same views in SQL.
 SQL = {
     "ticks": "SELECT event_type AS symbol, event_id AS seq, epoch_us(ts) // 1000000 AS ts_s, value AS price, CAST(json_extract_string(props, '$.k') AS BIGINT) AS size FROM events",
+    "quotes": "SELECT event_type AS symbol, event_id AS seq, epoch_us(ts) // 1000000 AS ts_s, value AS price, CAST(json_extract_string(props, '$.k') AS BIGINT) AS size, round(floor(value * 20) / 20 - 0.05::DOUBLE * (user_id % 3), 2) AS bid, round(floor(value * 20) / 20 - 0.05::DOUBLE * (user_id % 3) + 0.05::DOUBLE * (1 + user_id % 4), 2) AS ask, user_id * 7 % 101 + 1 AS bid_total, user_id * 13 % 103 + 1 AS ask_total, epoch_us(ts) // 1000000 + user_id % 300 AS received_s FROM events",
     "closes": "SELECT o_orderpriority AS symbol, year(o_orderdate) * 12 + month(o_orderdate) AS month, avg(o_totalprice) AS close FROM orders GROUP BY 1, 2",
     "ladder": "SELECT l_suppkey % 10 AS symbol, CAST(floor(l_extendedprice / 1000) AS BIGINT) AS level, sum(CASE WHEN l_returnflag = 'A' THEN l_quantity ELSE 0.0 END)::DOUBLE AS buy, sum(CASE WHEN l_returnflag = 'R' THEN l_quantity ELSE 0.0 END)::DOUBLE AS sell, sum(CASE WHEN l_returnflag = 'N' THEN l_quantity ELSE 0.0 END)::DOUBLE AS unclassified FROM lineitem GROUP BY 1, 2",
     "chain": "SELECT underlying, month, strike, option_type, sum(oi) AS oi, avg(premium) AS premium, any_value(spot) AS spot FROM (SELECT p_brand AS underlying, year(l_shipdate) * 12 + month(l_shipdate) AS month, round(p_retailprice / 10) * 10 AS strike, CASE WHEN l_linenumber % 2 = 0 THEN 'CE' ELSE 'PE' END AS option_type, l_quantity::DOUBLE AS oi, l_extendedprice / l_quantity / 100 AS premium FROM lineitem JOIN part ON l_partkey = p_partkey) c JOIN (SELECT p_brand, avg(p_retailprice) AS spot FROM part GROUP BY 1) s ON s.p_brand = c.underlying GROUP BY 1, 2, 3, 4",
