@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 
@@ -108,9 +111,30 @@ def low_volume_nodes(ladder: DataFrame, by: list[str], share: float = 0.15) -> D
 
 
 def large_prints(ticks: DataFrame, seconds: int = 86_400, multiple: float = 2.0, least: int = 30) -> DataFrame:
-    """Prints of at least ``multiple`` times the upper median of the sizes of the ``seconds`` before."""
-    w = W.partitionBy("symbol").orderBy("ts_s").rangeBetween(-seconds, -1)
-    held = F.sort_array(F.collect_list("size").over(w))
-    t = ticks.withColumn("held", held).where(F.size("held") >= least)
-    t = t.withColumn("median", F.element_at("held", (F.floor(F.size("held") / 2) + 1).cast("int"))).drop("held")
-    return t.where(F.col("size") >= multiple * F.col("median"))
+    """Prints of at least ``multiple`` times the upper median of the sizes of the ``seconds`` before.
+
+    A task holds one symbol's prints of ``seconds`` and, as guests, those of as many before;
+    the sizes in the window are kept in order, so a print costs a search and a shift.
+    """
+    part = F.floor(F.col("ts_s") / seconds)
+    rows = ticks.select("symbol", "seq", "ts_s", "size", F.explode(F.array(part, part + 1)).alias("part"), part.alias("own"))
+
+    def found(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("ts_s", kind="stable")
+        at, size = pdf["ts_s"].tolist(), pdf["size"].tolist()
+        held: list[int] = []
+        out, low, high = [None] * len(at), 0, 0
+        for i, t in enumerate(at):
+            while high < len(at) and at[high] < t:
+                insort(held, size[high])
+                high += 1
+            while low < high and at[low] < t - seconds:
+                held.pop(bisect_left(held, size[low]))
+                low += 1
+            if len(held) >= least and size[i] >= multiple * held[len(held) // 2]:
+                out[i] = held[len(held) // 2]
+        pdf["median"] = pd.array(out, "Int64")
+        return pdf.loc[(pdf["part"] == pdf["own"]) & pdf["median"].notna(), ["symbol", "seq", "ts_s", "size", "median"]]
+
+    kinds = {f.name: f.dataType.simpleString() for f in ticks.schema}
+    return rows.groupBy("symbol", "part").applyInPandas(found, f"symbol {kinds['symbol']}, seq {kinds['seq']}, ts_s long, size long, median long")

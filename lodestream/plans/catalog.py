@@ -270,10 +270,10 @@ def nearest_in_time(spark, sf_dir):
     return J.nearest(p, v, "k", "ts_s", "price", 3_600).select("seq", "price")
 
 
-@query(f"WITH d AS (SELECT DISTINCT bar_s // 86400 AS day FROM {BARS} WHERE symbol = 'click'), e AS (SELECT bar_s // 86400 AS day, count(*) AS n FROM {BARS} WHERE symbol = 'error' AND close > 30 GROUP BY 1) SELECT day FROM d WHERE day NOT IN (SELECT day FROM e)")
+@query(f"WITH d AS (SELECT DISTINCT bar_s // 86400 AS day FROM {BARS} WHERE symbol = 'click'), e AS (SELECT bar_s // 86400 AS day, count(*) AS n FROM {BARS} WHERE symbol = 'error' AND close > 95 AND bar_s % 86400 < 7200 GROUP BY 1) SELECT day FROM d WHERE day NOT IN (SELECT day FROM e)")
 def anti_filter(spark, sf_dir):
     b = hourly(spark, sf_dir).withColumn("day", F.floor(F.col("bar_s") / T.DAY_S))
-    return b.where("symbol = 'click'").select("day").distinct().join(b.where("symbol = 'error' and close > 30").select("day"), "day", "left_anti")
+    return b.where("symbol = 'click'").select("day").distinct().join(b.where("symbol = 'error' and close > 95 and bar_s % 86400 < 7200").select("day"), "day", "left_anti")
 
 
 # Indicators (F): folds.
@@ -461,7 +461,7 @@ def gamma_flip(spark, sf_dir):
 
 _SEQ = "l_shipdate, l_orderkey, l_linenumber, l_partkey, l_suppkey"
 _FILLS = f"SELECT l_partkey AS symbol, CAST(l_shipdate AS DATE) AS day, CASE WHEN l_returnflag = 'A' THEN 'BUY' ELSE 'SELL' END AS side, l_quantity::DOUBLE AS quantity, l_extendedprice / l_quantity AS price, sum(l_quantity::DOUBLE) OVER (PARTITION BY l_partkey, l_returnflag = 'A' ORDER BY {_SEQ}) AS e FROM lineitem"
-_FIFO = f"WITH f AS ({_FILLS}) SELECT b.symbol, s.day, least(b.e, s.e) - greatest(b.e - b.quantity, s.e - s.quantity) AS quantity, b.price AS bought_at, s.price AS sold_at FROM f b JOIN f s ON b.symbol = s.symbol AND b.side = 'BUY' AND s.side = 'SELL' AND b.e - b.quantity < s.e AND s.e - s.quantity < b.e"
+_FIFO = f"WITH f AS ({_FILLS}), e AS (SELECT symbol, e, CASE WHEN side = 'BUY' THEN price END AS bought_at, CASE WHEN side = 'SELL' THEN price END AS sold_at, CASE WHEN side = 'SELL' THEN day END AS day, side = 'SELL' AS kind FROM f), s AS (SELECT symbol, e - coalesce(lag(e) OVER (PARTITION BY symbol ORDER BY e, kind), 0) AS quantity, first_value(bought_at IGNORE NULLS) OVER w AS bought_at, first_value(sold_at IGNORE NULLS) OVER w AS sold_at, first_value(day IGNORE NULLS) OVER w AS day FROM e WINDOW w AS (PARTITION BY symbol ORDER BY e, kind ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) SELECT * FROM s WHERE quantity > 0 AND bought_at IS NOT NULL AND sold_at IS NOT NULL"
 
 
 @query(f"SELECT symbol, day, quantity, bought_at, sold_at, quantity * (sold_at - bought_at) AS pnl FROM ({_FIFO})")

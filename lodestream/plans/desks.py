@@ -29,7 +29,7 @@ _GREEKS = f"SELECT *, CASE WHEN option_type = 'CE' THEN {N('d1')} ELSE {N('d1')}
 catalog.SQL["option_greeks"] = f"SELECT underlying, month, strike, option_type, round(delta, 8) AS delta, round(gamma, 8) AS gamma, round(theta, 8) AS theta, round(vega, 8) AS vega FROM ({_GREEKS})"
 _GEX = f"SELECT *, gamma * oi * spot * spot * 0.01 * CASE WHEN option_type = 'CE' THEN 1 ELSE -1 END AS gex FROM ({_GREEKS})"
 _WALK = f"SELECT underlying, month, strike, gex, sum(gex) OVER (PARTITION BY underlying, month ORDER BY strike) AS total FROM (SELECT underlying, month, strike, sum(gex) AS gex FROM ({_GEX}) GROUP BY 1, 2, 3)"
-catalog.SQL["gamma_flip"] = f"SELECT underlying, month, round(arg_min(at + (strike - at) * before / (before - total), CASE WHEN before * total < 0 THEN strike END), 6) AS flip, round(sum(gex), 4) AS net_gex FROM (SELECT *, lag(total) OVER w AS before, lag(strike) OVER w AS at FROM ({_WALK}) WINDOW w AS (PARTITION BY underlying, month ORDER BY strike)) GROUP BY 1, 2"
+catalog.SQL["gamma_flip"] = f"SELECT underlying, month, round(arg_min(below + (strike - below) * before / (before - total), CASE WHEN before * total < 0 THEN strike END), 6) AS flip, round(sum(gex), 4) AS net_gex FROM (SELECT *, lag(total) OVER w AS before, lag(strike) OVER w AS below FROM ({_WALK}) WINDOW w AS (PARTITION BY underlying, month ORDER BY strike)) GROUP BY 1, 2"
 
 
 def greeks_of(spark, sf_dir):

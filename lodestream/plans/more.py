@@ -13,7 +13,11 @@ from .catalog import BARS, CHAIN, CLOSES, LADDER, OVER, TICKS, _FIFO, _SIDES, ho
 
 
 def folder(spark) -> str:
-    return (spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="lodestream-")).rstrip("/")
+    """The folder that driver and executors share; one of our own only where Spark runs in this one machine."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return (base or "file://" + tempfile.mkdtemp(prefix="lodestream-")).rstrip("/")
 
 
 # Parsing, predicates, scalars (B, M).
@@ -102,12 +106,11 @@ def third_page(spark, sf_dir):
 
 # Studies (E, G, H, J).
 
-@query(f"WITH r AS (SELECT symbol, bar_s, close / lag(close) {OVER}) - 1 AS x, lead(close) {OVER}) / close - 1 AS y FROM {BARS}), k AS (SELECT bar_s // 86400 AS day, rank() OVER (PARTITION BY bar_s // 86400 ORDER BY x) AS rx, rank() OVER (PARTITION BY bar_s // 86400 ORDER BY y) AS ry FROM r WHERE x IS NOT NULL AND y IS NOT NULL) SELECT day, count(*) AS n, round(corr(rx, ry), 6) AS ic FROM k GROUP BY 1 HAVING count(*) >= 50")
+@query(f"WITH r AS (SELECT symbol, bar_s, close / lag(close) {OVER}) - 1 AS x, lead(close) {OVER}) / close - 1 AS y FROM {BARS}), k AS (SELECT bar_s // 86400 AS day, rank() OVER (PARTITION BY bar_s // 86400 ORDER BY x) + (count(*) OVER (PARTITION BY bar_s // 86400, x) - 1) / 2.0 AS rx, rank() OVER (PARTITION BY bar_s // 86400 ORDER BY y) + (count(*) OVER (PARTITION BY bar_s // 86400, y) - 1) / 2.0 AS ry FROM r WHERE x IS NOT NULL AND y IS NOT NULL) SELECT day, count(*) AS n, round(corr(rx, ry), 6) AS ic FROM k GROUP BY 1 HAVING count(*) >= 50")
 def information_coefficient(spark, sf_dir):
     b = hourly(spark, sf_dir).select("bar_s", (F.col("close") / F.lag("close").over(R.over()) - 1).alias("x"), (F.lead("close").over(R.over()) / F.col("close") - 1).alias("y"))
     b = b.where("x is not null and y is not null").withColumn("day", F.floor(F.col("bar_s") / T.DAY_S))
-    by = W.partitionBy("day")
-    b = b.withColumns({"rx": F.rank().over(by.orderBy("x")), "ry": F.rank().over(by.orderBy("y"))})
+    b = b.withColumns({"rx": R.average_rank("x", ["day"]), "ry": R.average_rank("y", ["day"])})
     return b.groupBy("day").agg(F.count(F.lit(1)).alias("n"), F.round(F.corr("rx", "ry"), 6).alias("ic")).where("n >= 50")
 
 

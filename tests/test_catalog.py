@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 
 from lodestream.functions import pricing
 from lodestream.operators import books, indicators, joins, orderflow
-from lodestream.plans import catalog, more, sessions, studies  # noqa: F401  they register their queries
+from lodestream.plans import catalog, desks, markets, more, sessions, studies  # noqa: F401  they register their queries
 
 DIR = "/root/testdata/sf0.001"
-TABLES = "region nation customer supplier part orders lineitem events".split()
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
 @pytest.fixture(scope="module")
