@@ -1,14 +1,16 @@
-"""Order-dependent indicators: a fold in order of time over the points of one symbol and session.
+"""Order-dependent indicators along a series.
 
-A recursion can't be split within a series. The series of different keys run apart, and
-``by`` should hold the session or the contract as well where a series would grow without end.
+Exponential means and their kin are recurrences y' = a * y + b. Such steps compose, so ``recurrence``
+cuts a series into spans of time, composes each span in a task of its own and chains only the
+spans' ends. ``fold`` runs whatever does not compose; its ``by`` should hold the session
+or the contract where a series would grow without end.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 
 def fold(rows: DataFrame, by: list[str], order: str, inputs: list[str], state: dict[str, Column], step: Callable[[Column, Column], dict[str, Column]]) -> DataFrame:
@@ -18,6 +20,12 @@ def fold(rows: DataFrame, by: list[str], order: str, inputs: list[str], state: d
     fields. The points of a key are sorted once and run through ``aggregate``, which
     stays in the JVM.
     """
+    run = folded(rows, by, order, inputs, state, step)
+    return run.select(*by, F.explode("run").alias("r")).select(*by, "r.p.*", *[F.col(f"r.s.{k}").alias(k) for k in state])
+
+
+def folded(rows: DataFrame, by: list[str], order: str, inputs: list[str], state: dict[str, Column], step: Callable[[Column, Column], dict[str, Column]]) -> DataFrame:
+    """One row per key; its array ``run`` holds each point ``p`` and the state ``s`` after it."""
     points = F.sort_array(F.collect_list(F.struct(order, *inputs)))
     held = F.struct(*[v.alias(k) for k, v in state.items()])
     kinds = rows.sparkSession.range(1).select(held.alias("s")).schema["s"].dataType.simpleString()
@@ -29,8 +37,7 @@ def fold(rows: DataFrame, by: list[str], order: str, inputs: list[str], state: d
         after = F.struct(*[v.alias(k) for k, v in step(acc["s"], p).items()]).cast(kinds)
         return F.element_at(F.transform(F.array(after), lambda s: F.struct(s.alias("s"), F.concat(acc["out"], F.array(F.struct(p.alias("p"), s.alias("s")).cast(row))).alias("out"))), 1)
 
-    run = rows.groupBy(*by).agg(points.alias("points")).withColumn("run", F.aggregate("points", start, advance)["out"])
-    return run.select(*by, F.explode("run").alias("r")).select(*by, "r.p.*", *[F.col(f"r.s.{k}").alias(k) for k in state])
+    return rows.groupBy(*by).agg(points.alias("points")).select(*by, F.aggregate("points", start, advance)["out"].alias("run"))
 
 
 def null() -> Column:
@@ -42,58 +49,105 @@ def toward(e: Column, x: Column, alpha: float) -> Column:
     return F.coalesce(e + F.lit(alpha) * (x - e), x)
 
 
-def ema(rows: DataFrame, n: int, value: str = "close", order: str = "bar_s") -> DataFrame:
-    return fold(rows, ["symbol"], order, [value], {"ema": null()}, lambda s, p: {"ema": toward(s["ema"], p[value], 2 / (n + 1))})
+DAY_S = 86_400
 
 
-def macd(rows: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9, value: str = "close", order: str = "bar_s") -> DataFrame:
-    """fast and slow means, macd, its signal, seeded by the first macd, and the histogram."""
+def recurrence(rows: DataFrame, keep: list[str], maps: dict[str, tuple[Column, Column, Column]], order: str = "bar_s", span: int = DAY_S, by: tuple[str, ...] = ("symbol",)) -> DataFrame:
+    """Adds y' = a * y + b along each series, for each name of ``maps`` with its (a, b, seed); ``keep`` are the columns kept.
 
-    def step(s: Column, p: Column) -> dict[str, Column]:
-        f, w = toward(s["fast"], p[value], 2 / (fast + 1)), toward(s["slow"], p[value], 2 / (slow + 1))
-        return {"fast": f, "slow": w, "signal": toward(s["signal"], f - w, 2 / (signal + 1))}
+    ``seed`` is read at the first point of a series and stands for y before it. Steps within
+    ``span`` units of ``order`` compose to one pair (a, b) a point, in one task a key and span. One pair
+    a span is left to chain, after which each span's points take their values from its start.
+    Work within a span grows with the square of its points: let it hold some dozens.
+    A point with a null coefficient is passed over.
+    """
+    steps = {}
+    for n, (a, b, _) in maps.items():
+        known = a.isNotNull() & b.isNotNull()
+        steps |= {f"_a_{n}": F.when(known, a).otherwise(1.0).cast("double"), f"_b_{n}": F.when(known, b).otherwise(0.0).cast("double")}
+    points = rows.select("*", F.floor(F.col(order) / span).alias("_span"), *[c.alias(k) for k, c in steps.items()], *[c[2].cast("double").alias(f"_s_{n}") for n, c in maps.items()])
+    inputs = [*keep, *steps, *[f"_s_{n}" for n in maps]]
 
-    out = fold(rows, ["symbol"], order, [value], {"fast": null(), "slow": null(), "signal": null()}, step)
-    return out.withColumn("macd", F.col("fast") - F.col("slow")).withColumn("histogram", F.col("macd") - F.col("signal"))
+    def compose(s: Column, p: Column) -> dict[str, Column]:
+        return {k: v for n in maps for k, v in ((f"a_{n}", p[f"_a_{n}"] * s[f"a_{n}"]), (f"b_{n}", p[f"_a_{n}"] * s[f"b_{n}"] + p[f"_b_{n}"]))}
 
+    spans = folded(points, [*by, "_span"], order, inputs, {k: F.lit(v) for n in maps for k, v in ((f"a_{n}", 1.0), (f"b_{n}", 0.0))}, compose)
+    head, last = F.element_at("run", 1), F.element_at("run", -1)
+    ends = spans.select(*by, "_span", *[c.alias(k) for n in maps for k, c in ((f"a_{n}", last["s"][f"a_{n}"]), (f"b_{n}", last["s"][f"b_{n}"]), (f"s_{n}", head["p"][f"_s_{n}"]))])
 
-def wilder(rows: DataFrame, n: int, value: str, name: str, order: str = "bar_s") -> DataFrame:
-    """Wilder's mean: seeded by the mean of the first ``n`` values, null before; nulls are passed over."""
+    def applied(a: Column, b: Column, y: Column) -> Column:
+        return F.when(a == 0, b).otherwise(a * y + b)  # where a is 0 the value before does not matter, even if it is null
 
-    def step(s: Column, p: Column) -> dict[str, Column]:
-        x = p[value]
-        k = s["k"] + F.when(x.isNotNull(), 1).otherwise(0)
-        total = s["total"] + F.coalesce(x, F.lit(0.0))
-        return {"k": k, "total": total, name: F.when(x.isNull(), s[name]).when(k == n, total / n).when(k > n, (s[name] * (n - 1) + x) / n)}
+    def chain(s: Column, p: Column) -> dict[str, Column]:
+        out = {"begun": F.lit(True)}
+        for n in maps:
+            y = F.when(s["begun"], s[f"y_{n}"]).otherwise(p[f"s_{n}"])
+            out |= {f"y_{n}": applied(p[f"a_{n}"], p[f"b_{n}"], y), f"from_{n}": y}
+        return out
 
-    return fold(rows, ["symbol"], order, [value], {"k": F.lit(0), "total": F.lit(0.0), name: null()}, step).drop("k", "total")
+    starts = fold(ends, list(by), "_span", [k for k in ends.columns if k not in (*by, "_span")], {"begun": F.lit(False)} | {k: null() for n in maps for k in (f"y_{n}", f"from_{n}")}, chain)
+    starts = starts.select(*by, "_span", *[f"from_{n}" for n in maps])
+    joined = spans.join(starts, [*by, "_span"]).select(*by, *[f"from_{n}" for n in maps], F.explode("run").alias("r"))
+    return joined.select(*by, *[f"r.p.{c}" for c in (order, *keep)], *[applied(F.col(f"r.s.a_{n}"), F.col(f"r.s.b_{n}"), F.col(f"from_{n}")).alias(n) for n in maps])
 
 
-def rsi(rows: DataFrame, n: int = 14, value: str = "close", order: str = "bar_s") -> DataFrame:
-    """Mean-seeded Wilder RSI; 100 where there was no loss."""
+def mean_step(x: Column, alpha: float) -> tuple[Column, Column, Column]:
+    """The step of an exponential mean that its first value seeds."""
+    return F.when(x.isNotNull(), 1 - alpha), alpha * x, x
 
-    def step(s: Column, p: Column) -> dict[str, Column]:
-        change = p[value] - s["last"]
-        up, down = F.greatest(change, F.lit(0.0)), F.greatest(-change, F.lit(0.0))
-        k = s["k"] + F.when(s["last"].isNotNull(), 1).otherwise(0)
-        mean = lambda f, x: F.when(s["last"].isNull(), s[f]).when(k < n, s[f] + x).when(k == n, (s[f] + x) / n).otherwise((s[f] * (n - 1) + x) / n)
-        return {"last": p[value], "k": k, "gain": mean("gain", up), "loss": mean("loss", down)}
 
-    out = fold(rows, ["symbol"], order, [value], {"last": null(), "k": F.lit(0), "gain": F.lit(0.0), "loss": F.lit(0.0)}, step)
-    strength = F.when(F.col("loss") == 0, 100.0).otherwise(100 - 100 / (1 + F.col("gain") / F.col("loss")))
-    return out.withColumn("rsi", F.when(F.col("k") >= n, strength)).drop("last", "k", "gain", "loss")
+def ema(rows: DataFrame, n: int, value: str = "close", order: str = "bar_s", span: int = DAY_S) -> DataFrame:
+    return recurrence(rows, [value], {"ema": mean_step(F.col(value), 2 / (n + 1))}, order, span)
 
 
-def kama(rows: DataFrame, fast: int = 2, slow: int = 30, value: str = "close", er: str = "er", order: str = "bar_s") -> DataFrame:
-    """Kaufman's mean of ``value``; the efficiency ratio is a column, null until known."""
+def macd(rows: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9, value: str = "close", order: str = "bar_s", span: int = DAY_S) -> DataFrame:
+    """fast and slow means, macd, its signal, seeded by the first macd, and the histogram."""
+    x = F.col(value)
+    alphas = {"fast": 2 / (fast + 1), "slow": 2 / (slow + 1), "signal": 2 / (signal + 1)}
+    if signal in (fast, slow):
+        out = recurrence(rows, [value], {n: mean_step(x, alphas[n]) for n in ("fast", "slow")}, order, span).withColumn("macd", F.col("fast") - F.col("slow"))
+        out = recurrence(out, [value, "fast", "slow", "macd"], {"signal": mean_step(F.col("macd"), alphas["signal"])}, order, span)
+    else:
+        # A mean of a mean is a mix of the two single means (partial fractions), so one pass gives the signal as well.
+        out = recurrence(rows, [value], {n: mean_step(x, alpha) for n, alpha in alphas.items()}, order, span)
+        g = alphas["signal"]
+        twice = {n: (g * (1 - alphas[n]) * F.col(n) - alphas[n] * (1 - g) * F.col("signal")) / (g - alphas[n]) for n in ("fast", "slow")}
+        out = out.withColumns({"signal": twice["fast"] - twice["slow"], "macd": F.col("fast") - F.col("slow")})
+    return out.withColumn("histogram", F.col("macd") - F.col("signal"))
+
+
+def wilder_step(x: Column, n: int) -> tuple[Column, Column, Column]:
+    """Sums up to the ``n``-th value, then their mean, then Wilder's mean; ``k`` counts the values. Nulls are passed over."""
+    k = F.col("k")
+    return F.when(x.isNull(), 1.0).when(k < n, 1.0).when(k == n, 1 / n).otherwise((n - 1) / n), F.coalesce(F.when(k < n, x).otherwise(x / n), F.lit(0.0)), F.lit(0.0)
+
+
+def wilder(rows: DataFrame, n: int, value: str, name: str, order: str = "bar_s", span: int = DAY_S) -> DataFrame:
+    """Wilder's mean: seeded by the mean of the first ``n`` values, null before; nulls are passed over."""
+    points = rows.withColumn("k", F.count(value).over(W.partitionBy("symbol").orderBy(order)))
+    out = recurrence(points, [value, "k"], {name: wilder_step(F.col(value), n)}, order, span)
+    return out.withColumn(name, F.when(F.col("k") >= n, F.col(name))).drop("k")
+
+
+def rsi(rows: DataFrame, n: int = 14, value: str = "close", order: str = "bar_s", span: int = DAY_S) -> DataFrame:
+    """Mean-seeded Wilder RSI; 100 where there was no loss."""
+    x = F.col(value)
+    w = W.partitionBy("symbol").orderBy(order)
+    points = rows.withColumn("_change", x - F.lag(x).over(w)).withColumn("k", F.count("_change").over(w))
+    c = F.col("_change")
+    gain = F.when(c.isNotNull(), F.greatest(c, F.lit(0.0)))
+    loss = F.when(c.isNotNull(), F.greatest(-c, F.lit(0.0)))
+    out = recurrence(points, [value, "k"], {"gain": wilder_step(gain, n), "loss": wilder_step(loss, n)}, order, span)
+    strength = F.when(F.col("loss") == 0, 100.0).otherwise(100 - 100 / (1 + F.col("gain") / F.col("loss")))
+    return out.withColumn("rsi", F.when(F.col("k") >= n, strength)).drop("k", "gain", "loss")
 
-    def step(s: Column, p: Column) -> dict[str, Column]:
-        a, b = 2 / (fast + 1), 2 / (slow + 1)
-        c = F.pow(p[er] * (a - b) + b, F.lit(2.0))
-        return {"state": F.when(s["state"].isNull() | p[er].isNull(), p[value]).otherwise(s["state"] + c * (p[value] - s["state"]))}
 
-    out = fold(rows, ["symbol"], order, [value, er], {"state": null()}, step)
-    return out.withColumn("kama", F.when(F.col(er).isNotNull(), F.col("state"))).drop("state")
+def kama(rows: DataFrame, fast: int = 2, slow: int = 30, value: str = "close", er: str = "er", order: str = "bar_s", span: int = DAY_S) -> DataFrame:
+    """Kaufman's mean of ``value``; the efficiency ratio is a column, null until known. The value itself stands in where it is null."""
+    a, b = 2 / (fast + 1), 2 / (slow + 1)
+    c, x = F.pow(F.col(er) * (a - b) + b, F.lit(2.0)), F.col(value)
+    out = recurrence(rows, [value, er], {"kama": (F.when(c.isNull(), 0.0).otherwise(1 - c), F.coalesce(c, F.lit(1.0)) * x, x)}, order, span)
+    return out.withColumn("kama", F.when(F.col(er).isNotNull(), F.col("kama")))
 
 
 def supertrend(rows: DataFrame, factor: float = 3.0, first: int = 1, order: str = "bar_s") -> DataFrame:

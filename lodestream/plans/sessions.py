@@ -79,8 +79,7 @@ _EMAS = _recursive(f"SELECT symbol, bar_s, close, row_number() {OVER}) AS n FROM
 @query(f"WITH m AS (SELECT *, abs(close - lag(close) {OVER})) AS move, lag(fast, 3) {OVER}) AS before FROM ({_EMAS})), s AS (SELECT *, CASE WHEN count(move) {OVER} ROWS 19 PRECEDING) = 20 THEN nullif(avg(move) {OVER} ROWS 19 PRECEDING), 0) END AS scale FROM m) SELECT symbol, bar_s, round((fast - slow) / scale, 5) AS x, round((fast - before) / 3 / scale, 5) AS y FROM s WHERE scale IS NOT NULL")
 def trend_rotation(spark, sf_dir):
     """Distance of two exponential means and slope of the faster one, in mean absolute moves."""
-    step = lambda s, p: {"fast": I.toward(s["fast"], p["close"], 2 / 6), "slow": I.toward(s["slow"], p["close"], 2 / 21)}
-    e = I.fold(hourly(spark, sf_dir), ["symbol"], "bar_s", ["close"], {"fast": I.null(), "slow": I.null()}, step)
+    e = I.recurrence(hourly(spark, sf_dir), ["close"], {"fast": I.mean_step(F.col("close"), 2 / 6), "slow": I.mean_step(F.col("close"), 2 / 21)})
     e = e.withColumn("move", F.abs(F.col("close") - F.lag("close").over(R.over())))
     e = e.withColumns({"before": F.lag("fast", 3).over(R.over()), "scale": F.nullif(R.rolling(F.col("move"), 20, F.avg), F.lit(0.0))}).where("scale is not null")
     return e.select("symbol", "bar_s", F.round((F.col("fast") - F.col("slow")) / F.col("scale"), 5).alias("x"), F.round((F.col("fast") - F.col("before")) / 3 / F.col("scale"), 5).alias("y"))

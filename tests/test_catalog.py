@@ -95,3 +95,38 @@ def test_parity_of_modelled_prices(spark):
 def test_empty_series(spark):
     empty = spark.createDataFrame([], "symbol string, bar_s long, close double")
     assert indicators.macd(empty).count() == 0
+
+
+def test_means_run_on_across_spans(spark):
+    xs = [None, 5.0, 7.0, None, 4.0, 9.0, None, 1.0, 3.0, 8.0, 2.0, 6.0]
+    at = [0, 3, 4, 9, 10, 11, 30, 31, 45, 46, 90, 91]  # spans of 10, some of them empty
+    rows = spark.createDataFrame([(s, t, x) for s in "ab" for t, x in zip(at, xs)], "symbol string, bar_s int, close double")
+    state, mean, known, want = None, None, [], {}
+    for t, x in zip(at, xs):
+        if x is not None:
+            known.append(x)
+            mean = sum(known) / 3 if len(known) == 3 else (mean * 2 + x) / 3 if len(known) > 3 else None
+        want[t] = mean
+    got = {(r["symbol"], r["bar_s"]): r["w"] for r in indicators.wilder(rows, 3, "close", "w", span=10).collect()}
+    assert set(got) == {(s, t) for s in "ab" for t in at}
+    for (s, t), w in got.items():
+        assert (w is None) == (want[t] is None) and (w is None or math.isclose(w, want[t]))
+    for t, x in zip(at[1:], xs[1:]):
+        state = x if state is None else state if x is None else state + 0.5 * (x - state)
+        want[t] = state
+    for r in indicators.ema(rows.where("bar_s > 0"), 3, span=10).collect():
+        assert math.isclose(r["ema"], want[r["bar_s"]])
+
+
+def test_signal_of_macd_in_one_pass_and_in_two(spark):
+    xs = [math.sin(i * i) + i / 7 for i in range(40)]
+    rows = spark.createDataFrame([("a", i, x) for i, x in enumerate(xs)], "symbol string, bar_s int, close double")
+    for fast, slow, signal in ((3, 6, 4), (3, 6, 3)):
+        f = s = xs[0]
+        sig, want = 0.0, []
+        for x in xs:
+            f, s = f + 2 / (fast + 1) * (x - f), s + 2 / (slow + 1) * (x - s)
+            sig += 2 / (signal + 1) * (f - s - sig)
+            want.append(sig)
+        got = [r["signal"] for r in indicators.macd(rows, fast, slow, signal, span=7).orderBy("bar_s").collect()]
+        assert all(math.isclose(g, w, abs_tol=1e-12) for g, w in zip(got, want, strict=True))
