@@ -16,13 +16,24 @@ EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-LOCAL = re.compile(r"[A-Za-z0-9._%+-]+\Z")
+LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DIGIT = re.compile(r"[0-9]")
+#: IP from the beginning of a run of digits on and without steps back: what it finds is the same, in time linear in the text.
+IP_RUNS = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]++)(\.[0-9]++)(\.[0-9]++)")
 #: An identifier that no expression knows: groups of digits that belong together, or a run without white space with a digit, @ or # in it.
-CANDIDATE = re.compile(r"\(?[0-9][0-9()-]*(?:[ .][0-9()-]+)+(?![^\s.,;:!?])|[^\s]*[0-9@#][^\s]*")
+MARK = re.compile("[0-9@#]")
+GROUPS = re.compile(r"\(?[0-9][0-9()-]*(?:[ .][0-9()-]+)+(?![^\s.,;:!?])")
+RUN = re.compile(r"\S+")
+#: Characters on either side that a context is taken from at most; a word of more counts by those nearest.
+REACH = 8_192
+#: Characters of contexts that a task puts out at once.
+HANDED = 4_000_000
 EDGES = ".,;:!?\"'()[]{}<>"
-#: Rounds end when no confidence moves by more than MOVED; each takes a third of the way at least.
-MOVED, ROUNDS = 0.005, 40
+#: Rounds end when no confidence moves by more than MOVED.
+MOVED = 0.005
+#: Up to so many confident patterns are sent to every task, some 100 bytes each; more are joined.
+PATTERNS_SENT = 50_000
+SPANS = "array<struct<kind:string,start:int,end:int>>"
 #: A pattern counts with so many different seeds in different documents, and from this confidence.
 SUPPORT, CONFIDENT = 3, 0.8
 
@@ -40,16 +51,14 @@ def emails(text: str) -> list[tuple[int, int]]:
     out, free = [], 0
     at = text.find("@")
     while at >= 0:
-        m = LOCAL.search(text, max(free, at - 200), at)
-        if m and m.start() == max(free, at - 200) > free:
-            m = LOCAL.search(text, free, at)
-        found = EMAIL.match(text, m.start()) if m else None
+        start = at
+        while start > free and text[start - 1] in LOCAL:
+            start -= 1
+        found = EMAIL.match(text, start) if start < at else None
         if found:
             out.append(found.span())
-            free = found.end()
-            at = text.find("@", free)
-        else:
-            at = text.find("@", at + 1)
+        free = found.end() if found else at + 1
+        at = text.find("@", free)
     return out
 
 
@@ -57,7 +66,7 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     """Spans of the base expressions by start, then kind: leftmost and not overlapping within a kind; those that fail a condition go."""
     out = [("email", a, b) for a, b in emails(text)] if "@" in text else []
     if DIGIT.search(text):
-        out += [("ip", *m.span()) for m in IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split("."))]
+        out += [("ip", *m.span()) for m in IP_RUNS.finditer(text) if all(len(p := q.lstrip("0")) <= 3 and int(p or "0") <= 255 for q in m[0].split("."))]
         for m in CARD.finditer(text):
             digits = re.sub("[^0-9]", "", m[0]) if m.end() - m.start() >= 12 else ""
             if 12 <= len(digits) <= 19 and luhn(digits):
@@ -67,33 +76,49 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return sorted(out, key=lambda s: (s[1], KINDS.index(s[0])))
 
 
-def _words_before(text: str, line: int, start: int, n: int = 2) -> list[str]:
-    """The last ``n`` whole words before ``start``, looking back no farther than it takes."""
+def _words_before(text: str, start: int, n: int = 2) -> list[str]:
+    """The last ``n`` whole words before ``start`` in its line, looking back no farther than it takes."""
+    least = max(0, start - REACH)
+    least = max(least, text.rfind("\n", least, start) + 1)
     back = 64
     while True:
-        low = max(line, start - back)
+        low = max(least, start - back)
         words = text[low:start].split()
-        if low == line or len(words) > n:  # the first may be cut, and isn't taken then
+        if low == least or len(words) > n:  # the first may be cut, and isn't taken then
             return words[-n:]
         back *= 4
 
 
 def _word_after(text: str, end: int) -> str | None:
-    stop = text.find("\n", end)
-    stop = len(text) if stop < 0 else stop
+    most = min(len(text), end + REACH)
+    stop = text.find("\n", end, most)
+    most = most if stop < 0 else stop
     ahead = 64
     while True:
-        high = min(stop, end + ahead)
+        high = min(most, end + ahead)
         words = text[end:high].split(maxsplit=1)
-        if high == stop or len(words) > 1:
+        if high == most or len(words) > 1:
             return words[0] if words else None
         ahead *= 4
 
 
+def handed(rows, names: list[str], kinds: list[pa.DataType]):
+    """Record batches of ``rows``, whose last column is text, each of HANDED characters or so."""
+    out, size = [], 0
+    for r in rows:
+        out.append(r)
+        size += len(r[-1])
+        if size >= HANDED or len(out) >= 20_000:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names)
+            out, size = [], 0
+    if out:
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names)
+
+
 def contexts(text: str, start: int, end: int) -> list[str]:
-    """The patterns around a span: the word before it, the two words before, and the words on both sides, within its line."""
+    """The patterns around a span: the word before it, the two words before, and the words on both sides, within its line and REACH characters."""
     bare = lambda w: w.lower().strip(EDGES) or w
-    left = [bare(w) for w in _words_before(text, text.rfind("\n", 0, start) + 1, start)]
+    left = [bare(w) for w in _words_before(text, start)]
     after = _word_after(text, end)
     right = bare(after) if after else "$"
     if not left:
@@ -113,10 +138,15 @@ def occurrences(text: str, base: list[tuple[str, int, int]]):
     yield from base
     if not DIGIT.search(text) and "@" not in text and "#" not in text:
         return
-    i = 0
+    i = at = 0
     taken = sorted((a, b) for _, a, b in base)
-    for m in CANDIDATE.finditer(text):
+    while mark := MARK.search(text, at):
+        first = mark.start()
+        while first > at and not text[first - 1].isspace():
+            first -= 1
+        m = GROUPS.match(text, first) or RUN.match(text, first)
         a, b = m.span()
+        at = b
         while a < b and text[a] in EDGES:
             a += 1
         while b > a and text[b - 1] in EDGES:
@@ -129,18 +159,19 @@ def occurrences(text: str, base: list[tuple[str, int, int]]):
             yield None, a, b
 
 
-def learn(found: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, confident: float = CONFIDENT) -> DataFrame:
+def learn(found: DataFrame, rounds: int | None = None, support: int = SUPPORT, confident: float = CONFIDENT) -> DataFrame:
     """(pattern, kind): patterns that mark identifiers of a kind.
 
     ``found`` has a row per occurrence and pattern: pattern, instance (a hash), kind or
     null. Instances and patterns form a graph. An instance's trust is 1 if it is a seed;
     else the mean confidence of its patterns, so one that also stands where no seed ever
     does stays low. A pattern's confidence is the trust of its instances by their number
-    plus one, so rare patterns stay low. Both are re-estimated in turn until they hold,
-    by grouped sums in Spark; patterns with very many instances are broadcast, others
-    are joined. A pattern's kind is that of most of its seeds, of equally many the first
-    as listed. Where no pattern has both seeds enough and an unknown instance there is
-    nothing to find, and no round.
+    plus one, so rare patterns stay low. Both are re-estimated in turn by grouped sums
+    in Spark until no confidence moves by more than MOVED, which they reach since each
+    round's moves are means of the one's before; ``rounds`` ends it earlier. Patterns with
+    very many instances are broadcast, others are joined. A pattern's kind is that of
+    most of its seeds, of equally many the first as listed. Where no pattern has both
+    seeds enough and an unknown instance there is nothing to find, and no round.
     """
     graph = materialise(found.groupBy("pattern", "instance").agg(F.max("kind").alias("kind")), "pii-graph")
     total = graph.count()
@@ -152,55 +183,88 @@ def learn(found: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, confid
     if sums.where(open_).isEmpty():
         return nothing
     score = sums.withColumn("confidence", F.col("seeds") / (F.col("held") + 1))
-    for _ in range(rounds):
+    done = 0
+    while rounds is None or done < rounds:
         rated = join_counted(graph.where("kind is null"), score.select("pattern", "confidence", "held"), ["pattern"], "held", total)
         trust = rated.groupBy("instance").agg(F.avg("confidence").alias("trust"))
         inferred = graph.where("kind is null").join(trust, "instance").groupBy("pattern").agg(F.sum("trust").alias("gained"))
         after = score.select("pattern", "held", "seeds", "of_kind", F.col("confidence").alias("was")).join(inferred, "pattern", "left")
         score = materialise(after.withColumn("confidence", (F.col("seeds") + F.coalesce("gained", F.lit(0.0))) / (F.col("held") + 1)).drop("gained"), "pii-patterns")
+        done += 1
         moved = score.agg(F.max(F.abs(F.col("confidence") - F.col("was")))).first()[0]
         if moved is None or moved <= MOVED:
             break
     # A pattern that stands around seeds only has nothing to find.
-    return score.where(open_ & (F.col("confidence") >= confident)).select("pattern", F.col("of_kind").alias("kind")).orderBy("pattern")
+    return score.where(open_ & (F.col("confidence") >= confident)).select("pattern", F.col("of_kind").alias("kind"))
 
 
-def patterns(spark: SparkSession, docs: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, confident: float = CONFIDENT) -> dict[str, str]:
-    """The confident patterns of ``docs`` and the kind each marks.
-
-    They come to the driver and go to every task: only patterns with ``support`` seeds
-    or more, high confidence and an unknown instance, some 60 bytes each, and not their
-    instances.
-    """
+def patterns(spark: SparkSession, docs: DataFrame, rounds: int | None = None, support: int = SUPPORT, confident: float = CONFIDENT) -> DataFrame:
+    """(pattern, kind): the confident patterns of ``docs``, as a written table."""
     small_batches(spark)
     rows = docs.select(doc_text(docs).alias("text"))
 
+    def each(batch):
+        for text in batch.column("text").to_pylist():
+            for kind, a, b in occurrences(text, base_spans(text)):
+                instance = int.from_bytes(hashlib.blake2b(text[a:b].encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
+                yield from ((instance, kind, p) for p in contexts(text, a, b))
+
     def seeds(batches):
         for batch in batches:
-            out = []
-            for text in batch.column("text").to_pylist():
-                for kind, a, b in occurrences(text, base_spans(text)):
-                    instance = int.from_bytes(hashlib.blake2b(text[a:b].encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
-                    out += [(p, instance, kind) for p in contexts(text, a, b)]
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.string(), pa.int64(), pa.string()), strict=True)], ["pattern", "instance", "kind"])
+            yield from handed(each(batch), ["instance", "kind", "pattern"], [pa.int64(), pa.string(), pa.string()])
+
+    found = rows.where(F.col("text").rlike("[0-9@#]")).mapInArrow(tidily(seeds), "instance long, kind string, pattern string")
+    return materialise(learn(found, rounds, support, confident), "confident-patterns")
+
+
+def unknown(text: str):
+    """(start, end) of the candidates of ``text`` that no base span touches."""
+    return [(a, b) for kind, a, b in occurrences(text, base_spans(text)) if kind is None]
 
-    found = rows.where(F.col("text").rlike("[0-9@#]")).mapInArrow(tidily(seeds), "pattern string, instance long, kind string")
-    return {r["pattern"]: r["kind"] for r in learn(found, rounds, support, confident).toLocalIterator()}
 
+def added_spans(docs: DataFrame, known: DataFrame, sent: int = PATTERNS_SENT) -> tuple[DataFrame, object]:
+    """(``docs`` with a column ``_added`` or null, the kinds of patterns that tasks look up themselves).
 
-def spans_of(text: str, known: dict[str, str]) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
-    """(base spans, added spans) of a text."""
+    Up to ``sent`` patterns, of REACH characters and a few, are sent to all tasks. Beyond
+    that the candidates go to the patterns: each context of a candidate is joined, and the
+    first that is confident, in the order of ``contexts``, names the kind.
+    """
+    spark = docs.sparkSession
+    n = known.count()
+    if n <= sent:
+        return docs.withColumn("_added", F.lit(None).cast(SPANS)), spark.sparkContext.broadcast({r["pattern"]: r["kind"] for r in known.collect()})
+    rows = materialise(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered-documents")
+
+    def each(batch):
+        for row, text in zip(batch.column("_row").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            for a, b in unknown(text or ""):
+                yield from ((row, a, b, i, p) for i, p in enumerate(contexts(text, a, b)))
+
+    def candidates(batches):
+        for batch in batches:
+            yield from handed(each(batch), ["_row", "start", "end", "place", "pattern"], [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.string()])
+
+    held = materialise(rows.select("_row", "text").where(F.col("text").rlike("[0-9@#]")).mapInArrow(tidily(candidates), "_row long, start int, end int, place int, pattern string"), "candidate-contexts")
+    wanted = known.join(held.groupBy("pattern").agg(F.count(F.lit(1)).alias("held")), "pattern")
+    marked = join_counted(held, materialise(wanted, "wanted-patterns"), ["pattern"], "held", held.count())
+    spans = marked.groupBy("_row", "start", "end").agg(F.min_by("kind", "place").alias("kind"))
+    spans = spans.groupBy("_row").agg(F.sort_array(F.collect_list(F.struct("start", "end", "kind"))).alias("s"))
+    spans = spans.select("_row", F.transform("s", lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"))).alias("_added"))
+    return rows.join(spans, "_row", "left").drop("_row"), None
+
+
+def spans_of(text: str, known: dict[str, str] | None, added: list[dict] | None = None) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
+    """(base spans, added spans) of a text; ``added`` are those that were joined where no patterns were sent."""
     base = base_spans(text)
-    added = []
+    out = [(s["kind"], s["start"], s["end"]) for s in added or ()]
     if known:
         for kind, a, b in occurrences(text, base):
             if kind is None and (k := next((known[p] for p in contexts(text, a, b) if p in known), None)):
-                added.append((k, a, b))
-    return base, added
+                out.append((k, a, b))
+    return base, out
 
 
-def extract(spark: SparkSession, docs: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, confident: float = CONFIDENT) -> DataFrame:
+def extract(spark: SparkSession, docs: DataFrame, rounds: int | None = None, support: int = SUPPORT, confident: float = CONFIDENT, sent: int = PATTERNS_SENT) -> DataFrame:
     """Personal data of every whole text, one row per row of ``docs``.
 
     Base spans always stay. Candidates (runs and groups with four digits or more, or an @
@@ -209,18 +273,18 @@ def extract(spark: SparkSession, docs: DataFrame, rounds: int = ROUNDS, support:
     gives an empty result; extra columns are ignored. Returns doc_id, base and added:
     arrays of (kind, start, end) in code points, by start, then kind as listed.
     """
-    held = spark.sparkContext.broadcast(patterns(spark, docs, rounds, support, confident))
+    rows = docs.select(doc_column(docs, "doc_id", "long").alias("doc_id"), doc_text(docs).alias("text"))
+    rows, held = added_spans(rows, patterns(spark, docs, rounds, support, confident), sent)
     span = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
     as_structs = lambda spans: [{"kind": k, "start": a, "end": b} for k, a, b in spans]
 
     def found(batches):
+        known = held.value if held else None
         for batch in batches:
-            both = [spans_of(t, held.value) for t in batch.column("text").to_pylist()]
+            both = [spans_of(t, known, s) for t, s in zip(batch.column("text").to_pylist(), batch.column("_added").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([as_structs(b) for b, _ in both], span), pa.array([as_structs(a) for _, a in both], span)], ["doc_id", "base", "added"])
 
-    spans_type = "array<struct<kind:string,start:int,end:int>>"
-    rows = docs.select(doc_column(docs, "doc_id", "long").alias("doc_id"), doc_text(docs).alias("text"))
-    return rows.mapInArrow(tidily(found), f"doc_id long, base {spans_type}, added {spans_type}")
+    return rows.mapInArrow(tidily(found), f"doc_id long, base {SPANS}, added {SPANS}")
 
 
 def joined(spans):
@@ -245,23 +309,27 @@ def redact(text: str, spans: list[tuple[str, int, int]]) -> str:
     return "".join(out) + text[at:]
 
 
-def redacted(spark: SparkSession, docs: DataFrame) -> DataFrame:
+def redacted(spark: SparkSession, docs: DataFrame, sent: int = PATTERNS_SENT) -> DataFrame:
     """``docs`` with its texts redacted; n_chars, where there is one, follows; a null text stays null."""
     if "text" not in docs.columns:
         return docs
-    held = spark.sparkContext.broadcast(patterns(spark, docs))
+    names = docs.columns
+    plain = docs.select(F.struct(*names).alias("_whole"), doc_text(docs).alias("text"))
+    rows, held = added_spans(plain, patterns(spark, docs), sent)
 
     def replaced(batches):
+        known = held.value if held else None
         for batch in batches:
-            texts = []
-            for text in batch.column("text").to_pylist():
-                base, added = spans_of(text, held.value) if text else ([], [])
-                texts.append(redact(text, base + added) if base or added else text)
-            i = batch.schema.get_field_index("text")
-            batch = batch.set_column(i, batch.schema.field(i), pa.array(texts, batch.schema.field(i).type))
-            if (i := batch.schema.get_field_index("n_chars")) >= 0:
-                field = batch.schema.field(i)
-                batch = batch.set_column(i, field, pa.array([None if t is None else len(t) for t in texts]).cast(field.type))
-            yield batch
-
-    return docs.mapInArrow(tidily(replaced), docs.schema)
+            whole = batch.column("_whole")
+            columns = dict(zip(names, whole.flatten(), strict=True))
+            texts = columns["text"].to_pylist()
+            for i, (text, more) in enumerate(zip(texts, batch.column("_added").to_pylist(), strict=True)):
+                base, added = spans_of(text, known, more) if text else ([], [])
+                if base or added:
+                    texts[i] = redact(text, base + added)
+            columns["text"] = pa.array(texts, columns["text"].type)
+            if "n_chars" in columns:
+                columns["n_chars"] = pa.array([None if t is None else len(t) for t in texts]).cast(columns["n_chars"].type)
+            yield pa.RecordBatch.from_arrays(list(columns.values()), names)
+
+    return rows.mapInArrow(tidily(replaced), docs.schema)

@@ -48,6 +48,7 @@ class ChunkEncoder:
         self.edge[[i for t, i in vocabulary.items() if (t.endswith(suffix) if suffix else t.startswith("Ġ"))]] = True
         apart = self.tokenizer.encode(APART if self.drops_space else " " + APART, add_special_tokens=False).ids
         self.apart = apart[0] if len(apart) == 1 else None
+        self.closed: dict[str, bool] = {}
         self.forget()
 
     @classmethod
@@ -112,10 +113,17 @@ class ChunkEncoder:
         self.rows, self.held = rows.stop, self.held + len(ids)
         return rows
 
+    def _closes(self, letter: str) -> bool:
+        """Whether a word that ends in ``letter`` ends in a letter when normalised, too; a combining mark there would go with what follows."""
+        if letter not in self.closed:
+            normal = self.tokenizer.normalizer.normalize_str(letter) if self.tokenizer.normalizer else letter
+            self.closed[letter] = normal[-1:].isalpha()
+        return self.closed[letter]
+
     def _learn(self, new: list[str]) -> None:
         """Gives chunks their rows: alike ones in one call, a word with a mark behind it from its two parts."""
         space = "" if self.drops_space else " "
-        marked = [c for c in new if c[-1:] in MARKS and c[:-1].isalpha()]
+        marked = [c for c in new if c[-1:] in MARKS and c[:-1].isalpha() and (c[-2] < "\x80" or self._closes(c[-2]))]
         stems = {c[:-1] for c in marked}.difference(self.known)
         rest = stems.union(new).difference(marked)
         if self.drops_space:

@@ -267,7 +267,8 @@ def read_archives(spark: SparkSession, manifest: DataFrame, payload: bool = True
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*out, strict=True), kinds, strict=True)], schema=schema)
 
-    stretches = manifest.repartition("file", "start")
+    # A count, so that Spark doesn't join stretches into one task for the few bytes of their names.
+    stretches = manifest.repartitionByRange(max(1, manifest.count()), "file", "start")
     return stretches.mapInArrow(tidily(read), "page_id long, row long, url string, record_type string, refers_to long, chunk long, data binary, last boolean, payload_bytes long, payload_digest string")
 
 
