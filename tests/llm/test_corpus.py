@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import re
+import time
 import zlib
 
 import numpy as np
@@ -15,7 +16,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from lodestream.llm import (bottomk, bpe_codec, bwt_dedup, components, exact_dedup, hilbert_packing, language_id, minhash_forest,
-                            pii_bootstrap, queries, shingles, simple8b, token_files, url_trust)
+                            pii_bootstrap, queries, shingles, simple8b, token_files, tokens, url_trust)
 
 DIR = "/root/testdata/sf0.001"
 #: Extra columns, one of them named as an operator's own; null id and text, an empty text, a repeated row, a long one.
@@ -656,3 +657,75 @@ def test_stages_on_odd_tables(spark, odd, empty, stage):
         assert run(spark, clash, DIR).columns == clash.columns
         want = {"language": [-1, 2, 2, 7, 9, 11], "exact": [-1, 3, 7, 8, 9, 11], "near": [-1, 1, 2, 2, 3, 8, 9, 11], "private": [-1, 1, 2, 2, 3, 7, 8, 9, 11]}
         assert ids == want[stage]
+
+
+@pytest.mark.parametrize("text, n", [("0" * 5_000 + ".1.1.1", 1), ("7" * 2_000_000, 0), ("w" * 2_000_000 + " 1", 0), ("a" * 1_000_000 + "@" + "b" * 1_000_000, 0), ("x" * 2_000_000 + "@y.z", 1), ("1 " * 1_000_000, 0),
+                                     ("a@b.cc," * 30_000, 30_000), ("+1(" + " " * 1_000_000, 0), ("1.1.1." * 300_000, 225_000)])
+def test_pii_of_long_lines_in_linear_time(text, n):
+    began = time.time()
+    assert len(pii_bootstrap.base_spans(text)) == n
+    for _, a, b in list(pii_bootstrap.occurrences(text, pii_bootstrap.base_spans(text)))[:2_000]:
+        assert all(len(p) <= 3 * pii_bootstrap.REACH for p in pii_bootstrap.contexts(text, a, b))
+    assert time.time() - began < 30
+
+
+def test_pii_candidates_as_one_expression_finds_them():
+    """The walk from mark to mark gives what one alternation over the whole text gives."""
+    rng = np.random.default_rng(3)
+    whole = re.compile(r"\(?[0-9][0-9()-]*(?:[ .][0-9()-]+)+(?![^\s.,;:!?])|[^\s]*[0-9@#][^\s]*")
+    for _ in range(4_000):
+        t = "".join(rng.choice(list("01(). ,-@#ab\n "), rng.integers(1, 30)))
+        got, at = [], 0
+        while mark := pii_bootstrap.MARK.search(t, at):
+            first = mark.start()
+            while first > at and not t[first - 1].isspace():
+                first -= 1
+            m = pii_bootstrap.GROUPS.match(t, first) or pii_bootstrap.RUN.match(t, first)
+            got.append(m.span())
+            at = m.end()
+        assert got == [m.span() for m in whole.finditer(t)], repr(t)
+
+
+@pytest.mark.parametrize("text", ["a@b", "1.2.3.4", "x.y@z.w"])
+def test_pii_base_on_random_texts(text):
+    rng = np.random.default_rng(9)
+    for _ in range(3_000):
+        t = "".join(rng.choice(list(text + "@.0129+ ()a-"), rng.integers(1, 25)))
+        want = [("email", *m.span()) for m in pii_bootstrap.EMAIL.finditer(t)] + [("ip", *m.span()) for m in pii_bootstrap.IP.finditer(t) if all(int(q) <= 255 for q in m[0].split("."))]
+        assert [s for s in pii_bootstrap.base_spans(t) if s[0] in ("email", "ip")] == sorted(want, key=lambda s: (s[1], pii_bootstrap.KINDS.index(s[0])))
+
+
+def test_pii_patterns_joined_or_sent(spark, odd):
+    rows = [(i, f"Please dial hotline +1 555 010 {1000 + i} today", None) for i in range(20)] + [(99, "Please dial hotline 5550109777x today and mail me@localhost", "k"), (100, None, "k"), (99, "Please dial hotline 5550109777x today and mail me@localhost", "k")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _row string").unionByName(odd.select("doc_id", "text", F.col("key").alias("_row")))
+    for f in (pii_bootstrap.extract, pii_bootstrap.redacted):
+        one, other = (sorted(map(str, f(spark, df, sent=n).collect())) for n in (1_000, 0))
+        assert one == other and len(one) == df.count()
+    assert "[PHONE]" in texts(pii_bootstrap.redacted(spark, df, sent=0))[99]
+
+
+def test_a_letter_before_a_mark_encodes_as_in_the_text():
+    """Every letter before a mark: some normalise to a base and a mark that goes with what follows."""
+    letters = [chr(c) for c in range(0x30000) if chr(c).isalpha()]
+    for name in ("word_bpe_49k.json", "byte_bpe_50k.json"):
+        library = Tokenizer.from_file(P.path(name))
+        enc = tokens.ChunkEncoder(P.path(name))
+        for mark in ",!" if name[0] == "w" else ".":
+            words = [f"a{x}{mark} b" for x in letters]
+            for i in range(0, len(words), 40_000):
+                lot = words[i:i + 40_000]
+                ids, n = enc.encode(pa.array(lot))
+                got = np.split(ids, np.cumsum(n)[:-1])
+                want = library.encode_batch_fast(lot, add_special_tokens=False)
+                assert [w for w, g, e in zip(lot, got, want) if g.tolist() != e.ids] == []
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_random_characters_encode_as_in_the_library(name):
+    rng = np.random.default_rng(11)
+    pool = [chr(c) for c in (*range(32, 127), 0x130, 0x958, 0x9DC, 0xA33, 0x300, 0x301, 0x93C, 0xAC00, 0x1100, 0x4E00, 0x200D, 0xFE0F, 0x1F600, 0xA0, 0x2028, 9, 10, 0xDF, 0xFB01)] + list(" ,.!?  ")
+    lot = ["".join(rng.choice(pool, rng.integers(0, 40))) for _ in range(4_000)] + ["BELEDİYESİ, ANKARA"]
+    enc, library = tokens.ChunkEncoder(P.path(name)), Tokenizer.from_file(P.path(name))
+    ids, n = enc.encode(pa.array(lot))
+    got = np.split(ids, np.cumsum(n)[:-1])
+    assert [t for t, g, e in zip(lot, got, library.encode_batch_fast(lot, add_special_tokens=False)) if g.tolist() != e.ids] == []
