@@ -59,6 +59,56 @@ def implied_volatility(call: Column, price: Column, s: Column, k: Column, t: Col
     return solved(call.cast("double"), price, s, k, t, r)
 
 
+#: Fixed values of the solver: the bracket of volatilities, a price's tick, and the most that a tick may move a volatility.
+BRACKET, TICK, UNCERTAIN = (0.01, 3.0), 0.05, 0.05
+
+
+def solve(c: np.ndarray, p: np.ndarray, s: np.ndarray, k: np.ndarray, t: np.ndarray, r: np.ndarray, most: int = 100) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(volatility, what a tick moves it by, steps taken) for each premium ``p``; not a number where none reproduces it.
+
+    Newton's steps on all that is still open at once, each kept within a bracket that
+    shrinks: a step that would leave it, or that vega is too small for, halves it.
+    """
+    with np.errstate(all="ignore"):
+        low, high = (np.full(len(p), x) for x in BRACKET)
+        edge = np.maximum(0, np.where(c > 0, s - k * np.exp(-r * t), k * np.exp(-r * t) - s))
+        known = (s > 0) & (k > 0) & (t > 0) & (p > edge + 1e-9) & (_price(c, s, k, t, r, low) <= p) & (p <= _price(c, s, k, t, r, high))
+        v = np.clip(np.sqrt(2 * np.pi / t) * (p - edge / 2) / s, 0.05, 2.0)
+        steps = np.zeros(len(p), np.int64)
+        left = np.flatnonzero(known)
+        for _ in range(most):
+            if not len(left):
+                break
+            at = [x[left] for x in (c, s, k, t, r)]
+            now = v[left]
+            off = _price(*at, now) - p[left]
+            low[left], high[left] = np.where(off < 0, now, low[left]), np.where(off < 0, high[left], now)
+            to = now - off / _vega(*at[1:], now)
+            to = np.where((to > low[left]) & (to < high[left]), to, (low[left] + high[left]) / 2)
+            v[left] = to
+            steps[left] += 1
+            left = left[(np.abs(to - now) > 1e-13) & (high[left] - low[left] > 1e-14)]
+        moved = TICK / _vega(s, k, t, r, v)
+        return np.where(known, v, np.nan), np.where(known, moved, np.nan), steps
+
+
+def solved_volatility(call: Column, price: Column, s: Column, k: Column, t: Column, r: Column) -> Column:
+    """struct(iv, uncertainty, steps) by ``solve`` over Arrow batches; iv is null where no volatility gives the price, or a tick moves it too far."""
+
+    @F.pandas_udf("iv double, uncertainty double, steps long")
+    def solved(call: pd.Series, price: pd.Series, s: pd.Series, k: pd.Series, t: pd.Series, r: pd.Series) -> pd.DataFrame:
+        iv, moved, steps = solve(*(x.to_numpy(float, na_value=np.nan) for x in (call, price, s, k, t, r)))
+        none = lambda x, keep: pd.Series(x).astype(object).where(keep, None)
+        return pd.DataFrame({"iv": none(iv, np.isfinite(iv) & (moved <= UNCERTAIN)), "uncertainty": none(moved, np.isfinite(moved)), "steps": steps})
+
+    return solved(call.cast("double"), price, s, k, t, r)
+
+
+def _vega(s: np.ndarray, k: np.ndarray, t: np.ndarray, r: np.ndarray, v: np.ndarray) -> np.ndarray:
+    d1 = (np.log(s / k) + (r + v * v / 2) * t) / (v * np.sqrt(t))
+    return s * np.exp(-d1 * d1 / 2) / math.sqrt(2 * math.pi) * np.sqrt(t)
+
+
 def _price(c: np.ndarray, s: np.ndarray, k: np.ndarray, t: np.ndarray, r: np.ndarray, v: np.ndarray) -> np.ndarray:
     """Call where ``c`` is positive, else put, by the same distribution function as the columns."""
     d1 = (np.log(s / k) + (r + v * v / 2) * t) / (v * np.sqrt(t))

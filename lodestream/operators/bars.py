@@ -35,17 +35,29 @@ def complete(resampled: DataFrame, parts: int) -> DataFrame:
     return resampled.where(F.col("parts") == parts)
 
 
+def cents(price: Column) -> Column:
+    """A price of whole cents as a number of them, so that sums are exact in any order."""
+    return F.round(price * 100).cast("long")
+
+
+def exact_mean(total: Column, weight: Column, scale: int = 100) -> Column:
+    """``total`` / (``scale`` * ``weight``), whole numbers both, to six digits, halves up; null without weight."""
+    t, w = total.cast("decimal(28,0)"), weight.cast("decimal(24,0)")
+    return F.when(weight > 0, F.call_function("div", t * F.lit(2_000_000).cast("decimal(7,0)") + w * F.lit(scale), w * F.lit(2 * scale)) / 1e6)
+
+
 def vwap(ticks: DataFrame, seconds: int = DAY_S) -> DataFrame:
-    return ticks.groupBy("symbol", bucket(F.col("ts_s"), seconds).alias("bar_s")).agg(
-        (F.sum(F.col("price") * F.col("size")) / F.nullif(F.sum("size"), F.lit(0))).alias("vwap"))
+    """Mean price by size of each bucket, from sums in cents."""
+    traded = F.sum(cents(F.col("price")) * F.col("size"))
+    return ticks.groupBy("symbol", bucket(F.col("ts_s"), seconds).alias("bar_s")).agg(exact_mean(traded, F.sum("size")).alias("vwap"))
 
 
 def vwap_to_date(bars_: DataFrame) -> DataFrame:
     """Session VWAP so far over typical prices; the close where nothing has traded."""
     day = W.partitionBy("symbol", F.floor(F.col("bar_s") / DAY_S)).orderBy("bar_s")
-    typical = (F.col("high") + F.col("low") + F.col("close")) / 3
-    traded = F.sum("volume").over(day)
-    return bars_.withColumn("vwap", F.coalesce(F.sum(typical * F.col("volume")).over(day) / F.nullif(traded, F.lit(0)), F.col("close")))
+    thrice = cents(F.col("high")) + cents(F.col("low")) + cents(F.col("close"))
+    mean = exact_mean(F.sum(thrice * F.col("volume")).over(day), F.sum("volume").over(day), 300)
+    return bars_.withColumn("vwap", F.coalesce(mean, F.round("close", 6)))
 
 
 def last_per_bucket(rows: DataFrame, seconds: int) -> DataFrame:

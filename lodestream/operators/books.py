@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
+
+from . import state
 
 
 def fifo(fills: DataFrame) -> DataFrame:
@@ -43,8 +45,51 @@ def trade_stats(slices: DataFrame, by: list[str]) -> DataFrame:
         F.sum("pnl").alias("net"), (gain / F.nullif(loss, F.lit(0.0))).alias("profit_factor"))
 
 
-def with_charges(fills: DataFrame) -> DataFrame:
+def charges() -> Column:
     """Charges of a fill: 0.1 % on sells, 0.05 % exchange on both sides, 18 % tax on the exchange's part."""
     value = F.col("quantity") * F.col("price")
     exchange = value * 0.0005
-    return fills.withColumn("charges", F.when(F.col("side") == "SELL", value * 0.001).otherwise(0.0) + exchange + exchange * 0.18)
+    return F.when(F.col("side") == "SELL", value * 0.001).otherwise(0.0) + exchange + exchange * 0.18
+
+
+def with_charges(fills: DataFrame) -> DataFrame:
+    return fills.withColumn("charges", charges())
+
+
+def position_book(fills: DataFrame, order: list[str]) -> DataFrame:
+    """The position of each symbol after each fill (side, quantity, price, fees), and what the fill closed.
+
+    A fill against the position closes at the average price; one through zero begins a new
+    position with the rest. Fees count against the result when they are paid; a closed
+    slice bears its share of the entry's fees and of its own. The excursion is the
+    least and greatest price of the position's fills so far, the closing one included.
+    """
+
+    def step(s, *p):
+        *at, side, quantity, price, fees = p
+        held, average, realised, entry, low, high = s
+        signed = quantity if side == "BUY" else -quantity
+        after = held + signed
+        closed = gross = borne = None
+        if held == 0 or (held > 0) == (signed > 0):
+            average = price if held == 0 else (average * abs(held) + price * abs(signed)) / abs(after)
+            low, high = (price, price) if held == 0 else (min(low, price), max(high, price))
+            entry = fees if held == 0 else entry + fees
+        else:
+            closed = min(abs(held), abs(signed))
+            gross = (price - average) * closed * (1 if held > 0 else -1)
+            share, own = entry * closed / abs(held), fees * closed / abs(signed)
+            borne, realised, entry = share + own, realised + gross, entry - share
+            low, high = min(low, price), max(high, price)
+        realised -= fees
+        row = (*at, after, None if after == 0 else average, realised, closed, gross, borne, low, high)
+        if closed is not None and after == 0:
+            average, entry, low, high = 0.0, 0.0, None, None
+        elif closed is not None and (after > 0) != (held > 0):
+            average, entry, low, high = price, fees - own, price, price
+            row = (*at, after, average, realised, closed, gross, borne, *row[-2:])
+        return (after, average, realised, entry, low, high), [row]
+
+    kinds = ", ".join(f"{c} {fills.schema[c].dataType.simpleString()}" for c in order)
+    return state.scan(fills, ["symbol"], order, [*order, "side", "quantity", "price", "fees"], lambda: (0.0, 0.0, 0.0, 0.0, None, None), step,
+                      f"{kinds}, held double, average double, realised double, closed double, gross double, fees double, low double, high double")

@@ -1,94 +1,23 @@
 """Order-dependent indicators along a series.
 
-Exponential means and their kin are recurrences y' = a * y + b. Such steps compose, so ``recurrence``
-cuts a series into spans of time, composes each span in a task of its own and chains only the
-spans' ends. ``fold`` runs whatever does not compose; its ``by`` should hold the session
-or the contract where a series would grow without end.
+Exponential means and their kin are recurrences y' = a * y + b: ``state.affine`` composes
+spans of a series and chains their ends, so that one long series spreads over tasks.
+What does not compose (Supertrend, trend units) is a pass over the sorted series.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-
-def fold(rows: DataFrame, by: list[str], order: str, inputs: list[str], state: dict[str, Column], step: Callable[[Column, Column], dict[str, Column]]) -> DataFrame:
-    """One row per point with the state after it.
-
-    ``state`` names the fields and their start; ``step(state, point)`` gives the next
-    fields. The points of a key are sorted once and run through ``aggregate``, which
-    stays in the JVM.
-    """
-    run = folded(rows, by, order, inputs, state, step)
-    return run.select(*by, F.explode("run").alias("r")).select(*by, "r.p.*", *[F.col(f"r.s.{k}").alias(k) for k in state])
-
-
-def folded(rows: DataFrame, by: list[str], order: str, inputs: list[str], state: dict[str, Column], step: Callable[[Column, Column], dict[str, Column]]) -> DataFrame:
-    """One row per key; its array ``run`` holds each point ``p`` and the state ``s`` after it."""
-    points = F.sort_array(F.collect_list(F.struct(order, *inputs)))
-    held = F.struct(*[v.alias(k) for k, v in state.items()])
-    kinds = rows.sparkSession.range(1).select(held.alias("s")).schema["s"].dataType.simpleString()
-    point_kind = rows.select(F.struct(order, *inputs).alias("p")).schema["p"].dataType.simpleString()
-    row = f"struct<p:{point_kind},s:{kinds}>"
-    start = F.struct(held.cast(kinds).alias("s"), F.array().cast(f"array<{row}>").alias("out"))
-
-    def advance(acc: Column, p: Column) -> Column:
-        after = F.struct(*[v.alias(k) for k, v in step(acc["s"], p).items()]).cast(kinds)
-        return F.element_at(F.transform(F.array(after), lambda s: F.struct(s.alias("s"), F.concat(acc["out"], F.array(F.struct(p.alias("p"), s.alias("s")).cast(row))).alias("out"))), 1)
-
-    return rows.groupBy(*by).agg(points.alias("points")).select(*by, F.aggregate("points", start, advance)["out"].alias("run"))
-
-
-def null() -> Column:
-    return F.lit(None).cast("double")
-
-
-def toward(e: Column, x: Column, alpha: float) -> Column:
-    """The next exponential mean: the first value seeds it."""
-    return F.coalesce(e + F.lit(alpha) * (x - e), x)
-
+from . import state
 
 DAY_S = 86_400
+#: Units of ``order`` that one task composes.
+SPAN = 30 * DAY_S
 
 
-def recurrence(rows: DataFrame, keep: list[str], maps: dict[str, tuple[Column, Column, Column]], order: str = "bar_s", span: int = DAY_S, by: tuple[str, ...] = ("symbol",)) -> DataFrame:
-    """Adds y' = a * y + b along each series, for each name of ``maps`` with its (a, b, seed); ``keep`` are the columns kept.
-
-    ``seed`` is read at the first point of a series and stands for y before it. Steps within
-    ``span`` units of ``order`` compose to one pair (a, b) a point, in one task a key and span. One pair
-    a span is left to chain, after which each span's points take their values from its start.
-    Work within a span grows with the square of its points: let it hold some dozens.
-    A point with a null coefficient is passed over.
-    """
-    steps = {}
-    for n, (a, b, _) in maps.items():
-        known = a.isNotNull() & b.isNotNull()
-        steps |= {f"_a_{n}": F.when(known, a).otherwise(1.0).cast("double"), f"_b_{n}": F.when(known, b).otherwise(0.0).cast("double")}
-    points = rows.select("*", F.floor(F.col(order) / span).alias("_span"), *[c.alias(k) for k, c in steps.items()], *[c[2].cast("double").alias(f"_s_{n}") for n, c in maps.items()])
-    inputs = [*keep, *steps, *[f"_s_{n}" for n in maps]]
-
-    def compose(s: Column, p: Column) -> dict[str, Column]:
-        return {k: v for n in maps for k, v in ((f"a_{n}", p[f"_a_{n}"] * s[f"a_{n}"]), (f"b_{n}", p[f"_a_{n}"] * s[f"b_{n}"] + p[f"_b_{n}"]))}
-
-    spans = folded(points, [*by, "_span"], order, inputs, {k: F.lit(v) for n in maps for k, v in ((f"a_{n}", 1.0), (f"b_{n}", 0.0))}, compose)
-    head, last = F.element_at("run", 1), F.element_at("run", -1)
-    ends = spans.select(*by, "_span", *[c.alias(k) for n in maps for k, c in ((f"a_{n}", last["s"][f"a_{n}"]), (f"b_{n}", last["s"][f"b_{n}"]), (f"s_{n}", head["p"][f"_s_{n}"]))])
-
-    def applied(a: Column, b: Column, y: Column) -> Column:
-        return F.when(a == 0, b).otherwise(a * y + b)  # where a is 0 the value before does not matter, even if it is null
-
-    def chain(s: Column, p: Column) -> dict[str, Column]:
-        out = {"begun": F.lit(True)}
-        for n in maps:
-            y = F.when(s["begun"], s[f"y_{n}"]).otherwise(p[f"s_{n}"])
-            out |= {f"y_{n}": applied(p[f"a_{n}"], p[f"b_{n}"], y), f"from_{n}": y}
-        return out
-
-    starts = fold(ends, list(by), "_span", [k for k in ends.columns if k not in (*by, "_span")], {"begun": F.lit(False)} | {k: null() for n in maps for k in (f"y_{n}", f"from_{n}")}, chain)
-    starts = starts.select(*by, "_span", *[f"from_{n}" for n in maps])
-    joined = spans.join(starts, [*by, "_span"]).select(*by, *[f"from_{n}" for n in maps], F.explode("run").alias("r"))
-    return joined.select(*by, *[f"r.p.{c}" for c in (order, *keep)], *[applied(F.col(f"r.s.a_{n}"), F.col(f"r.s.b_{n}"), F.col(f"from_{n}")).alias(n) for n in maps])
+def recurrence(rows: DataFrame, keep: list[str], maps: dict[str, tuple[Column, Column, Column]], order: str = "bar_s", span: int = SPAN, by: tuple[str, ...] = ("symbol",)) -> DataFrame:
+    return state.affine(rows, keep, maps, order, span, by)
 
 
 def mean_step(x: Column, alpha: float) -> tuple[Column, Column, Column]:
@@ -96,11 +25,11 @@ def mean_step(x: Column, alpha: float) -> tuple[Column, Column, Column]:
     return F.when(x.isNotNull(), 1 - alpha), alpha * x, x
 
 
-def ema(rows: DataFrame, n: int, value: str = "close", order: str = "bar_s", span: int = DAY_S) -> DataFrame:
+def ema(rows: DataFrame, n: int, value: str = "close", order: str = "bar_s", span: int = SPAN) -> DataFrame:
     return recurrence(rows, [value], {"ema": mean_step(F.col(value), 2 / (n + 1))}, order, span)
 
 
-def macd(rows: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9, value: str = "close", order: str = "bar_s", span: int = DAY_S) -> DataFrame:
+def macd(rows: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9, value: str = "close", order: str = "bar_s", span: int = SPAN) -> DataFrame:
     """fast and slow means, macd, its signal, seeded by the first macd, and the histogram."""
     x = F.col(value)
     alphas = {"fast": 2 / (fast + 1), "slow": 2 / (slow + 1), "signal": 2 / (signal + 1)}
@@ -122,14 +51,14 @@ def wilder_step(x: Column, n: int) -> tuple[Column, Column, Column]:
     return F.when(x.isNull(), 1.0).when(k < n, 1.0).when(k == n, 1 / n).otherwise((n - 1) / n), F.coalesce(F.when(k < n, x).otherwise(x / n), F.lit(0.0)), F.lit(0.0)
 
 
-def wilder(rows: DataFrame, n: int, value: str, name: str, order: str = "bar_s", span: int = DAY_S) -> DataFrame:
+def wilder(rows: DataFrame, n: int, value: str, name: str, order: str = "bar_s", span: int = SPAN) -> DataFrame:
     """Wilder's mean: seeded by the mean of the first ``n`` values, null before; nulls are passed over."""
     points = rows.withColumn("k", F.count(value).over(W.partitionBy("symbol").orderBy(order)))
     out = recurrence(points, [value, "k"], {name: wilder_step(F.col(value), n)}, order, span)
     return out.withColumn(name, F.when(F.col("k") >= n, F.col(name))).drop("k")
 
 
-def rsi(rows: DataFrame, n: int = 14, value: str = "close", order: str = "bar_s", span: int = DAY_S) -> DataFrame:
+def rsi(rows: DataFrame, n: int = 14, value: str = "close", order: str = "bar_s", span: int = SPAN) -> DataFrame:
     """Mean-seeded Wilder RSI; 100 where there was no loss."""
     x = F.col(value)
     w = W.partitionBy("symbol").orderBy(order)
@@ -142,7 +71,7 @@ def rsi(rows: DataFrame, n: int = 14, value: str = "close", order: str = "bar_s"
     return out.withColumn("rsi", F.when(F.col("k") >= n, strength)).drop("k", "gain", "loss")
 
 
-def kama(rows: DataFrame, fast: int = 2, slow: int = 30, value: str = "close", er: str = "er", order: str = "bar_s", span: int = DAY_S) -> DataFrame:
+def kama(rows: DataFrame, fast: int = 2, slow: int = 30, value: str = "close", er: str = "er", order: str = "bar_s", span: int = SPAN) -> DataFrame:
     """Kaufman's mean of ``value``; the efficiency ratio is a column, null until known. The value itself stands in where it is null."""
     a, b = 2 / (fast + 1), 2 / (slow + 1)
     c, x = F.pow(F.col(er) * (a - b) + b, F.lit(2.0)), F.col(value)
@@ -150,19 +79,30 @@ def kama(rows: DataFrame, fast: int = 2, slow: int = 30, value: str = "close", e
     return out.withColumn("kama", F.when(F.col(er).isNotNull(), F.col("kama")))
 
 
-def supertrend(rows: DataFrame, factor: float = 3.0, first: int = 1, order: str = "bar_s") -> DataFrame:
-    """Bands of ``factor`` ATR about the middle that only tighten; the close crossing one turns the direction."""
+def supertrend(rows: DataFrame, factor: float = 3.0, first: int | None = 1, order: str = "bar_s") -> DataFrame:
+    """Bands of ``factor`` ATR about the middle that only tighten; the close crossing one turns the direction.
 
-    def step(s: Column, p: Column) -> dict[str, Column]:
-        mid = (p["high"] + p["low"]) / 2
-        upper, lower = mid + factor * p["atr"], mid - factor * p["atr"]
-        up = F.when(s["ub"].isNull() | (upper < s["ub"]) | (s["last"] > s["ub"]), upper).otherwise(s["ub"])
-        down = F.when(s["lb"].isNull() | (lower > s["lb"]) | (s["last"] < s["lb"]), lower).otherwise(s["lb"])
-        turned = F.when(s["ub"].isNull(), F.lit(first)).when((s["dir"] == -1) & (p["close"] > up), 1).when((s["dir"] == 1) & (p["close"] < down), -1).otherwise(s["dir"])
-        return {"ub": up, "lb": down, "dir": turned, "last": p["close"]}
+    The first known point has direction ``first``; with None, down if its close lies under the middle, else up.
+    """
 
-    known = rows.where("atr is not null")
-    return fold(known, ["symbol"], order, ["high", "low", "close", "atr"], {"ub": null(), "lb": null(), "dir": F.lit(0), "last": null()}, step).drop("last")
+    def step(s, at, high, low, close, atr):
+        mid = (high + low) / 2
+        upper, lower = mid + factor * atr, mid - factor * atr
+        if s is None:
+            turn = first if first is not None else -1 if close < mid else 1
+        else:
+            ub, lb, turn, last = s
+            upper = upper if upper < ub or last > ub else ub
+            lower = lower if lower > lb or last < lb else lb
+            if turn < 0 and close > upper:
+                turn = 1
+            elif turn > 0 and close < lower:
+                turn = -1
+        return (upper, lower, turn, close), [(at, high, low, close, atr, upper, lower, turn)]
+
+    kind = rows.schema[order].dataType.simpleString()
+    return state.scan(rows.where("atr is not null"), ["symbol"], [order], [order, "high", "low", "close", "atr"], lambda: None, step,
+                      f"{order} {kind}, high double, low double, close double, atr double, ub double, lb double, dir int")
 
 
 def pivots(daily: DataFrame) -> DataFrame:

@@ -56,11 +56,11 @@ def with_volume(ladder: DataFrame) -> DataFrame:
     return ladder.withColumn("volume", F.col("buy") + F.col("sell") + F.col("unclassified"))
 
 
-def value_area(ladder: DataFrame, by: list[str], share: float = 0.7) -> DataFrame:
+def value_area(ladder: DataFrame, by: list[str], share: float = 0.7, upward: bool = True) -> DataFrame:
     """Point of control and value area of each profile (level, volume).
 
     The point of control has most volume; of equals it is nearest the middle, then the
-    higher. From there the area grows by the larger neighbour, upward on a tie, until it
+    higher. From there the area grows by the larger neighbour, on a tie ``upward`` or not, until it
     holds ``share`` of the volume. A profile's levels are few: they are one array.
     """
     levels = F.sort_array(F.collect_list(F.struct("level", "volume")))
@@ -73,7 +73,7 @@ def value_area(ladder: DataFrame, by: list[str], share: float = 0.7) -> DataFram
     def grow(s: Column, _: Column) -> Column:
         up, down = volume(s["hi"] + 1), F.when(s["lo"] > 1, volume(s["lo"] - 1)).otherwise(-1.0)
         done = (s["held"] >= F.col("total") * share) | ((up < 0) & (down < 0))
-        rise = up >= down
+        rise = up >= down if upward else up > down
         return F.struct(
             F.when(done | rise, s["lo"]).otherwise(s["lo"] - 1).alias("lo"), F.when(done | ~rise, s["hi"]).otherwise(s["hi"] + 1).alias("hi"),
             F.when(done, s["held"]).when(rise, s["held"] + up).otherwise(s["held"] + down).alias("held"))

@@ -38,6 +38,11 @@ TICKS, BARS, CLOSES, LADDER, CHAIN = (f"({T.SQL[k]})" for k in ("ticks", "bars",
 OVER = "OVER (PARTITION BY symbol ORDER BY bar_s"
 
 
+def exact(total: str, weight: str, over: str, scale: int = 100) -> str:
+    """``bars.exact_mean`` of running sums, in SQL."""
+    return f"(CASE WHEN sum({weight}) {over} > 0 THEN (sum({total}) {over} * 2000000::HUGEINT + sum({weight}) {over} * {scale}) // (sum({weight}) {over} * {2 * scale}) END)::BIGINT / 1000000.0::DOUBLE"
+
+
 # Bars and aggregates (D, A, B).
 
 @query(T.SQL["bars"])
@@ -60,14 +65,14 @@ def bars_complete_only(spark, sf_dir):
     return B.complete(B.resample(hourly(spark, sf_dir), 14_400), 4)
 
 
-@query(f"SELECT symbol, ts_s // 86400 * 86400 AS bar_s, round(sum(price * size) / nullif(sum(size), 0), 6) AS vwap FROM {TICKS} GROUP BY 1, 2")
+@query(f"SELECT symbol, ts_s // 86400 * 86400 AS bar_s, {exact('round(price * 100)::BIGINT * size', 'size', '')} AS vwap FROM {TICKS} GROUP BY 1, 2")
 def vwap_daily(spark, sf_dir):
-    return B.vwap(T.ticks(spark, sf_dir)).withColumns(r6("vwap"))
+    return B.vwap(T.ticks(spark, sf_dir))
 
 
-@query(f"SELECT symbol, bar_s, round(coalesce(sum((high + low + close) / 3 * volume) OVER w / nullif(sum(volume) OVER w, 0), close), 6) AS vwap FROM {BARS} WINDOW w AS (PARTITION BY symbol, bar_s // 86400 ORDER BY bar_s)")
+@query(f"SELECT symbol, bar_s, coalesce({exact('(round(high * 100)::BIGINT + round(low * 100)::BIGINT + round(close * 100)::BIGINT) * volume', 'volume', 'OVER w', 300)}, round(close, 6)) AS vwap FROM {BARS} WINDOW w AS (PARTITION BY symbol, bar_s // 86400 ORDER BY bar_s)")
 def vwap_to_date(spark, sf_dir):
-    return B.vwap_to_date(hourly(spark, sf_dir)).select("symbol", "bar_s", F.round("vwap", 6).alias("vwap"))
+    return B.vwap_to_date(hourly(spark, sf_dir)).select("symbol", "bar_s", "vwap")
 
 
 @query(f"SELECT symbol, ts_s // 900 * 900 AS bar_s, arg_max(price, seq) AS price, max(seq) AS seq FROM {TICKS} GROUP BY 1, 2")
@@ -326,13 +331,6 @@ def roc(spark, sf_dir):
     return hourly(spark, sf_dir).select("symbol", "bar_s", F.round((F.col("close") / F.lag("close", 12).over(R.over()) - 1) * 100, 6).alias("roc"))
 
 
-@query()
-def supertrend(spark, sf_dir):
-    b = hourly(spark, sf_dir).withColumn("tr", R.true_range())
-    atr = I.wilder(b, 10, "tr", "atr").select("symbol", "bar_s", "atr")
-    return I.supertrend(b.join(atr, ["symbol", "bar_s"])).select("symbol", "bar_s", "dir", F.round("ub", 6).alias("ub"), F.round("lb", 6).alias("lb"))
-
-
 @query(f"SELECT symbol, bar_s, round((ph + pl + pc) / 3, 6) AS p, round(2 * (ph + pl + pc) / 3 - pl, 6) AS r1, round(2 * (ph + pl + pc) / 3 - ph, 6) AS s1 FROM (SELECT symbol, bar_s, lag(high) {OVER}) AS ph, lag(low) {OVER}) AS pl, lag(close) {OVER}) AS pc FROM (SELECT symbol, bar_s // 86400 * 86400 AS bar_s, max(high) AS high, min(low) AS low, arg_max(close, bar_s) AS close FROM {BARS} GROUP BY 1, 2))")
 def floor_pivots(spark, sf_dir):
     d = B.resample(hourly(spark, sf_dir), T.DAY_S)
@@ -384,11 +382,6 @@ def point_of_control(spark, sf_dir):
     return OF.value_area(OF.with_volume(T.ladder(spark, sf_dir)), ["symbol"]).select("symbol", "poc", "total")
 
 
-@query()
-def value_area(spark, sf_dir):
-    return OF.value_area(OF.with_volume(T.ladder(spark, sf_dir)), ["symbol"])
-
-
 _IMB = f"SELECT *, CASE WHEN lag(level) OVER w IS NOT NULL THEN buy >= 20 AND buy >= 1.5 * CASE WHEN lag(level) OVER w = level - 1 THEN lag(sell) OVER w ELSE 0 END END AS buy_imbalance FROM {LADDER} WINDOW w AS (PARTITION BY symbol ORDER BY level)"
 
 

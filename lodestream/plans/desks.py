@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W, functions as F
 
 from ..functions import pricing
-from ..operators import options as O, windows as R
+from ..operators import options as O, trends, windows as R
 from ..sources import tables as T
 from ..streaming import live
 from . import catalog
@@ -96,37 +96,6 @@ def exposure_walls(spark, sf_dir):
     return e.groupBy(*BY).agg(F.max_by("strike", F.when(O.is_call(), call)).alias("call_wall"), F.min_by("strike", F.when(~O.is_call(), put)).alias("put_wall"))
 
 
-_IVS = f"SELECT *, 0.1::DOUBLE + (strike::BIGINT % 130) / 1000 + (month % 7) / 50 AS iv FROM {CHAIN}"
-
-
-def with_iv(spark, sf_dir):
-    """The chain with volatilities as if they had been solved."""
-    return T.chain(spark, sf_dir).withColumn("iv", 0.1 + (F.col("strike").cast("long") % 130) / 1000 + (F.col("month") % 7) / 50)
-
-
-_NEAR = f"SELECT underlying, month, avg(iv) AS iv FROM (SELECT underlying, month, iv, row_number() OVER (PARTITION BY underlying, month ORDER BY abs(strike - spot), strike, option_type) AS n FROM ({_IVS})) WHERE n <= 5 GROUP BY 1, 2"
-
-
-@query(f"SELECT underlying, month, round(iv, 6) AS iv FROM ({_NEAR})")
-def near_money_volatility(spark, sf_dir):
-    return near_iv(spark, sf_dir).withColumns(r6("iv"))
-
-
-def near_iv(spark, sf_dir):
-    """Mean volatility of the five contracts nearest the money."""
-    near = F.row_number().over(W.partitionBy(*BY).orderBy(F.abs(F.col("strike") - F.col("spot")), "strike", "option_type"))
-    return with_iv(spark, sf_dir).withColumn("n", near).where("n <= 5").groupBy(*BY).agg(F.avg("iv").alias("iv"))
-
-
-@query(f"SELECT underlying, month, elapsed, round(spot * (1 + iv * sqrt(1 / 365.0) * sqrt(elapsed / 375.0)), 6) AS upper, round(spot * (1 - iv * sqrt(1 / 365.0) * sqrt(elapsed / 375.0)), 6) AS lower FROM ({_NEAR}) n JOIN (SELECT underlying, month, max(spot) AS spot FROM {CHAIN} GROUP BY 1, 2) s USING (underlying, month) CROSS JOIN (SELECT unnest([75, 150, 225, 300, 375]) AS elapsed)")
-def expected_band(spark, sf_dir):
-    """How far the spot may be expected to be through a session of 375 minutes."""
-    s = T.chain(spark, sf_dir).groupBy(*BY).agg(F.max("spot").alias("spot"))
-    n = near_iv(spark, sf_dir).join(s, BY).withColumn("elapsed", F.explode(F.array(*[F.lit(m) for m in (75, 150, 225, 300, 375)])))
-    move = F.col("iv") * F.sqrt(F.lit(1 / 365)) * F.sqrt(F.col("elapsed") / 375)
-    return n.select(*BY, "elapsed", F.round(F.col("spot") * (1 + move), 6).alias("upper"), F.round(F.col("spot") * (1 - move), 6).alias("lower"))
-
-
 @query(f"SELECT underlying, month, option_type, strike, grown, place, round(sum(grown) OVER (PARTITION BY underlying, option_type, strike ORDER BY month), 6) AS total FROM (SELECT *, row_number() OVER (PARTITION BY underlying, month, option_type ORDER BY grown DESC, strike) AS place FROM (SELECT underlying, month, option_type, strike, greatest(0, oi - coalesce(lag(oi) OVER (PARTITION BY underlying, option_type, strike ORDER BY month), oi)) AS grown FROM {CHAIN})) WHERE place <= 5")
 def volume_spectrum(spark, sf_dir):
     """The five strikes of each side whose count grew most, and their running sums."""
@@ -136,30 +105,6 @@ def volume_spectrum(spark, sf_dir):
     return c.select(*BY, "option_type", "strike", "grown", "place", F.round(F.sum("grown").over(one), 6).alias("total"))
 
 
-@query(f"WITH n AS ({_NEAR}) SELECT underlying, month, round(iv, 6) AS iv, round((iv - min(iv) OVER w) / nullif(max(iv) OVER w - min(iv) OVER w, 0), 5) AS rank, round(iv - lag(iv) OVER (PARTITION BY underlying ORDER BY month), 6) AS change FROM n WINDOW w AS (PARTITION BY underlying ORDER BY month ROWS BETWEEN 11 PRECEDING AND CURRENT ROW) QUALIFY count(*) OVER w >= 10")
-def volatility_rank(spark, sf_dir):
-    """Volatility within its range of twelve months, from ten of them on."""
-    along = W.partitionBy("underlying").orderBy("month")
-    w = along.rowsBetween(-11, 0)
-    low, high = F.min("iv").over(w), F.max("iv").over(w)
-    n = near_iv(spark, sf_dir).withColumns({"rank": F.round((F.col("iv") - low) / F.nullif(high - low, F.lit(0.0)), 5), "change": F.round(F.col("iv") - F.lag("iv").over(along), 6), "held": F.count(F.lit(1)).over(w)})
-    return n.where("held >= 10").select(*BY, F.round("iv", 6).alias("iv"), "rank", "change")
-
-
-_SURFACE = f"SELECT underlying, month, 7 * (1 + (strike::BIGINT // 10) % 8) AS dte, avg(iv) AS iv FROM ({_IVS}) GROUP BY 1, 2, 3"
-
-
-@query(f"WITH s AS ({_SURFACE}), a AS (SELECT underlying, month, max(dte) FILTER (WHERE dte <= 30) AS near, min(dte) FILTER (WHERE dte > 30) AS far FROM s GROUP BY 1, 2) SELECT a.underlying, a.month, near, far, round(sqrt((n.iv * n.iv * near * (far - 30) + f.iv * f.iv * far * (30 - near)) / (far - near) / 30), 6) AS iv30 FROM a JOIN s n ON n.underlying = a.underlying AND n.month = a.month AND n.dte = near JOIN s f ON f.underlying = a.underlying AND f.month = a.month AND f.dte = far")
-def constant_maturity(spark, sf_dir):
-    """Volatility at 30 days, by total variance between the expiries around it."""
-    s = with_iv(spark, sf_dir).groupBy(*BY, (7 * (1 + F.expr("(cast(strike as bigint) div 10) % 8"))).alias("dte")).agg(F.avg("iv").alias("iv"))
-    pair = F.struct("dte", "iv")
-    near, far = F.max(F.when(F.col("dte") <= 30, pair)), F.min(F.when(F.col("dte") > 30, pair))
-    a = s.groupBy(*BY).agg(near.alias("n"), far.alias("f")).where("n is not null and f is not null")
-    total = F.col("n.iv") ** 2 * F.col("n.dte") * (F.col("f.dte") - 30) + F.col("f.iv") ** 2 * F.col("f.dte") * (30 - F.col("n.dte"))
-    return a.select(*BY, F.col("n.dte").alias("near"), F.col("f.dte").alias("far"), F.round(F.sqrt(total / (F.col("f.dte") - F.col("n.dte")) / 30), 6).alias("iv30"))
-
-
 @query(f"SELECT underlying, month, round(sum(premium * oi) FILTER (WHERE option_type = 'PE') / nullif(sum(premium * oi) FILTER (WHERE option_type = 'CE'), 0), 6) AS premium_pcr, round(avg(premium / spot) FILTER (WHERE abs(strike / spot - 1) <= 0.05), 6) AS at_share, round(avg(premium - greatest(0, CASE WHEN option_type = 'CE' THEN spot - strike ELSE strike - spot END)), 6) AS extrinsic FROM {CHAIN} GROUP BY 1, 2")
 def premium_ratios(spark, sf_dir):
     turnover = F.col("premium") * F.col("oi")
@@ -544,8 +489,5 @@ def late_accounting(spark, sf_dir):
 @query(f"WITH RECURSIVE t AS (SELECT symbol, ts_s, row_number() OVER (PARTITION BY symbol ORDER BY ts_s, seq) AS n FROM {TICKS} WHERE size >= 45), r AS (SELECT symbol, n, ts_s, ts_s AS fired FROM t WHERE n = 1 UNION ALL SELECT t.symbol, t.n, t.ts_s, CASE WHEN t.ts_s - r.fired >= 14400 THEN t.ts_s ELSE r.fired END FROM r JOIN t ON t.symbol = r.symbol AND t.n = r.n + 1) SELECT symbol, ts_s FROM r WHERE fired = ts_s GROUP BY 1, 2")
 def cooled_down(spark, sf_dir):
     """Alerts that come four hours or more after the one before that was let through."""
-    from ..operators import indicators as I
-
-    t = T.ticks(spark, sf_dir).where("size >= 45").select("symbol", "ts_s", F.lit(0).alias("x")).distinct()
-    step = lambda s, p: {"fired": F.when(s["fired"].isNull() | (p["ts_s"] - s["fired"] >= 14_400), p["ts_s"]).otherwise(s["fired"])}
-    return I.fold(t, ["symbol"], "ts_s", ["x"], {"fired": F.lit(None).cast("long")}, step).where("fired = ts_s").select("symbol", "ts_s")
+    t = T.ticks(spark, sf_dir).where("size >= 45").select("symbol", "ts_s").distinct()
+    return trends.cooled(t, ["symbol"], "ts_s", 14_400)

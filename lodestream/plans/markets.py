@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Window as W, functions as F
 
-from ..operators import calendar as C, quotes as Q, windows as R
+from ..operators import bars as B, calendar as C, quotes as Q, windows as R
 from ..sources import tables as T
-from .catalog import BARS, CHAIN, CLOSES, LADDER, TICKS, hourly, query, r6
+from .catalog import BARS, CHAIN, CLOSES, LADDER, TICKS, exact, hourly, query, r6
 
 QUOTES = f"({T.SQL['quotes']})"
 DAYS = f"SELECT unnest(range(lo, hi + 1)) AS day FROM (SELECT min(ts_s) // 86400 AS lo, max(ts_s) // 86400 AS hi FROM {TICKS})"
@@ -112,32 +112,6 @@ def distinct_changes(spark, sf_dir):
     return b.groupBy("symbol").agg(F.count_if(~F.col("close").eqNullSafe(F.col("before"))).alias("changed"), F.count(F.lit(1)).alias("n"))
 
 
-@query(f"WITH n AS (SELECT symbol, bar_s, close, volume % 3 AS source FROM {BARS} UNION ALL SELECT symbol, bar_s, open, 5 FROM {BARS} WHERE volume % 2 = 0) SELECT symbol, bar_s, close, source FROM (SELECT *, row_number() OVER (PARTITION BY symbol, bar_s ORDER BY source DESC) AS k FROM n) WHERE k = 1")
-def upserted_bars(spark, sf_dir):
-    """Replace on key: of all versions of a bar the one taken in last."""
-    b = hourly(spark, sf_dir)
-    old, new = b.select("symbol", "bar_s", "close", (F.col("volume") % 3).alias("source")), b.where("volume % 2 = 0").select("symbol", "bar_s", F.col("open").alias("close"), F.lit(5).cast("long").alias("source"))
-    newest = F.row_number().over(W.partitionBy("symbol", "bar_s").orderBy(F.desc("source")))
-    return old.unionByName(new).withColumn("k", newest).where("k = 1").drop("k")
-
-
-@query(f"SELECT symbol, bar_s, close FROM {BARS} WHERE volume % 2 = 1 UNION ALL SELECT symbol, bar_s, open FROM {BARS} WHERE volume % 2 = 0")
-def kept_first(spark, sf_dir):
-    """Insert or ignore: rows whose key is there already don't displace it."""
-    b = hourly(spark, sf_dir)
-    there, more = b.where("volume % 2 = 1").select("symbol", "bar_s", "close"), b.select("symbol", "bar_s", F.col("open").alias("close"))
-    return there.unionByName(more.join(there, ["symbol", "bar_s"], "left_anti"))
-
-
-@query(f"WITH hot AS (SELECT symbol, ts_s // 86400 AS day, count(*) AS rows FROM {TICKS} GROUP BY 1, 2), kept AS (SELECT symbol, day, rows - day % 2 AS rows FROM hot WHERE day % 5 != 0) SELECT hot.day, count(*) AS parts, count(*) FILTER (WHERE kept.rows >= hot.rows) AS covered, count(*) FILTER (WHERE kept.rows >= hot.rows) = count(*) AS may_go FROM hot LEFT JOIN kept ON kept.symbol = hot.symbol AND kept.day = hot.day GROUP BY 1")
-def archive_guard(spark, sf_dir):
-    """Days of the hot table that may go: those whose every part the archive's index holds with as many rows."""
-    hot = T.ticks(spark, sf_dir).groupBy("symbol", F.floor(F.col("ts_s") / T.DAY_S).alias("day")).agg(F.count(F.lit(1)).alias("rows"))
-    index = hot.where("day % 5 != 0").select("symbol", "day", (F.col("rows") - F.col("day") % 2).alias("kept"))
-    held = hot.join(index, ["symbol", "day"], "left").groupBy("day").agg(F.count(F.lit(1)).alias("parts"), F.count_if(F.col("kept") >= F.col("rows")).alias("covered"))
-    return held.withColumn("may_go", F.col("covered") == F.col("parts"))
-
-
 # Joins along time (C).
 
 @query(f"WITH b AS (SELECT symbol, bar_s, close, bar_s // 86400 AS day FROM {BARS}), n AS (SELECT t.symbol, t.bar_s, t.close, max(p.bar_s) AS then_s FROM b t LEFT JOIN b p ON p.symbol = t.symbol AND p.day = t.day AND p.bar_s <= t.bar_s - 7200 AND t.bar_s - p.bar_s <= 14400 GROUP BY 1, 2, 3) SELECT n.symbol, n.bar_s, n.then_s, round(n.close - b.close, 6) AS change FROM n LEFT JOIN b ON b.symbol = n.symbol AND b.bar_s = n.then_s")
@@ -189,12 +163,13 @@ def staged_targets(spark, sf_dir):
 
 # Ordered analytics (E).
 
-@query(f"SELECT symbol, bar_s, " + ", ".join(f"round(sum(close * volume) OVER (PARTITION BY symbol, {p} ORDER BY bar_s) / nullif(sum(volume) OVER (PARTITION BY symbol, {p} ORDER BY bar_s), 0), 6) AS {n}" for n, p in (("day_vwap", "bar_s // 86400"), ("week_vwap", "(bar_s // 86400 + 3) // 7"), ("month_vwap", "strftime(make_timestamp(bar_s * 1000000), '%Y-%m')"))) + f" FROM {BARS}")
+@query(f"SELECT symbol, bar_s, " + ", ".join(f"{exact('round(close * 100)::BIGINT * volume', 'volume', f'OVER (PARTITION BY symbol, {p} ORDER BY bar_s)')} AS {n}" for n, p in (("day_vwap", "bar_s // 86400"), ("week_vwap", "(bar_s // 86400 + 3) // 7"), ("month_vwap", "strftime(make_timestamp(bar_s * 1000000), '%Y-%m')"))) + f" FROM {BARS}")
 def anchored_vwap(spark, sf_dir):
-    """VWAP since the start of the day, week and month."""
+    """VWAP since the start of the day, week and month, from sums in cents."""
     anchors = {"day_vwap": F.expr("bar_s div 86400"), "week_vwap": F.expr("(bar_s div 86400 + 3) div 7"), "month_vwap": F.trunc(F.date_add(F.lit("1970-01-01").cast("date"), F.expr("cast(bar_s div 86400 as int)")), "month")}
     over = lambda a: W.partitionBy("symbol", a).orderBy("bar_s")
-    return hourly(spark, sf_dir).select("symbol", "bar_s", *[F.round(F.sum(F.col("close") * F.col("volume")).over(over(a)) / F.nullif(F.sum("volume").over(over(a)), F.lit(0)), 6).alias(n) for n, a in anchors.items()])
+    traded = B.cents(F.col("close")) * F.col("volume")
+    return hourly(spark, sf_dir).select("symbol", "bar_s", *[B.exact_mean(F.sum(traded).over(over(a)), F.sum("volume").over(over(a))).alias(n) for n, a in anchors.items()])
 
 
 @query(f"SELECT symbol, bar_s, round(CASE WHEN count(*) OVER w >= 5 THEN CASE WHEN stddev_samp(volume) OVER w > 0 THEN (volume - avg(volume) OVER w) / stddev_samp(volume) OVER w ELSE 0 END END, 5) AS z FROM {BARS} WINDOW w AS (PARTITION BY symbol, bar_s % 86400 ORDER BY bar_s // 86400 RANGE BETWEEN 20 PRECEDING AND 1 PRECEDING)")
@@ -278,15 +253,6 @@ def top_minus_bottom(spark, sf_dir):
     return t.groupBy("month").agg(F.round(mean(3) - mean(1), 6).alias("spread"), F.round(F.avg("ahead"), 6).alias("mean"))
 
 
-@query(f"WITH d AS ({_DAILY}) SELECT a.symbol, a.day, a.close FROM d a WHERE a.day < (SELECT max(day) FROM d m WHERE m.symbol = a.symbol) AND NOT EXISTS (SELECT 1 FROM d b WHERE b.symbol = a.symbol AND b.day > a.day AND b.low <= a.close AND b.high >= a.close)")
-def naked_levels(spark, sf_dir):
-    """A day's level that no later day's range has covered; the newest day is left out."""
-    d = daily(spark, sf_dir).select("symbol", "day", "high", "low", "close")
-    later = d.select(F.col("symbol").alias("s"), F.col("day").alias("then"), F.col("high").alias("h"), F.col("low").alias("l"))
-    old = d.withColumn("newest", F.max("day").over(W.partitionBy("symbol"))).where("day < newest")
-    return old.join(later, (F.col("s") == F.col("symbol")) & (F.col("then") > F.col("day")) & (F.col("l") <= F.col("close")) & (F.col("h") >= F.col("close")), "left_anti").select("symbol", "day", "close")
-
-
 _COUNTER = f"SELECT symbol, seq, ts_s // 86400 AS day, CASE WHEN seq % 41 = 0 THEN 0 ELSE sum(size) OVER (PARTITION BY symbol, ts_s // 86400 ORDER BY seq) END::BIGINT AS total FROM {TICKS}"
 
 
@@ -441,14 +407,6 @@ def open_types(spark, sf_dir):
     return b.select("symbol", "day", kind.alias("open_type"))
 
 
-@query(f"SELECT symbol, bar_s, CASE WHEN close > hi THEN 'above' WHEN close < lo THEN 'below' WHEN hi IS NOT NULL THEN 'in' END AS place FROM (SELECT b.symbol, b.bar_s, b.close, p.high AS hi, p.low AS lo FROM {BARS} b LEFT JOIN (SELECT symbol, lead(day) OVER (PARTITION BY symbol ORDER BY day) AS day, low + 0.7 * (high - low) AS high, low + 0.3 * (high - low) AS low FROM ({_DAILY})) p ON p.symbol = b.symbol AND p.day = b.bar_s // 86400)")
-def place_against_value(spark, sf_dir):
-    """Where a bar closed against the middle of the session before."""
-    area = daily(spark, sf_dir).select("symbol", F.lead("day").over(W.partitionBy("symbol").orderBy("day")).alias("day"), F.expr("low + 0.7 * (high - low)").alias("hi"), F.expr("low + 0.3 * (high - low)").alias("lo"))
-    b = hourly(spark, sf_dir).withColumn("day", F.expr("bar_s div 86400")).join(area, ["symbol", "day"], "left")
-    return b.select("symbol", "bar_s", F.when(F.expr("close > hi"), "above").when(F.expr("close < lo"), "below").when(F.col("hi").isNotNull(), "in").alias("place"))
-
-
 @query(f"SELECT symbol, bar_s, open, high, low, close, round(delta / nullif(volume, 0), 6) AS strength FROM ({_HOURLY_FLOW})")
 def delta_candles(spark, sf_dir):
     return hourly_flow(spark, sf_dir).select("symbol", "bar_s", "open", "high", "low", "close", F.round(F.col("delta") / F.nullif(F.col("volume"), F.lit(0)), 6).alias("strength"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..operators import bars as B, indicators as I, joins as J, windows as R
@@ -168,17 +169,6 @@ def rule_regimes(spark, sf_dir):
     return T.table(spark, sf_dir, "orders").select("o_orderkey", lot.alias("lot"))
 
 
-@query(f"SELECT ts_s // 86400 AS day, count(*) AS archived, count(*) AS hot, true AS sealed FROM {TICKS} GROUP BY 1")
-def sealed_archive(spark, sf_dir):
-    """Writes a folder per day, and seals the days of which the archive holds at least the hot rows."""
-    t = T.ticks(spark, sf_dir).withColumn("day", _day())
-    path = f"{folder(spark)}/lodestream/archive-{uuid.uuid4().hex}"
-    t.repartition("day").sortWithinPartitions("day", "symbol", "seq").write.option("compression", "zstd").partitionBy("day").parquet(path)
-    count = lambda df, name: df.groupBy(F.col("day").cast("long").alias("day")).agg(F.count(F.lit(1)).alias(name))
-    both = count(spark.read.parquet(path), "archived").join(count(t, "hot"), "day")
-    return both.withColumn("sealed", F.col("archived") >= F.col("hot"))
-
-
 @query("SELECT c_custkey, c_name, c_mktsegment, c_acctbal FROM customer")
 def csv_export(spark, sf_dir):
     """Customers as CSV with a header, read back by their schema."""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Window as W, functions as F
 
-from ..operators import bars as B, books, indicators as I, options as O, orderflow as OF, windows as R
+from ..operators import bars as B, books, options as O, orderflow as OF, windows as R
 from ..sources import tables as T
 from .catalog import _BOOK, _FIFO, _PAIRS, _SIDES, BARS, CHAIN, LADDER, OVER, TICKS, hourly, query
 
@@ -140,21 +140,24 @@ def thinned_curve(spark, sf_dir):
     return d.where(kept).select("symbol", "bar_s", "close")
 
 
-@query()
+_FEES = "q * price * 0.0005 + q * price * 0.0005 * 0.18 + CASE WHEN side = 'SELL' THEN q * price * 0.001 ELSE 0 END"
+_FILLED = f"SELECT symbol, l_orderkey, l_linenumber, n, price, q, CASE WHEN side = 'BUY' THEN q ELSE -q END AS x, {_FEES} AS fees FROM (SELECT l_partkey AS symbol, l_orderkey, l_linenumber, l_quantity::DOUBLE AS q, l_extendedprice / l_quantity AS price, CASE WHEN l_returnflag = 'A' THEN 'BUY' ELSE 'SELL' END AS side, row_number() OVER (PARTITION BY l_partkey ORDER BY l_shipdate, l_orderkey, l_linenumber, l_suppkey) AS n FROM lineitem)"
+
+
+@query(f"""WITH RECURSIVE b AS ({_FILLED}), r AS (
+    SELECT symbol, n, l_orderkey, l_linenumber, x AS held, price AS average, -fees AS realised, fees AS entry, price AS low, price AS high, price AS seen_low, price AS seen_high, CAST(NULL AS DOUBLE) AS closed, CAST(NULL AS DOUBLE) AS gross, CAST(NULL AS DOUBLE) AS borne FROM b WHERE n = 1
+    UNION ALL SELECT symbol, n, l_orderkey, l_linenumber, held + x, CASE WHEN adds THEN (average * abs(held) + price * q) / abs(held + x) WHEN held + x = 0 THEN 0 WHEN turns THEN price ELSE average END,
+        realised + coalesce(g, 0) - fees, CASE WHEN adds THEN entry + fees WHEN held + x = 0 THEN 0 WHEN turns THEN fees - fees * c / q ELSE entry - entry * c / abs(held) END,
+        CASE WHEN held + x = 0 THEN NULL WHEN turns THEN price ELSE least(low, price) END, CASE WHEN held + x = 0 THEN NULL WHEN turns THEN price ELSE greatest(high, price) END, least(low, price), greatest(high, price), c, g, entry * c / abs(held) + fees * c / q
+    FROM (SELECT b.symbol, b.n, b.l_orderkey, b.l_linenumber, r.held, r.average, r.realised, r.entry, r.low, r.high, b.price, b.q, b.x, b.fees, r.held * b.x >= 0 AS adds, (r.held + b.x) * r.held < 0 AS turns,
+            CASE WHEN r.held * b.x < 0 THEN least(abs(r.held), b.q) END AS c, CASE WHEN r.held * b.x < 0 THEN (b.price - r.average) * least(abs(r.held), b.q) * sign(r.held) END AS g
+        FROM r JOIN b ON b.symbol = r.symbol AND b.n = r.n + 1))
+    SELECT symbol, l_orderkey, l_linenumber, held, CASE WHEN held <> 0 THEN round(average, 6) END AS average, round(realised, 3) AS realised, closed, round(gross, 4) AS gross, round(borne, 5) AS fees, round(seen_low, 6) AS low, round(seen_high, 6) AS high FROM r""")
 def position_book(spark, sf_dir):
-    """Average price, size and realised result of each symbol after each fill; a fill through zero reverses."""
-
-    def step(s, p):
-        signed = F.when(p["side"] == "BUY", p["quantity"]).otherwise(-p["quantity"])
-        after = s["held"] + signed
-        adds = s["held"] * signed >= 0
-        closed = F.when(adds, 0.0).otherwise(F.least(F.abs(s["held"]), F.abs(signed)))
-        average = F.when(adds, (s["average"] * F.abs(s["held"]) + p["price"] * F.abs(signed)) / F.abs(after)).when(after == 0, 0.0).when(after * s["held"] < 0, p["price"]).otherwise(s["average"])
-        return {"held": after, "average": average, "realised": s["realised"] + closed * (p["price"] - s["average"]) * F.signum(s["held"])}
-
-    zero = F.lit(0.0)
-    out = I.fold(T.fills(spark, sf_dir), ["symbol"], "seq", ["side", "quantity", "price"], {"held": zero, "average": zero, "realised": zero}, step)
-    return out.select("symbol", "seq.l_orderkey", "seq.l_linenumber", "held", F.round("average", 6).alias("average"), F.round("realised", 4).alias("realised"))
+    """Average price, size, result after fees, closed slices and excursion of each symbol after each fill."""
+    f = books.with_charges(T.fills(spark, sf_dir)).withColumnRenamed("charges", "fees").select("symbol", "seq.*", "side", "quantity", "price", "fees")
+    out = books.position_book(f, ["s", "l_orderkey", "l_linenumber", "l_suppkey"])
+    return out.select("symbol", "l_orderkey", "l_linenumber", "held", *[F.round(c, d).alias(c) for c, d in (("average", 6), ("realised", 3), ("closed", 6), ("gross", 4), ("fees", 5), ("low", 6), ("high", 6))])
 
 
 @query(f"SELECT symbol, bar_s FROM (SELECT symbol, bar_s, volume, avg(volume) OVER (PARTITION BY symbol, bar_s % 86400 ORDER BY bar_s ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING) AS usual FROM {BARS}) WHERE volume >= 2 * usual")

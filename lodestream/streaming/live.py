@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import uuid
 from collections.abc import Iterator
 
@@ -106,6 +107,157 @@ def live_bars(stream: DataFrame, delay: str = "10 minutes") -> DataFrame:
         statefulProcessor=BarState(), outputStructType=BARS, outputMode="append", timeMode="EventTime")
 
 
+SESSION_BARS = "symbol string, kind string, seq long, bar_s long, open double, high double, low double, close double, volume long, macd double, signal double"
+#: Seconds of a day within which a session's ticks count, and of receipt after which a print is stale.
+SESSION_S, STALE_S = (33_300, 55_800), 3 * 86_400
+
+
+class SessionBars(StatefulProcessor):
+    """A symbol's open bar, its indicator and what it refused, along ticks in the order in which they arrive.
+
+    Event time is the time of arrival, so a timer stands for a clock: a bar closes when a
+    tick of a later one comes, or ``grace`` seconds of arrival after its end or the
+    session's, whichever is first. So the session's last bar closes, and an idle one. A
+    tick outside the session, one that took longer than ``stale`` to arrive and one of a
+    bar that has closed changes nothing and is put out with its reason as ``kind``.
+    The state begins from stored indicator values where the initial state has some.
+    """
+
+    def __init__(self, seconds: int = 3600, grace: int = 600, session: tuple[int, int] = SESSION_S, stale: int = STALE_S, fast: int = 12, slow: int = 26, signal: int = 9):
+        self.seconds, self.grace, self.session, self.stale = seconds, grace, session, stale
+        self.alphas = (2 / (fast + 1), 2 / (slow + 1), 2 / (signal + 1))
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.bar = handle.getValueState("bar", "bar_s long, open double, high double, low double, close double, volume long")
+        self.means = handle.getValueState("means", "last_s long, fast double, slow double, signal double")
+
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
+        r = initialState.iloc[0]
+        self.means.update((int(r["last_s"]), float(r["fast"]), float(r["slow"]), float(r["signal"])))
+
+    def _closed(self, symbol: str, bar: tuple) -> tuple:
+        close = bar[4]
+        if self.means.exists():
+            _, f, s, g = self.means.get()
+            a, b, c = self.alphas
+            f, s = f + a * (close - f), s + b * (close - s)
+            g += c * (f - s - g)
+        else:
+            f, s, g = close, close, 0.0
+        self.means.update((bar[0], f, s, g))
+        return (symbol, "bar", None, *bar, f - s, g)
+
+    def _due(self, bar_s: int) -> int:
+        return min(bar_s + self.seconds, bar_s // 86_400 * 86_400 + self.session[1]) + self.grace
+
+    def _rows(self, out: list[tuple]) -> Iterator[pd.DataFrame]:
+        if out:
+            table = pd.DataFrame(out, columns=[c.split()[0] for c in SESSION_BARS.split(", ")])
+            yield table.astype({"seq": "Int64", "bar_s": "Int64", "volume": "Int64"})
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        ticks = pd.concat(rows).sort_values(["arrived_s", "seq"])
+        bar = tuple(self.bar.get()) if self.bar.exists() else None
+        last = self.means.get()[0] if self.means.exists() else None
+        out = []
+        refuse = lambda seq, why: out.append((key[0], why, seq, *[None] * 8))
+        for seq, at, came, price, size in zip(*(ticks[c].tolist() for c in ("seq", "ts_s", "arrived_s", "price", "size")), strict=True):
+            bar_s = at // self.seconds * self.seconds
+            if not self.session[0] <= at % 86_400 < self.session[1]:
+                refuse(seq, "off session")
+            elif came - at > self.stale:
+                refuse(seq, "stale")
+            elif bar and bar_s < bar[0] or last is not None and bar_s <= last:
+                refuse(seq, "late")
+            elif bar and bar_s == bar[0]:
+                bar = (bar_s, bar[1], max(bar[2], price), min(bar[3], price), price, bar[5] + int(size))
+            else:
+                if bar:
+                    out.append(self._closed(key[0], bar))
+                    last = bar[0]
+                bar = (bar_s, price, price, price, price, int(size))
+        if bar:
+            self.bar.update(bar)
+            due = self._due(bar[0]) * 1000
+            held = list(self.handle.listTimers())
+            for t in held:
+                if t != due:
+                    self.handle.deleteTimer(t)
+            if due not in held:
+                self.handle.registerTimer(due)
+        yield from self._rows(out)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if self.bar.exists():
+            bar = tuple(self.bar.get())
+            self.bar.clear()
+            yield from self._rows([self._closed(key[0], bar)])
+
+    def close(self) -> None:
+        pass
+
+
+def session_bars(stream: DataFrame, seed: DataFrame | None = None, **rules) -> DataFrame:
+    """Closed bars and refused ticks of ``stream`` (symbol, seq, ts_s, arrived_s, price, size, arrived); ``seed`` has symbol, last_s, fast, slow, signal."""
+    keyed = stream.withWatermark("arrived", "0 seconds").groupBy("symbol")
+    return keyed.transformWithStateInPandas(statefulProcessor=SessionBars(**rules), outputStructType=SESSION_BARS, outputMode="append", timeMode="EventTime", initialState=seed and seed.groupBy("symbol"))
+
+
+class Cooldown(StatefulProcessor):
+    """Lets an event through that comes ``wait`` seconds or more after the one before that was let through; a key's state goes when it is that old."""
+
+    def __init__(self, wait: int):
+        self.wait = wait
+
+    def init(self, handle) -> None:
+        self.fired = handle.getValueState("fired", "at long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        fired = self.fired.get()[0] if self.fired.exists() else None
+        out = []
+        for at in sorted(set(pd.concat(rows)["ts_s"].tolist())):
+            if fired is None or at - fired >= self.wait:
+                fired = at
+                out.append((key[0], at))
+        if fired is not None:
+            self.fired.update((fired,))
+        yield pd.DataFrame(out, columns=["symbol", "ts_s"])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        yield from ()
+
+    def close(self) -> None:
+        pass
+
+
+def cooled(stream: DataFrame, wait: int) -> DataFrame:
+    return stream.groupBy("symbol").transformWithStateInPandas(statefulProcessor=Cooldown(wait), outputStructType="symbol string, ts_s long", outputMode="append", timeMode="None")
+
+
+def delivered(rows: DataFrame, part: str, parts: int, folder: str) -> DataFrame:
+    """``rows`` as a file stream that takes one delivery at a time: those of ``part`` 0 first, each written after the one before."""
+    path = f"{folder}/deliveries-{uuid.uuid4().hex}"
+    for i in range(parts):
+        rows.where(F.col(part) == i).drop(part).coalesce(1).write.mode("append").parquet(path)
+    return rows.sparkSession.readStream.schema(rows.drop(part).schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+@contextlib.contextmanager
+def rocksdb(spark: SparkSession):
+    """Keyed state needs this state store; the session's own setting comes back."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
 def drained(stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:
     """All that is there now, through the stream, into a table in ``folder``."""
     spark = stream.sparkSession
