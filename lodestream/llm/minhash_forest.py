@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from .components import components
 from .shared import doc_column, doc_text, fresh_names, join_counted, materialise, small_batches, tidily
@@ -18,10 +18,13 @@ FROM_DEPTH = 2
 REGION = 1_000
 #: Documents compared with one other in one run.
 LOT = 64
-#: A shingle of a crowd with so many documents pairs all of them; one with more, those next to each other in lots of CHAIN.
-RARE, CHAIN = 48, 1_000
-#: Trees in which a document must lie in a crowd of several components to be compared by its shingles.
-SHARED_TREES = 3
+#: Signature values, of TREES * DEPTH, that a document must share with other components to be compared once more.
+#: Two documents of similarity 0.75 share fewer of 64 in two cases of a hundred million.
+SHARED_VALUES = 28
+#: Shingles of a block of a crowd; a document weighs LEAST_WEIGHT at least, so that a block has 1,000 documents at most.
+BLOCK, LEAST_WEIGHT = 500_000, 500
+#: Columns of a block with so many documents are multiplied as a dense matrix, DENSE of them at once; others pair by pair.
+HEAVY, DENSE = 24, 2_048
 #: Below so many candidates their ids are broadcast (8 bytes each), beyond it they are joined.
 BROADCAST_IDS = 500_000
 THRESHOLD = 75
@@ -131,61 +134,147 @@ def confirmed(pairs: DataFrame, texts: DataFrame, words: int = 5, threshold: int
     return rows.mapInArrow(tidily(compared), "a long, b long").distinct()
 
 
-def crowded(reps: DataFrame, at: DataFrame, trees: int = TREES, depth: int = DEPTH, from_depth: int = FROM_DEPTH) -> DataFrame:
-    """(id, component): documents that in SHARED_TREES trees or more share ``from_depth`` values with one of another component (``at``: node, component).
+def alike_elsewhere(reps: DataFrame, at: DataFrame, trees: int = TREES, depth: int = DEPTH, from_depth: int = FROM_DEPTH, least: int = SHARED_VALUES) -> DataFrame:
+    """(id, component, n, places): documents that can still be linked with one of another component (``at``: node, component).
 
-    Two documents of similarity 0.75 do so in nine of 16 trees; that it is fewer than three
-    happens to four pairs in ten thousand, and to fewer the more alike they are.
+    Such a document shares ``from_depth`` values of a tree with another component, and
+    ``least`` single values of its signature. ``places`` are the trees' prefixes that other components share.
     """
-    placed = reps.select("id", "sig").join(at, F.col("id") == F.col("node"), "left").select("id", F.coalesce("component", "id").alias("component"), "sig")
-    slots = F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda i: F.xxhash64(i, F.slice("sig", i * depth + 1, from_depth)))
-    t = materialise(placed.select("id", "component", F.explode(slots).alias("crowd")), "tree-places")
-    crowds = t.groupBy("crowd").agg(F.count(F.lit(1)).alias("held"), F.min("component").alias("low"), F.max("component").alias("high"))
-    crowds = materialise(crowds.where("low != high").select("crowd", "held"), "crowds-apart")
-    apart = join_counted(t, crowds, ["crowd"], "held", t.count())
-    return apart.groupBy("id", "component").agg(F.count(F.lit(1)).alias("shared")).where(F.col("shared") >= SHARED_TREES).select("id", "component")
+    key = lambda i, width: F.xxhash64(i, F.slice("sig", i * width + 1, width if width == 1 else from_depth))
 
+    def met(docs: DataFrame, keys: Column, name: str) -> DataFrame:
+        """(id, component, key): the keys of ``docs`` that lie in two components or more."""
+        t = materialise(docs.select("id", "component", F.explode(keys).alias("key")), name)
+        shared = t.groupBy("key").agg(F.count(F.lit(1)).alias("held"), F.min("component").alias("low"), F.max("component").alias("high"))
+        shared = materialise(shared.where("low != high").select("key", "held"), f"{name}-shared")
+        return join_counted(t, shared, ["key"], "held", t.count())
 
-def shared_shingles(docs: DataFrame, texts: DataFrame, words: int = 5) -> DataFrame:
-    """(sh, id, component, n, held): the shingles of ``docs`` (id, component) that lie in two components or more, and in how many documents."""
-    rows = texts.select("id", "text").join(docs, "id").select("id", "component", "text")
+    placed = reps.select("id", "n", "sig").join(at, F.col("id") == F.col("node"), "left").select("id", "n", F.coalesce("component", "id").alias("component"), "sig")
+    by_tree = met(placed, F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda i: key(i, depth)), "tree-places")
+    by_tree = materialise(by_tree.groupBy("id").agg(F.collect_list("key").alias("places")), "crowd-documents")
+    placed = materialise(placed.join(by_tree, "id"), "crowd-signatures")
+    by_value = met(placed, F.transform(F.sequence(F.lit(0), F.lit(trees * depth - 1)), lambda i: key(i, 1)), "value-places")
+    enough = by_value.groupBy("id").agg(F.count(F.lit(1)).alias("shared")).where(F.col("shared") >= least).select("id")
+    return materialise(placed.join(enough, "id").select("id", "component", "n", "places"), "documents-apart")
+
+
+def block_pairs(docs: DataFrame, block: int = BLOCK, weight: int = LEAST_WEIGHT) -> DataFrame:
+    """(pair, side, id, component): the documents of a crowd, in blocks of so many shingles, each block against each.
+
+    A crowd is a place that documents of two components or more share. Components larger
+    than a block have blocks of their own, which aren't compared with each other.
+    """
+    placed = docs.select("id", "component", F.greatest("n", F.lit(weight)).alias("weight"), F.explode("places").alias("crowd"))
+    held = placed.groupBy("crowd", "component").agg(F.count(F.lit(1)).alias("held"), F.sum("weight").alias("weight"))
+    crowds = held.groupBy("crowd").agg(F.sum(F.when(F.col("weight") <= block, F.col("weight"))).alias("rest"), F.count(F.lit(1)).alias("components")).where("components > 1")
+    own = F.col("weight") > block
+    held = materialise(held.join(crowds, "crowd").select("crowd", "component", "held", own.alias("own"), F.ceil(F.when(own, F.col("weight")).otherwise(F.col("rest")) / block).alias("parts")), "crowd-components")
+    placed = join_counted(placed.drop("weight"), held, ["crowd", "component"], "held", placed.count())
+    owner = F.when(F.col("own"), F.col("component"))
+    part = F.pmod(F.xxhash64(F.when(F.col("own"), F.col("id")).otherwise(F.col("component"))), F.col("parts"))
+    placed = materialise(placed.select("id", "component", F.xxhash64("crowd", owner, part).alias("block"), "crowd"), "crowd-blocks")
+    blocks = placed.groupBy("crowd", "block").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+    one, other = (blocks.select("crowd", *[F.col(c).alias(f"{c}_{s}") for c in ("block", "low", "high")]) for s in "ab")
+    pairs = one.join(other, "crowd").where("block_a <= block_b and not (low_a = high_a and low_b = high_b and low_a = low_b)")
+    pairs = materialise(pairs.select("crowd", "block_a", "block_b", F.xxhash64("crowd", "block_a", "block_b").alias("pair")), "block-pairs")
+    sides = pairs.select("crowd", F.col("block_a").alias("block"), "pair", F.lit(0).alias("side")).unionByName(
+        pairs.where("block_a != block_b").select("crowd", F.col("block_b").alias("block"), "pair", F.lit(1).alias("side")))
+    return placed.join(sides, ["crowd", "block"]).select("pair", "side", "id", "component")
+
+
+def overlaps(sets: list[np.ndarray], split: int) -> np.ndarray:
+    """Sizes of the intersections of the first ``split`` sets with the others, or of all with all where ``split`` is their number."""
+    n = len(sets)
+    rows = np.repeat(np.arange(n, dtype=np.int32), [len(s) for s in sets])
+    _, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    cross = split < n
+    out = np.zeros((split, n - split if cross else n), np.int32)
+    order = np.argsort(column, kind="stable")
+    rows, column = rows[order], column[order]
+    light = (count[column] > 1) & (count[column] < HEAVY)
+    r, c = rows[light], column[light]
+    for d in range(1, HEAVY - 1):
+        same = np.flatnonzero(c[d:] == c[:-d])
+        if not len(same):
+            break
+        a, b = r[same], r[same + d]  # ascending within a column
+        if cross:
+            both = (a < split) & (b >= split)
+            np.add.at(out, (a[both], b[both] - split), 1)
+        else:
+            np.add.at(out, (a, b), 1)
+    heavy = count[column] >= HEAVY
+    r, c = rows[heavy], column[heavy]
+    _, c = np.unique(c, return_inverse=True)
+    for low in range(0, int(c.max()) + 1 if len(c) else 0, DENSE):
+        first, last = np.searchsorted(c, [low, low + DENSE])
+        dense = np.zeros((n, DENSE), np.float32)
+        dense[r[first:last], c[first:last] - low] = 1
+        out += (dense[:split] @ (dense[split:] if cross else dense).T).astype(np.int32)
+    return out
+
+
+def links_across(docs: DataFrame, texts: DataFrame, words: int = 5, threshold: int = THRESHOLD, block: int = BLOCK) -> DataFrame:
+    """(a, b): links between components of ``docs`` (of ``alike_elsewhere``), by full shingle sets; of those that join the same components one."""
+    rows = texts.select("id", "text").join(docs.select("id"), "id")
 
     def shingled(batches):
         for batch, texts in batched_texts(batches, 1_000_000):
             sets = shingle_sets(texts, words)
-            n = np.array([len(s) for s in sets], np.int64)
-            if n.sum():
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(np.concatenate(sets).view(np.int64)), pa.array(np.repeat(batch.column("id").to_numpy(), n)),
-                    pa.array(np.repeat(batch.column("component").to_numpy(), n)), pa.array(np.repeat(n, n))], ["sh", "id", "component", "n"])
-
-    all_ = materialise(rows.mapInArrow(tidily(shingled), "sh long, id long, component long, n long"), "crowd-shingles")
-    held = all_.groupBy("sh").agg(F.count(F.lit(1)).alias("held"), F.min("component").alias("low"), F.max("component").alias("high"))
-    held = materialise(held.where("low != high").select("sh", "held"), "shared-shingles")
-    return materialise(join_counted(all_, held, ["sh"], "held", all_.count()), "shingle-places")
-
-
-def crowd_pairs(places: DataFrame, threshold: int = THRESHOLD, rare: int = RARE, lot: int = CHAIN) -> DataFrame:
-    """(a, b): pairs across components, of all that ``places`` (of ``shared_shingles``) holds, that can still be linked.
-
-    What a whole crowd has in common tells nobody apart, so pairs come from shingles that
-    at most ``rare`` documents have, and go again unless those, with all common ones that
-    either has, reach the threshold. So every linked pair with one rare shingle in common
-    is there. Pairs that have none share what over ``rare`` documents have: along each
-    such shingle, in lots of ``lot``, neighbours by id are pairs.
-    """
-    few, many = places.where(F.col("held") <= rare), places.where(F.col("held") > rare)
-    common = many.groupBy("id").agg(F.count(F.lit(1)).alias("common"))
-    one, other = (few.select("sh", *[F.col(c).alias(f"{c}_{s}") for c in ("id", "component", "n")]) for s in "ab")
-    met = one.join(other, "sh").where("id_a < id_b and component_a != component_b").groupBy("id_a", "id_b").agg(F.count(F.lit(1)).alias("both"), (F.first("n_a") + F.first("n_b")).alias("n"))
-    for s in "ab":
-        met = met.join(common.select(F.col("id").alias(f"id_{s}"), F.col("common").alias(f"common_{s}")), f"id_{s}", "left")
-    most = F.col("both") + F.least(F.coalesce("common_a", F.lit(0)), F.coalesce("common_b", F.lit(0)))
-    met = met.where((100 + threshold) * most >= threshold * F.col("n")).select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
-    along = W.partitionBy("sh", "lot").orderBy("id")
-    chain = many.withColumn("lot", F.pmod(F.xxhash64("id"), F.ceil(F.col("held") / lot))).select(
-        "id", "component", F.lag("id").over(along).alias("before"), F.lag("component").over(along).alias("other"))
-    return met.unionByName(chain.where("before < id and other != component").select(F.col("before").alias("a"), F.col("id").alias("b"))).distinct()
+            offsets = pa.array(np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(sets).view(np.int64)))], ["id", "shingles"])
+
+    sets = materialise(rows.mapInArrow(tidily(shingled), "id long, shingles array<long>"), "crowd-sets")
+    dealt = block_pairs(docs, block).join(sets, "id").repartition("pair").sortWithinPartitions("pair", "side")
+
+    def linked(group):
+        """Links of one pair of blocks, as a forest over its components."""
+        split = sum(side == 0 for side, *_ in group)
+        sets = [s for *_, s in group]
+        n, at = np.array([len(s) for s in sets]), np.array([component for _, _, component, _ in group])
+        both = overlaps(sets, split)
+        a, b = (slice(0, split), slice(split, None) if split < len(group) else slice(0, split))
+        near = (100 * both >= threshold * (n[a][:, None] + n[b][None, :] - both)) & (both > 0) & (at[a][:, None] != at[b][None, :])
+        i, j = np.nonzero(near)
+        ends = np.unique(np.stack([at[a][i], at[b][j]], 1), axis=0) if len(i) else ()
+        root = {}
+
+        def find(x):
+            while root.get(x, x) != x:
+                root[x] = x = root.get(root[x], root[x])
+            return x
+
+        for x, y in ends:
+            x, y = find(int(x)), find(int(y))
+            if x != y:
+                root[max(x, y)] = min(x, y)
+                yield min(x, y), max(x, y)
+
+    def compared(batches):
+        pair, group = None, []
+        for batch in batches:
+            out = []
+            shingles = batch.column("shingles")
+            flat, ends = shingles.flatten().to_numpy(), np.concatenate([[0], np.cumsum(shingles.value_lengths().to_numpy())])
+            for k, (p, side, id_, component) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("pair", "side", "id", "component")), strict=True)):
+                if p != pair:
+                    if len(group) > 1:
+                        out += linked(group)
+                    pair, group = p, []
+                group.append((side, id_, component, flat[ends[k]:ends[k + 1]].copy()))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["a", "b"])
+        if len(group) > 1 and (out := list(linked(group))):
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["a", "b"])
+
+    return dealt.mapInArrow(tidily(compared), "a long, b long").distinct()
+
+
+def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, text) of those rows of ``docs`` that ``ids`` names."""
+    texts = docs.select(doc_column(docs, "doc_id", "long").alias("id"), doc_text(docs).alias("text"))
+    ids = ids.select("id")
+    return texts.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "id", "left_semi")
 
 
 def one_node_each(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
@@ -220,9 +309,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, words: int = 5, thresh
     pairs = materialise(candidates(reps), "candidate-pairs")
     ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
     ids = materialise(ids, "candidate-ids")
-    few = ids.count() <= BROADCAST_IDS
-    texts = docs.select(doc_column(docs, "doc_id", "long").alias("id"), doc_text(docs).alias("text"))
-    texts = materialise(texts.join(F.broadcast(ids) if few else ids, "id", "left_semi"), "candidate-texts")
+    texts = materialise(texts_of(docs, ids), "candidate-texts")
     # First each document against the one it met most often; then what is still apart.
     closest = pairs.groupBy("b").agg(F.max_by("a", F.struct("votes", -F.col("a"))).alias("a")).select("a", "b")
     edges = materialise(confirmed(closest, texts, words, threshold), "edges")
@@ -236,9 +323,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, words: int = 5, thresh
     same_id = join_counted(linked.select(*by_set, "id"), reps.select(*by_set, F.col("id").alias("rep"), "held"), by_set, "held", signed.count()).select("id", "rep")
     star = at.where("node != component").select(F.col("component").alias("a"), F.col("node").alias("b"))
     at = materialise(components(star.unionByName(more)), "classes")
-    # What crowds hold beside neighbours: documents of different classes, by the shingles that tell them apart.
-    across = crowd_pairs(shared_shingles(crowded(reps, at), texts, words), threshold)
-    across = materialise(confirmed(across, texts, words, threshold), "links-across")
+    # What crowds hold beside neighbours: documents of different components, block against block.
+    apart = alike_elsewhere(reps, at)
+    across = materialise(links_across(apart, texts_of(docs, apart), words, threshold), "links-across")
     if across.take(1):
         star = at.where("node != component").select(F.col("component").alias("a"), F.col("node").alias("b"))
         at = materialise(components(star.unionByName(across)), "classes")

@@ -729,3 +729,90 @@ def test_random_characters_encode_as_in_the_library(name):
     ids, n = enc.encode(pa.array(lot))
     got = np.split(ids, np.cumsum(n)[:-1])
     assert [t for t, g, e in zip(lot, got, library.encode_batch_fast(lot, add_special_tokens=False)) if g.tolist() != e.ids] == []
+
+
+def component_table(rows):
+    """Least reachable id of each id by products of matrices: as ``linked``, for thousands of texts."""
+    sets = {i: shingle_set(t) for i, t in rows}
+    column = {}
+    for s in sets.values():
+        for x in s:
+            column.setdefault(x, len(column))
+    ids = sorted(sets)
+    m = np.zeros((len(ids), len(column)), np.float32)
+    for n, i in enumerate(ids):
+        m[n, [column[x] for x in sets[i]]] = 1
+    size = m.sum(1)
+    root = list(range(len(ids)))
+
+    def find(i):
+        while root[i] != i:
+            root[i] = i = root[root[i]]
+        return i
+
+    n_links = 0
+    for low in range(0, len(ids), 500):
+        both = m[low:low + 500] @ m.T
+        near = 100 * both >= 75 * (size[low:low + 500, None] + size[None] - both)
+        for a, b in zip(*np.nonzero(near)):
+            if low + a < b and both[a, b]:
+                n_links += 1
+                x, y = find(low + int(a)), find(int(b))
+                root[max(x, y)] = min(x, y)
+    return {i: ids[find(n)] for n, i in enumerate(ids)}, n_links
+
+
+def templated(n, slots, variants, passage, fixed, own, twins, change, seed):
+    """Documents of fixed passages with slots between, each slot one of some passages; every ``twins``-th copies the one before but for ``change`` slots."""
+    rng = np.random.default_rng(seed)
+    rows, before = [], None
+    for d in range(n):
+        pick = rng.integers(0, variants, slots)
+        if twins and d % twins == 1:
+            other = rng.choice(slots, change, replace=False)
+            pick[[i for i in range(slots) if i not in other]] = before[[i for i in range(slots) if i not in other]]
+        before = pick
+        words = [f"o{d}_{i}" for i in range(own)]
+        for s in range(slots):
+            words += [f"f{s}_{i}" for i in range(fixed)] + [f"v{s}_{pick[s]}_{i}" for i in range(passage)]
+        rows.append((d * 7919 % 100_003, " ".join([*words, *(f"f{slots}_{i}" for i in range(fixed))])))
+    return rows
+
+
+@pytest.mark.parametrize("n, slots, variants, passage, fixed, own, twins, change", [
+    (3_000, 10, 50, 8, 48, 0, 4, 6),  # alike at 0.68, pairs at 0.79: links hang on passages of some 60 documents each
+    (2_200, 10, 2, 40, 0, 60, 0, 0),  # each passage in 1,100 documents, links where all ten agree
+])
+def test_forest_finds_all_links_of_templated_crowds(spark, n, slots, variants, passage, fixed, own, twins, change):
+    rows = templated(n, slots, variants, passage, fixed, own, twins, change, 1)
+    want, n_links = component_table(rows)
+    assert n_links > 1_000 and len(set(want.values())) > 100
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    got = {r["doc_id"]: r["component_id"] for r in minhash_forest.near_duplicates(spark, df).collect()}
+    assert sum(got[i] != want[i] for i in want) == 0
+
+
+def test_overlaps_equal_plain_intersections():
+    rng = np.random.default_rng(4)
+    for n, most, split in ((40, 30, 40), (90, 400, 30), (60, 40, 60), (2, 3, 1)):
+        sets = [np.unique(rng.integers(0, most, rng.integers(1, 60)).astype(np.int64)) for _ in range(n)]
+        got = minhash_forest.overlaps(sets, split)
+        for i in range(split):
+            for j in range(split if split < n else i + 1, n):
+                assert got[i, j - split if split < n else j] == len(set(sets[i]) & set(sets[j]))
+
+
+def test_blocks_meet_but_for_those_of_one_component(spark):
+    """A component of many blocks is compared with the others of its crowd, not within."""
+    rows = [(i, 7 if i < 60 else i, 10, [1, 2] if i % 2 else [1]) for i in range(80)]
+    docs = spark.createDataFrame(rows, "id long, component long, n long, places array<long>")
+    got = minhash_forest.block_pairs(docs, block=100, weight=10).collect()
+    met = {}
+    for r in got:
+        met.setdefault(r["pair"], []).append((r["side"], r["id"], r["component"]))
+    pairs = set()
+    for group in met.values():
+        a, b = ([x for x in group if x[0] == s] for s in (0, 1))
+        pairs |= {tuple(sorted((x[1], y[1]))) for x in a for y in (b or a) if x[2] != y[2]}
+    assert pairs >= {(i, j) for i in range(80) for j in range(max(i + 1, 60), 80)}
+    assert all(len({c for _, _, c in g}) > 1 for g in met.values())
