@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import os
 import re
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -170,15 +170,17 @@ class ChunkEncoder:
         at = split.offsets.to_numpy()
         chunks = split.values.slice(at[0], at[-1] - at[0]).dictionary_encode()
         at = at - at[0]
-        names, place = chunks.dictionary.to_pylist(), chunks.indices.to_numpy()
-        found = list(map(self.known.get, names))
-        missing = [i for i, r in enumerate(found) if r is None and (names[i] or not self.drops_space)]
-        if missing:
-            self._learn([names[i] for i in missing])
-            for i in missing:
-                found[i] = self.known[names[i]]
+        names, place = chunks.dictionary.to_numpy(zero_copy_only=False), chunks.indices.to_numpy()
+        row_of = np.fromiter(map(self.known.get, names, repeat(-1)), np.int64, len(names))
+        missing = np.flatnonzero(row_of < 0)
+        new = names[missing].tolist()
+        if self.drops_space and "" in new:
+            self.known[""] = 0
+            new.remove("")
+        if new:
+            self._learn(new)
+        row_of[missing] = np.fromiter(map(self.known.__getitem__, names[missing]), np.int64, len(missing))
         kept_rows, kept_held = self.rows, self.held
-        row_of = np.array([r or 0 for r in found], np.int64)
         rows = row_of[place]
         if not self.drops_space:
             spaced = pc.not_equal(pc.binary_length(pc.utf8_trim_whitespace(chunks.dictionary)), pc.binary_length(chunks.dictionary))
