@@ -47,9 +47,13 @@ def overlay(stored: DataFrame, live: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def carried_back(panel: DataFrame, by: str, at: str, value: str, back: int) -> DataFrame:
-    """``value`` at each point of the calendar that all keys share, else the last of ``back`` points before."""
-    calendar = panel.select(at).distinct().withColumn("_k", F.lit(1))
-    keys = panel.select(by).distinct().withColumn("_k", F.lit(1))
-    grid = keys.join(F.broadcast(calendar), "_k").drop("_k").join(panel, [by, at], "left")
+    """``value`` at each point of the calendar that all keys share, else the last of ``back`` points before.
+
+    The calendar is counted once; each key's grid is made where the key is, by place in the calendar.
+    """
+    calendar = panel.select(at).distinct().withColumn("_i", F.row_number().over(W.orderBy(at)))  # a row a date
+    n = calendar.count()
+    keys = panel.select(by).distinct().where(F.lit(n > 0))
+    grid = keys.select(by, F.explode(F.sequence(F.lit(1), F.lit(max(1, n)))).alias("_i")).join(calendar, "_i").drop("_i").join(panel, [by, at], "left")
     w = W.partitionBy(by).orderBy(at).rowsBetween(-back, 0)
     return grid.withColumn(value, F.last(value, True).over(w))

@@ -33,18 +33,6 @@ def same_slot_ratio(x: Column, slot: Column, n: int, least: int, order: str = "b
     return F.when(F.count(x).over(w) >= least, x / F.nullif(F.avg(x).over(w), F.lit(0.0)))
 
 
-def percentile_inclusive(x: Column, n: int, order: str = "bar_s") -> Column:
-    """Share of the last ``n`` values, the row's own among them, that are at most the row's."""
-    held = F.collect_list(x).over(over(order).rowsBetween(-(n - 1), 0))
-    return F.when(x.isNotNull(), F.size(F.filter(held, lambda v: v <= x)) / F.size(held))
-
-
-def percentile_strict(x: Column, n: int, order: str = "bar_s") -> Column:
-    """Share of the ``n`` values before that are less than the row's."""
-    held = F.collect_list(x).over(over(order).rowsBetween(-n, -1))
-    return F.when(F.size(held) > 0, F.size(F.filter(held, lambda v: v < x)) / F.size(held))
-
-
 def mid_rank(x: str, tie: str, by: list[str]) -> Column:
     """(place - 0.5) / rows within the group."""
     return (F.row_number().over(W.partitionBy(*by).orderBy(x, tie)) - 0.5) / F.count(F.lit(1)).over(W.partitionBy(*by))

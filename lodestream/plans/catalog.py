@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from ..functions import pricing
-from ..operators import bars as B, books, indicators as I, joins as J, options as O, orderflow as OF, windows as R
+from ..operators import bars as B, books, indicators as I, joins as J, options as O, orderflow as OF, ranks as K, windows as R
 from ..sources import tables as T
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -154,12 +154,12 @@ def same_slot_ratio(spark, sf_dir):
 
 @query(f"WITH b AS (SELECT *, row_number() {OVER}) AS n FROM {BARS}) SELECT b.symbol, b.bar_s, round(avg(CASE WHEN h.close <= b.close THEN 1.0 ELSE 0.0 END), 6) AS share FROM b JOIN b h ON h.symbol = b.symbol AND h.n BETWEEN b.n - 59 AND b.n GROUP BY 1, 2")
 def percentile_inclusive(spark, sf_dir):
-    return hourly(spark, sf_dir).select("symbol", "bar_s", F.round(R.percentile_inclusive(F.col("close"), 60), 6).alias("share"))
+    return K.trailing_share(hourly(spark, sf_dir), "close", 60, True).withColumns(r6("share"))
 
 
 @query(f"WITH b AS (SELECT *, row_number() {OVER}) AS n FROM {BARS}) SELECT b.symbol, b.bar_s, round(avg(CASE WHEN h.close < b.close THEN 1.0 WHEN h.close IS NOT NULL THEN 0.0 END), 6) AS share FROM b LEFT JOIN b h ON h.symbol = b.symbol AND h.n BETWEEN b.n - 60 AND b.n - 1 GROUP BY 1, 2")
 def percentile_strict(spark, sf_dir):
-    return hourly(spark, sf_dir).select("symbol", "bar_s", F.round(R.percentile_strict(F.col("close"), 60), 6).alias("share"))
+    return K.trailing_share(hourly(spark, sf_dir), "close", 60, False).withColumns(r6("share"))
 
 
 @query(f"SELECT symbol, bar_s, round((row_number() OVER (PARTITION BY bar_s // 86400 ORDER BY volume, symbol, bar_s) - 0.5) / count(*) OVER (PARTITION BY bar_s // 86400), 6) AS mid_rank, rank() OVER (PARTITION BY bar_s // 86400 ORDER BY volume) + (count(*) OVER (PARTITION BY bar_s // 86400, volume) - 1) / 2.0 AS average_rank FROM {BARS}")

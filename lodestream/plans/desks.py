@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W, functions as F
 
 from ..functions import pricing
-from ..operators import options as O, trends, windows as R
+from ..operators import options as O, ranks, trends, windows as R
 from ..sources import tables as T
 from ..streaming import live
 from . import catalog
@@ -341,7 +341,8 @@ def ranking_at_five(spark, sf_dir):
 def return_calibration(spark, sf_dir):
     """Returns by fifths of the score: session means and the lower bound of their mean."""
     r = hourly(spark, sf_dir).select(F.expr("bar_s div 86400").alias("day"), "volume", (F.lead("close").over(R.over()) / F.col("close") - 1).alias("ahead")).where("ahead is not null")
-    m = r.withColumn("bin", F.ntile(5).over(W.orderBy("volume", "day", "ahead")).cast("long")).groupBy("bin", "day").agg(F.avg("ahead").alias("mean"))
+    placed = ranks.numbered(r, ["volume", "day", "ahead"], folder(spark))
+    m = placed.withColumn("bin", ranks.tile(F.col("place"), placed.count(), 5)).groupBy("bin", "day").agg(F.avg("ahead").alias("mean"))
     return m.groupBy("bin").agg(F.count(F.lit(1)).alias("sessions"), F.round(F.avg("mean"), 6).alias("mean"), F.round(F.avg("mean") - 1.96 * F.stddev_samp("mean") / F.sqrt(F.count(F.lit(1))), 6).alias("lower"))
 
 
@@ -404,14 +405,6 @@ def re_entries(spark, sf_dir):
     return b.where("close > left_.at and bar_s - left_.exit_s <= 43200").select("symbol", "bar_s", "left_.exit_s")
 
 
-@query("SELECT bracket, CASE WHEN bracket < 52 THEN substr('ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz', bracket + 1, 1) ELSE '*' END AS letter FROM (SELECT unnest(range(0, 60)) AS bracket)".replace("range(0, 60)", "range(0, 60)::INTEGER[]"))
-def letter_codes(spark, sf_dir):
-    """Brackets of a profile by letter, a star beyond the alphabet."""
-    letters = "".join(chr(c) for c in (*range(65, 91), *range(97, 123)))
-    b = spark.range(60).select(F.col("id").cast("int").alias("bracket"))
-    return b.withColumn("letter", F.when(F.col("bracket") < 52, F.substring(F.lit(letters), F.col("bracket") + 1, F.lit(1))).otherwise("*"))
-
-
 # Indicators (F).
 
 def _weighted(x: str, n: int) -> str:

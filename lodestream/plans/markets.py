@@ -101,9 +101,10 @@ def named_parameters(spark, sf_dir):
 
 @query(f"SELECT symbol, bar_s FROM {BARS} b WHERE EXISTS (SELECT 1 FROM {BARS} o WHERE o.bar_s = b.bar_s AND o.symbol != b.symbol AND o.volume > 2 * b.volume)")
 def exists_filter(spark, sf_dir):
+    """Bars of which another symbol's at the same time has over twice the volume: the greatest of the time tells."""
     b = hourly(spark, sf_dir).select("symbol", "bar_s", "volume")
-    o = b.select(F.col("symbol").alias("other"), "bar_s", F.col("volume").alias("theirs"))
-    return b.join(o, (b.bar_s == o.bar_s) & (F.col("other") != F.col("symbol")) & (F.col("theirs") > 2 * F.col("volume")), "left_semi").select("symbol", b.bar_s)
+    most = b.groupBy("bar_s").agg(F.max("volume").alias("most"))
+    return b.join(most, "bar_s").where("most > 2 * volume").select("symbol", "bar_s")
 
 
 @query(f"SELECT symbol, count(*) FILTER (WHERE close IS DISTINCT FROM before) AS changed, count(*) AS n FROM (SELECT symbol, close, lag(close) OVER (PARTITION BY symbol ORDER BY bar_s) AS before FROM {BARS}) GROUP BY 1")

@@ -165,3 +165,15 @@ def session_measures(spark, sf_dir):
         F.round(F.greatest(F.col("high") - F.col("ib_high"), F.lit(0.0)) / width, 6).alias("extension_up"), F.round(F.greatest(F.col("ib_low") - F.col("low"), F.lit(0.0)) / width, 6).alias("extension_down"),
         P.place(F.col("open"), F.col("last_val"), F.col("last_vah")).alias("opened"), (F.expr("open > last_vah or open < last_val") & (F.col("inside") >= 2)).alias("eighty_percent"),
         F.when(over, F.round(F.col("open") - F.col("last_high"), 6)).when(under, F.round(F.col("open") - F.col("last_low"), 6)).otherwise(0.0).alias("gap"), F.when(over | under, F.col("touched")).alias("filled"))
+
+
+#: Fixed value: the letters of brackets, a star beyond them.
+LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+
+
+@query(f"SELECT symbol, day, level, string_agg(CASE WHEN bracket < 52 THEN substr('{LETTERS}', bracket + 1, 1) ELSE '*' END, '' ORDER BY bracket) AS letters FROM ({_TOUCHED}) GROUP BY 1, 2, 3")
+def letter_codes(spark, sf_dir):
+    """Each level of a day's profile as the letters of the half hours that touched it."""
+    letter = lambda b: F.when(b < len(LETTERS), F.substring(F.lit(LETTERS), (b + 1).cast("int"), F.lit(1))).otherwise("*")
+    t = touched(spark, sf_dir).groupBy("symbol", "day", "level").agg(F.sort_array(F.collect_list("bracket")).alias("brackets"))  # 48 at most
+    return t.select("symbol", "day", "level", F.array_join(F.transform("brackets", letter), "").alias("letters"))
