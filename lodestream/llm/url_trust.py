@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .shared import doc_column, materialise
+from .shared import doc_column, join_counted, materialise
 
 #: (host, path, verdict) of the registered query. A rule fits its host and all subdomains.
 RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
 #: Rounds between two looks at how far ranks still move, and the share of any host's rank at which they have settled.
 ROUNDS = 8
 SETTLED = 1e-9
+#: A host with more than this part of all links is a hub.
+HUB_SHARE = 20_000
 DAMPING = 0.85
 LINK = r"(?i)(?:href|src)\s*=\s*[\"']?((?:[a-z][a-z0-9+.-]*:)?//[^\"'\s<>]+)"
 _LOWER = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -51,7 +53,8 @@ def host_edges(pages: DataFrame) -> DataFrame:
 def personalised_rank(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING, cut_every: int = 4) -> DataFrame:
     """(host, rank) by power iteration from ``seeds`` (host, seed): mass jumps back to the seeds in proportion.
 
-    Every ``rounds`` rounds it ends if no host's rank has moved by more than the share
+    Links from hosts with a large share of all links get their host's rank by broadcast:
+    such hosts are few, and no task gets all links of one. Every ``rounds`` rounds it ends if no host's rank has moved by more than the share
     ``SETTLED``; a host just reached has moved by all of it, so no chain is cut short.
     Mass at hosts without links is lost, as if it left the table. The edges are laid
     out once by source; each round joins, and sums by target, with partial sums first,
@@ -60,11 +63,19 @@ def personalised_rank(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS,
     """
     total = seeds.agg(F.sum("seed")).first()[0] or 0.0
     start = seeds.select("host", (F.col("seed") / F.lit(total or 1.0)).alias("jump"))
+    many = edges.count() / HUB_SHARE
+    hubs = materialise(edges.groupBy("src").agg(F.count(F.lit(1)).alias("held")).where(F.col("held") > many).select("src"), "hubs")  # fewer than HUB_SHARE
+    plain = edges.join(F.broadcast(hubs), "src", "left_anti")
+    from_hubs = None if hubs.isEmpty() else edges.join(F.broadcast(hubs), "src", "left_semi")
     rank = start.select("host", F.col("jump").alias("rank"))
     seen = rank
     i = 0
     while True:
-        sent = edges.join(rank, edges.src == rank.host).groupBy("dst").agg(F.sum(F.col("share") * F.col("rank")).alias("got"))
+        given = plain.join(rank, plain.src == rank.host).select("dst", (F.col("share") * F.col("rank")).alias("got"))
+        if from_hubs is not None:
+            of_hubs = F.broadcast(rank.join(F.broadcast(hubs), rank.host == hubs.src, "left_semi"))
+            given = given.unionByName(from_hubs.join(of_hubs, from_hubs.src == of_hubs.host).select("dst", (F.col("share") * F.col("rank")).alias("got")))
+        sent = given.groupBy("dst").agg(F.sum("got").alias("got"))
         rank = sent.select(F.col("dst").alias("host"), (F.col("got") * damping).alias("rank")).unionByName(
             start.select("host", (F.col("jump") * (1 - damping)).alias("rank"))).groupBy("host").agg(F.sum("rank").alias("rank"))
         i += 1
@@ -110,9 +121,12 @@ def judge(spark: SparkSession, pages: DataFrame, rules: list[tuple[str, str, str
     seed = lambda c: seeds.where(F.col(c) > 0).select("host", F.col(c).alias("seed"))
     trust = personalised_rank(forward, seed("allowed"), rounds).withColumnRenamed("rank", "trust")
     distrust = personalised_rank(backward, seed("blocked"), rounds).withColumnRenamed("rank", "distrust")
-    hosts = seeds.select("host").join(trust, "host", "left").join(distrust, "host", "left").na.fill(0.0)
+    hosts = seeds.select("host", "pages").join(trust, "host", "left").join(distrust, "host", "left").na.fill(0.0)
     hosts = hosts.withColumn("by_host", F.when(F.col("distrust") > threshold * (F.col("trust") + F.col("distrust")), F.lit("block")).otherwise(F.lit("allow")))
-    return ruled.join(hosts, "host", "left").select(
+    # A host with very many pages is no hot key, and pages without a host are joined with nothing.
+    judged = join_counted(ruled.where("host != ''"), materialise(hosts, "judged-hosts"), ["host"], "pages", placed.count())
+    judged = judged.unionByName(ruled.where("host = ''"), allowMissingColumns=True)
+    return judged.select(
         "page_id", "host", "path", "rule",
         F.coalesce("by_rule", "by_host", F.lit("allow")).alias("verdict"),
         F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"))
