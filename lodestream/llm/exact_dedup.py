@@ -11,6 +11,8 @@ from .shared import doc_column, doc_text, fresh_names, materialise
 #: Keys of a bucket before it splits, and bits by which slots are counted finer when they don't suffice.
 BUCKET_KEYS, FINER = 4_000, 4
 HOT_SHARE = 1_000
+#: A directory of so many bits at most is sent to all tasks.
+SENT_BITS = 18
 
 
 def normalised(text: Column) -> Column:
@@ -45,9 +47,22 @@ def directory(keys: DataFrame, bucket_keys: int = BUCKET_KEYS) -> tuple[DataFram
         bits += FINER
 
 
-def routed(rows: DataFrame, slots: DataFrame, bits: int) -> DataFrame:
-    """``rows`` with the bucket that the directory names for their ``key``; the directory is sent to all tasks while it is small."""
-    return rows.withColumn("slot", F.shiftrightunsigned("key", 64 - bits)).join(F.broadcast(slots.select("slot", "bucket")) if bits <= 18 else slots.select("slot", "bucket"), "slot").drop("slot")
+def routed(rows: DataFrame, slots: DataFrame, bits: int, hot: DataFrame | None = None) -> DataFrame:
+    """``rows`` with the bucket that the directory names for their ``key``.
+
+    The directory is sent to all tasks while it is small. Beyond that rows go to their
+    slot; those of the few ``hot`` keys don't, but get their buckets as a table of those keys.
+    """
+    at = lambda df: df.withColumn("slot", F.shiftrightunsigned("key", 64 - bits))
+    places = slots.select("slot", "bucket")
+    if bits <= SENT_BITS:
+        return at(rows).join(F.broadcast(places), "slot").drop("slot")
+    if hot is None:
+        return at(rows).join(places, "slot").drop("slot")
+    keys = F.broadcast(hot.select("key").distinct())
+    hot_places = materialise(at(hot.select("key").distinct()).join(places, "slot").select("key", "bucket"), "hot-buckets")
+    cold = at(rows.join(keys, "key", "left_anti")).join(places, "slot").drop("slot")
+    return cold.unionByName(rows.join(F.broadcast(hot_places), "key"))
 
 
 def build_index(docs: DataFrame, hot: DataFrame | None, slots: DataFrame, bits: int) -> DataFrame:
@@ -65,7 +80,7 @@ def build_index(docs: DataFrame, hot: DataFrame | None, slots: DataFrame, bits:
     else:
         keys = F.broadcast(hot.select("key").distinct())
         owned = chained(routed(rows.join(keys, "key", "left_anti"), slots, bits).repartition("bucket"))
-        entries = owned.unionByName(chained(routed(rows.join(keys, "key", "left_semi"), slots, bits)))
+        entries = owned.unionByName(chained(routed(rows.join(keys, "key", "left_semi"), slots, bits, hot)))
     return materialise(entries.select("bucket", "key", F.unhex(F.sha2("norm", 256)).alias("digest"), "keep_id", "group_size"), "exact-index")
 
 
@@ -90,7 +105,7 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, bucket_keys: int = BUCKET_
     slots, bits = directory(key_file, bucket_keys)
     index = build_index(docs, hot, slots, bits)
     entry = ["bucket", "key", "digest"]
-    sought = routed(key_file, slots, bits)
+    sought = routed(key_file, slots, bits, hot)
     if hot is None:
         found = sought.join(index, entry)
     else:

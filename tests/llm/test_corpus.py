@@ -816,3 +816,35 @@ def test_blocks_meet_but_for_those_of_one_component(spark):
         pairs |= {tuple(sorted((x[1], y[1]))) for x in a for y in (b or a) if x[2] != y[2]}
     assert pairs >= {(i, j) for i in range(80) for j in range(max(i + 1, 60), 80)}
     assert all(len({c for _, _, c in g}) > 1 for g in met.values())
+
+
+def test_ranks_along_a_cycle_and_from_a_hub(spark, monkeypatch):
+    """A cycle that mass goes round many times, and a host with most links, which is broadcast."""
+    monkeypatch.setattr(url_trust, "HUB_SHARE", 3)
+    links = [("a", "b"), ("b", "c"), ("c", "a"), *[("hub", f"h{i}") for i in range(30)], ("a", "hub"), ("h3", "a")]
+    edges = url_trust.with_shares(spark.createDataFrame([(*e, 1.0) for e in links], "src string, dst string, weight double"))
+    got = {r["host"]: r["rank"] for r in url_trust.personalised_rank(edges, spark.createDataFrame([("a", 1.0), ("h7", 3.0)], "host string, seed double")).collect()}
+    names = sorted({h for e in links for h in e})
+    at = {h: i for i, h in enumerate(names)}
+    step = np.zeros((len(names), len(names)))
+    for s, d in links:
+        step[at[d], at[s]] += 1 / sum(x == s for x, _ in links)
+    jump = np.zeros(len(names))
+    jump[at["a"]], jump[at["h7"]] = 0.25, 0.75
+    want = np.linalg.solve(np.eye(len(names)) - 0.85 * step, 0.15 * jump)
+    assert all(abs(got.get(h, 0.0) - want[at[h]]) < 1e-7 for h in names)
+
+
+def test_a_long_page_and_hot_hosts(spark, monkeypatch):
+    monkeypatch.setattr(url_trust, "HUB_SHARE", 2)
+    long = "<p>" + "x" * 500_000 + "".join(f"<a href='http://t{i}.net/'>" for i in range(2_000)) + "</p>"
+    rows = [(i, "http://hot.net/p", "<a href='//good.org/'>") for i in range(200)] + [(500, "http://far.net/", long), (501, None, long), (502, "http://good.org/x", ""), (503, "no host", None), (504, "http://example.org/es/1", "<a href='http://hot.net/'>")]
+    got = {r["page_id"]: r["verdict"] for r in url_trust.judge(spark, spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert len(got) == len(rows) and got[502] == "allow" and got[504] == "block" and got[501] == got[503] == "allow"
+
+
+def test_directory_too_large_to_send(spark, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "SENT_BITS", 0)
+    rows = [(i, "copy of many" if i % 3 else f"own {i}") for i in range(600)]
+    got = {r["doc_id"]: (r["keep_id"], r["group_size"]) for r in exact_dedup.exact_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: (599, 400) if i % 3 else (i, 1) for i in range(600)}
