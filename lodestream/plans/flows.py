@@ -6,12 +6,12 @@ import math
 
 from pyspark.sql import Window as W, functions as F
 
-from ..operators import bars as B, indicators as I, orderflow as OF, profiles as P, state, windows as R
+from ..operators import bars as B, books, calendar, indicators as I, orderflow as OF, profiles as P, state, windows as R
 from ..sources import tables as T
-from .catalog import _BOOK, _SIDES, _TR, BARS, CHAIN, SQL, TICKS, hourly, query
+from .catalog import _FIFO, _SIDES, BARS, CHAIN, SQL, TICKS, hourly, query
 from .desks import BY
 from .markets import _HOURLY_FLOW, hourly_flow
-from .profiles import _sessions, LEVEL, sessions
+from .profiles import _sessions, LEVEL, session_measures, sessions
 from .series import _INDICATED
 from .volatility import _NEAR, _SOLVED, near_iv, with_iv
 
@@ -174,3 +174,41 @@ def underlying_features(spark, sf_dir):
     b = b.join(m, ["symbol", "bar_s"]).join(bench, "bar_s", "left")
     return b.select("symbol", "bar_s", *[F.round(x, 6).alias(x) for x in ("ret_1", "ret_3", "ret_6")], F.round(F.col("close") / F.col("vwap") - 1, 6).alias("vwap_off"), F.round((F.col("close") - F.col("bottom")) / F.nullif(F.col("top") - F.col("bottom"), F.lit(0.0)), 6).alias("day_place"),
                     F.round("histogram", 6).alias("histogram"), F.round(F.col("ret_3") - F.col("bench"), 6).alias("relative"), F.round("ratio", 6).alias("volatility_ratio"))
+
+
+_RATED = f"""WITH m AS ({SQL['session_measures']}), l AS (SELECT symbol, day, unnest([{{'label': 'extension over 25', 'today': greatest(extension_up, extension_down) >= 0.25}}, {{'label': 'extension over 50', 'today': greatest(extension_up, extension_down) >= 0.5}}, {{'label': 'extension over 100', 'today': greatest(extension_up, extension_down) >= 1}},
+    {{'label': 'range broken', 'today': break_side <> 'none'}}, {{'label': 'gapped', 'today': gap <> 0}}, {{'label': 'opened outside value', 'today': opened <> 'in'}}], recursive := true) FROM m)"""
+
+
+@query(f"""{_RATED} SELECT symbol, day, label, today, hits, sample, round(100 * hits / nullif(sample, 0), 4) AS base_rate FROM (SELECT *, count(*) FILTER (WHERE today) OVER w AS hits, count(today) OVER w AS sample FROM l WINDOW w AS (PARTITION BY symbol, label ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) WHERE today IS NOT NULL""")
+def session_against_rates(spark, sf_dir):
+    """Each session's measures against how often the sessions before it had them; no session counts for itself."""
+    m = session_measures(spark, sf_dir)
+    reach = F.greatest("extension_up", "extension_down")
+    labels = {"extension over 25": reach >= 0.25, "extension over 50": reach >= 0.5, "extension over 100": reach >= 1, "range broken": F.col("break_side") != "none", "gapped": F.col("gap") != 0, "opened outside value": F.col("opened") != "in"}
+    rows = m.select("symbol", "day", F.explode(F.array(*[F.struct(F.lit(n).alias("label"), c.alias("today")) for n, c in labels.items()])).alias("l")).select("symbol", "day", "l.*")
+    w = W.partitionBy("symbol", "label").orderBy("day").rowsBetween(W.unboundedPreceding, -1)
+    rows = rows.withColumns({"hits": F.count(F.when(F.col("today"), 1)).over(w), "sample": F.count("today").over(w)}).where("today is not null")
+    return rows.withColumn("base_rate", F.round(100 * F.col("hits") / F.nullif(F.col("sample"), F.lit(0)), 4))
+
+
+#: Seconds of a morning at which rows of a closed trade go, and days of the year without a session.
+GONE_AT, CLOSED_DAYS = 8 * 3600, ("01-01", "12-25")
+_CALENDAR = f"SELECT day, (day + 3) % 7 < 5 AND strftime(DATE '1970-01-01' + day::INTEGER, '%m-%d') NOT IN {CLOSED_DAYS} AS open FROM (SELECT unnest(range((SELECT min(date_diff('day', DATE '1970-01-01', l_shipdate::DATE)) FROM lineitem), (SELECT max(date_diff('day', DATE '1970-01-01', l_shipdate::DATE)) FROM lineitem) + 15)) AS day)"
+
+
+@query(f"""WITH c AS (SELECT day, min(CASE WHEN open THEN day END) OVER (ORDER BY day ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS following, open FROM ({_CALENDAR})),
+    e AS (SELECT date_diff('day', DATE '1970-01-01', day) AS day, count(*) AS exits, round(sum(quantity), 4) AS quantity FROM ({_FIFO}) GROUP BY 1)
+    SELECT e.day, exits, quantity, c.following * 86400 + {GONE_AT} AS visible_until_s, c.following - e.day AS mornings, (SELECT sum(o.exits) FROM e o JOIN c d ON d.day = o.day WHERE o.day <= e.day AND d.following > e.day)::BIGINT AS visible FROM e JOIN c ON c.day = e.day""")
+def closed_rows(spark, sf_dir):
+    """Exits of each day, until when a desk shows them (eight on the next trading morning, over weekends and holidays), and how many it shows that evening."""
+    s = books.fifo(T.fills(spark, sf_dir)).groupBy(F.unix_date("day").cast("long").alias("day")).agg(F.count(F.lit(1)).alias("exits"), F.round(F.sum("quantity"), 4).alias("quantity"))
+    low, high = T.table(spark, sf_dir, "lineitem").agg(F.min(F.unix_date(F.to_date("l_shipdate"))), F.max(F.unix_date(F.to_date("l_shipdate")))).first()
+    c = spark.range(low or 0, (high or 0) + 15).withColumnRenamed("id", "day")
+    shut = F.date_format(F.date_from_unix_date(F.col("day").cast("int")), "MM-dd").isin(*CLOSED_DAYS)
+    ahead = W.orderBy("day").rowsBetween(1, W.unboundedFollowing)  # a row a day of the calendar
+    c = c.withColumn("following", F.min(F.when((calendar.weekday(F.col("day")) < 5) & ~shut, F.col("day"))).over(ahead))
+    e = s.join(c, "day")
+    # A day's rows are shown on each day until the next trading one.
+    shown = e.select(F.explode(F.sequence(F.col("day"), F.col("following") - 1)).alias("day"), F.col("exits").alias("shown")).groupBy("day").agg(F.sum("shown").alias("visible"))
+    return e.join(shown, "day").select("day", "exits", "quantity", (F.col("following") * 86_400 + GONE_AT).alias("visible_until_s"), (F.col("following") - F.col("day")).alias("mornings"), "visible")
