@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from lodestream.functions import pricing
 from lodestream.operators import books, indicators, joins, orderflow
-from lodestream.plans import catalog, desks, discovery, flows, markets, more, profiles, series, sessions, signals, stores, streams, studies, volatility  # noqa: F401  they register their queries
+from lodestream.plans import catalog, desks, discovery, flows, markets, more, pictures, profiles, series, sessions, signals, stores, streams, studies, volatility  # noqa: F401  they register their queries
 
 DIR = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
