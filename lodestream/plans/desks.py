@@ -9,7 +9,7 @@ from ..operators import options as O, ranks, trends, windows as R
 from ..sources import tables as T
 from ..streaming import live
 from . import catalog
-from .catalog import _FIFO, _FILLS, BARS, CHAIN, CLOSES, OVER, TICKS, _priced, books, hourly, query, r6
+from .catalog import _FIFO, _FILLS, BARS, CHAIN, CLOSES, OVER, TICKS, _priced, books, hourly, query
 from .markets import _COMBINED, _DAILY, combined, daily
 from .more import folder
 

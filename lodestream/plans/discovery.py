@@ -6,7 +6,7 @@ from pyspark.sql import Window as W, functions as F
 
 from ..operators import models as M, windows as R
 from ..sources import tables as T
-from .catalog import BARS, OVER, hourly, query
+from .catalog import BARS, hourly, query
 
 FEATURES = ["ret_1", "ret_2", "range_pct", "location", "volume_ratio", "hour"]
 TEST_DAYS = 5

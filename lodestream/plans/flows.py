@@ -8,7 +8,7 @@ from pyspark.sql import Window as W, functions as F
 
 from ..operators import bars as B, books, calendar, indicators as I, orderflow as OF, profiles as P, state, windows as R
 from ..sources import tables as T
-from .catalog import _FIFO, _SIDES, BARS, CHAIN, SQL, TICKS, hourly, query
+from .catalog import _FIFO, _SIDES, CHAIN, SQL, TICKS, hourly, query
 from .desks import BY
 from .markets import _HOURLY_FLOW, hourly_flow
 from .profiles import _sessions, LEVEL, session_measures, sessions

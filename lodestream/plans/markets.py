@@ -6,7 +6,7 @@ from pyspark.sql import Window as W, functions as F
 
 from ..operators import bars as B, calendar as C, quotes as Q, windows as R
 from ..sources import tables as T
-from .catalog import BARS, CHAIN, CLOSES, LADDER, TICKS, exact, hourly, query, r6
+from .catalog import BARS, CHAIN, CLOSES, LADDER, TICKS, exact, hourly, query
 
 QUOTES = f"({T.SQL['quotes']})"
 DAYS = f"SELECT unnest(range(lo, hi + 1)) AS day FROM (SELECT min(ts_s) // 86400 AS lo, max(ts_s) // 86400 AS hi FROM {TICKS})"

@@ -6,7 +6,7 @@ import tempfile
 
 from pyspark.sql import Window as W, functions as F
 
-from ..operators import bars as B, books, joins as J, options as O, orderflow as OF, windows as R
+from ..operators import bars as B, books, joins as J, orderflow as OF, windows as R
 from ..sources import tables as T
 from ..streaming import live
 from .catalog import BARS, CHAIN, CLOSES, LADDER, OVER, TICKS, _FIFO, _SIDES, hourly, query

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, Window as W, functions as F
 
-from ..operators import options as O
 from ..sources import tables as T
 from .catalog import CHAIN, CLOSES, SQL, query
 from .desks import BY

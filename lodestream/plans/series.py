@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import indicators as I, trends, windows as R
-from ..sources import tables as T
 from .catalog import _TR, hourly, query
 
 _N = "row_number() OVER (PARTITION BY symbol ORDER BY bar_s)"

@@ -6,12 +6,12 @@ import uuid
 
 from pyspark.sql import Window as W, functions as F
 
-from ..operators import signals as S, windows as R
+from ..operators import signals as S
 from ..sources import tables as T
 from ..streaming import live
-from .catalog import _TR, BARS, SQL, TICKS, exact, hourly, query
+from .catalog import _TR, BARS, TICKS, exact, hourly, query
 from .more import folder
-from .series import _BASE, _INDICATED, _N
+from .series import _INDICATED, _N
 from .stores import store
 
 BENCHMARK = "view"

@@ -6,7 +6,7 @@ from pyspark.sql import Window as W, functions as F
 
 from ..operators import bars as B, books, options as O, orderflow as OF, windows as R
 from ..sources import tables as T
-from .catalog import _BOOK, _FIFO, _PAIRS, _SIDES, BARS, CHAIN, LADDER, OVER, TICKS, hourly, query
+from .catalog import _BOOK, _FIFO, _PAIRS, _SIDES, BARS, CHAIN, LADDER, OVER, hourly, query
 
 
 @query(f"SELECT symbol, bar_s, round(CASE WHEN n >= 5 THEN (5 * c0 + 4 * c1 + 3 * c2 + 2 * c3 + c4) / 15 END, 6) AS wma FROM (SELECT symbol, bar_s, row_number() {OVER}) AS n, close AS c0, " + ", ".join(f"lag(close, {i}) {OVER}) AS c{i}" for i in range(1, 5)) + f" FROM {BARS})")

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W, functions as F
 from ..functions import pricing
 from ..operators import options as O
 from ..sources import tables as T
-from .catalog import CHAIN, query, r6
+from .catalog import CHAIN, query
 from .desks import BY, N
 
 #: The shared chain has no expiry: a contract has so many days left by its strike.
