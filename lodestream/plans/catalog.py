@@ -26,6 +26,11 @@ def query(sql: str | None = None):
     return register
 
 
+def steady(x, digits: int):
+    """``x`` rounded so that a half goes up whichever way its last bit has fallen; in SQL, 1e-9 is added likewise."""
+    return F.round(F.col(x) + 1e-9 if isinstance(x, str) else x + 1e-9, digits)
+
+
 def hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.bars(T.ticks(spark, sf_dir), 3600)
 

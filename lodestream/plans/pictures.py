@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, Window as W, functions as F
 
 from ..sources import tables as T
-from .catalog import CHAIN, CLOSES, SQL, query
+from .catalog import CHAIN, CLOSES, SQL, query, steady
 from .desks import BY
 from .markets import _HOURLY_FLOW, hourly_flow
 from .volatility import _SOLVED, surface_row, with_iv
@@ -117,7 +117,7 @@ def informed_flow(spark, sf_dir):
 @query(f"""WITH f AS (SELECT symbol, bar_s, bar_s % 86400 AS slot, volume, delta, delta / nullif(volume, 0) AS nd FROM ({_HOURLY_FLOW})),
     b AS (SELECT symbol, slot, median(volume) AS usual, median(nd) AS nd_mid, (quantile_cont(nd, 0.75) - quantile_cont(nd, 0.25)) / 1.349 AS nd_width, median(delta) AS d_mid, (quantile_cont(delta, 0.75) - quantile_cont(delta, 0.25)) / 1.349 AS d_width, count(*) AS n FROM f GROUP BY 1, 2),
     s AS (SELECT f.*, volume / nullif(usual, 0) AS rvol, (nd - nd_mid) / nullif(nd_width, 0) AS nd_z, (delta - d_mid) / nullif(d_width, 0) AS d_z, n FROM f JOIN b ON b.symbol = f.symbol AND b.slot = f.slot)
-    SELECT symbol, bar_s, round(rvol, 6) AS rvol, round(nd_z, 6) AS nd_z, round(d_z, 6) AS d_z, round(tanh((0.6 * nd_z + 0.4 * d_z) / 2) * least(1, rvol), 6) AS score, CASE WHEN n < 10 THEN 'thin baseline' WHEN rvol < 0.5 THEN 'quiet' WHEN nd_z IS NULL OR d_z IS NULL THEN 'flat baseline' ELSE 'ok' END AS reason FROM s""")
+    SELECT symbol, bar_s, round(rvol + 1e-9, 6) AS rvol, round(nd_z + 1e-9, 6) AS nd_z, round(d_z + 1e-9, 6) AS d_z, round(tanh((0.6 * nd_z + 0.4 * d_z) / 2) * least(1, rvol) + 1e-9, 6) AS score, CASE WHEN n < 10 THEN 'thin baseline' WHEN rvol < 0.5 THEN 'quiet' WHEN nd_z IS NULL OR d_z IS NULL THEN 'flat baseline' ELSE 'ok' END AS reason FROM s""")
 def flow_scores(spark, sf_dir):
     """The hour's flow against what its symbol usually has at that hour, by medians and quartiles, damped where little traded."""
     f = hourly_flow(spark, sf_dir).select("symbol", "bar_s", (F.col("bar_s") % T.DAY_S).alias("slot"), "volume", "delta", (F.col("delta") / F.nullif(F.col("volume"), F.lit(0))).alias("nd"))
@@ -127,4 +127,4 @@ def flow_scores(spark, sf_dir):
     s = f.join(b, ["symbol", "slot"]).withColumns({"rvol": F.col("volume") / F.nullif(F.col("usual"), F.lit(0.0)), "nd_z": z("nd", "nd"), "d_z": z("delta", "d")})
     score = F.tanh((0.6 * F.col("nd_z") + 0.4 * F.col("d_z")) / 2) * F.least(F.lit(1.0), F.col("rvol"))
     reason = F.when(F.col("n") < 10, "thin baseline").when(F.col("rvol") < 0.5, "quiet").when(F.col("nd_z").isNull() | F.col("d_z").isNull(), "flat baseline").otherwise("ok")
-    return s.select("symbol", "bar_s", *[F.round(x, 6).alias(x) for x in ("rvol", "nd_z", "d_z")], F.round(score, 6).alias("score"), reason.alias("reason"))
+    return s.select("symbol", "bar_s", *[steady(x, 6).alias(x) for x in ("rvol", "nd_z", "d_z")], steady(score, 6).alias("score"), reason.alias("reason"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import indicators as I, trends, windows as R
-from .catalog import _TR, hourly, query
+from .catalog import _TR, hourly, query, steady
 
 _N = "row_number() OVER (PARTITION BY symbol ORDER BY bar_s)"
 #: Bars with Wilder's ATR of 14 and of 10 and the MACD histogram, bar by bar.
@@ -92,13 +92,13 @@ def _supertrend(first: str) -> str:
     return f"""WITH RECURSIVE {_INDICATED}, p AS ({_BANDS}), s AS (SELECT symbol, m, bar_s, u AS ub, l AS lb, {first} AS dir, close AS last FROM p WHERE m = 1
     UNION ALL SELECT symbol, m, bar_s, ub, lb, CASE WHEN dir < 0 AND close > ub THEN 1 WHEN dir > 0 AND close < lb THEN -1 ELSE dir END, close
     FROM (SELECT p.symbol, p.m, p.bar_s, p.close, s.dir, CASE WHEN p.u < s.ub OR s.last > s.ub THEN p.u ELSE s.ub END AS ub, CASE WHEN p.l > s.lb OR s.last < s.lb THEN p.l ELSE s.lb END AS lb FROM s JOIN p ON p.symbol = s.symbol AND p.m = s.m + 1))
-    SELECT symbol, bar_s, dir, round(ub, 6) AS ub, round(lb, 6) AS lb FROM s"""
+    SELECT symbol, bar_s, dir, round(ub + 1e-9, 6) AS ub, round(lb + 1e-9, 6) AS lb FROM s"""
 
 
 def banded(spark, sf_dir, first):
     b = hourly(spark, sf_dir).withColumn("tr", R.true_range())
     atr = I.wilder(b, 10, "tr", "atr").select("symbol", "bar_s", "atr")
-    return I.supertrend(b.join(atr, ["symbol", "bar_s"]), first=first).select("symbol", "bar_s", "dir", F.round("ub", 6).alias("ub"), F.round("lb", 6).alias("lb"))
+    return I.supertrend(b.join(atr, ["symbol", "bar_s"]), first=first).select("symbol", "bar_s", "dir", steady("ub", 6).alias("ub"), steady("lb", 6).alias("lb"))
 
 
 @query(_supertrend("1"))

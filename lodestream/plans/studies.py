@@ -6,7 +6,7 @@ from pyspark.sql import Window as W, functions as F
 
 from ..operators import bars as B, books, options as O, orderflow as OF, windows as R
 from ..sources import tables as T
-from .catalog import _BOOK, _FIFO, _PAIRS, _SIDES, BARS, CHAIN, LADDER, OVER, hourly, query
+from .catalog import _BOOK, _FIFO, _PAIRS, _SIDES, BARS, CHAIN, LADDER, OVER, hourly, query, steady
 
 
 @query(f"SELECT symbol, bar_s, round(CASE WHEN n >= 5 THEN (5 * c0 + 4 * c1 + 3 * c2 + 2 * c3 + c4) / 15 END, 6) AS wma FROM (SELECT symbol, bar_s, row_number() {OVER}) AS n, close AS c0, " + ", ".join(f"lag(close, {i}) {OVER}) AS c{i}" for i in range(1, 5)) + f" FROM {BARS})")
@@ -152,12 +152,12 @@ _FILLED = f"SELECT symbol, l_orderkey, l_linenumber, n, price, q, CASE WHEN side
     FROM (SELECT b.symbol, b.n, b.l_orderkey, b.l_linenumber, r.held, r.average, r.realised, r.entry, r.low, r.high, b.price, b.q, b.x, b.fees, r.held * b.x >= 0 AS adds, (r.held + b.x) * r.held < 0 AS turns,
             CASE WHEN r.held * b.x < 0 THEN least(abs(r.held), b.q) END AS c, CASE WHEN r.held * b.x < 0 THEN (b.price - r.average) * least(abs(r.held), b.q) * sign(r.held) END AS g
         FROM r JOIN b ON b.symbol = r.symbol AND b.n = r.n + 1))
-    SELECT symbol, l_orderkey, l_linenumber, held, CASE WHEN held <> 0 THEN round(average, 6) END AS average, round(realised, 3) AS realised, closed, round(gross, 4) AS gross, round(borne, 5) AS fees, round(seen_low, 6) AS low, round(seen_high, 6) AS high FROM r""")
+    SELECT symbol, l_orderkey, l_linenumber, held, CASE WHEN held <> 0 THEN round(average + 1e-9, 6) END AS average, round(realised + 1e-9, 3) AS realised, closed, round(gross + 1e-9, 4) AS gross, round(borne + 1e-9, 5) AS fees, round(seen_low + 1e-9, 6) AS low, round(seen_high + 1e-9, 6) AS high FROM r""")
 def position_book(spark, sf_dir):
     """Average price, size, result after fees, closed slices and excursion of each symbol after each fill."""
     f = books.with_charges(T.fills(spark, sf_dir)).withColumnRenamed("charges", "fees").select("symbol", "seq.*", "side", "quantity", "price", "fees")
     out = books.position_book(f, ["s", "l_orderkey", "l_linenumber", "l_suppkey"])
-    return out.select("symbol", "l_orderkey", "l_linenumber", "held", *[F.round(c, d).alias(c) for c, d in (("average", 6), ("realised", 3), ("closed", 6), ("gross", 4), ("fees", 5), ("low", 6), ("high", 6))])
+    return out.select("symbol", "l_orderkey", "l_linenumber", "held", "closed", *[steady(c, d).alias(c) for c, d in (("average", 6), ("realised", 3), ("gross", 4), ("fees", 5), ("low", 6), ("high", 6))])
 
 
 @query(f"SELECT symbol, bar_s FROM (SELECT symbol, bar_s, volume, avg(volume) OVER (PARTITION BY symbol, bar_s % 86400 ORDER BY bar_s ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING) AS usual FROM {BARS}) WHERE volume >= 2 * usual")
