@@ -276,7 +276,8 @@ def horizon_return(spark, sf_dir):
 def nearest_in_time(spark, sf_dir):
     t = T.ticks(spark, sf_dir)
     p = t.where("symbol = 'purchase'").select("seq", "ts_s", F.lit(1).alias("k"))
-    v = t.where("symbol = 'view'").groupBy("ts_s").agg(F.max_by("price", "seq").alias("price")).withColumn("k", F.lit(1))
+    # Of views in one second the first counts, and one without a price is none, as in SQL's arg_min.
+    v = t.where("symbol = 'view' and price is not null").groupBy("ts_s").agg(F.min_by("price", "seq").alias("price")).withColumn("k", F.lit(1))
     return J.nearest(p, v, "k", "ts_s", "price", 3_600).select("seq", "price")
 
 

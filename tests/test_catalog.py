@@ -46,6 +46,16 @@ def test_query_matches_sql(spark, oracle, name):
     assert got == sorted(str([plain(r[names.index(c)]) for c in columns]) for r in oracle.fetchall())
 
 
+def test_nearest_takes_the_first_of_one_second(spark, tmp_path):
+    rows = [(1, 0, "view", 5.0), (2, 0, "view", 7.0), (3, 10, "purchase", 1.0), (4, 30, "view", 9.0), (5, 31, "purchase", 1.0), (6, 31, "view", None), (7, 9_000, "purchase", 1.0)]
+    events = duckdb.connect()
+    events.execute("CREATE TABLE events (event_id BIGINT, ts TIMESTAMP, event_type VARCHAR, value DOUBLE, props VARCHAR)")
+    events.executemany("INSERT INTO events VALUES (?, make_timestamp(?::BIGINT * 1000000), ?, ?, '{\"k\": 1}')", rows)
+    events.execute(f"COPY events TO '{tmp_path}/events.parquet' (FORMAT parquet)")
+    got = {r["seq"]: r["price"] for r in catalog.nearest_in_time(spark, str(tmp_path)).collect()}
+    assert got == {3: 5.0, 5: 9.0, 7: None} == dict(events.execute(catalog.SQL["nearest_in_time"]).fetchall())
+
+
 def test_flagship(spark):
     assert catalog.FLAGSHIP(spark, DIR).count() > 0
 
