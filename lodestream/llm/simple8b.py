@@ -10,6 +10,9 @@ BITS = np.array([b for b, _ in SELECTORS])
 COUNTS = np.array([n for _, n in SELECTORS] + [0])
 #: Larger ids are escapes: a zero stands in the words, position and id beside them.
 ESCAPE_FROM = 1 << 20
+_STEPS = COUNTS.astype(np.uint8)
+#: Bits of each smaller id.
+_LENGTH = np.frexp(np.arange(ESCAPE_FROM, dtype=float))[1].astype(np.uint8)
 #: The position of every so manieth word's first id is stored.
 STRIDE = 512
 
@@ -29,18 +32,22 @@ def encode(ids: np.ndarray) -> tuple[bytes, bytes, bytes]:
     n = len(values)
     if not n:
         return b"", b"", escapes
-    chosen = np.full(n, 2, np.int8)  # every id below ESCAPE_FROM fits 20 bits
-    bad = np.zeros(n + 1, np.int32)
+    chosen = np.full(n, 2, np.uint8)  # every id below ESCAPE_FROM fits 20 bits
+    length = _LENGTH[values]
+    widest, held = length, 1  # of each id and the ones behind it, so many in all
     for s in range(3, len(SELECTORS)):
         bits, count = SELECTORS[s]
-        np.cumsum(values >= (1 << bits), dtype=np.int32, out=bad[1:])
         if n < count:
             break
-        fits = bad[count:] == bad[:-count]
+        while held < count:  # two overlapping stretches make one of up to twice the length
+            ahead = min(held, count - held)
+            widest, held = np.maximum(widest[:-ahead], widest[ahead:]), held + ahead
+        fits = widest <= bits
         if not fits.any():
             break
-        chosen[: n - count + 1][fits] = s
-    step = COUNTS[chosen].tolist()
+        head = chosen[: n - count + 1]
+        np.maximum(head, fits.view(np.uint8) * np.uint8(s), out=head)
+    step = _STEPS[chosen].tobytes()
     starts, i = [], 0
     while i < n:
         starts.append(i)

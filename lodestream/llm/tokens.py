@@ -48,6 +48,8 @@ class ChunkEncoder:
         self.edge[[i for t, i in vocabulary.items() if (t.endswith(suffix) if suffix else t.startswith("Ġ"))]] = True
         apart = self.tokenizer.encode(APART if self.drops_space else " " + APART, add_special_tokens=False).ids
         self.apart = apart[0] if len(apart) == 1 else None
+        line = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        self.line = line[0] if len(line) == 1 and not self.drops_space else None
         self.closed: dict[str, bool] = {}
         self.forget()
 
@@ -60,10 +62,12 @@ class ChunkEncoder:
     def forget(self) -> None:
         """Row r of the table is the ids ``pool[first[r]:first[r] + count[r]]``; row 0 is empty."""
         self.known: dict[str, int] = {}
+        self.heads: dict[str, int] = {}  # words that begin a line
         self.pool = np.zeros(1 << 16, np.uint32)
         self.first, self.count = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
         self.rows, self.held = 1, 0
         self.marks = dict(zip(sorted(MARKS), self._put(*self._whole(sorted(MARKS))), strict=True))
+        self.marks |= {"": 0, "\n": self._put(*self._whole(["\n"]))[0]}
 
     def _whole(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids end to end, number of ids of each text), as the library encodes them one by one."""
@@ -100,6 +104,17 @@ class ChunkEncoder:
             counts.append(np.diff(at, prepend=-1) - 1)
         return np.concatenate(ids), np.concatenate(counts)
 
+    def _heads(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for words of letters without a space before them, a line each: a line's end is a token of its own and in no word."""
+        lots = [words[i:i + JOINED] for i in range(0, len(words), JOINED)]
+        ids, counts = [], []
+        for lot, e in zip(lots, self.tokenizer.encode_batch_fast(["\n".join(lot) + "\n" for lot in lots], add_special_tokens=False), strict=True):
+            these = np.array(e.ids, np.uint32)
+            ends = these == self.line
+            ids.append(these[~ends])
+            counts.append(np.diff(np.flatnonzero(ends), prepend=-1) - 1)
+        return np.concatenate(ids), np.concatenate(counts)
+
     def _put(self, ids: np.ndarray, counts: np.ndarray) -> range:
         """Appends rows to the table."""
         rows = range(self.rows, self.rows + len(counts))
@@ -120,9 +135,25 @@ class ChunkEncoder:
             self.closed[letter] = normal[-1:].isalpha()
         return self.closed[letter]
 
+    def _word(self, chunk: str) -> str:
+        """The word of a chunk that is letters, perhaps with a mark behind them; else an empty text."""
+        word = chunk[:-1] if chunk[-1:] in MARKS else chunk
+        return word if word.isalpha() and (word == chunk or word[-1] < "\x80" or self._closes(word[-1])) else ""
+
     def _learn(self, new: list[str]) -> None:
-        """Gives chunks their rows: alike ones in one call, a word with a mark behind it from its two parts."""
+        """Gives chunks their rows: alike ones in one call, a word with a mark behind it and words on two lines from their parts."""
         space = "" if self.drops_space else " "
+        lined = []
+        if self.line is not None:
+            for c in new:
+                before, end, after = c.partition("\n")
+                if end and (last := self._word(before)) and (first := self._word(after)):
+                    lined.append((c, last, before[len(last):], first, after[len(first):]))
+        if lined:
+            new = list({w for _, w, *_ in lined}.difference(self.known).union(new).difference([c for c, *_ in lined]))
+            heads = list({w for *_, w, _ in lined}.difference(self.heads))
+            if heads:
+                self.heads.update(zip(heads, self._put(*self._heads(heads)), strict=True))
         marked = [c for c in new if c[-1:] in MARKS and c[:-1].isalpha() and (c[-2] < "\x80" or self._closes(c[-2]))]
         stems = {c[:-1] for c in marked}.difference(self.known)
         rest = stems.union(new).difference(marked)
@@ -145,6 +176,9 @@ class ChunkEncoder:
             b = np.array([self.marks[c[-1]] for c in marked], np.int64)
             both = np.stack([a, b], 1).ravel()
             known.update(zip(marked, self._put(self._ids(both), self.count[a] + self.count[b]), strict=True))
+        if lined:
+            parts = np.array([(self.known[a], self.marks[m], self.marks["\n"], self.heads[b], self.marks[n]) for _, a, m, b, n in lined], np.int64)
+            self.known.update(zip([c for c, *_ in lined], self._put(self._ids(parts.ravel()), self.count[parts].sum(1)), strict=True))
 
     def _ids(self, rows: np.ndarray) -> np.ndarray:
         """The ids of ``rows`` of the table, end to end."""
@@ -154,7 +188,7 @@ class ChunkEncoder:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids end to end, number of ids of each text); a null text has none."""
-        if len(self.known) > REMEMBERED:
+        if len(self.known) + len(self.heads) > REMEMBERED:
             self.forget()
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
         if not len(texts):

@@ -848,3 +848,12 @@ def test_directory_too_large_to_send(spark, monkeypatch):
     rows = [(i, "copy of many" if i % 3 else f"own {i}") for i in range(600)]
     got = {r["doc_id"]: (r["keep_id"], r["group_size"]) for r in exact_dedup.exact_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {i: (599, 400) if i % 3 else (i, 1) for i in range(600)}
+
+
+def test_lines_encode_from_parts_as_in_the_library():
+    encoder = tokens.ChunkEncoder(P.path("byte_bpe_50k.json"))
+    texts = ["end.\nBegin, and", "été\nÉtat!", "a.\n\nB", "\nB c.\n", "a\u0301.\nB", "it's.\nB", "x \nB", "A.\nB.\nC", "a.\n\u0301B", "ª\nʰ"]
+    ids, counts = encoder.encode(pa.array(texts))
+    alone = [e.ids for e in encoder.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert counts.tolist() == [len(i) for i in alone] and ids.tolist() == [v for i in alone for v in i]
+    assert {"Begin", "État"} <= set(encoder.heads) and "end" in encoder.known  # two lines' words are known apart
