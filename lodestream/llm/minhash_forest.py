@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
@@ -25,17 +27,19 @@ SHARED_VALUES = 28
 BLOCK, LEAST_WEIGHT = 500_000, 500
 #: Columns of a block with so many documents are multiplied as a dense matrix, DENSE of them at once; others pair by pair.
 HEAVY, DENSE = 24, 2_048
+#: Units of a crowd with so few documents are compared all with all, so that the same one of another crowd is known.
+SMALL_UNIT = 64
 #: Below so many candidates their ids are broadcast (8 bytes each), beyond it they are joined.
 BROADCAST_IDS = 500_000
 THRESHOLD = 75
 
 
 def signatures(docs: DataFrame, words: int = 5, trees: int = TREES, depth: int = DEPTH) -> DataFrame:
-    """(id, n, set_a, set_b, sig): set size, 128 bits that tell sets apart, and the signature of each document."""
+    """(id, n, set_a, set_b, sig, sketch): set size, 128 bits that tell sets apart, the signature of each document, and a byte of each of its values."""
     k = trees * depth
     rng = np.random.default_rng(20_241)
     flips, factors = rng.integers(0, 1 << 63, k, dtype=np.uint64), rng.integers(0, 1 << 63, k, dtype=np.uint64) | np.uint64(1)
-    fields = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("set_a", pa.int64()), ("set_b", pa.int64()), ("sig", pa.list_(pa.int64()))])
+    fields = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("set_a", pa.int64()), ("set_b", pa.int64()), ("sig", pa.list_(pa.int64())), ("sketch", pa.binary())])
 
     def signed(batches):
         for batch, texts in batched_texts(batches, 1_000_000):
@@ -52,11 +56,12 @@ def signatures(docs: DataFrame, words: int = 5, trees: int = TREES, depth: int =
                 a[full] = np.add.reduceat(mix(joined), first)
                 b[full] = np.add.reduceat(mix(joined ^ flips[0]) * (joined | np.uint64(1)), first)
             offsets = pa.array(np.arange(0, (len(sets) + 1) * k, k, dtype=np.int32))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(n), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.ListArray.from_arrays(offsets, pa.array(rows.view(np.int64).ravel()))], schema=fields)
+            sketches = pa.array([r.tobytes() for r in (rows >> np.uint64(24)).astype(np.uint8)], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(n), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.ListArray.from_arrays(offsets, pa.array(rows.view(np.int64).ravel())), sketches], schema=fields)
 
     small_batches(docs.sparkSession)
     rows = docs.select(doc_column(docs, "doc_id", "long").alias("id"), doc_text(docs).alias("text"))
-    return materialise(rows.mapInArrow(tidily(signed), "id long, n long, set_a long, set_b long, sig array<long>"), "signatures")
+    return materialise(rows.mapInArrow(tidily(signed), "id long, n long, set_a long, set_b long, sig array<long>, sketch binary"), "signatures")
 
 
 def candidates(reps: DataFrame, trees: int = TREES, depth: int = DEPTH, from_depth: int = FROM_DEPTH, region: int = REGION) -> DataFrame:
@@ -101,21 +106,46 @@ def candidates(reps: DataFrame, trees: int = TREES, depth: int = DEPTH, from_dep
     return pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("votes"))
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame, words: int = 5, threshold: int = THRESHOLD, lot: int = LOT) -> DataFrame:
+def dealt_runs(dealt: DataFrame, table: DataFrame, value: str) -> DataFrame:
+    """(a, lot, b, ``value``): for each (a, lot) of ``dealt`` a's value, with b null, and behind it those of all its b."""
+    one = table.select("id", value)
+    heads = dealt.select("a", "lot").distinct().join(one, F.col("a") == F.col("id")).select("a", "lot", F.lit(None).cast("long").alias("b"), value)
+    tails = dealt.join(one, F.col("b") == F.col("id")).select("a", "lot", "b", value)
+    return heads.unionByName(tails).repartition("a", "lot").sortWithinPartitions("a", "lot", F.col("b").asc_nulls_first())
+
+
+def sketches_of(batch: pa.RecordBatch) -> np.ndarray:
+    """A row of bytes for each row of ``batch``."""
+    return np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint8).reshape(batch.num_rows, -1)
+
+
+def confirmed(pairs: DataFrame, texts: DataFrame, sketches: DataFrame, words: int = 5, threshold: int = THRESHOLD, lot: int = LOT, least: int = SHARED_VALUES) -> DataFrame:
     """Those of ``pairs`` (a, b) whose full sets have ``100 * intersection >= threshold * union``.
 
-    The texts of all b go to their a, ``lot`` or so in a run behind a's text, so a task
-    holds one set and a batch of texts, and a document that very many are compared with
-    is repeated, not a hot key.
+    The sketches of all b go to their a, ``lot`` or so in a run behind a's, and so do the
+    texts of those that share ``least`` bytes of it. A task holds one set and a batch of
+    texts, and a document that very many are compared with is repeated, not a hot key.
     """
     pairs = materialise(pairs.select("a", "b"), "pairs")
     runs = materialise(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("held")), "runs")
     dealt = join_counted(pairs, runs, ["a"], "held", pairs.count())
     dealt = materialise(dealt.select("a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.col("held") / lot)).alias("lot")), "compared-pairs")
-    one = texts.select("id", "text")
-    heads = dealt.select("a", "lot").distinct().join(one, F.col("a") == F.col("id")).select("a", "lot", F.lit(None).cast("long").alias("b"), "text")
-    tails = dealt.join(one, F.col("b") == F.col("id")).select("a", "lot", "b", "text")
-    rows = heads.unionByName(tails).repartition("a", "lot").sortWithinPartitions("a", "lot", F.col("b").asc_nulls_first())
+
+    def sketched(batches):
+        head = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows, heads = sketches_of(batch), batch.column("b").is_null().to_numpy(zero_copy_only=False)
+            at = np.cumsum(heads)  # 0: the head of the batch before
+            firsts = np.concatenate([rows[:1] if head is None else head, rows[heads]])
+            near = ~heads & ((rows == firsts[at]).sum(1) >= least)
+            head = firsts[-1:].copy()
+            yield batch.filter(pa.array(near)).select(["a", "b", "lot"])
+
+    dealt = materialise(dealt_runs(dealt, sketches, "sketch").mapInArrow(tidily(sketched), "a long, b long, lot long"), "pairs-alike")
+    ids = materialise(dealt.select(F.col("a").alias("id")).unionByName(dealt.select(F.col("b").alias("id"))).distinct(), "ids-alike")
+    rows = dealt_runs(dealt, only(texts, ids), "text")
 
     def compared(batches):
         head = None
@@ -135,7 +165,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, words: int = 5, threshold: int
 
 
 def alike_elsewhere(reps: DataFrame, at: DataFrame, trees: int = TREES, depth: int = DEPTH, from_depth: int = FROM_DEPTH, least: int = SHARED_VALUES) -> DataFrame:
-    """(id, component, n, places): documents that can still be linked with one of another component (``at``: node, component).
+    """(id, component, n, places, sketch): documents that can still be linked with one of another component (``at``: node, component).
 
     Such a document shares ``from_depth`` values of a tree with another component, and
     ``least`` single values of its signature. ``places`` are the trees' prefixes that other components share.
@@ -147,15 +177,18 @@ def alike_elsewhere(reps: DataFrame, at: DataFrame, trees: int = TREES, depth: i
         t = materialise(docs.select("id", "component", F.explode(keys).alias("key")), name)
         shared = t.groupBy("key").agg(F.count(F.lit(1)).alias("held"), F.min("component").alias("low"), F.max("component").alias("high"))
         shared = materialise(shared.where("low != high").select("key", "held"), f"{name}-shared")
+        if shared.count() <= BROADCAST_IDS:
+            return t.join(F.broadcast(shared), "key")
         return join_counted(t, shared, ["key"], "held", t.count())
 
-    placed = reps.select("id", "n", "sig").join(at, F.col("id") == F.col("node"), "left").select("id", "n", F.coalesce("component", "id").alias("component"), "sig")
+    at = F.broadcast(at) if at.count() <= BROADCAST_IDS else at
+    placed = reps.select("id", "n", "sig", "sketch").join(at, F.col("id") == F.col("node"), "left").select("id", "n", F.coalesce("component", "id").alias("component"), "sig", "sketch")
     by_tree = met(placed, F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda i: key(i, depth)), "tree-places")
     by_tree = materialise(by_tree.groupBy("id").agg(F.collect_list("key").alias("places")), "crowd-documents")
-    placed = materialise(placed.join(by_tree, "id"), "crowd-signatures")
+    placed = materialise(only(placed, by_tree).join(by_tree, "id"), "crowd-signatures")
     by_value = met(placed, F.transform(F.sequence(F.lit(0), F.lit(trees * depth - 1)), lambda i: key(i, 1)), "value-places")
     enough = by_value.groupBy("id").agg(F.count(F.lit(1)).alias("shared")).where(F.col("shared") >= least).select("id")
-    return materialise(placed.join(enough, "id").select("id", "component", "n", "places"), "documents-apart")
+    return materialise(only(placed.drop("sig"), materialise(enough, "ids-apart")).select("id", "component", "n", "places", "sketch"), "documents-apart")
 
 
 def block_pairs(docs: DataFrame, block: int = BLOCK, weight: int = LEAST_WEIGHT) -> DataFrame:
@@ -214,9 +247,85 @@ def overlaps(sets: list[np.ndarray], split: int) -> np.ndarray:
     return out
 
 
+def agreements(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many bytes each row of ``a`` shares with each of ``b``, in the same places."""
+    if len(a) * len(b) * a.shape[1] <= 1_000_000:
+        return (a[:, None, :] == b[None, :, :]).sum(2, dtype=np.uint8)
+    out = np.zeros((len(a), len(b)), np.uint8)
+    for x, y in zip(np.ascontiguousarray(a.T), np.ascontiguousarray(b.T), strict=True):
+        out += x[:, None] == y[None, :]
+    return out
+
+
+def units(sides: np.ndarray, ids: np.ndarray, components: np.ndarray, sketches: np.ndarray, least: int = SHARED_VALUES):
+    """(name, rows, sides) of what is compared by full sets of one pair of blocks.
+
+    Documents of different components that share ``least`` bytes of their sketches are
+    near; a unit is those that are joined by such pairs. Small units have the same name
+    in each crowd that holds them.
+    """
+    split = int((sides == 0).sum())
+    cross = split < len(ids)
+    a, b = slice(0, split), slice(split if cross else 0, None)
+    i, j = np.nonzero((agreements(sketches[a], sketches[b]) >= least) & (components[a][:, None] != components[b][None, :]))
+    if not len(i):
+        return
+    j = j + split if cross else j
+    label = np.arange(len(ids))
+    while True:
+        low = np.minimum(label[i], label[j])
+        after = label.copy()
+        np.minimum.at(after, i, low)
+        np.minimum.at(after, j, low)
+        after = after[after]
+        if np.array_equal(after, label):
+            break
+        label = after
+    rows = np.unique(np.concatenate([i, j]))
+    rows = rows[np.argsort(label[rows], kind="stable")]
+    for unit in np.split(rows, np.flatnonzero(np.diff(label[rows])) + 1):
+        side = sides[unit] if len(unit) > SMALL_UNIT else np.zeros(len(unit), np.int32)
+        order = np.lexsort((ids[unit], side))
+        unit, side = unit[order], side[order]
+        name = hashlib.blake2b(ids[unit].tobytes() + side.tobytes(), digest_size=8).digest()
+        yield int.from_bytes(name, "little", signed=True), unit, side
+
+
+def near_units(docs: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(pair, side, id, component): of the pairs of blocks of ``docs`` those documents that can be linked there, as ``units``, each unit once."""
+    rows = block_pairs(docs, block).join(docs.select("id", "sketch"), "id").repartition("pair").sortWithinPartitions("pair", "side")
+
+    def found(group):
+        pairs, sides, ids, components, sketches = (np.concatenate(c) for c in zip(*group, strict=True))
+        out = []
+        first = np.flatnonzero(np.concatenate([[True], pairs[1:] != pairs[:-1]]))
+        for x, y in zip(first, [*first[1:], len(pairs)], strict=True):
+            for name, unit, side in units(sides[x:y], ids[x:y], components[x:y], sketches[x:y]):
+                out.append((np.full(len(unit), name, np.int64), side.astype(np.int32), ids[x:y][unit], components[x:y][unit]))
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["pair", "side", "id", "component"])
+
+    def sketched(batches):
+        rest = []  # of the last pair, which may go on
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            new = [*(batch.column(c).to_numpy() for c in ("pair", "side", "id", "component")), sketches_of(batch)]
+            cut = int(np.flatnonzero(np.concatenate([[True], new[0][1:] != new[0][:-1]]))[-1])
+            if cut or rest and rest[-1][0][0] != new[0][0]:
+                yield from found(rest + [[c[:cut] for c in new]])
+                rest = []
+            rest.append([c[cut:].copy() for c in new])
+        if rest:
+            yield from found(rest)
+
+    return rows.mapInArrow(tidily(sketched), "pair long, side int, id long, component long").dropDuplicates(["pair", "side", "id"])
+
+
 def links_across(docs: DataFrame, texts: DataFrame, words: int = 5, threshold: int = THRESHOLD, block: int = BLOCK) -> DataFrame:
     """(a, b): links between components of ``docs`` (of ``alike_elsewhere``), by full shingle sets; of those that join the same components one."""
-    rows = texts.select("id", "text").join(docs.select("id"), "id")
+    dealt = materialise(near_units(docs, block), "units")
+    rows = texts_of(texts, materialise(dealt.select("id").distinct(), "ids-in-units"))
 
     def shingled(batches):
         for batch, texts in batched_texts(batches, 1_000_000):
@@ -225,7 +334,7 @@ def links_across(docs: DataFrame, texts: DataFrame, words: int = 5, threshold: i
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(sets).view(np.int64)))], ["id", "shingles"])
 
     sets = materialise(rows.mapInArrow(tidily(shingled), "id long, shingles array<long>"), "crowd-sets")
-    dealt = block_pairs(docs, block).join(sets, "id").repartition("pair").sortWithinPartitions("pair", "side")
+    dealt = dealt.join(sets, "id").repartition("pair").sortWithinPartitions("pair", "side")
 
     def linked(group):
         """Links of one pair of blocks, as a forest over its components."""
@@ -272,9 +381,13 @@ def links_across(docs: DataFrame, texts: DataFrame, words: int = 5, threshold: i
 
 def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """(id, text) of those rows of ``docs`` that ``ids`` names."""
-    texts = docs.select(doc_column(docs, "doc_id", "long").alias("id"), doc_text(docs).alias("text"))
+    return only(docs.select(doc_column(docs, "doc_id", "long").alias("id"), doc_text(docs).alias("text")), ids)
+
+
+def only(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """Those of ``rows`` whose id ``ids`` has; while these are few they are sent to the rows, which then stay where they are."""
     ids = ids.select("id")
-    return texts.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "id", "left_semi")
+    return rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "id", "left_semi")
 
 
 def one_node_each(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
@@ -305,27 +418,27 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, words: int = 5, thresh
     signed = signatures(docs, words)
     linked = signed.where("n > 0 and id is not null")
     # Equal sets are one node from here on, so copies cost nothing, however many.
-    reps = materialise(linked.groupBy("set_a", "set_b", "n").agg(F.min("id").alias("id"), F.first("sig").alias("sig"), F.count(F.lit(1)).alias("held")), "set-nodes")
+    reps = materialise(linked.groupBy("set_a", "set_b", "n").agg(F.min("id").alias("id"), F.first("sig").alias("sig"), F.first("sketch").alias("sketch"), F.count(F.lit(1)).alias("held")), "set-nodes")
     pairs = materialise(candidates(reps), "candidate-pairs")
     ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
     ids = materialise(ids, "candidate-ids")
     texts = materialise(texts_of(docs, ids), "candidate-texts")
     # First each document against the one it met most often; then what is still apart.
     closest = pairs.groupBy("b").agg(F.max_by("a", F.struct("votes", -F.col("a"))).alias("a")).select("a", "b")
-    edges = materialise(confirmed(closest, texts, words, threshold), "edges")
+    edges = materialise(confirmed(closest, texts, reps, words, threshold), "edges")
     at = materialise(components(edges), "groups")
     of = lambda side: at.select(F.col("node").alias(side), F.col("component").alias(f"{side}_at"))
     apart = pairs.join(closest, ["a", "b"], "left_anti").join(of("a"), "a", "left").join(of("b"), "b", "left")
     apart = apart.where(F.coalesce("a_at", "a") != F.coalesce("b_at", "b")).select("a", "b")
     # Both tables together give the classes.
-    more = confirmed(apart, texts, words, threshold)
+    more = confirmed(apart, texts, reps, words, threshold)
     by_set = ["set_a", "set_b", "n"]
     same_id = join_counted(linked.select(*by_set, "id"), reps.select(*by_set, F.col("id").alias("rep"), "held"), by_set, "held", signed.count()).select("id", "rep")
     star = at.where("node != component").select(F.col("component").alias("a"), F.col("node").alias("b"))
     at = materialise(components(star.unionByName(more)), "classes")
     # What crowds hold beside neighbours: documents of different components, block against block.
     apart = alike_elsewhere(reps, at)
-    across = materialise(links_across(apart, texts_of(docs, apart), words, threshold), "links-across")
+    across = materialise(links_across(apart, docs, words, threshold), "links-across")
     if across.take(1):
         star = at.where("node != component").select(F.col("component").alias("a"), F.col("node").alias("b"))
         at = materialise(components(star.unionByName(across)), "classes")

@@ -857,3 +857,28 @@ def test_lines_encode_from_parts_as_in_the_library():
     alone = [e.ids for e in encoder.tokenizer.encode_batch(texts, add_special_tokens=False)]
     assert counts.tolist() == [len(i) for i in alone] and ids.tolist() == [v for i in alone for v in i]
     assert {"Begin", "État"} <= set(encoder.heads) and "end" in encoder.known  # two lines' words are known apart
+
+
+def test_forest_deals_the_same_documents_of_many_crowds_once(spark):
+    """Two documents that share 16 places are compared by their sets once; one that only shares the places is not dealt."""
+    rng = np.random.default_rng(5)
+    one, odd = rng.integers(0, 256, (2, 64), np.uint8)
+    two = np.concatenate([one[:40], rng.integers(0, 256, 24, np.uint8)])
+    places = list(range(16))
+    docs = spark.createDataFrame([(i, i, 600, places, bytearray(s.tobytes())) for i, s in enumerate((one, two, odd))], "id long, component long, n long, places array<long>, sketch binary")
+    got = minhash_forest.near_units(docs).collect()
+    assert sorted((r["id"], r["side"]) for r in got) == [(0, 0), (1, 0)] and len({r["pair"] for r in got}) == 1
+
+
+@pytest.mark.parametrize("n, split", [(30, 30), (30, 12), (200, 200), (200, 90)])
+def test_units_hold_every_near_pair(n, split):
+    rng = np.random.default_rng(n + split)
+    sketches = rng.integers(0, 256, (n, 64), np.uint8)
+    for i in range(n // 2):
+        sketches[rng.integers(0, n), :rng.integers(20, 40)] = sketches[i, :1]
+    sides, ids, components = (np.arange(n) >= split).astype(np.int32), rng.permutation(n), np.arange(n) // 2
+    near = {(ids[i], ids[j]) for i in range(split) for j in range(split if split < n else 0, n) if components[i] != components[j] and (sketches[i] == sketches[j]).sum() >= 28}
+    found = list(minhash_forest.units(sides, ids, components, sketches))
+    together = [{*ids[rows].tolist()} for _, rows, _ in found]
+    assert all(sum({*p} <= t for t in together) == 1 for p in near) and set().union(*together) == {i for p in near for i in p}
+    assert all((side == sides[rows]).all() if len(rows) > minhash_forest.SMALL_UNIT else not side.any() for _, rows, side in found)
