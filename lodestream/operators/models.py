@@ -116,32 +116,52 @@ class Net:
 
 def descended(w: np.ndarray, loss: Callable[[np.ndarray], tuple[float, np.ndarray]], rounds: int, rate: float = 0.05) -> tuple[np.ndarray, list[float]]:
     """(the weights of least loss, the loss of each round) of steps scaled by running moments of the gradient."""
-    m, v, best, losses = np.zeros_like(w), np.zeros_like(w), w, []
+    return descended_together([w], lambda ws: [loss(ws[0])], rounds, rate)[0]
+
+
+def descended_together(ws: list[np.ndarray], losses: Callable[[list[np.ndarray]], list[tuple[float, np.ndarray]]], rounds: int, rate: float = 0.05) -> list[tuple[np.ndarray, list[float]]]:
+    """The same for several models, each with its own steps, whose losses come from one call a round."""
+    m, v = ([np.zeros_like(w) for w in ws] for _ in "mv")
+    now, best, seen = list(ws), list(ws), [[] for _ in ws]
     for i in range(1, rounds + 1):
-        now, g = loss(w)
-        if not losses or now < min(losses):
-            best = w
-        losses.append(now)
-        m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
-        w = w - rate * (m / (1 - 0.9 ** i)) / (np.sqrt(v / (1 - 0.99 ** i)) + 1e-8)
-    return best, losses
+        for k, (loss, g) in enumerate(losses(now)):
+            if not seen[k] or loss < min(seen[k]):
+                best[k] = now[k]
+            seen[k].append(loss)
+            m[k], v[k] = 0.9 * m[k] + 0.1 * g, 0.99 * v[k] + 0.01 * g * g
+            now[k] = now[k] - rate * (m[k] / (1 - 0.9 ** i)) / (np.sqrt(v[k] / (1 - 0.99 ** i)) + 1e-8)
+    return list(zip(best, seen, strict=True))
 
 
-def quantile_net(rows: DataFrame, names: list[str], target: str, share: float, hidden: int = 8, rounds: int = 40, seed: int = 7) -> tuple[Net, np.ndarray, list[float]]:
-    """A net for the ``share`` quantile of ``target``, by the mean pinball loss over all rows."""
-    net, n = Net(len(names), hidden, seed), max(1, rows.count())
+def quantile_nets(rows: DataFrame, names: list[str], target: str, shares: list[float], hidden: int = 8, rounds: int = 40, seed: int = 7) -> list[tuple[Net, np.ndarray, list[float]]]:
+    """For each of ``shares`` a net for that quantile of ``target``, by the mean pinball loss over all rows.
 
-    def loss(w: np.ndarray) -> tuple[float, np.ndarray]:
+    A round is one pass over ``rows`` whatever the number of nets; they are read as often
+    as there are rounds, so what is costly to compute is written first.
+    """
+    n = max(1, rows.count())
+    nets = [Net(len(names), hidden, seed) for _ in shares]
+    width = 1 + len(nets[0].w)
+
+    def losses(ws: list[np.ndarray]) -> list[tuple[float, np.ndarray]]:
         def kernel(m: np.ndarray) -> np.ndarray:
             x, y = m[:, :-1], m[:, -1]
-            out, held = net.run(w, x)
-            off = y - out
-            return np.concatenate([[np.sum(np.maximum(share * off, (share - 1) * off))], net.gradient(w, x, held, np.where(off >= 0, -share, 1 - share))])
+            out = []
+            for net, w, share in zip(nets, ws, shares, strict=True):
+                value, held = net.run(w, x)
+                off = y - value
+                out += [[np.sum(np.maximum(share * off, (share - 1) * off))], net.gradient(w, x, held, np.where(off >= 0, -share, 1 - share))]
+            return np.concatenate(out)
 
-        s = summed(rows, [*names, target], kernel, 1 + len(net.w))
-        return s[0] / n, s[1:] / n
+        s = summed(rows, [*names, target], kernel, width * len(nets)).reshape(len(nets), width)
+        return [(v[0] / n, v[1:] / n) for v in s]
 
-    return net, *descended(net.w, loss, rounds)
+    return [(net, *fit) for net, fit in zip(nets, descended_together([net.w for net in nets], losses, rounds), strict=True)]
+
+
+def quantile_net(rows: DataFrame, names: list[str], target: str, share: float, hidden: int = 8, rounds: int = 40, seed: int = 7) -> tuple[Net, np.ndarray, list[float]]:
+    """A net for the ``share`` quantile of ``target``, by the mean pinball loss over all rows."""
+    return quantile_nets(rows, names, target, [share], hidden, rounds, seed)[0]
 
 
 def listwise_net(rows: DataFrame, group: str, names: list[str], gain: str, hidden: int = 8, rounds: int = 40, seed: int = 7) -> tuple[Net, np.ndarray, list[float]]:

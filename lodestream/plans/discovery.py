@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window as W, functions as F
 
 from ..operators import models as M, windows as R
 from ..sources import tables as T
 from .catalog import BARS, hourly, query
+from .more import folder
 
 FEATURES = ["ret_1", "ret_2", "range_pct", "location", "volume_ratio", "hour"]
 TEST_DAYS = 5
@@ -26,9 +29,16 @@ def featured(spark, sf_dir):
         F.round((F.lead("close").over(w) / F.col("close") - 1) * 1_000_000).cast("long").alias("gain"), F.expr("lead(bar_s) over (partition by symbol order by bar_s) div 86400").alias("until"))
 
 
+def written(df):
+    """``df`` as rows of the shared folder: passes over it read these and do not compute them again."""
+    path = f"{folder(df.sparkSession)}/lodestream/featured-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def parted(spark, sf_dir):
     """(train, test) by day: the last days are the test, and no row to train on has an outcome in them."""
-    f = featured(spark, sf_dir).where("gain is not null")
+    f = written(featured(spark, sf_dir).where("gain is not null"))
     last = f.agg(F.max("day")).first()[0] or 0
     return f.where((F.col("day") <= last - TEST_DAYS) & (F.col("until") <= last - TEST_DAYS)), f.where(F.col("day") > last - TEST_DAYS)
 
@@ -106,9 +116,8 @@ def entry_gate(spark, sf_dir):
 def quantile_forecast(spark, sf_dir):
     """The tenth and ninetieth percentile of the next hour's gain, by nets fitted on the train days."""
     train, test = scaled(spark, sf_dir)
-    unit = lambda df: df.withColumn("target", F.col("gain") / 1_000_000)
-    for share, name in ((0.1, "low"), (0.9, "high")):
-        net, w, _ = M.quantile_net(unit(train), FEATURES, "target", share, rounds=25)
+    unit = train.withColumn("target", F.col("gain") / 1_000_000)
+    for name, (net, w, _) in zip(("low", "high"), M.quantile_nets(unit, FEATURES, "target", [0.1, 0.9], rounds=25), strict=True):
         test = M.scored(test, net, w, FEATURES, name)
     return test.select("symbol", "bar_s", F.round("low", 5).alias("low"), F.round("high", 5).alias("high"), "gain")
 

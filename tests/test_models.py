@@ -150,3 +150,20 @@ def test_means_of_cents_at_a_half(spark):
     got = [r[0] for r in df.select(bars.exact_mean(F.col("total"), F.col("w")).alias("m")).collect()]
     assert got == [46_000.3125, 0.003333, None, 0.006667]
     assert spark.createDataFrame([(4_600_031_250_001, 1_000_000_000)], "total long, w long").select(bars.exact_mean(F.col("total"), F.col("w"))).first()[0] == 46.000313
+
+
+def test_nets_fitted_together_equal_nets_fitted_alone(points):
+    names = ["a", "b", "c"]
+    both = models.quantile_nets(points, names, "target", [0.1, 0.9], rounds=3)
+    for share, (_, w, losses) in zip([0.1, 0.9], both, strict=True):
+        _, alone, alone_losses = models.quantile_net(points, names, "target", share, rounds=3)
+        assert np.allclose(w, alone) and np.allclose(losses, alone_losses)
+
+
+def test_features_are_computed_once_for_all_rounds(spark):
+    from lodestream.plans import discovery
+
+    train, test = discovery.parted(spark, "/root/testdata/sf0.001")
+    for df in (train, test):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert "Window" not in plan and "Aggregate" not in plan
