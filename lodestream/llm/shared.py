@@ -6,6 +6,7 @@ import contextlib
 import ctypes
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -83,19 +84,32 @@ def small_batches(spark: SparkSession, rows: int = 1_000, size: str = "8m") -> N
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 
-def tidily(f):
-    """``f`` over batches, after which the worker gives back the memory it has freed: workers live on from stage to stage."""
+def give_back() -> None:
+    """Returns the memory that this process has freed to the machine."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def tidily(f, seconds: float = 1.0):
+    """``f`` over batches; the worker gives back the memory it has freed between batches, every few ``seconds``, and at the end: workers live on from stage to stage."""
+
+    def spaced(batches):
+        last = time.monotonic()
+        for batch in batches:
+            yield batch
+            if time.monotonic() - last > seconds:
+                give_back()
+                last = time.monotonic()
 
     def run(batches):
         try:
-            yield from f(batches)
+            yield from f(spaced(batches))
         finally:
-            import pyarrow as pa
-
             gc.collect()
-            pa.default_memory_pool().release_unused()
-            with contextlib.suppress(OSError, AttributeError):
-                ctypes.CDLL(None).malloc_trim(0)
+            give_back()
 
     return run
 

@@ -882,3 +882,19 @@ def test_units_hold_every_near_pair(n, split):
     together = [{*ids[rows].tolist()} for _, rows, _ in found]
     assert all(sum({*p} <= t for t in together) == 1 for p in near) and set().union(*together) == {i for p in near for i in p}
     assert all((side == sides[rows]).all() if len(rows) > minhash_forest.SMALL_UNIT else not side.any() for _, rows, side in found)
+
+
+def test_workers_give_memory_back_between_batches(monkeypatch):
+    from lodestream.llm import shared
+
+    calls = []
+    monkeypatch.setattr(shared, "give_back", lambda: calls.append(len(seen)))
+    seen = []
+
+    def f(batches):
+        for b in batches:
+            seen.append(b)
+            yield b
+
+    assert list(shared.tidily(f, seconds=-1)(iter("abc"))) == ["a", "b", "c"]
+    assert calls == [1, 2, 3, 3]  # behind each batch, and at the end
