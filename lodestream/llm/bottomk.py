@@ -7,6 +7,7 @@ two sketches estimate resemblance, containment and the number of shingles.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from .shared import cut_points, doc_column, doc_text
@@ -81,8 +82,7 @@ def with_next(rows: DataFrame, key: str, columns: list[str], rows_each: int = 2_
     cuts = cut_points(rows.select(key), key, rows_each)
     place = F.lit(0)
     if cuts:
-        cut_array = F.array(*[F.lit(c) for c in cuts])
-        place = F.when(F.col(key).isNull(), F.lit(0)).otherwise(_place(cut_array, F.col(key), len(cuts)))
+        place = F.when(F.col(key).isNull(), F.lit(0)).otherwise(_place(F.lit(np.array(cuts)), F.col(key), len(cuts)))
     ranged = rows.withColumn("_range", place.cast("int")).withColumn("_guest", F.lit(0))
     order = [F.col(key).asc_nulls_first(), *[F.col(c).asc_nulls_first() for c in columns]]
     # One row a range: the range before it, which gets its first row.
@@ -107,14 +107,13 @@ def with_next(rows: DataFrame, key: str, columns: list[str], rows_each: int = 2_
 
 
 def _place(cuts: Column, value: Column, n: int) -> Column:
-    """How many of the ascending ``cuts`` are at most ``value``, by halving."""
-    steps = max(1, n.bit_length())
-    at = F.lit(0)
-    for bit in reversed(range(steps)):
-        step = 1 << bit
-        probe = F.get(cuts, at + (step - 1))
-        at = at + F.when(probe <= value, F.lit(step)).otherwise(F.lit(0))
-    return at
+    """How many of the ascending ``cuts``, ``n`` of them, are at most ``value``, by halving.
+
+    The steps are folded and not nested in one another, and the cuts are one literal:
+    the expression stays as small as it is however many cuts there are.
+    """
+    steps = F.lit(np.array([1 << bit for bit in reversed(range(n.bit_length()))], np.int32))
+    return F.aggregate(steps, F.lit(0), lambda at, step: at + F.when(F.get(cuts, at + step - 1) <= value, step).otherwise(F.lit(0)))
 
 
 def edited(text: Column, following: Column) -> Column:

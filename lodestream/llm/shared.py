@@ -9,6 +9,7 @@ import tempfile
 import time
 import uuid
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 _OWN: dict[str, str] = {}
@@ -129,13 +130,7 @@ def cut_points(df: DataFrame, column: str, rows_each: int, most: int = 20_000) -
     parts = max(1, min(most, -(-n // rows_each)))
     if parts == 1:
         return []
-    shares = F.array(*[F.lit(i / parts) for i in range(1, parts)]) if parts <= 200 else F.transform(
-        F.sequence(F.lit(1), F.lit(parts - 1)), lambda i: i / F.lit(float(parts)))
+    shares = F.lit(np.arange(1, parts) / parts)
     accuracy = max(10_000, 20 * parts)
-    row = df.agg(F.percentile_approx(F.col(column), _constant(df.sparkSession, shares), accuracy).alias("p")).first()
+    row = df.agg(F.percentile_approx(F.col(column), shares, accuracy).alias("p")).first()
     return sorted(set(row["p"] or []))
-
-
-def _constant(spark: SparkSession, column: Column) -> Column:
-    values = spark.range(1).select(column.alias("v")).first()["v"]
-    return F.array(*[F.lit(v) for v in values])

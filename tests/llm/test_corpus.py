@@ -315,6 +315,23 @@ def test_next_row_across_ranges(spark):
     assert got == {k: f"t{(k + 1) % 101}" for k in range(101)}
 
 
+def test_next_row_across_many_ranges_is_a_small_plan(spark):
+    keys = [None, *range(-(2**40), 2**40, 2**33)]
+    rows = spark.createDataFrame([(k, f"t{k}") for k in keys], "k long, v string")
+    found = bottomk.with_next(rows, "k", ["v"], rows_each=1)
+    nodes = found._jdf.queryExecution().analyzed().toJSON().count('"class"')
+    assert {r["k"]: r["next_v"] for r in found.collect()} == {k: f"t{n}" for k, n in zip(keys, [*keys[1:], keys[0]])}
+    assert nodes < 2_000
+
+
+def test_place_among_cuts(spark):
+    for cuts in ([5], [-7, 0, 2**40], list(range(0, 62, 2))):
+        at = bottomk._place(F.lit(np.array(cuts)), F.col("v"), len(cuts))
+        values = [-(2**50), 2**50, *cuts, *[c - 1 for c in cuts], *[c + 1 for c in cuts]]
+        got = spark.createDataFrame([(v,) for v in values], "v long").select("v", at.alias("at")).collect()
+        assert [r["at"] for r in got] == [sum(c <= r["v"] for c in cuts) for r in got]
+
+
 def test_sketches_merge(spark):
     a, b = "a b c d e f g h i j k l", "e f g h i j k l m n o p q"
     row = spark.range(1).select(
