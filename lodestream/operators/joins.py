@@ -23,15 +23,21 @@ def asof(left: DataFrame, right: DataFrame, by: str, at: str, value: str, most_a
 
 
 def nearest(left: DataFrame, right: DataFrame, by: str, at: str, value: str, within: int) -> DataFrame:
-    """Adds ``value`` of the right row nearest in time, the earlier of equals, at most ``within`` away.
+    """Adds ``value`` of the right row nearest in time, the earlier of equals, at most ``within`` away, and its time as ``<value>_at``.
 
-    Times are cut into cells of ``within``; a left row meets its own and both neighbouring cells.
+    Times are cut into cells of ``within``; right rows go to their own and both neighbouring
+    cells, where two running passes find the last before and the first after: no pair is formed.
     """
-    l = left.withColumn("_cell", F.explode(F.array(*[F.floor(F.col(at) / within) + d for d in (-1, 0, 1)])))  # noqa: E741
-    r = right.select(F.col(by).alias("_by"), F.col(at).alias("_at"), F.col(value).alias("_value"), F.floor(F.col(at) / within).alias("_rcell"))
-    gap = F.abs(F.col(at) - F.col("_at"))
-    met = l.join(r, (F.col(by) == F.col("_by")) & (F.col("_cell") == F.col("_rcell")) & (gap <= within), "left")
-    return met.groupBy(*left.columns).agg(F.min_by("_value", F.when(F.col("_at").isNotNull(), F.struct(gap, F.col("_at")))).alias(value))
+    cell = F.floor(F.col(at) / within)
+    l = left.withColumns({"_cell": cell, "_rank": F.lit(1)})  # noqa: E741
+    known = right.where(F.col(by).isNotNull() & F.col(at).isNotNull())
+    r = known.select(by, at, F.struct(F.col(at).alias("at"), F.col(value).alias("value")).alias("_point"), F.explode(F.array(*[cell + d for d in (-1, 0, 1)])).alias("_cell"), F.lit(0).alias("_rank"))
+    run = lambda *order: F.last("_point", True).over(W.partitionBy(by, "_cell").orderBy(*order).rowsBetween(W.unboundedPreceding, 0))
+    both = l.unionByName(r, allowMissingColumns=True).withColumn("_before", run(F.asc(at), "_rank")).withColumn("_after", run(F.desc(at), "_rank")).where("_rank = 1")
+    gap = lambda p: F.abs(F.col(at) - F.col(f"{p}.at"))
+    near = both.withColumn("_point", F.when(gap("_after") < gap("_before"), F.col("_after")).otherwise(F.coalesce("_before", "_after")))
+    close = gap("_point") <= within
+    return near.select(*left.columns, F.when(close, F.col("_point.value")).alias(value), F.when(close, F.col("_point.at")).alias(f"{value}_at"))
 
 
 def at_horizon(rows: DataFrame, by: str, at: str, value: str, ahead: int) -> DataFrame:

@@ -278,7 +278,9 @@ def nearest_in_time(spark, sf_dir):
     p = t.where("symbol = 'purchase'").select("seq", "ts_s", F.lit(1).alias("k"))
     # Of views in one second the first counts, and one without a price is none, as in SQL's arg_min.
     v = t.where("symbol = 'view' and price is not null").groupBy("ts_s").agg(F.min_by("price", "seq").alias("price")).withColumn("k", F.lit(1))
-    return J.nearest(p, v, "k", "ts_s", "price", 3_600).select("seq", "price")
+    near = J.nearest(p, v, "k", "ts_s", "price", 3_600)
+    # A seq that several purchases have gets one row, as in SQL.
+    return near.groupBy("seq").agg(F.min_by("price", F.abs(F.col("price_at") - F.col("ts_s")) * 10**10 + F.col("price_at")).alias("price"))
 
 
 @query(f"WITH d AS (SELECT DISTINCT bar_s // 86400 AS day FROM {BARS} WHERE symbol = 'click'), e AS (SELECT bar_s // 86400 AS day, count(*) AS n FROM {BARS} WHERE symbol = 'error' AND close > 95 AND bar_s % 86400 < 7200 GROUP BY 1) SELECT day FROM d WHERE day NOT IN (SELECT day FROM e)")

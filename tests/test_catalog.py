@@ -3,6 +3,7 @@
 import math
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -56,6 +57,34 @@ def test_nearest_takes_the_first_of_one_second(spark, tmp_path):
     assert got == {3: 5.0, 5: 9.0, 7: None} == dict(events.execute(catalog.SQL["nearest_in_time"]).fetchall())
 
 
+def test_nearest_forms_no_pairs(spark, tmp_path):
+    draw = np.random.default_rng(7)
+    kinds = ["view", "purchase", "click"]
+    rows = [(i // 2 if i % 50 == 0 else i, int(t) if i % 97 else None, kinds[int(k)], None if i % 31 == 0 else float(i)) for i, (t, k) in enumerate(zip(draw.integers(-40_000, 400_000, 1_500), draw.integers(0, 3, 1_500)))]
+    rows += [(2_000 + i, t, k, float(i)) for i, (t, k) in enumerate([(900_000, "purchase"), (896_400, "view"), (903_600, "view"), (920_000, "purchase"), (923_601, "view"), (940_000, "purchase"), (936_399, "view"), (943_600, "view")])]
+    events = duckdb.connect()
+    events.execute("CREATE TABLE events (event_id BIGINT, ts TIMESTAMP, event_type VARCHAR, value DOUBLE, props VARCHAR)")
+    events.executemany("INSERT INTO events VALUES (?, make_timestamp(?::BIGINT * 1000000), ?, ?, '{\"k\": 1}')", rows)
+    events.execute(f"COPY events TO '{tmp_path}/events.parquet' (FORMAT parquet)")
+    found = catalog.nearest_in_time(spark, str(tmp_path))
+    known = events.execute(catalog.SQL["nearest_in_time"]).fetchall()
+    assert sorted(map(str, map(tuple, found.collect()))) == sorted(map(str, known))
+    assert {(2_000, 1.0), (2_003, None), (2_005, 7.0)} <= set(known)
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_nearest_by_key(spark):
+    draw = np.random.default_rng(8)
+    keys = ["a", "b", None]
+    left = [(i, keys[int(k)], int(t)) for i, (k, t) in enumerate(zip(draw.integers(0, 3, 200), draw.integers(-300, 300, 200)))] + [(200, "a", None), (201, "c", 0)]
+    right = [(keys[int(k)], int(t), None if t % 5 == 0 else int(t)) for t in draw.permutation(np.arange(-300, 300, 7)) for k in draw.integers(0, 3, 1)] + [("a", None, 5)]
+    got = joins.nearest(spark.createDataFrame(left, "i int, k string, t long"), spark.createDataFrame(right, "k string, t long, v long"), "k", "t", "v", 10).collect()
+    assert len(got) == len(left)
+    for r in got:
+        near = [(abs(t - r["t"]), t, v) for k, t, v in right if None not in (k, t, r["t"]) and k == r["k"] and abs(t - r["t"]) <= 10]
+        assert (r["v_at"], r["v"]) == (min(near, key=lambda x: x[:2])[1:] if near else (None, None))
+
+
 def test_flagship(spark):
     assert catalog.FLAGSHIP(spark, DIR).count() > 0
 
